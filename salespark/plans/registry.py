@@ -123,7 +123,16 @@ def quintile_sql(rank: str, n: str) -> str:
             f"// ({n} - 1)) END AS INTEGER)")
 
 
+# "tables": every query joins the raw tables itself (the default, and what the
+# oracle check runs).  "materialized": queries read the fact written once per
+# session (``dashboard.materialized_fact``), as a deployment would.
+FACT_SOURCE = {"mode": "tables"}
+
+
 def fact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    if FACT_SOURCE["mode"] == "materialized":
+        from .dashboard import materialized_fact
+        return materialized_fact(spark, sf_dir)
     return sales_fact(spark, sf_dir)
 
 

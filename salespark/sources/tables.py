@@ -20,6 +20,10 @@ from pyspark.sql import functions as F
 
 from . import schema
 
+# A join side is broadcast only when its exact row count is at most this;
+# beyond it the join is a sort-merge join (AQE splits skewed partitions).
+BROADCAST_MAX_ROWS = 500_000
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
           "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
@@ -28,6 +32,33 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread_input(df: DataFrame, min_rows: int = 200_000) -> DataFrame:
+    """Round-robin a scan that yields fewer splits than the session's
+    parallelism (e.g. one large row group), so the work after it uses every
+    core.  A large table has many more splits than cores and is returned
+    unchanged: no shuffle is added at scale.  Small scans are left alone too.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores or df.count() < min_rows:
+        return df
+    return df.repartition(cores)
+
+
+def broadcast_if_small(side: DataFrame, bound: DataFrame, max_rows: int = BROADCAST_MAX_ROWS
+                       ) -> DataFrame:
+    """Hint ``side`` for broadcast when ``bound`` (a table with at least as many
+    rows, e.g. the parquet table ``side`` is derived from) has at most
+    ``max_rows`` rows.
+
+    The count of an unfiltered parquet scan is answered from file footers,
+    so the check costs no data scan at any size.  Without the hint the
+    planner's static estimate for a join output is the product of its
+    inputs, which would make the fact look like the small side.
+    """
+    return F.broadcast(side) if bound.count() <= max_rows else side
+
+
 def customer_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
     """customer ⋈ nation ⋈ region as the customer dimension.
 
@@ -39,7 +70,9 @@ def customer_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("r_regionkey"), F.col("r_name").alias("region"))
     nation = read_table(spark, sf_dir, "nation").select(
         F.col("n_nationkey"), F.col("n_name").alias("state"), F.col("n_regionkey"))
-    geo = nation.join(region, nation.n_regionkey == region.r_regionkey, "inner")
+    geo = nation.join(broadcast_if_small(region, region), nation.n_regionkey == region.r_regionkey,
+                      "inner")
+    geo = broadcast_if_small(geo, nation)
     cust = read_table(spark, sf_dir, "customer")
     return cust.join(geo, cust.c_nationkey == geo.n_nationkey, "inner").select(
         F.col("c_custkey").alias("customer_id"),
@@ -70,6 +103,9 @@ def sales_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
     Join order: orders ⋈ customer first (orders is the smaller fact side),
     then lineitem ⋈ that on the order key, then ⋈ part.  Each join is an
     inner equi-join; rows without a match drop, as in the reference.
+    Lineitem is always the streamed side; the others are broadcast only
+    below ``BROADCAST_MAX_ROWS`` rows (exact footer counts), else joined by
+    sort-merge on the key.
     """
     orders = read_table(spark, sf_dir, "orders").select(
         F.col("o_orderkey"), F.col("o_custkey"),
@@ -77,14 +113,15 @@ def sales_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderpriority").alias("sales_channel"),
         F.col("o_orderstatus").alias("payment_method"),
     )
-    cust = customer_dim(spark, sf_dir)
+    cust = broadcast_if_small(customer_dim(spark, sf_dir), read_table(spark, sf_dir, "customer"))
     orders_c = orders.join(cust, orders.o_custkey == cust.customer_id, "inner")
+    orders_c = broadcast_if_small(orders_c, read_table(spark, sf_dir, "orders"))
 
-    li = read_table(spark, sf_dir, "lineitem").select(
+    li = spread_input(read_table(spark, sf_dir, "lineitem")).select(
         "l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "l_discount",
         "l_returnflag", "l_shipdate")
     lines = li.join(orders_c, li.l_orderkey == orders_c.o_orderkey, "inner")
-    prod = product_dim(spark, sf_dir)
+    prod = broadcast_if_small(product_dim(spark, sf_dir), read_table(spark, sf_dir, "part"))
     joined = lines.join(prod, lines.l_partkey == prod.product_id, "inner")
 
     discount = F.col("l_discount").cast(schema.RATE)
@@ -136,7 +173,11 @@ def materialize_fact(fact: DataFrame, path: str, mode: str = "overwrite") -> Dat
     starts from one scan instead of re-running the star join.  ``path`` must
     be shared storage on a cluster.
     """
+    # ``rebalance`` shuffles by month once; AQE then splits a hot month over
+    # several tasks and merges small months, so files stay near the advisory
+    # partition size instead of one file per (task, month).
     (fact.withColumn("order_month", F.date_format("order_date", "yyyy-MM"))
+     .hint("rebalance", "order_month")
      .write.mode(mode).partitionBy("order_month").parquet(path))
     return fact.sparkSession.read.parquet(path).drop("order_month")
 
