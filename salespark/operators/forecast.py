@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import dround
+from .ordered import cache
 
 MIN_HISTORY_DAYS = 30
 MIN_CELL_DAYS = 5
@@ -67,18 +68,21 @@ def calendar_features(daily: DataFrame, keys: list[str] | None = None) -> DataFr
     return out.withColumns(_features(F.col("date")))
 
 
-def _series_key(df: DataFrame, keys: list[str]) -> tuple[DataFrame, list[str]]:
-    if keys:
-        return df, keys
-    return df.withColumn("__series", F.lit(0)), ["__series"]
-
-
 def _residual_quantiles(resid: DataFrame, by: list[str], prefix: str) -> DataFrame:
     qs = F.percentile(F.col("resid"), F.array(*[F.lit(p) for p in BAND]))
     return resid.groupBy(*by).agg(qs.alias("__q"), F.count(F.lit(1)).alias(prefix + "n")) \
         .select(*by, prefix + "n", *[F.col("__q")[i].alias(f"{prefix}q{i}") for i in range(3)])
 
 
+def _attach(df: DataFrame, per_series: DataFrame, keys: list[str], cols: list[str],
+            how: str) -> DataFrame:
+    """Attach per-series columns: a join on the series keys, or for a single
+    series (no keys) scalar subqueries over its one row (no join)."""
+    if keys:
+        return df.join(per_series.select(*keys, *cols), keys, how)
+    return df.withColumns({c: per_series.select(c).scalar() for c in cols})
+
+
 def _fit_and_project(hist: DataFrame, keys: list[str], horizon_days: int,
                      min_history: int) -> DataFrame:
     trend = hist.groupBy(*keys).agg(
@@ -87,7 +91,8 @@ def _fit_and_project(hist: DataFrame, keys: list[str], horizon_days: int,
         F.count(F.lit(1)).alias("n_days"), F.max("date").alias("last_date"))
     trend = trend.where(F.col("n_days") >= min_history)
     fitted = F.col("intercept") + F.col("slope") * F.col("day_index")
-    with_fit = hist.join(trend, keys, "inner")
+    with_fit = _attach(hist, trend, keys, ["slope", "intercept", "n_days"], "inner") \
+        .where(F.col("n_days").isNotNull())
     resid = with_fit.withColumn("resid", F.col("revenue") - fitted)
     cell = _residual_quantiles(resid, keys + ["day_of_week", "is_holiday_season"], "c_")
     wday = _residual_quantiles(resid, keys + ["day_of_week"], "w_")
@@ -101,8 +106,8 @@ def _fit_and_project(hist: DataFrame, keys: list[str], horizon_days: int,
         (F.col("n_days") - 1 + F.col("step")).cast("int").alias("day_index"))
     future = future.withColumns(_features(F.col("date")))
     joined = (future.join(cell, keys + ["day_of_week", "is_holiday_season"], "left")
-              .join(wday, keys + ["day_of_week"], "left")
-              .join(glob, keys, "left"))
+              .join(wday, keys + ["day_of_week"], "left"))
+    joined = _attach(joined, glob, keys, ["g_n", "g_q0", "g_q1", "g_q2"], "left")
 
     use_cell = F.coalesce(F.col("c_n"), F.lit(0)) >= MIN_CELL_DAYS
     use_wday = F.coalesce(F.col("w_n"), F.lit(0)) >= MIN_CELL_DAYS
@@ -132,12 +137,9 @@ def forecast_series(fact: DataFrame, keys: list[str], horizon_days: int = 30,
     """
     if horizon_days < 1:
         raise ValueError("horizon_days must be positive")
-    daily = daily_revenue(fact, keys)
-    daily, skeys = _series_key(daily, keys)
-    hist = calendar_features(daily, skeys)
-    raw = _fit_and_project(hist, skeys, horizon_days, min_history)
-    out = _finish(raw, skeys)
-    return out.drop("__series") if not keys else out
+    keys = list(keys)
+    hist = calendar_features(daily_revenue(fact, keys), keys)
+    return _finish(_fit_and_project(hist, keys, horizon_days, min_history), keys)
 
 
 def forecast_revenue(fact: DataFrame, horizon_days: int = 30) -> ForecastResult:
@@ -149,7 +151,8 @@ def forecast_revenue(fact: DataFrame, horizon_days: int = 30) -> ForecastResult:
     daily = daily_revenue(fact)
     if daily.count() < MIN_HISTORY_DAYS:
         raise ValueError(f"Need at least {MIN_HISTORY_DAYS} days of history to fit a forecast")
-    forecast = forecast_series(fact, [], horizon_days)
+    # ``horizon_days`` rows, read by the chart, the band outline and the totals
+    forecast = cache(forecast_series(fact, [], horizon_days))
     return ForecastResult(history=daily.orderBy("date"), forecast=forecast.orderBy("date"))
 
 
@@ -179,9 +182,8 @@ def forecast_gbt(fact: DataFrame, horizon_days: int = 30, keys: list[str] | None
     from pyspark.ml.regression import GBTRegressor
 
     keys = keys or []
-    daily = daily_revenue(fact, keys)
-    daily, skeys = _series_key(daily, keys)
-    hist = calendar_features(daily, skeys)
+    skeys = keys
+    hist = calendar_features(daily_revenue(fact, keys), keys)
     n_days = hist.groupBy(*skeys).agg(F.count(F.lit(1)).alias("__n"), F.max("date").alias("__last"))
     steps = F.explode(F.sequence(F.lit(1), F.lit(horizon_days))).alias("step")
     future = n_days.select(*skeys, "__n", "__last", steps).select(
@@ -211,5 +213,4 @@ def forecast_gbt(fact: DataFrame, horizon_days: int = 30, keys: list[str] | None
     raw = joined.select(*skeys, "date", *[
         F.greatest(F.lit(0.0), F.col("prediction") + F.col(f"w_q{i}")).alias(f"__v{i}")
         for i in range(3)])
-    out = _finish(raw, skeys)
-    return out.drop("__series") if not keys else out
+    return _finish(raw, skeys)

@@ -55,7 +55,12 @@ def constraint_report(customers: DataFrame, products: DataFrame, orders: DataFra
         parts.append(_rows(name, "not_null", agg, cols))
         parts.append(_rows(name, "primary_key", agg.select(F.col("__dup").alias(key)), [key]))
     for child, fk, parent in FOREIGN_KEYS:
-        parent_keys = tables[parent].select(F.col(PRIMARY_KEYS[parent]).alias(fk))
-        orphans = tables[child].where(F.col(fk).isNotNull()).join(parent_keys, fk, "left_anti")
-        parts.append(_rows(child, "foreign_key", orphans.agg(F.count(F.lit(1)).alias(fk)), [fk]))
+        # Reduce the child to (key, rows) first (map-side partial aggregate), so
+        # the anti-join shuffles distinct keys, not every row of a hot key.
+        parent_keys = tables[parent].select(F.col(PRIMARY_KEYS[parent]).alias(fk)).distinct()
+        per_key = tables[child].where(F.col(fk).isNotNull()).groupBy(fk).agg(
+            F.count(F.lit(1)).alias("__rows"))
+        orphans = per_key.join(parent_keys, fk, "left_anti")
+        parts.append(_rows(child, "foreign_key",
+                           orphans.agg(F.coalesce(F.sum("__rows"), F.lit(0)).alias(fk)), [fk]))
     return reduce(DataFrame.unionByName, parts)
