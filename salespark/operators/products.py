@@ -16,14 +16,15 @@ RESTOCK, HOLD, DISCONTINUE = "Restock", "Hold", "Discontinue"
 PRODUCT_KEYS = ["product_id", "product_name", "category", "sub_category"]
 
 
-def product_performance(fact: DataFrame) -> DataFrame:
+def product_performance(fact: DataFrame, approx: bool = False) -> DataFrame:
     """Per product: revenue, profit, units, distinct orders, average rating
-    (2 dp), return rate % and margin % (1 dp; margin NULL at zero revenue);
-    highest revenue first."""
+    (2 dp), return rate % and margin % (1 dp; margin NULL at zero revenue).
+    ``approx=True`` counts orders with HyperLogLog (no distinct shuffle)."""
+    orders = F.approx_count_distinct("order_id") if approx else F.count_distinct("order_id")
     perf = (fact.where(F.col("product_id").isNotNull()).groupBy(*PRODUCT_KEYS)
             .agg(F.sum("revenue").alias("rev"), F.sum("profit").alias("prof"),
                  F.sum("quantity").alias("units_sold"),
-                 F.count_distinct("order_id").alias("orders"),
+                 orders.alias("orders"),
                  F.avg("rating").alias("avg_rating"),
                  F.count_if(is_returned()).alias("__ret"), F.count(F.lit(1)).alias("__rows")))
     return perf.select(
@@ -138,6 +139,14 @@ def inventory_recommendation(fact: DataFrame, buckets: int | None = None) -> Dat
     return perf.withColumn("recommendation", flag)
 
 
+INVENTORY_VIEW_COLUMNS = ["product_name", "category", "units_sold", "margin_pct", "recommendation"]
+
+
+def inventory_view(inventory: DataFrame) -> DataFrame:
+    """The inventory table as shown to merchandisers (five columns)."""
+    return inventory.select(*INVENTORY_VIEW_COLUMNS)
+
+
 def inventory_counts(inventory: DataFrame) -> DataFrame:
     return inventory.groupBy("recommendation").agg(F.count(F.lit(1)).alias("products")) \
         .orderBy("recommendation")

@@ -496,6 +496,12 @@ def q_inventory_recommendation(spark, sf_dir):
     return products.inventory_recommendation(fact(spark, sf_dir))
 
 
+@register("inventory_view", with_fact(*QUANTILE_CTES, INVENTORY_CTE) +
+          "SELECT product_name, category, units_sold, margin_pct, recommendation FROM inv")
+def q_inventory_view(spark, sf_dir):
+    return products.inventory_view(products.inventory_recommendation(fact(spark, sf_dir)))
+
+
 @register("inventory_counts", with_fact(*QUANTILE_CTES, INVENTORY_CTE) +
           "SELECT recommendation, count(*) AS products FROM inv GROUP BY recommendation")
 def q_inventory_counts(spark, sf_dir):
