@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import dround
+from ..operators.ordered import cache
 
 
 # Full US state names and their two-letter postal codes
@@ -58,8 +59,8 @@ def weekday_month_heatmap(fact: DataFrame) -> DataFrame:
     dated = fact.where(F.col("order_date").isNotNull()).select(
         F.weekday("order_date").alias("weekday_idx"),
         F.date_format("order_date", "yyyy-MM").alias("month"), "order_id")
-    counts = dated.groupBy("weekday_idx", "month").agg(
-        F.count_distinct("order_id").alias("orders"))
+    counts = cache(dated.groupBy("weekday_idx", "month").agg(
+        F.count_distinct("order_id").alias("orders")))
     present_days = counts.agg(F.array_sort(F.collect_set("weekday_idx"))).scalar()
     grid = counts.select("month").distinct().select(
         "month", F.explode(present_days).alias("weekday_idx"))
@@ -86,8 +87,8 @@ def order_value_histogram(fact: DataFrame, bins: int = HISTOGRAM_BINS) -> DataFr
     """
     v = (F.col("revenue") * 10000).cast("long")
     vals = fact.where(F.col("revenue").isNotNull()).select(v.alias("__v"))
-    lo = vals.agg(F.min("__v")).scalar()
-    hi = vals.agg(F.max("__v")).scalar()
+    bounds = vals.agg(F.struct(F.min("__v").alias("lo"), F.max("__v").alias("hi"))).scalar()
+    lo, hi = bounds.getField("lo"), bounds.getField("hi")
     width = hi - lo
     idx = F.when(width == 0, F.lit(0)).otherwise(
         F.least(F.lit(bins - 1), F.floor((F.col("__v") - lo) * bins / width).cast("int")))
@@ -170,8 +171,10 @@ def scatter_sample(fact: DataFrame, sample_size: int = 5000, seed: int = 42) ->
 def forecast_band_polygon(forecast: DataFrame) -> DataFrame:
     """Outline of the forecast band: upper values forward in time, then lower
     values backward, numbered by ``point_idx`` (a union of two selections)."""
-    h = forecast.agg(F.count(F.lit(1))).scalar()
-    day = F.datediff(F.col("date"), forecast.agg(F.min("date")).scalar())
+    stats = forecast.agg(F.struct(F.count(F.lit(1)).alias("h"),
+                                  F.min("date").alias("d0"))).scalar()
+    h = stats.getField("h")
+    day = F.datediff(F.col("date"), stats.getField("d0"))
     upper = forecast.select(day.cast("long").alias("point_idx"), "date",
                             F.col("upper").alias("value"))
     lower = forecast.select((F.lit(2) * h - 1 - day).cast("long").alias("point_idx"), "date",

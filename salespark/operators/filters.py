@@ -31,35 +31,53 @@ def _as_date(v) -> Column:
     return F.to_date(F.lit(str(v)))
 
 
-def date_range_predicate(start=None, end=None, column: str = "order_date") -> Column:
-    """Inclusive on both ends; a missing end is open."""
+MONTH_PARTITION = "order_month"
+
+
+def date_range_predicate(start=None, end=None, column: str = "order_date",
+                         month_column: str | None = None) -> Column:
+    """Inclusive on both ends; a missing end is open.
+
+    With ``month_column`` (the ``yyyy-MM`` partition column of a
+    materialised fact) the same range is also stated on the months, which
+    lets the scan skip whole partitions.
+    """
     conds = []
     if start is not None:
         conds.append(F.col(column) >= _as_date(start))
+        if month_column:
+            conds.append(F.col(month_column) >= F.lit(str(start)[:7]))
     if end is not None:
         conds.append(F.col(column) <= _as_date(end))
+        if month_column:
+            conds.append(F.col(month_column) <= F.lit(str(end)[:7]))
     return and_all(conds)
 
 
+def _month_col(df: DataFrame) -> str | None:
+    return MONTH_PARTITION if MONTH_PARTITION in df.columns else None
+
+
 def multi_select_predicate(selections: dict[str, list]) -> Column:
     """AND across fields, IN within a field; an empty list means no filter."""
     conds = [F.col(c).isin(list(values)) for c, values in selections.items() if values]
     return and_all(conds)
 
 
-def filter_mask(f: Filters) -> Column:
-    conds = [date_range_predicate(f.start, f.end), multi_select_predicate(f.selections)]
+def filter_mask(f: Filters, month_column: str | None = None) -> Column:
+    conds = [date_range_predicate(f.start, f.end, month_column=month_column),
+             multi_select_predicate(f.selections)]
     if f.customer_search:
         conds.append(regex_contains("customer_name", f.customer_search, True, f.literal_search))
     return and_all(conds)
 
 
 def apply_filters(fact: DataFrame, f: Filters) -> DataFrame:
-    return fact.where(filter_mask(f))
+    return fact.where(filter_mask(f, _month_col(fact)))
 
 
 def filter_date_range(fact: DataFrame, start=None, end=None) -> DataFrame:
-    return fact.where(date_range_predicate(start, end))
+    return fact.where(date_range_predicate(start, end, month_column=_month_col(fact)))
 
 
 def filter_multi_select(fact: DataFrame, selections: dict[str, list]) -> DataFrame:

@@ -62,8 +62,8 @@ def region_growth(fact: DataFrame) -> DataFrame:
     month revenue are left out; fastest first."""
     dated = fact.where(F.col("order_date").isNotNull() & F.col("region").isNotNull())
     month = F.trunc("order_date", "month")
-    first_m = dated.agg(F.min(month)).scalar()
-    last_m = dated.agg(F.max(month)).scalar()
+    bounds = dated.agg(F.struct(F.min(month).alias("f"), F.max(month).alias("l"))).scalar()
+    first_m, last_m = bounds.getField("f"), bounds.getField("l")
     g = dated.groupBy("region").agg(
         F.coalesce(F.sum(F.when(month == first_m, F.col("revenue"))), F.lit(0)).alias("first_rev"),
         F.coalesce(F.sum(F.when(month == last_m, F.col("revenue"))), F.lit(0)).alias("last_rev"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import dround, is_returned, money
@@ -21,14 +21,17 @@ def period_growth(fact: DataFrame) -> DataFrame:
     The midpoint is ``min + (max - min) / 2``; a date is in the first half
     when ``2 * (date - min) < (max - min)`` (exact in whole days, also for
     odd spans).  Growth is NULL for an empty input, a single date, or a zero
-    first half.  Works on the per-day totals, so the two halves cost one
-    small aggregate after the daily rollup.
+    first half.  One pass over the fact: the per-day totals (one row per
+    calendar day, so bounded by the date span, not by the data volume) carry
+    the range bounds through an unpartitioned window, then two conditional
+    sums split them.
     """
-    daily = daily_totals(fact)
-    lo = daily.agg(F.min("order_date")).scalar()
-    hi = daily.agg(F.max("order_date")).scalar()
-    span = F.datediff(hi, lo)
-    offset2 = F.datediff(F.col("order_date"), lo) * 2
+    whole = Window.partitionBy()
+    daily = daily_totals(fact).select(
+        "order_date", "revenue", F.min("order_date").over(whole).alias("__lo"),
+        F.max("order_date").over(whole).alias("__hi"))
+    span = F.datediff(F.col("__hi"), F.col("__lo"))
+    offset2 = F.datediff(F.col("order_date"), F.col("__lo")) * 2
     first = F.coalesce(F.sum(F.when(offset2 < span, F.col("revenue"))), F.lit(0))
     second = F.coalesce(F.sum(F.when(offset2 >= span, F.col("revenue"))), F.lit(0))
     halves = daily.agg(first.alias("first_half"), second.alias("second_half"),

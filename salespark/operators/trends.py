@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import money, month_end, ratio_pct, week_ending_sunday
-from .ordered import ordered_offsets
+from .ordered import cache, ordered_offsets
 
 FREQS = ("D", "W", "ME")
 
@@ -45,9 +45,10 @@ def revenue_profit_trend(fact: DataFrame, freq: str = "ME") -> DataFrame:
     between the first and last one are emitted with zeros (margin NULL).
     """
     bucketed = fact.where(F.col("order_date").isNotNull()).withColumn("__b", _bucket(freq))
-    agg = bucketed.groupBy("__b").agg(
+    # one row per bucket, read by the bounds and by the join: kept, not recomputed
+    agg = cache(bucketed.groupBy("__b").agg(
         F.sum("revenue").alias("revenue"), F.sum("profit").alias("profit"),
-        F.count_distinct("order_id").alias("orders"))
+        F.count_distinct("order_id").alias("orders")))
     bounds = agg.agg(F.min("__b").alias("lo"), F.max("__b").alias("hi"))
     spine = date_spine(bounds, freq)
     joined = spine.join(agg.withColumnRenamed("__b", "order_date"), "order_date", "left")
@@ -66,11 +67,12 @@ def revenue_by_dimension(fact: DataFrame, dimension: str) -> DataFrame:
     """Revenue, profit, distinct orders and share of total revenue per value.
 
     NULL keys are dropped.  The total comes from a scalar subquery over the
-    grouped rows (a one-value result), not from an unpartitioned window.
+    grouped rows (a one-value result), not from an unpartitioned window; the
+    grouped rows are persisted so the fact is aggregated once.
     """
-    grouped = (fact.where(F.col(dimension).isNotNull()).groupBy(dimension)
-               .agg(F.sum("revenue").alias("revenue"), F.sum("profit").alias("profit"),
-                    F.count_distinct("order_id").alias("orders")))
+    grouped = cache(fact.where(F.col(dimension).isNotNull()).groupBy(dimension)
+                    .agg(F.sum("revenue").alias("revenue"), F.sum("profit").alias("profit"),
+                         F.count_distinct("order_id").alias("orders")))
     total = grouped.agg(F.sum("revenue")).scalar()
     share = F.when(total != 0, ratio_pct("revenue", total)).otherwise(F.lit(0.0))
     return grouped.select(
@@ -112,7 +114,7 @@ def pareto_top(fact: DataFrame, dimension: str = "product_name", metric: str = "
     each partition keeps ``top_n`` rows) replaces the full running total; the
     cumulative share uses the overall total from a scalar subquery.
     """
-    grouped = _pareto_groups(fact, dimension, metric)
+    grouped = cache(_pareto_groups(fact, dimension, metric))
     top = grouped.orderBy(F.col(metric).desc(), F.col(dimension).asc()).limit(top_n)
     w = Window.orderBy(F.col(metric).desc(), F.col(dimension).asc())
     running = F.sum(metric).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))

@@ -169,9 +169,11 @@ def fact_from_tables(orders: DataFrame, customers: DataFrame, products: DataFram
 def materialize_fact(fact: DataFrame, path: str, mode: str = "overwrite") -> DataFrame:
     """Write the fact as parquet partitioned by order month and read it back.
 
-    Date-range filters then prune whole partitions, and every later query
-    starts from one scan instead of re-running the star join.  ``path`` must
-    be shared storage on a cluster.
+    The result keeps the ``order_month`` partition column (``yyyy-MM``);
+    ``operators.filters`` adds a month predicate to every date-range filter
+    on such a frame, so date filters prune whole partitions.  Every later
+    query starts from one scan instead of re-running the star join.
+    ``path`` must be shared storage on a cluster.
     """
     # ``rebalance`` shuffles by month once; AQE then splits a hot month over
     # several tasks and merges small months, so files stay near the advisory
@@ -179,7 +181,7 @@ def materialize_fact(fact: DataFrame, path: str, mode: str = "overwrite") -> Dat
     (fact.withColumn("order_month", F.date_format("order_date", "yyyy-MM"))
      .hint("rebalance", "order_month")
      .write.mode(mode).partitionBy("order_month").parquet(path))
-    return fact.sparkSession.read.parquet(path).drop("order_month")
+    return fact.sparkSession.read.parquet(path)
 
 
 def output_frame(df: DataFrame) -> DataFrame:
