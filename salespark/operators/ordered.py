@@ -124,17 +124,19 @@ def ordered_offsets(df: DataFrame, keys: list[tuple[str, bool]],
 def ordered_offsets_n(df: DataFrame, keys: list[tuple[str, bool]],
                       sums: dict[str, str] | None = None, rank_col: str = "rank",
                       count_col: str | None = "n", rows_per_bucket: int = 2_000_000,
-                      buckets: int | None = None, seed: int = 17) -> tuple[DataFrame, int]:
+                      buckets: int | None = None, seed: int = 17,
+                      persist: bool = True) -> tuple[DataFrame, int]:
     """Add the global 1-based position ``rank_col`` in the order ``keys``.
 
     ``keys`` is a list of ``(column, ascending)``; it should be a total order
     (end in a unique column) for a deterministic position.  Key columns must
     be non-NULL.  ``sums`` maps an output column to a source column whose
     running sum (this row included) is added.  ``count_col`` receives the row
-    count.  ``buckets`` forces the bucket count (tests).
+    count.  ``buckets`` forces the bucket count (tests).  ``persist=False``
+    skips caching the input (when it is a cheap projection of cached data).
     """
     sums = sums or {}
-    base = cache(df)
+    base = cache(df) if persist else df
     n = base.count()
     k = buckets if buckets is not None else math.ceil(n / max(rows_per_bucket, 1))
     k = max(1, min(MAX_BUCKETS, k))
@@ -192,7 +194,8 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: list[float],
         F.col(value_col).cast("double").alias("__v"), *tie_cols)
     ranked, n = ordered_offsets_n(vals, [("__v", True)] + [(t, True) for t in tie_cols],
                                   rank_col="__r", count_col=None,
-                                  rows_per_bucket=rows_per_bucket, buckets=buckets)
+                                  rows_per_bucket=rows_per_bucket, buckets=buckets,
+                                  persist=not df.is_cached)
     if n == 0:
         return ranked.sparkSession.range(1).select(
             *[F.lit(None).cast("double").alias(nm) for nm in names])

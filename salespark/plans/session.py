@@ -47,7 +47,10 @@ def build_session(master: str | None = None, app_name: str = "salespark",
     for key, value in conf.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
-    spark.sparkContext.setLogLevel("ERROR")
+    try:
+        spark.sparkContext.setLogLevel("ERROR")
+    except Exception:  # remote sessions have no SparkContext
+        pass
     ensure_checkpoint_dir(spark)
     return spark
 
@@ -59,7 +62,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     is.  Only when it is unset (tests, local runs) a fresh scratch folder is
     created.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # remote session: the server's configuration applies
+        return spark.conf.get("spark.checkpoint.dir", "") or ""
     current = sc.getCheckpointDir()
     if current:
         return current

@@ -38,9 +38,12 @@ def spread_input(df: DataFrame, min_rows: int = 200_000) -> DataFrame:
     core.  A large table has many more splits than cores and is returned
     unchanged: no shuffle is added at scale.  Small scans are left alone too.
     """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores or df.count() < min_rows:
+    try:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        splits = df.rdd.getNumPartitions()
+    except Exception:  # no RDD access (e.g. a remote session): leave the scan as is
+        return df
+    if splits >= cores or df.count() < min_rows:
         return df
     return df.repartition(cores)
 
