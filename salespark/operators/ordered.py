@@ -19,7 +19,10 @@ running sums in a total order) with bounded tasks:
 
 When ``n <= rows_per_bucket`` one bucket is used and step 2 is skipped.
 The input is persisted because it is read by the count, the sample and the
-final query; ``release_cached`` drops those caches.
+final query; ``release_cached`` drops those caches.  On the bucketed (large)
+path the input is also checkpointed to the session's checkpoint folder, so
+chained passes (RFM ranks three metrics in a row) do not carry a growing
+lineage and a lost executor does not send the work back to the fact.
 """
 
 from __future__ import annotations
@@ -140,6 +143,8 @@ def ordered_offsets_n(df: DataFrame, keys: list[tuple[str, bool]],
     n = base.count()
     k = buckets if buckets is not None else math.ceil(n / max(rows_per_bucket, 1))
     k = max(1, min(MAX_BUCKETS, k))
+    if k > 1:
+        base = base.checkpoint(eager=True)
     splits = choose_splits(base, keys, n, k, seed) if k > 1 else []
 
     order = _sort_exprs(keys)
