@@ -259,3 +259,130 @@ def context_block(insights: DataFrame) -> DataFrame:
 
 def customers_to_target(fact: DataFrame) -> DataFrame:
     return customers.customers_to_target(customers.compute_rfm(fact))
+
+
+# The router's fallback answers.
+HELP_TEXT = ("I can answer questions about revenue and profit trends, regional performance, top or "
+             "underperforming products, customer segments, and recommendations. Try asking one "
+             "of those.")
+NO_MONTHS_TEXT = "Not enough monthly history to compare regional growth rates yet."
+NO_GROWTH_TEXT = "Not enough data to compute regional growth."
+NO_DRIVERS_TEXT = "No clear profit-erosion pattern found in the current selection."
+NO_RECS_TEXT = "No high-confidence recommendations for the current selection."
+
+
+def intent_of(question: str) -> str:
+    """The intent of one question by the same ordered rules as ``intent_expr``."""
+    q = (question or "").lower()
+    for intent, all_of, any_of in INTENT_RULES:
+        if all(w in q for w in all_of) and any(w in q for w in any_of):
+            return intent
+    return UNKNOWN_INTENT
+
+
+def _joined(rows: DataFrame, order: Column, text: Column, sep: str = " ") -> Column:
+    """Aggregate: the texts of a few rows (insights, read-outs) joined in order."""
+    items = F.array_sort(F.collect_list(F.struct(order.alias("o"), text.alias("t"))))
+    return F.array_join(F.transform(items, lambda s: s["t"]), sep)
+
+
+def _answer_summary(fact, summary, edges):
+    ins = summary_insights(fact, summary, edges)
+    return ins.agg(_joined(ins, F.col("insight_id"), F.col("text")).alias("answer"))
+
+
+def _answer_region_growth(fact, summary, edges):
+    dated = fact.where(F.col("order_date").isNotNull() & F.col("region").isNotNull())
+    months = dated.agg(F.count_distinct(F.trunc("order_date", "month"))).scalar()
+    rg = region_growth(fact)
+    best = rg.agg(F.min_by(F.struct("region", "growth_pct"),
+                           F.struct(-F.col("growth_pct"), F.col("region"))).alias("b"))
+    text = F.concat(F.col("b.region"), F.lit(" grew revenue "), _whole(F.col("b.growth_pct")),
+                    F.lit("% from the first to the last month in the selected range, the fastest "
+                          "of any region."))
+    return best.select(F.when(months < 2, F.lit(NO_MONTHS_TEXT))
+                       .when(F.col("b").isNull(), F.lit(NO_GROWTH_TEXT))
+                       .otherwise(text).alias("answer"))
+
+
+def _answer_profit_drivers(fact, summary, edges):
+    d = profit_drivers(fact, edges)
+
+    def pick(name: str) -> Column:
+        return F.max(F.when(F.col("driver") == name, F.struct("subject", "value")))
+    agg = d.agg(pick("thinnest_category").alias("c"), pick("highest_discount_band").alias("b"),
+                pick("unprofitable_products").alias("u"))
+    parts = F.concat_ws(
+        " ",
+        F.concat(F.col("c.subject"), F.lit(" has the thinnest margin of any category ("),
+                 _whole(F.col("c.value")), F.lit("%).")),
+        F.concat(F.lit("Orders discounted "), F.col("b.subject"), F.lit(" run a "),
+                 _whole(F.col("b.value")), F.lit("% margin, the lowest of any discount band.")),
+        F.concat(F.col("u.value").cast("long").cast("string"),
+                 F.lit(" product(s) are net-unprofitable overall in this selection.")))
+    return agg.select(F.when(parts == "", F.lit(NO_DRIVERS_TEXT)).otherwise(parts).alias("answer"))
+
+
+def _answer_top(fact, summary, edges):
+    top = top5_readout(fact)
+    line = F.concat(F.col("product_name"), F.lit(" ($"), _thousands(F.col("revenue")),
+                    F.lit(" revenue, "), F.coalesce(_whole(F.col("margin_pct")), F.lit("n/a")),
+                    F.lit("% margin)"))
+    order = F.struct(-F.col("revenue"), F.col("product_id"))
+    return top.agg(F.concat(F.lit("Top 5 products by revenue: "), _joined(top, order, line, "; "),
+                            F.lit(".")).alias("answer"))
+
+
+def _answer_worst(fact, summary, edges):
+    worst = worst5_readout(fact)
+    line = F.concat(F.col("product_name"), F.lit(" ($"), _thousands(F.col("profit")),
+                    F.lit(" profit)"))
+    order = F.struct(F.col("profit"), F.col("product_id"))
+    return worst.agg(F.concat(F.lit("Lowest-profit products: "), _joined(worst, order, line, "; "),
+                              F.lit(".")).alias("answer"))
+
+
+def _answer_targets(fact, summary, edges):
+    t = customers_to_target(fact)
+    return t.select(F.concat(
+        F.col("champions").cast("string"),
+        F.lit(" customers are current Champions (high recency, frequency, and spend) - a natural "
+              "audience for a loyalty or early-access offer. "),
+        F.col("at_risk").cast("string"),
+        F.lit(" customers are flagged At risk (they used to order frequently but haven't "
+              "recently) - worth a targeted win-back campaign before they lapse further."),
+    ).alias("answer"))
+
+
+def _answer_recommendations(fact, summary, edges):
+    recs = recommendations(fact, summary)
+    joined = _joined(recs, F.col("rec_id"), F.col("text"))
+    return recs.agg(F.when(F.count(F.lit(1)) == 0, F.lit(NO_RECS_TEXT)).otherwise(joined)
+                    .alias("answer"))
+
+
+_ANSWERS = {
+    "summary": _answer_summary,
+    "region_growth": _answer_region_growth,
+    "profit_drivers": _answer_profit_drivers,
+    "top_products": _answer_top,
+    "worst_products": _answer_worst,
+    "target_customers": _answer_targets,
+    "recommendations": _answer_recommendations,
+}
+
+
+def answer_question(fact: DataFrame, question: str, summary: DataFrame | None = None,
+                    edges: list[float] | None = None) -> DataFrame:
+    """One row (question, intent, answer): the question is routed by the
+    intent rules and only the matching read-out is computed."""
+    intent = intent_of(question)
+    build = _ANSWERS.get(intent)
+    if build is None:
+        answer = fact.sparkSession.range(1).select(F.lit(HELP_TEXT).alias("answer"))
+    else:
+        if summary is None and intent in ("summary", "recommendations"):
+            summary = kpi.executive_summary(fact)
+        answer = build(fact, summary, edges)
+    return answer.select(F.lit(question).alias("question"), F.lit(intent).alias("intent"),
+                         "answer")

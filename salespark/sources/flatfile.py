@@ -124,6 +124,12 @@ def write_tables(customers: DataFrame, products: DataFrame, orders: DataFrame, b
         writer.parquet(path)
 
 
+def load_csv_to_tables(spark: SparkSession, csv_path: str, base_path: str) -> None:
+    """Read a flat export, split it into the three tables and append them."""
+    customers, products, orders = normalize(read_flat_csv(spark, csv_path))
+    write_tables(customers, products, orders, base_path)
+
+
 def read_tables(spark: SparkSession, base_path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Read the three stored tables back with their declared types."""
     base = base_path.rstrip("/")

@@ -71,3 +71,33 @@ def test_intent_rules(spark):
                    "target_customers", "recommendations", "unknown", "unknown", "summary"]
     counts = {r.intent: r.questions for r in intent_counts(qs).collect()}
     assert counts["unknown"] == 2 and counts["summary"] == 2
+
+
+def test_answer_question_routes_and_renders(sample_df):
+    from salespark.operators.insights import answer_question, intent_of
+    assert intent_of("Which region is growing fastest?") == "region_growth"
+    assert intent_of("Show best-performing products.") == "top_products"
+
+    def ask(q):
+        return answer_question(sample_df, q).first()
+    a = ask("Which region is growing fastest?")
+    assert a.answer == ("West grew revenue 8% from the first to the last month in the selected "
+                        "range, the fastest of any region.")
+    assert ask("Why is profit falling?").answer == (
+        "Electronics has the thinnest margin of any category (31%). Orders discounted 30-100% "
+        "run a -12% margin, the lowest of any discount band. 1 product(s) are net-unprofitable "
+        "overall in this selection.")
+    assert ask("Show best-performing products.").answer == (
+        "Top 5 products by revenue: Nova Phone ($900 revenue, 40% margin); Ridge Shirt ($750 "
+        "revenue, 40% margin); Ion Phone Lite ($195 revenue, -9% margin).")
+    assert ask("Any underperforming items?").answer == (
+        "Lowest-profit products: Ion Phone Lite ($-17 profit); Ridge Shirt ($296 profit); "
+        "Nova Phone ($360 profit).")
+    assert ask("Which customers should we target?").answer.startswith(
+        "1 customers are current Champions")
+    assert ask("What should we do next?").answer.startswith("Prioritize inventory for the 1 ")
+    assert ask("Summarize this dashboard.").answer.startswith("Revenue increased 4% comparing")
+    assert ask("hello").intent == "unknown"
+    jan = sample_df.where("month(order_date) = 1")
+    assert answer_question(jan, "which region is growing?").first().answer == (
+        "Not enough monthly history to compare regional growth rates yet.")
