@@ -413,7 +413,8 @@ PERF_CTE = f"""perf AS (SELECT product_id, product_name, category, sub_category,
   round(avg(rating), 2) AS avg_rating,
   {pct_sql("count_if(returned = 'Yes')", 'count(*)')} AS return_rate_pct,
   CASE WHEN sum(revenue) <> 0 THEN {pct_sql('sum(profit)', 'sum(revenue)')} END AS margin_pct
-FROM fact WHERE product_id IS NOT NULL GROUP BY product_id, product_name, category, sub_category)"""
+FROM fact WHERE product_id IS NOT NULL AND product_name IS NOT NULL AND category IS NOT NULL
+  AND sub_category IS NOT NULL GROUP BY product_id, product_name, category, sub_category)"""
 
 
 @register("product_performance", with_fact(PERF_CTE) + "SELECT * FROM perf")
