@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import dround, ratio_pct
 from . import customers, kpi, products, trends
+from .ordered import cache
 
 INSIGHT_COLUMNS = ["insight_id", "kind", "subject", "detail", "value", "value2", "text"]
 
@@ -144,7 +145,8 @@ def summary_insights(fact: DataFrame, summary: DataFrame | None = None,
     """Up to five headline insights, in order: growth, top region, a repricing
     candidate, discount erosion, and the average-order-value line.  Each is
     left out when its condition fails (no growth figure, no region, ...)."""
-    summary = summary if summary is not None else kpi.executive_summary(fact)
+    # one row, read by two of the insights: computed once
+    summary = cache(summary if summary is not None else kpi.executive_summary(fact))
     g = F.col("revenue_growth_pct")
     growth = summary.where(g.isNotNull()).select(
         g, F.when(g >= 0, "increased").otherwise("decreased").alias("dir"))
@@ -191,7 +193,7 @@ def summary_insights(fact: DataFrame, summary: DataFrame | None = None,
 def recommendations(fact: DataFrame, summary: DataFrame | None = None) -> DataFrame:
     """Restock and Discontinue counts (when non-zero) and a return-rate alert
     above 8 %, as (kind, value, text) rows."""
-    summary = summary if summary is not None else kpi.executive_summary(fact)
+    summary = cache(summary if summary is not None else kpi.executive_summary(fact))
     counts = products.inventory_counts(products.inventory_recommendation(fact))
     restock = counts.where((F.col("recommendation") == products.RESTOCK)
                            & (F.col("products") > 0)).select(

@@ -124,3 +124,17 @@ def test_ordered_offsets_bucketed_equals_plain(spark):
     split = ordered_offsets(df, keys, sums={"run": "amount"}, buckets=7).orderBy("rank").collect()
     assert plain == split
     assert [r["rank"] for r in split] == list(range(1, 5001))
+
+
+def test_heavy_ties_still_split_into_balanced_buckets(spark):
+    from salespark.operators.ordered import _bucket_expr, choose_splits
+    # a third of all rows share one metric value (e.g. frequency = 1)
+    df = spark.range(0, 30000).select(
+        F.col("id").alias("customer_id"),
+        F.when(F.col("id") % 3 == 0, F.lit(1)).otherwise(F.col("id") % 997 + 2).alias("frequency"))
+    keys = [("frequency", True), ("customer_id", True)]
+    k = 8
+    splits = choose_splits(df, keys, 30000, k)
+    sizes = [r["count"] for r in df.groupBy(_bucket_expr(keys, splits).alias("b")).count().collect()]
+    assert len(sizes) == k
+    assert max(sizes) < 2 * 30000 / k  # the tied value spreads over several buckets
