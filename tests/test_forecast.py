@@ -76,3 +76,14 @@ def test_totals_and_polygon(daily_history):
     poly = forecast_band_polygon(fc).collect()
     assert [p.point_idx for p in poly] == list(range(20))
     assert poly[0].date == poly[-1].date and poly[9].date == poly[10].date
+
+
+def test_gbt_forecast_many_series(daily_history):
+    from salespark.operators.forecast import forecast_gbt
+    two = daily_history.withColumn("region", F.lit("A")).unionByName(
+        daily_history.withColumn("region", F.lit("B")).withColumn("revenue", F.col("revenue") * 3))
+    out = forecast_gbt(two, horizon_days=5, keys=["region"], max_iter=10).collect()
+    assert sorted({(r.region) for r in out}) == ["A", "B"] and len(out) == 10
+    assert all(0 <= r.lower <= r.forecast <= r.upper for r in out)
+    single = forecast_gbt(daily_history, horizon_days=3, max_iter=5).collect()
+    assert len(single) == 3

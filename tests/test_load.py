@@ -85,3 +85,11 @@ def test_constraint_report(spark, sample_df):
     assert rep[("orders", "primary_key", "order_id")] == 1
     assert rep[("customers", "primary_key", "customer_id")] == 0
     assert all(v == 0 for (t, rule, _), v in rep.items() if rule == "not_null")
+
+
+def test_load_csv_to_tables(spark, flat):
+    base = tempfile.mkdtemp(prefix="salespark-test-")
+    flatfile.write_flat_csv(flat, f"{base}/flat")
+    flatfile.load_csv_to_tables(spark, f"{base}/flat", f"{base}/db")
+    c, p, o = flatfile.read_tables(spark, f"{base}/db")
+    assert (c.count(), p.count(), o.count()) == (1, 2, 2)
