@@ -266,9 +266,10 @@ def q_filter_options(spark, sf_dir):
 
 
 @register("filter_match_count", with_fact() + f"""SELECT
-  count_if(order_date >= DATE '{TEST_DATE_RANGE[0]}' AND order_date <= DATE '{TEST_DATE_RANGE[1]}'
+  CAST(count_if(order_date >= DATE '{TEST_DATE_RANGE[0]}' AND order_date <= DATE '{TEST_DATE_RANGE[1]}'
            AND {' AND '.join(_in_sql(c, v) for c, v in TEST_SELECTIONS.items() if v)}
-           AND coalesce(regexp_matches(customer_name, 'customer#000000', 'i'), false)) AS matched_rows,
+           AND coalesce(regexp_matches(customer_name, 'customer#000000', 'i'), false)) AS BIGINT)
+  AS matched_rows,
   count(*) AS total_rows, min(order_date) AS min_date, max(order_date) AS max_date
 FROM fact""")
 def q_filter_match_count(spark, sf_dir):
@@ -519,7 +520,7 @@ def q_repricing_candidates(spark, sf_dir):
 
 
 @register("unprofitable_products", with_fact(PERF_CTE) +
-          "SELECT count_if(profit < 0) AS unprofitable_products FROM perf")
+          "SELECT CAST(count_if(profit < 0) AS BIGINT) AS unprofitable_products FROM perf")
 def q_unprofitable_products(spark, sf_dir):
     return products.unprofitable_products(fact(spark, sf_dir))
 
@@ -582,8 +583,8 @@ def q_segment_counts(spark, sf_dir):
 
 
 @register("customers_to_target", with_fact(*RFM_CTES) +
-          "SELECT count_if(segment = 'Champions') AS champions, count_if(segment = 'At risk') AS at_risk "
-          "FROM rfm")
+          "SELECT CAST(count_if(segment = 'Champions') AS BIGINT) AS champions, "
+          "CAST(count_if(segment = 'At risk') AS BIGINT) AS at_risk FROM rfm")
 def q_customers_to_target(spark, sf_dir):
     return customers.customers_to_target(customers.compute_rfm(fact(spark, sf_dir)))
 
@@ -703,7 +704,8 @@ def q_order_value_histogram(spark, sf_dir):
   q.n, q.min_value, q.q1, q.median, q.q3, q.max_value,
   min(CASE WHEN b.x >= q.q1 - 1.5 * (q.q3 - q.q1) THEN b.x END) AS lower_whisker,
   max(CASE WHEN b.x <= q.q3 + 1.5 * (q.q3 - q.q1) THEN b.x END) AS upper_whisker,
-  count_if(b.x < q.q1 - 1.5 * (q.q3 - q.q1) OR b.x > q.q3 + 1.5 * (q.q3 - q.q1)) AS outliers
+  CAST(count_if(b.x < q.q1 - 1.5 * (q.q3 - q.q1) OR b.x > q.q3 + 1.5 * (q.q3 - q.q1)) AS BIGINT)
+  AS outliers
 FROM q JOIN base b ON q.category = b.category
 GROUP BY q.category, q.n, q.min_value, q.q1, q.median, q.q3, q.max_value""")
 def q_delivery_box_stats(spark, sf_dir):

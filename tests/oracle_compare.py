@@ -30,8 +30,15 @@ def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
     return con
 
 
+EXACT_TYPES = bool(os.environ.get("EXACT_TYPES"))
+_SPARK_TO_DUCK = {"long": "BIGINT", "integer": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+                  "date": "DATE", "boolean": "BOOLEAN", "short": "SMALLINT", "float": "FLOAT"}
+
+
 def kind_spark(dt) -> str:
     name = dt.typeName()
+    if EXACT_TYPES:
+        return _SPARK_TO_DUCK.get(name, name.upper())
     return {"long": "int", "integer": "int", "short": "int", "double": "float", "float": "float",
             "string": "str", "date": "date", "boolean": "bool", "decimal": "decimal",
             "timestamp": "ts", "timestamp_ntz": "ts", "array": "array"}.get(name, name)
@@ -39,6 +46,8 @@ def kind_spark(dt) -> str:
 
 def kind_duck(t) -> str:
     s = str(t).upper()
+    if EXACT_TYPES:
+        return s
     if s in ("BIGINT", "INTEGER", "HUGEINT", "SMALLINT", "TINYINT", "UBIGINT", "UINTEGER"):
         return "int"
     if s in ("DOUBLE", "FLOAT"):

@@ -9,8 +9,13 @@ import pytest
 import __spark_entry__ as entry
 
 from .conftest import SF_SMALL
+from . import oracle_compare
 from .oracle_compare import compare, duck
 
+# exact column types and bit-exact values
+oracle_compare.EXACT_TYPES = True
+oracle_compare.STRICT = True
+
 SLOW = {"forecast_gbt"}
 
 pytestmark = pytest.mark.skipif(not os.path.exists(SF_SMALL), reason="test tables missing")
