@@ -77,10 +77,11 @@ def _residual_quantiles(resid: DataFrame, by: list[str], prefix: str) -> DataFra
 def _attach(df: DataFrame, per_series: DataFrame, keys: list[str], cols: list[str],
             how: str) -> DataFrame:
     """Attach per-series columns: a join on the series keys, or for a single
-    series (no keys) scalar subqueries over its one row (no join)."""
+    series (no keys) one struct-valued scalar subquery over its one row (no join)."""
     if keys:
         return df.join(per_series.select(*keys, *cols), keys, how)
-    return df.withColumns({c: per_series.select(c).scalar() for c in cols})
+    row = per_series.select(F.struct(*cols).alias("s")).scalar()
+    return df.withColumns({c: row.getField(c) for c in cols})
 
 
 def _fit_and_project(hist: DataFrame, keys: list[str], horizon_days: int,

@@ -119,10 +119,11 @@ def product_quantiles(perf: DataFrame, buckets: int | None = None) -> DataFrame:
     priced = perf.where(F.col("revenue") > 0)
     rev75 = exact_quantiles(priced, "revenue", [0.75], ["revenue_q75"], buckets=buckets)
     med = exact_quantiles(priced, "margin_pct", [0.5], ["priced_margin_median"], buckets=buckets)
+    m_row = margin.select(F.struct("margin_q33", "margin_q66")).scalar()
     return units.select(
         "units_q33", "units_q66",
-        margin.select("margin_q33").scalar().alias("margin_q33"),
-        margin.select("margin_q66").scalar().alias("margin_q66"),
+        m_row.getField("margin_q33").alias("margin_q33"),
+        m_row.getField("margin_q66").alias("margin_q66"),
         rev75.select("revenue_q75").scalar().alias("revenue_q75"),
         med.select("priced_margin_median").scalar().alias("priced_margin_median"),
     )
@@ -139,7 +140,8 @@ def inventory_recommendation(fact: DataFrame, buckets: int | None = None) -> Dat
     perf = cache(product_performance(fact))
     u = exact_quantiles(perf, "units_sold", [0.33, 0.66], ["a", "b"], buckets=buckets)
     m = exact_quantiles(perf, "margin_pct", [0.33, 0.66], ["a", "b"], buckets=buckets)
-    u33, u66 = u.select("a").scalar(), u.select("b").scalar()
+    u_row = u.select(F.struct("a", "b")).scalar()
+    u33, u66 = u_row.getField("a"), u_row.getField("b")
     m33 = m.select("a").scalar()
     high_velocity = F.coalesce(F.col("units_sold") >= u66, F.lit(False))
     low_velocity = F.coalesce(F.col("units_sold") <= u33, F.lit(False))
