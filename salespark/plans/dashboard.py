@@ -17,6 +17,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import charts, customers, filters, forecast, insights, kpi, products, trends
+from ..operators.ordered import release_cached
 from ..sources.tables import materialize_fact, sales_fact
 from .session import ensure_checkpoint_dir
 
@@ -57,8 +58,10 @@ class Dashboard:
             self.data = self.data.persist(StorageLevel.MEMORY_AND_DISK)
 
     def close(self) -> None:
+        """Release the filtered fact and the small intermediates operators cached."""
         if self.persist:
             self.data.unpersist()
+        release_cached()
 
     def overview(self) -> dict[str, DataFrame]:
         summary = kpi.executive_summary(self.data)
