@@ -118,9 +118,6 @@ def write_tables(customers: DataFrame, products: DataFrame, orders: DataFrame, b
         if skip_existing and mode == "append" and _exists(spark, path):
             stored = spark.read.parquet(path).select(key)
             frame = frame.join(stored, key, "left_anti")
-        if part:
-            # clustered by date inside each month: selective row-group statistics
-            frame = frame.sortWithinPartitions(part, "order_date")
         writer = frame.write.mode(mode)
         if part:
             writer = writer.partitionBy(part)
