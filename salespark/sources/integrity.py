@@ -26,13 +26,15 @@ FOREIGN_KEYS = [("orders", "customer_id", "customers"), ("orders", "product_id",
 REPORT_COLUMNS = ["table_name", "rule", "column_name", "violations"]
 
 
-def _rows(table: str, rule: str, counts: DataFrame, columns: list[str]) -> DataFrame:
-    """Unpivot a one-row frame of per-column counts into report rows."""
+def _rows(table: str, counts: DataFrame, items: list[tuple[str, str, str]]) -> DataFrame:
+    """Unpivot a one-row frame of counts into report rows; ``items`` are
+    (rule, column name, count column)."""
     stacked = counts.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column_name"), F.col(c).cast("long").alias("violations"))
-        for c in columns])).alias("r"))
-    return stacked.select(F.lit(table).alias("table_name"), F.lit(rule).alias("rule"),
-                          "r.column_name", "r.violations")
+        F.struct(F.lit(rule).alias("rule"), F.lit(c).alias("column_name"),
+                 F.col(src).cast("long").alias("violations"))
+        for rule, c, src in items])).alias("r"))
+    return stacked.select(F.lit(table).alias("table_name"), "r.rule", "r.column_name",
+                          "r.violations")
 
 
 def constraint_report(customers: DataFrame, products: DataFrame, orders: DataFrame) -> DataFrame:
@@ -52,8 +54,8 @@ def constraint_report(customers: DataFrame, products: DataFrame, orders: DataFra
             *[F.count_if(F.col(c).isNull()).alias(c) for c in cols],
             (F.count(F.lit(1)) - F.count_distinct(F.col(key))).alias("__dup"),
         )
-        parts.append(_rows(name, "not_null", agg, cols))
-        parts.append(_rows(name, "primary_key", agg.select(F.col("__dup").alias(key)), [key]))
+        parts.append(_rows(name, agg, [("not_null", c, c) for c in cols]
+                           + [("primary_key", key, "__dup")]))
     for child, fk, parent in FOREIGN_KEYS:
         # Reduce the child to (key, rows) first (map-side partial aggregate), so
         # the anti-join shuffles distinct keys, not every row of a hot key.
@@ -61,6 +63,6 @@ def constraint_report(customers: DataFrame, products: DataFrame, orders: DataFra
         per_key = tables[child].where(F.col(fk).isNotNull()).groupBy(fk).agg(
             F.count(F.lit(1)).alias("__rows"))
         orphans = per_key.join(parent_keys, fk, "left_anti")
-        parts.append(_rows(child, "foreign_key",
-                           orphans.agg(F.coalesce(F.sum("__rows"), F.lit(0)).alias(fk)), [fk]))
+        parts.append(_rows(child, orphans.agg(F.coalesce(F.sum("__rows"), F.lit(0)).alias("n")),
+                           [("foreign_key", fk, "n")]))
     return reduce(DataFrame.unionByName, parts)
