@@ -60,10 +60,6 @@ def is_returned(c: str | Column = "returned") -> Column:
     return F.coalesce(col(c) == F.lit("Yes"), F.lit(False))
 
 
-def zero_if_null(c: str | Column) -> Column:
-    return F.coalesce(col(c), F.lit(0))
-
-
 def and_all(conds: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, conds) if conds else F.lit(True)
 

@@ -100,10 +100,6 @@ def pct_sql(num: str, den: str, digits: int = 1) -> str:
     return f"round(CAST({num} AS DOUBLE) / nullif(CAST({den} AS DOUBLE), 0) * 100, {digits})"
 
 
-def money_sql(x: str) -> str:
-    return f"CAST(round({x}, 2) AS DOUBLE)"
-
-
 def band_case_sql(col: str, edges: list[float]) -> str:
     parts = []
     for i in range(len(edges) - 1):
