@@ -76,3 +76,30 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         configured = tempfile.mkdtemp(prefix="salespark-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
+
+
+def cluster_conf(input_bytes: int, executors: int, cores_per_executor: int,
+                 target_partition_bytes: int = 128 * 1024 ** 2) -> dict[str, str]:
+    """Shuffle and scan sizing for a cluster run over ``input_bytes`` of parquet.
+
+    * scans: 256 MB splits (a task's decoded batch stays well inside an
+      executor core's share of memory);
+    * shuffles: an initial partition count that gives ~``target`` bytes per
+      partition for a shuffle as large as the (compressed) input, at least
+      three waves of tasks, at most 200 000; AQE then coalesces small
+      partitions to the advisory size and splits skewed ones;
+    * broadcast: only sides below 32 MB, checked statically or at runtime.
+    """
+    slots = max(1, executors * cores_per_executor)
+    by_size = -(-int(input_bytes) // target_partition_bytes)
+    partitions = int(min(200_000, max(3 * slots, by_size)))
+    return {
+        "spark.sql.files.maxPartitionBytes": "256m",
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(partitions),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(
+            4 * target_partition_bytes),
+        "spark.sql.autoBroadcastJoinThreshold": "32m",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "32m",
+    }
