@@ -52,7 +52,8 @@ def main() -> None:
     keys = [k for k in os.environ.get("BENCH_QUERIES", ",".join(HEADLINE)).split(",") if k]
     mode = os.environ.get("BENCH_FACT", "materialized")
     spark = build_session(f"local[{cpus}]", app_name="salespark-bench",
-                          shuffle_partitions=max(8, 2 * cpus),
+                          shuffle_partitions=int(os.environ.get("BENCH_SHUFFLE_PARTITIONS",
+                                                                max(8, cpus))),
                           extra_conf={"spark.driver.memory": "16g"})
     results = {}
     registry.FACT_SOURCE["mode"] = mode

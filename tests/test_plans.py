@@ -40,3 +40,11 @@ def test_filters_and_pruning_reach_the_scan(spark):
     assert "GreaterThanOrEqual(o_orderdate" in orders["PushedFilters"]
     assert "o_orderpriority" not in orders["ReadSchema"]  # unused columns pruned
     assert "l_shipdate" not in scans["lineitem.parquet"]["ReadSchema"]
+
+
+def test_cluster_conf_sizes_partitions():
+    from salespark.plans.session import cluster_conf
+    big = cluster_conf(100 * 1024 ** 4, executors=1000, cores_per_executor=8)
+    assert int(big["spark.sql.shuffle.partitions"]) == 200_000
+    small = cluster_conf(10 * 1024 ** 3, executors=10, cores_per_executor=4)
+    assert int(small["spark.sql.shuffle.partitions"]) == 120  # three waves of 40 slots
