@@ -54,7 +54,7 @@ def segment_expr(r: str = "r_score", f: str = "f_score", m: str = "m_score") ->
             .otherwise(SEGMENTS[5]))
 
 
-def compute_rfm(fact: DataFrame, reference_date=None, rows_per_bucket: int = 2_000_000,
+def compute_rfm(fact: DataFrame, reference_date=None, rows_per_bucket: int | None = None,
                 buckets: int | None = None) -> DataFrame:
     """RFM scores 1..5 by equal-count quintiles of each metric's position.
 

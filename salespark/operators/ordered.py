@@ -38,6 +38,8 @@ from pyspark.sql import functions as F
 # generation; buckets then hold ~n/1024 rows (15 M at 15 G rows, sorted with
 # spill by the per-bucket window).
 MAX_BUCKETS = 1024
+# Target rows per bucket; at or below it one bucket (a plain ordered window) is used.
+ROWS_PER_BUCKET = 2_000_000
 SAMPLES_PER_BUCKET = 40
 
 _CACHED: list[DataFrame] = []
@@ -118,7 +120,7 @@ def choose_splits(df: DataFrame, keys: list[tuple[str, bool]], n: int, k: int,
 
 def ordered_offsets(df: DataFrame, keys: list[tuple[str, bool]],
                     sums: dict[str, str] | None = None, rank_col: str = "rank",
-                    count_col: str | None = "n", rows_per_bucket: int = 2_000_000,
+                    count_col: str | None = "n", rows_per_bucket: int | None = None,
                     buckets: int | None = None, seed: int = 17) -> DataFrame:
     return ordered_offsets_n(df, keys, sums, rank_col, count_col, rows_per_bucket,
                              buckets, seed)[0]
@@ -126,7 +128,7 @@ def ordered_offsets(df: DataFrame, keys: list[tuple[str, bool]],
 
 def ordered_offsets_n(df: DataFrame, keys: list[tuple[str, bool]],
                       sums: dict[str, str] | None = None, rank_col: str = "rank",
-                      count_col: str | None = "n", rows_per_bucket: int = 2_000_000,
+                      count_col: str | None = "n", rows_per_bucket: int | None = None,
                       buckets: int | None = None, seed: int = 17,
                       persist: bool = True) -> tuple[DataFrame, int]:
     """Add the global 1-based position ``rank_col`` in the order ``keys``.
@@ -141,7 +143,8 @@ def ordered_offsets_n(df: DataFrame, keys: list[tuple[str, bool]],
     sums = sums or {}
     base = cache(df) if persist else df
     n = base.count()
-    k = buckets if buckets is not None else math.ceil(n / max(rows_per_bucket, 1))
+    per_bucket = rows_per_bucket or ROWS_PER_BUCKET
+    k = buckets if buckets is not None else math.ceil(n / max(per_bucket, 1))
     k = max(1, min(MAX_BUCKETS, k))
     if k > 1:
         base = base.checkpoint(eager=True)
@@ -186,7 +189,7 @@ def ordered_offsets_n(df: DataFrame, keys: list[tuple[str, bool]],
 
 def exact_quantiles(df: DataFrame, value_col: str, probs: list[float],
                     names: list[str] | None = None, tie_cols: list[str] | None = None,
-                    rows_per_bucket: int = 2_000_000, buckets: int | None = None) -> DataFrame:
+                    rows_per_bucket: int | None = None, buckets: int | None = None) -> DataFrame:
     """One row with the exact linear-interpolation quantiles of ``value_col``.
 
     NULLs are skipped; an empty input gives NULLs.  Position ``(n-1)*p``

@@ -88,7 +88,7 @@ def _pareto_groups(fact: DataFrame, dimension: str, metric: str) -> DataFrame:
 
 
 def pareto_analysis(fact: DataFrame, dimension: str = "product_name", metric: str = "revenue",
-                    rows_per_bucket: int = 2_000_000, buckets: int | None = None) -> DataFrame:
+                    rows_per_bucket: int | None = None, buckets: int | None = None) -> DataFrame:
     """Items by ``metric`` (largest first, ties by the item), with the running
     total and the cumulative share of the overall total (1 dp, 0 if the total
     is 0).  The running total is computed with ``ordered_offsets``, so it

@@ -36,3 +36,13 @@ def test_entry_smoke(spark):
     df = entry.entry(spark)
     rows = df.collect()
     assert len(rows) == 1 and rows[0].total_orders > 0
+
+
+@pytest.mark.parametrize("key", ["rfm_scores", "segment_counts", "pareto", "product_quantiles",
+                                 "inventory_recommendation", "repricing_candidates"])
+def test_bucketed_path_matches_oracle(spark, con, key, monkeypatch):
+    from salespark.operators import ordered
+    monkeypatch.setattr(ordered, "ROWS_PER_BUCKET", 37)  # forces many buckets on real data
+    res = compare(spark, con, SF_SMALL, key, entry.queries()[key], entry.oracle_sql().get(key))
+    assert res["status"] == "ok", res
+    ordered.release_cached()
