@@ -25,7 +25,8 @@ def product_performance(fact: DataFrame, approx: bool = False) -> DataFrame:
     grouping key is the product id alone: name, category and sub-category
     depend on it and are carried as ``min`` aggregates, so the shuffle for
     the distinct order count is keyed by (id, order) instead of three
-    strings per row.
+    strings per row.  Rows are not sorted (a global sort of a per-product
+    table is left to the caller; ``top_products`` ranks with a top-k).
     """
     orders = F.approx_count_distinct("order_id") if approx else F.count_distinct("order_id")
     keyed = fact.where(F.col("product_id").isNotNull() & F.col("product_name").isNotNull()
