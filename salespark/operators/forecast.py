@@ -165,6 +165,7 @@ def forecast_totals(forecast: DataFrame) -> DataFrame:
 
 
 FEATURES = ["day_index", "day_of_week", "month", "is_weekend", "is_holiday_season"]
+SERIES_BUCKETS = 1024
 
 
 def forecast_gbt(fact: DataFrame, horizon_days: int = 30, keys: list[str] | None = None,
@@ -173,32 +174,36 @@ def forecast_gbt(fact: DataFrame, horizon_days: int = 30, keys: list[str] | None
     """Forecast with an MLlib gradient-boosted tree for the median.
 
     One GBT (absolute-error loss: its optimum is the conditional median) is
-    fitted on the calendar features of all series together (plus a series
-    index when ``keys`` are given); the band adds the per-weekday residual
-    quantiles of that model, as in the closed form.  Training is a
-    distributed MLlib job; rows are never collected.
+    fitted on the calendar features of all series together (plus a hashed
+    series bucket when ``keys`` are given: a bounded numeric feature, unlike
+    a label index, which would gather every series name on the driver); the
+    band adds the per-weekday residual quantiles of that model, as in the
+    closed form.  Training is a distributed MLlib job; rows are never
+    collected.
     """
     from pyspark.ml import Pipeline
-    from pyspark.ml.feature import StringIndexer, VectorAssembler
+    from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GBTRegressor
 
     keys = keys or []
     skeys = keys
     hist = calendar_features(daily_revenue(fact, keys), keys)
+    if keys:
+        hist = hist.withColumn("series_bucket",
+                               F.pmod(F.xxhash64(*keys), F.lit(SERIES_BUCKETS)).cast("int"))
     n_days = hist.groupBy(*skeys).agg(F.count(F.lit(1)).alias("__n"), F.max("date").alias("__last"))
     steps = F.explode(F.sequence(F.lit(1), F.lit(horizon_days))).alias("step")
     future = n_days.select(*skeys, "__n", "__last", steps).select(
         *skeys, F.date_add("__last", F.col("step")).alias("date"),
         (F.col("__n") - 1 + F.col("step")).cast("int").alias("day_index"))
     future = future.withColumns(_features(F.col("date")))
-
-    stages = []
     feats = list(FEATURES)
     if keys:
-        stages.append(StringIndexer(inputCols=keys, outputCols=[k + "__idx" for k in keys],
-                                    handleInvalid="keep"))
-        feats += [k + "__idx" for k in keys]
-    stages.append(VectorAssembler(inputCols=feats, outputCol="features"))
+        future = future.withColumn("series_bucket",
+                                   F.pmod(F.xxhash64(*keys), F.lit(SERIES_BUCKETS)).cast("int"))
+        feats.append("series_bucket")
+
+    stages = [VectorAssembler(inputCols=feats, outputCol="features")]
     stages.append(GBTRegressor(featuresCol="features", labelCol="revenue", lossType="absolute",
                                maxIter=max_iter, maxDepth=max_depth, stepSize=step_size,
                                seed=seed))
