@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import dround, is_returned, money
+from .ordered import cache
 
 
 def daily_totals(fact: DataFrame) -> DataFrame:
@@ -22,16 +23,16 @@ def period_growth(fact: DataFrame) -> DataFrame:
     when ``2 * (date - min) < (max - min)`` (exact in whole days, also for
     odd spans).  Growth is NULL for an empty input, a single date, or a zero
     first half.  One pass over the fact: the per-day totals (one row per
-    calendar day, so bounded by the date span, not by the data volume) carry
-    the range bounds through an unpartitioned window, then two conditional
-    sums split them.
+    calendar day, bounded by the date span) are kept, the range bounds come
+    from them as one struct-valued scalar subquery, and two conditional sums
+    split them.
     """
-    whole = Window.partitionBy()
-    daily = daily_totals(fact).select(
-        "order_date", "revenue", F.min("order_date").over(whole).alias("__lo"),
-        F.max("order_date").over(whole).alias("__hi"))
-    span = F.datediff(F.col("__hi"), F.col("__lo"))
-    offset2 = F.datediff(F.col("order_date"), F.col("__lo")) * 2
+    daily = cache(daily_totals(fact))
+    bounds = daily.agg(F.struct(F.min("order_date").alias("lo"),
+                                F.max("order_date").alias("hi"))).scalar()
+    lo, hi = bounds.getField("lo"), bounds.getField("hi")
+    span = F.datediff(hi, lo)
+    offset2 = F.datediff(F.col("order_date"), lo) * 2
     first = F.coalesce(F.sum(F.when(offset2 < span, F.col("revenue"))), F.lit(0))
     second = F.coalesce(F.sum(F.when(offset2 >= span, F.col("revenue"))), F.lit(0))
     halves = daily.agg(first.alias("first_half"), second.alias("second_half"),
