@@ -42,3 +42,15 @@ def test_every_tab_runs(spark):
     finally:
         board.close()
         release_cached()
+
+
+def test_queries_read_only_needed_columns(spark):
+    from salespark.operators.kpi import executive_summary
+    fact = materialized_fact(spark, SF_SMALL)
+    df = executive_summary(fact)
+    df.write.format("noop").mode("overwrite").save()
+    schemas = [s["ReadSchema"] for s in scan_summaries(df)]
+    assert schemas
+    for rs in schemas:
+        for unused in ("product_name", "customer_name", "ship_date", "unit_price", "state"):
+            assert unused not in rs, rs
