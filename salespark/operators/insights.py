@@ -35,6 +35,55 @@ UNKNOWN_INTENT = "unknown"
 RETURN_RATE_ALERT_PCT = 8.0
 EROSION_POINTS = 5.0
 
+# The sentences of the insight rows, recommendations and
+# answers.  ``%s`` marks a value (already formatted as text), ``%%`` a
+# literal percent sign.
+TEMPLATES = {
+    "revenue_growth": "Revenue %s %s%% comparing the second half of the selected period to the "
+                      "first half.",
+    "top_region": "The %s region contributes %s%% of total revenue, the largest share of any "
+                  "region.",
+    "repricing_candidate": "%s has high revenue ($%s) but a below-median profit margin (%s%%) - "
+                           "a candidate for repricing.",
+    "discount_erosion": "Margin falls from %s%% on orders discounted %s to %s%% on orders "
+                        "discounted %s - discounting past that point costs more than it earns "
+                        "back in volume.",
+    "order_value": "Average order value is $%s across %s orders and %s customers, with a %s%% "
+                   "return rate.",
+    "restock": "Prioritize inventory for the %s products flagged Restock (high sales velocity, "
+               "healthy margin).",
+    "discontinue": "Reconsider the %s products flagged Discontinue (low velocity, thin margin).",
+    "return_rate_alert": "The %s%% overall return rate is worth investigating, particularly in "
+                         "categories with above-average returns.",
+    "fastest_region": "%s grew revenue %s%% from the first to the last month in the selected "
+                      "range, the fastest of any region.",
+    "thinnest_category": "%s has the thinnest margin of any category (%s%%).",
+    "last_band": "Orders discounted %s run a %s%% margin, the lowest of any discount band.",
+    "unprofitable": "%s product(s) are net-unprofitable overall in this selection.",
+    "top_products": "Top 5 products by revenue: %s.",
+    "top_product": "%s ($%s revenue, %s%% margin)",
+    "worst_products": "Lowest-profit products: %s.",
+    "worst_product": "%s ($%s profit)",
+    "targets": "%s customers are current Champions (high recency, frequency, and spend) - a "
+               "natural audience for a loyalty or early-access offer. %s customers are flagged "
+               "At risk (they used to order frequently but haven't recently) - worth a targeted "
+               "win-back campaign before they lapse further.",
+    "no_months": "Not enough monthly history to compare regional growth rates yet.",
+    "no_growth": "Not enough data to compute regional growth.",
+    "no_drivers": "No clear profit-erosion pattern found in the current selection.",
+    "no_recommendations": "No high-confidence recommendations for the current selection.",
+    "help": "I can answer questions about revenue and profit trends, regional performance, top "
+            "or underperforming products, customer segments, and recommendations. Try asking "
+            "one of those.",
+}
+
+
+def _say(key: str, *values: Column) -> Column:
+    """Render template ``key`` with text values (JVM-side ``format_string``)."""
+    if not values:
+        return F.lit(TEMPLATES[key])
+    return F.format_string(TEMPLATES[key], *values)
+
 
 def _whole(x: Column) -> Column:
     """Whole-number text of ``x`` (half-to-even, as Python's format does)."""
@@ -150,43 +199,34 @@ def summary_insights(fact: DataFrame, summary: DataFrame | None = None,
     g = F.col("revenue_growth_pct")
     growth = summary.where(g.isNotNull()).select(
         g, F.when(g >= 0, "increased").otherwise("decreased").alias("dir"))
-    growth = _fact(growth, 1, "revenue_growth", subject=F.col("dir"), value=g, text=F.concat(
-        F.lit("Revenue "), F.col("dir"), F.lit(" "), _whole(F.abs(g)),
-        F.lit("% comparing the second half of the selected period to the first half.")))
+    growth = _fact(growth, 1, "revenue_growth", subject=F.col("dir"), value=g,
+                   text=_say("revenue_growth", F.col("dir"), _whole(F.abs(g))))
 
     by_region = trends.revenue_by_dimension(fact, "region")
     top = by_region.limit(1)
     top = _fact(top, 2, "top_region", subject=F.col("region"), value=F.col("revenue_share_pct"),
-                text=F.concat(F.lit("The "), F.col("region"), F.lit(" region contributes "),
-                              _whole(F.col("revenue_share_pct")),
-                              F.lit("% of total revenue, the largest share of any region.")))
+                text=_say("top_region", F.col("region"), _whole(F.col("revenue_share_pct"))))
 
     cand = products.repricing_candidates(fact).limit(1)
     cand = _fact(cand, 3, "repricing_candidate", subject=F.col("product_name"),
-                 value=F.col("revenue"), value2=F.col("margin_pct"), text=F.concat(
-                     F.col("product_name"), F.lit(" has high revenue ($"),
-                     _thousands(F.col("revenue")), F.lit(") but a below-median profit margin ("),
-                     _whole(F.col("margin_pct")), F.lit("%) - a candidate for repricing.")))
+                 value=F.col("revenue"), value2=F.col("margin_pct"),
+                 text=_say("repricing_candidate", F.col("product_name"),
+                           _thousands(F.col("revenue")), _whole(F.col("margin_pct"))))
 
     ero = discount_erosion(fact, edges).where(F.col("erodes"))
     ero = _fact(ero, 4, "discount_erosion", subject=F.col("first_band"),
                 detail=F.col("last_band"), value=F.col("first_margin_pct"),
-                value2=F.col("last_margin_pct"), text=F.concat(
-                    F.lit("Margin falls from "), _whole(F.col("first_margin_pct")),
-                    F.lit("% on orders discounted "), F.col("first_band"), F.lit(" to "),
-                    _whole(F.col("last_margin_pct")), F.lit("% on orders discounted "),
-                    F.col("last_band"),
-                    F.lit(" - discounting past that point costs more than it earns back in "
-                          "volume.")))
+                value2=F.col("last_margin_pct"),
+                text=_say("discount_erosion", _whole(F.col("first_margin_pct")),
+                          F.col("first_band"), _whole(F.col("last_margin_pct")),
+                          F.col("last_band")))
 
     aov = _fact(summary, 5, "order_value", value=F.col("average_order_value"),
-                value2=F.col("return_rate_pct"), text=F.concat(
-                    F.lit("Average order value is $"),
-                    _thousands(F.col("average_order_value"), 2), F.lit(" across "),
-                    F.format_number(F.col("total_orders"), 0), F.lit(" orders and "),
-                    F.format_number(F.col("total_customers"), 0), F.lit(" customers, with a "),
-                    F.format_string("%.1f", F.col("return_rate_pct")),
-                    F.lit("% return rate.")))
+                value2=F.col("return_rate_pct"),
+                text=_say("order_value", _thousands(F.col("average_order_value"), 2),
+                          F.format_number(F.col("total_orders"), 0),
+                          F.format_number(F.col("total_customers"), 0),
+                          F.format_string("%.1f", F.col("return_rate_pct"))))
     return reduce(DataFrame.unionByName, [growth, top, cand, ero, aov]).orderBy("insight_id")
 
 
@@ -199,22 +239,17 @@ def recommendations(fact: DataFrame, summary: DataFrame | None = None) -> DataFr
                            & (F.col("products") > 0)).select(
         F.lit(1).alias("rec_id"), F.lit("restock").alias("kind"),
         F.col("products").cast("double").alias("value"),
-        F.concat(F.lit("Prioritize inventory for the "), F.col("products").cast("string"),
-                 F.lit(" products flagged Restock (high sales velocity, healthy margin).")
-                 ).alias("text"))
+        _say("restock", F.col("products").cast("string")).alias("text"))
     disc = counts.where((F.col("recommendation") == products.DISCONTINUE)
                         & (F.col("products") > 0)).select(
         F.lit(2).alias("rec_id"), F.lit("discontinue").alias("kind"),
         F.col("products").cast("double").alias("value"),
-        F.concat(F.lit("Reconsider the "), F.col("products").cast("string"),
-                 F.lit(" products flagged Discontinue (low velocity, thin margin).")).alias("text"))
+        _say("discontinue", F.col("products").cast("string")).alias("text"))
     rate = F.col("return_rate_pct")
     alert = summary.where(rate > RETURN_RATE_ALERT_PCT).select(
         F.lit(3).alias("rec_id"), F.lit("return_rate_alert").alias("kind"),
         rate.cast("double").alias("value"),
-        F.concat(F.lit("The "), F.format_string("%.1f", rate),
-                 F.lit("% overall return rate is worth investigating, particularly in "
-                       "categories with above-average returns.")).alias("text"))
+        _say("return_rate_alert", F.format_string("%.1f", rate)).alias("text"))
     return restock.unionByName(disc).unionByName(alert).orderBy("rec_id")
 
 
@@ -263,16 +298,6 @@ def customers_to_target(fact: DataFrame) -> DataFrame:
     return customers.customers_to_target(customers.compute_rfm(fact))
 
 
-# The router's fallback answers.
-HELP_TEXT = ("I can answer questions about revenue and profit trends, regional performance, top or "
-             "underperforming products, customer segments, and recommendations. Try asking one "
-             "of those.")
-NO_MONTHS_TEXT = "Not enough monthly history to compare regional growth rates yet."
-NO_GROWTH_TEXT = "Not enough data to compute regional growth."
-NO_DRIVERS_TEXT = "No clear profit-erosion pattern found in the current selection."
-NO_RECS_TEXT = "No high-confidence recommendations for the current selection."
-
-
 def intent_of(question: str) -> str:
     """The intent of one question by the same ordered rules as ``intent_expr``."""
     q = (question or "").lower()
@@ -299,11 +324,9 @@ def _answer_region_growth(fact, summary, edges):
     rg = region_growth(fact)
     best = rg.agg(F.min_by(F.struct("region", "growth_pct"),
                            F.struct(-F.col("growth_pct"), F.col("region"))).alias("b"))
-    text = F.concat(F.col("b.region"), F.lit(" grew revenue "), _whole(F.col("b.growth_pct")),
-                    F.lit("% from the first to the last month in the selected range, the fastest "
-                          "of any region."))
-    return best.select(F.when(months < 2, F.lit(NO_MONTHS_TEXT))
-                       .when(F.col("b").isNull(), F.lit(NO_GROWTH_TEXT))
+    text = _say("fastest_region", F.col("b.region"), _whole(F.col("b.growth_pct")))
+    return best.select(F.when(months < 2, _say("no_months"))
+                       .when(F.col("b").isNull(), _say("no_growth"))
                        .otherwise(text).alias("answer"))
 
 
@@ -315,51 +338,41 @@ def _answer_profit_drivers(fact, summary, edges):
     agg = d.agg(pick("thinnest_category").alias("c"), pick("highest_discount_band").alias("b"),
                 pick("unprofitable_products").alias("u"))
     parts = F.concat_ws(
-        " ",
-        F.concat(F.col("c.subject"), F.lit(" has the thinnest margin of any category ("),
-                 _whole(F.col("c.value")), F.lit("%).")),
-        F.concat(F.lit("Orders discounted "), F.col("b.subject"), F.lit(" run a "),
-                 _whole(F.col("b.value")), F.lit("% margin, the lowest of any discount band.")),
-        F.concat(F.col("u.value").cast("long").cast("string"),
-                 F.lit(" product(s) are net-unprofitable overall in this selection.")))
-    return agg.select(F.when(parts == "", F.lit(NO_DRIVERS_TEXT)).otherwise(parts).alias("answer"))
+        " ",  # concat_ws skips the NULL parts of absent drivers
+        F.when(F.col("c").isNotNull(),
+               _say("thinnest_category", F.col("c.subject"), _whole(F.col("c.value")))),
+        F.when(F.col("b").isNotNull(),
+               _say("last_band", F.col("b.subject"), _whole(F.col("b.value")))),
+        F.when(F.col("u").isNotNull(),
+               _say("unprofitable", F.col("u.value").cast("long").cast("string"))))
+    return agg.select(F.when(parts == "", _say("no_drivers")).otherwise(parts).alias("answer"))
 
 
 def _answer_top(fact, summary, edges):
     top = top5_readout(fact)
-    line = F.concat(F.col("product_name"), F.lit(" ($"), _thousands(F.col("revenue")),
-                    F.lit(" revenue, "), F.coalesce(_whole(F.col("margin_pct")), F.lit("n/a")),
-                    F.lit("% margin)"))
+    line = _say("top_product", F.col("product_name"), _thousands(F.col("revenue")),
+                F.coalesce(_whole(F.col("margin_pct")), F.lit("n/a")))
     order = F.struct(-F.col("revenue"), F.col("product_id"))
-    return top.agg(F.concat(F.lit("Top 5 products by revenue: "), _joined(top, order, line, "; "),
-                            F.lit(".")).alias("answer"))
+    return top.agg(_say("top_products", _joined(top, order, line, "; ")).alias("answer"))
 
 
 def _answer_worst(fact, summary, edges):
     worst = worst5_readout(fact)
-    line = F.concat(F.col("product_name"), F.lit(" ($"), _thousands(F.col("profit")),
-                    F.lit(" profit)"))
+    line = _say("worst_product", F.col("product_name"), _thousands(F.col("profit")))
     order = F.struct(F.col("profit"), F.col("product_id"))
-    return worst.agg(F.concat(F.lit("Lowest-profit products: "), _joined(worst, order, line, "; "),
-                              F.lit(".")).alias("answer"))
+    return worst.agg(_say("worst_products", _joined(worst, order, line, "; ")).alias("answer"))
 
 
 def _answer_targets(fact, summary, edges):
     t = customers_to_target(fact)
-    return t.select(F.concat(
-        F.col("champions").cast("string"),
-        F.lit(" customers are current Champions (high recency, frequency, and spend) - a natural "
-              "audience for a loyalty or early-access offer. "),
-        F.col("at_risk").cast("string"),
-        F.lit(" customers are flagged At risk (they used to order frequently but haven't "
-              "recently) - worth a targeted win-back campaign before they lapse further."),
-    ).alias("answer"))
+    return t.select(_say("targets", F.col("champions").cast("string"),
+                         F.col("at_risk").cast("string")).alias("answer"))
 
 
 def _answer_recommendations(fact, summary, edges):
     recs = recommendations(fact, summary)
     joined = _joined(recs, F.col("rec_id"), F.col("text"))
-    return recs.agg(F.when(F.count(F.lit(1)) == 0, F.lit(NO_RECS_TEXT)).otherwise(joined)
+    return recs.agg(F.when(F.count(F.lit(1)) == 0, _say("no_recommendations")).otherwise(joined)
                     .alias("answer"))
 
 
@@ -381,7 +394,7 @@ def answer_question(fact: DataFrame, question: str, summary: DataFrame | None =
     intent = intent_of(question)
     build = _ANSWERS.get(intent)
     if build is None:
-        answer = fact.sparkSession.range(1).select(F.lit(HELP_TEXT).alias("answer"))
+        answer = fact.sparkSession.range(1).select(_say("help").alias("answer"))
     else:
         if summary is None and intent in ("summary", "recommendations"):
             summary = kpi.executive_summary(fact)
