@@ -45,6 +45,8 @@ def _first_per_key(flat: DataFrame, key: str, columns: list[str]) -> DataFrame:
     columns.  It aggregates map-side before the shuffle, so one very hot key
     costs one small partial row per partition, not a one-task sort of all
     its lines.  Later struct fields only break exact ties deterministically.
+    (A struct buffer is not fixed-width, so Spark runs this as a sort-based
+    aggregate: each partition is sorted by key, with spill, and reduced.)
     """
     others = [c for c in columns if c != key]
     ordered = F.struct(F.col("Order_Date").alias("__d"), F.col("Order_ID").alias("__o"),
