@@ -21,19 +21,19 @@ def product_performance(fact: DataFrame, approx: bool = False) -> DataFrame:
     (2 dp), return rate % and margin % (1 dp; margin NULL at zero revenue).
     ``approx=True`` counts orders with HyperLogLog (no distinct shuffle).
 
-    Rows with a NULL in any of the four product keys are left out.  The
-    grouping key is the product id alone: name, category and sub-category
-    depend on it and are carried as ``min`` aggregates, so the shuffle for
-    the distinct order count is keyed by (id, order) instead of three
-    strings per row.  Rows are not sorted (a global sort of a per-product
-    table is left to the caller; ``top_products`` ranks with a top-k).
+    Rows with a NULL in any of the four product keys are left out; the
+    four keys are the grouping key.  Every aggregation buffer is fixed-width
+    (sums, counts), so Spark hash-aggregates with code generation; carrying
+    the names as ``min`` aggregates instead would force a sort-based
+    aggregate over every fact row.  Rows are not sorted (a global sort of a
+    per-product table is left to the caller; ``top_products`` ranks with a
+    top-k).
     """
     orders = F.approx_count_distinct("order_id") if approx else F.count_distinct("order_id")
     keyed = fact.where(F.col("product_id").isNotNull() & F.col("product_name").isNotNull()
                        & F.col("category").isNotNull() & F.col("sub_category").isNotNull())
-    perf = (keyed.groupBy("product_id")
-            .agg(*[F.min(k).alias(k) for k in PRODUCT_KEYS[1:]],
-                 F.sum("revenue").alias("rev"), F.sum("profit").alias("prof"),
+    perf = (keyed.groupBy(*PRODUCT_KEYS)
+            .agg(F.sum("revenue").alias("rev"), F.sum("profit").alias("prof"),
                  F.sum("quantity").alias("units_sold"),
                  orders.alias("orders"),
                  F.avg("rating").alias("avg_rating"),

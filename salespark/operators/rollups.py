@@ -28,10 +28,9 @@ def top_products_rollup(fact: DataFrame, n: int = 10, by: str = "revenue") -> Da
     if by not in TOP_BY:
         raise ValueError("by must be 'revenue' or 'profit'")
     n = int(n)
-    # name and category depend on the id: carried as aggregates, not shuffle keys
-    g = (fact.groupBy("product_id")
-         .agg(F.min("product_name").alias("product_name"), F.min("category").alias("category"),
-              money(F.sum("revenue")).alias("revenue"), money(F.sum("profit")).alias("profit"),
+    # grouped by all three, as the view does (numeric buffers: a hash aggregate)
+    g = (fact.groupBy("product_id", "product_name", "category")
+         .agg(money(F.sum("revenue")).alias("revenue"), money(F.sum("profit")).alias("profit"),
               F.sum("quantity").cast("long").alias("units_sold")))
     return (g.orderBy(F.col(by).desc(), F.col("product_id"))
             .limit(n).select("product_name", "category", "revenue", "profit", "units_sold"))
