@@ -5,7 +5,8 @@ Runs each query of ``HEADLINE`` on the tables in ``$BENCH_SF_DIR`` (default
 materialized`` (the default) the joined fact is first written once as a
 month-partitioned parquet table (timed as ``fact_build``) and every query
 reads it, as the dashboard does; ``BENCH_FACT=tables`` makes every query
-join the raw tables itself.  Each query gets one warm-up run, then
+join the raw tables itself, ``BENCH_FACT=trusted`` too but with foreign keys
+trusted (joins a query does not need are pruned).  Each query gets one warm-up run, then
 ``$BENCH_REPS`` (default 5) timed runs; the query time is the median.  Each
 run executes the full plan into Spark's ``noop`` sink (nothing is gathered
 on the driver) and drops any cache the run created, so no run reads another

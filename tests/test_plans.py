@@ -48,3 +48,14 @@ def test_cluster_conf_sizes_partitions():
     assert int(big["spark.sql.shuffle.partitions"]) == 200_000
     small = cluster_conf(10 * 1024 ** 3, executors=10, cores_per_executor=4)
     assert int(small["spark.sql.shuffle.partitions"]) == 120  # three waves of 40 slots
+
+
+def test_trusted_foreign_keys_prune_unused_joins(spark):
+    from salespark.operators.products import product_performance
+    fact = sales_fact(spark, SF_SMALL, trust_foreign_keys=True)
+    df = product_performance(fact)
+    df.write.format("noop").mode("overwrite").save()
+    files = sorted(s["Location"].split("/")[-1].rstrip("]") for s in scan_summaries(df))
+    assert files == ["lineitem.parquet", "part.parquet"]  # orders and customers never read
+    plain = sorted(map(tuple, product_performance(sales_fact(spark, SF_SMALL)).collect()))
+    assert sorted(map(tuple, df.collect())) == plain
