@@ -110,8 +110,9 @@ def sales_fact(spark: SparkSession, sf_dir: str, trust_foreign_keys: bool = Fals
     below ``BROADCAST_MAX_ROWS`` rows (exact footer counts), else joined by
     sort-merge on the key.
 
-    ``trust_foreign_keys=True`` (for data whose integrity report shows no
-    orphans) joins left outer against dimensions made unique on their key.
+    ``trust_foreign_keys=True`` (for data whose integrity report shows unique
+    keys and no orphans) joins left outer against dimensions made unique on
+    their key.
     Catalyst then removes every join whose columns a query does not use, so
     e.g. product measures never touch orders or customers.  With no orphans
     the rows are the same as with inner joins.
