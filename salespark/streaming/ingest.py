@@ -11,6 +11,8 @@ under the session's shared checkpoint folder.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
@@ -47,7 +49,10 @@ def start_flat_file_load(spark: SparkSession, source_dir: str, tables_dir: str,
     """
     if checkpoint_location is None:
         base = ensure_checkpoint_dir(spark).rstrip("/")
-        checkpoint_location = f"{base}/stream-{abs(hash(tables_dir)) % 10 ** 12}"
+        # a stable digest (Python's ``hash`` changes per process), so a restarted
+        # stream finds its own progress
+        digest = hashlib.sha1(tables_dir.encode("utf-8")).hexdigest()[:16]
+        checkpoint_location = f"{base}/stream-{digest}"
     stream = flat_file_stream(spark, source_dir, max_files_per_trigger)
     writer = (stream.writeStream.option("checkpointLocation", checkpoint_location)
               .foreachBatch(lambda batch, _epoch: load_batch(batch, tables_dir)))
