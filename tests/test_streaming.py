@@ -35,3 +35,22 @@ def test_incremental_flat_file_load(spark, sample_df):
     c, p, o = flatfile.read_tables(spark, tables)
     assert (o.count(), c.count(), p.count()) == (12, 5, 3)
     assert o.select("order_id").distinct().count() == 12
+
+
+def test_continuous_trigger_load(spark, sample_df):
+    base = tempfile.mkdtemp(prefix="salespark-stream-")
+    src, tables = f"{base}/in", f"{base}/tables"
+    os.makedirs(src)
+    flatfile.write_flat_csv(flatfile.to_flat(sample_df).coalesce(1), f"{base}/all")
+    for name in os.listdir(f"{base}/all"):
+        if name.endswith(".csv"):
+            shutil.copyfile(f"{base}/all/{name}", f"{src}/all.csv")
+    q = start_flat_file_load(spark, src, tables, checkpoint_location=f"{base}/ckpt",
+                             available_now=False, processing_time="1 second",
+                             max_files_per_trigger=1)
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    c, p, o = flatfile.read_tables(spark, tables)
+    assert (o.count(), c.count(), p.count()) == (12, 5, 3)
