@@ -147,6 +147,8 @@ def ordered_offsets_n(df: DataFrame, keys: list[tuple[str, bool]],
     k = buckets if buckets is not None else math.ceil(n / max(per_bucket, 1))
     k = max(1, min(MAX_BUCKETS, k))
     if k > 1:
+        from ..plans.session import ensure_checkpoint_dir
+        ensure_checkpoint_dir(base.sparkSession)  # the session's shared folder when set
         base = base.checkpoint(eager=True)
     splits = choose_splits(base, keys, n, k, seed) if k > 1 else []
 
