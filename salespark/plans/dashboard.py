@@ -45,7 +45,10 @@ class Dashboard:
 
     ``persist=True`` keeps the filtered fact in executor memory/disk for the
     many queries of one interaction (as the reference's frame cache does);
-    call ``close`` to release it.
+    call ``close`` to release it.  Use it when the selection fits the
+    executors' memory and local disks; over a full-size fact pass
+    ``persist=False`` and let each tab read the month-partitioned table
+    (date filters prune it).
     """
     fact: DataFrame
     filters: filters.Filters = field(default_factory=filters.Filters)
