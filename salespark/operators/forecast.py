@@ -84,6 +84,23 @@ def _attach(df: DataFrame, per_series: DataFrame, keys: list[str], cols: list[st
     return df.withColumns({c: row.getField(c) for c in cols})
 
 
+def _with_band(future: DataFrame, resid: DataFrame, keys: list[str]) -> DataFrame:
+    """Attach the residual quantiles ``__q0..__q2`` for each future day: those
+    of its weekday x holiday-season cell when that cell has at least
+    ``MIN_CELL_DAYS`` days, else of its weekday, else of all days."""
+    cell = _residual_quantiles(resid, keys + ["day_of_week", "is_holiday_season"], "c_")
+    wday = _residual_quantiles(resid, keys + ["day_of_week"], "w_")
+    glob = _residual_quantiles(resid, keys, "g_")
+    joined = (future.join(cell, keys + ["day_of_week", "is_holiday_season"], "left")
+              .join(wday, keys + ["day_of_week"], "left"))
+    joined = _attach(joined, glob, keys, ["g_n", "g_q0", "g_q1", "g_q2"], "left")
+    use_cell = F.coalesce(F.col("c_n"), F.lit(0)) >= MIN_CELL_DAYS
+    use_wday = F.coalesce(F.col("w_n"), F.lit(0)) >= MIN_CELL_DAYS
+    return joined.withColumns({
+        f"__q{i}": F.when(use_cell, F.col(f"c_q{i}")).when(use_wday, F.col(f"w_q{i}"))
+        .otherwise(F.col(f"g_q{i}")) for i in range(3)})
+
+
 def _fit_and_project(hist: DataFrame, keys: list[str], horizon_days: int,
                      min_history: int) -> DataFrame:
     trend = hist.groupBy(*keys).agg(
@@ -95,9 +112,6 @@ def _fit_and_project(hist: DataFrame, keys: list[str], horizon_days: int,
     with_fit = _attach(hist, trend, keys, ["slope", "intercept", "n_days"], "inner") \
         .where(F.col("n_days").isNotNull())
     resid = with_fit.withColumn("resid", F.col("revenue") - fitted)
-    cell = _residual_quantiles(resid, keys + ["day_of_week", "is_holiday_season"], "c_")
-    wday = _residual_quantiles(resid, keys + ["day_of_week"], "w_")
-    glob = _residual_quantiles(resid, keys, "g_")
 
     step = F.explode(F.sequence(F.lit(1), F.lit(horizon_days))).alias("step")
     future = trend.select(*keys, "slope", "intercept", "n_days", "last_date", step)
@@ -106,20 +120,11 @@ def _fit_and_project(hist: DataFrame, keys: list[str], horizon_days: int,
         F.date_add("last_date", F.col("step")).alias("date"),
         (F.col("n_days") - 1 + F.col("step")).cast("int").alias("day_index"))
     future = future.withColumns(_features(F.col("date")))
-    joined = (future.join(cell, keys + ["day_of_week", "is_holiday_season"], "left")
-              .join(wday, keys + ["day_of_week"], "left"))
-    joined = _attach(joined, glob, keys, ["g_n", "g_q0", "g_q1", "g_q2"], "left")
-
-    use_cell = F.coalesce(F.col("c_n"), F.lit(0)) >= MIN_CELL_DAYS
-    use_wday = F.coalesce(F.col("w_n"), F.lit(0)) >= MIN_CELL_DAYS
-
-    def q(i: int) -> Column:
-        return (F.when(use_cell, F.col(f"c_q{i}")).when(use_wday, F.col(f"w_q{i}"))
-                .otherwise(F.col(f"g_q{i}")))
-
+    joined = _with_band(future, resid, keys)
     base = F.col("intercept") + F.col("slope") * F.col("day_index")
     return joined.select(*keys, "date", "day_index", "day_of_week", "is_holiday_season",
-                         *[F.greatest(F.lit(0.0), base + q(i)).alias(f"__v{i}") for i in range(3)])
+                         *[F.greatest(F.lit(0.0), base + F.col(f"__q{i}")).alias(f"__v{i}")
+                           for i in range(3)])
 
 
 def _finish(raw: DataFrame, keys: list[str]) -> DataFrame:
@@ -177,8 +182,8 @@ def forecast_gbt(fact: DataFrame, horizon_days: int = 30, keys: list[str] | None
     fitted on the calendar features of all series together (plus a hashed
     series bucket when ``keys`` are given: a bounded numeric feature, unlike
     a label index, which would gather every series name on the driver); the
-    band adds the per-weekday residual quantiles of that model, as in the
-    closed form.  Training is a distributed MLlib job; rows are never
+    band adds that model's residual quantiles per weekday x holiday cell,
+    with the same fallbacks as the closed form.  Training is a distributed MLlib job; rows are never
     collected.
     """
     from pyspark.ml import Pipeline
@@ -214,9 +219,8 @@ def forecast_gbt(fact: DataFrame, horizon_days: int = 30, keys: list[str] | None
 
     resid = hist.join(fitted, skeys + ["date"], "inner") \
         .withColumn("resid", F.col("revenue") - F.col("prediction"))
-    wday = _residual_quantiles(resid, skeys + ["day_of_week"], "w_")
-    joined = pred_future.join(wday, skeys + ["day_of_week"], "left")
+    joined = _with_band(pred_future, resid, skeys)
     raw = joined.select(*skeys, "date", *[
-        F.greatest(F.lit(0.0), F.col("prediction") + F.col(f"w_q{i}")).alias(f"__v{i}")
+        F.greatest(F.lit(0.0), F.col("prediction") + F.col(f"__q{i}")).alias(f"__v{i}")
         for i in range(3)])
     return _finish(raw, skeys)
