@@ -32,7 +32,22 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def spread_input(df: DataFrame, min_rows: int = 200_000) -> DataFrame:
+_ROW_COUNTS: dict[tuple[int, str], int] = {}
+
+
+def table_rows(spark: SparkSession, sf_dir: str, name: str) -> int:
+    """Exact row count of a parquet table, answered from its file footers.
+
+    Memoised per session and path: the counts only steer join strategies
+    (never results), and one star join would otherwise run five count jobs.
+    """
+    key = (id(spark), f"{sf_dir.rstrip('/')}/{name}")
+    if key not in _ROW_COUNTS:
+        _ROW_COUNTS[key] = read_table(spark, sf_dir, name).count()
+    return _ROW_COUNTS[key]
+
+
+def spread_input(df: DataFrame, rows: int, min_rows: int = 200_000) -> DataFrame:
     """Round-robin a scan that yields fewer splits than the session's
     parallelism (e.g. one large row group), so the work after it uses every
     core.  A large table has many more splits than cores and is returned
@@ -43,23 +58,23 @@ def spread_input(df: DataFrame, min_rows: int = 200_000) -> DataFrame:
         splits = df.rdd.getNumPartitions()
     except Exception:  # no RDD access (e.g. a remote session): leave the scan as is
         return df
-    if splits >= cores or df.count() < min_rows:
+    if splits >= cores or rows < min_rows:
         return df
     return df.repartition(cores)
 
 
-def broadcast_if_small(side: DataFrame, bound: DataFrame, max_rows: int = BROADCAST_MAX_ROWS
+def broadcast_if_small(side: DataFrame, bound_rows: int, max_rows: int = BROADCAST_MAX_ROWS
                        ) -> DataFrame:
-    """Hint ``side`` for broadcast when ``bound`` (a table with at least as many
-    rows, e.g. the parquet table ``side`` is derived from) has at most
-    ``max_rows`` rows.
+    """Hint ``side`` for broadcast when ``bound_rows`` (the exact row count of
+    a table with at least as many rows, e.g. the parquet table ``side`` is
+    derived from; see ``table_rows``) is at most ``max_rows``.
 
     The count of an unfiltered parquet scan is answered from file footers,
     so the check costs no data scan at any size.  Without the hint the
     planner's static estimate for a join output is the product of its
     inputs, which would make the fact look like the small side.
     """
-    return F.broadcast(side) if bound.count() <= max_rows else side
+    return F.broadcast(side) if bound_rows <= max_rows else side
 
 
 def customer_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,9 +88,9 @@ def customer_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("r_regionkey"), F.col("r_name").alias("region"))
     nation = read_table(spark, sf_dir, "nation").select(
         F.col("n_nationkey"), F.col("n_name").alias("state"), F.col("n_regionkey"))
-    geo = nation.join(broadcast_if_small(region, region), nation.n_regionkey == region.r_regionkey,
-                      "inner")
-    geo = broadcast_if_small(geo, nation)
+    geo = nation.join(broadcast_if_small(region, table_rows(spark, sf_dir, "region")),
+                      nation.n_regionkey == region.r_regionkey, "inner")
+    geo = broadcast_if_small(geo, table_rows(spark, sf_dir, "nation"))
     cust = read_table(spark, sf_dir, "customer")
     return cust.join(geo, cust.c_nationkey == geo.n_nationkey, "inner").select(
         F.col("c_custkey").alias("customer_id"),
@@ -129,16 +144,17 @@ def sales_fact(spark: SparkSession, sf_dir: str, trust_foreign_keys: bool = Fals
         F.col("o_orderstatus").alias("payment_method"),
     )
     cust = broadcast_if_small(dim(customer_dim(spark, sf_dir), "customer_id"),
-                              read_table(spark, sf_dir, "customer"))
+                              table_rows(spark, sf_dir, "customer"))
     orders_c = dim(orders, "o_orderkey").join(cust, orders.o_custkey == cust.customer_id, how)
-    orders_c = broadcast_if_small(orders_c, read_table(spark, sf_dir, "orders"))
+    orders_c = broadcast_if_small(orders_c, table_rows(spark, sf_dir, "orders"))
 
-    li = spread_input(read_table(spark, sf_dir, "lineitem")).select(
+    li = spread_input(read_table(spark, sf_dir, "lineitem"),
+                      table_rows(spark, sf_dir, "lineitem")).select(
         "l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "l_discount",
         "l_returnflag", "l_shipdate")
     lines = li.join(orders_c, li.l_orderkey == orders_c.o_orderkey, how)
     prod = broadcast_if_small(dim(product_dim(spark, sf_dir), "product_id"),
-                              read_table(spark, sf_dir, "part"))
+                              table_rows(spark, sf_dir, "part"))
     joined = lines.join(prod, lines.l_partkey == prod.product_id, how)
 
     discount = F.col("l_discount").cast(schema.RATE)
