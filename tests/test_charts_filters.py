@@ -69,3 +69,14 @@ def test_filters(sample_df):
     assert filters.sold(sample_df).count() == 12 and filters.loss_making(sample_df).count() == 3
     nulls = sample_df.withColumn("customer_name", F.lit(None).cast("string"))
     assert filters.filter_customer_search(nulls, "a").count() == 0
+
+
+def test_filters_accept_date_objects(sample_df):
+    import pandas as pd
+    a = filters.filter_date_range(sample_df, dt.date(2026, 1, 5), dt.date(2026, 2, 1)).count()
+    b = filters.filter_date_range(sample_df, pd.Timestamp("2026-01-05"),
+                                  dt.datetime(2026, 2, 1)).count()
+    assert a == b == 4
+    with_month = sample_df.withColumn("order_month", F.date_format("order_date", "yyyy-MM"))
+    assert filters.filter_date_range(with_month, pd.Timestamp("2026-01-05"),
+                                     dt.datetime(2026, 2, 1)).count() == 4
