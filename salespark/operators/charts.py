@@ -169,8 +169,9 @@ def scatter_sample(fact: DataFrame, sample_size: int = 5000, seed: int = 42) ->
 
 
 def forecast_band_polygon(forecast: DataFrame) -> DataFrame:
-    """Outline of the forecast band: upper values forward in time, then lower
-    values backward, numbered by ``point_idx`` (a union of two selections)."""
+    """Outline of the forecast band of one series (``forecast_revenue``):
+    upper values forward in time, then lower values backward, numbered by
+    ``point_idx`` (a union of two selections over the horizon's rows)."""
     stats = forecast.agg(F.struct(F.count(F.lit(1)).alias("h"),
                                   F.min("date").alias("d0"))).scalar()
     h = stats.getField("h")
