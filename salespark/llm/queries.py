@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from salespark.llm import common, tokenfiles
+from salespark.llm import common, piecebpe, tokenfiles
 
 
 def word_tokenizer() -> str:
@@ -21,8 +21,17 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.read_digest(docs.select("doc_id"), folder)
 
 
+def op8_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text encoded by merge rounds and decoded again."""
+    import public_tokenizers
+
+    docs = common.table(spark, sf_dir, "documents")
+    return piecebpe.round_trip_digest(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES = {
     "op1_token_files": op1_token_files,
+    "op8_piece_bpe": op8_piece_bpe,
 }
 
 #: DuckDB SQL per key, where SQL can express the query.
