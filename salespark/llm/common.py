@@ -2,16 +2,38 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import salespark
 from salespark.plans.session import ensure_checkpoint_dir
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Make this package importable by the Python workers of every executor
+    (once per application), however the driver itself found it."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    top = Path(next(iter(salespark.__path__)))
+    path = Path(tempfile.mkdtemp(prefix="salespark-")) / "salespark-package.zip"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for file in sorted(top.rglob("*.py")):
+            z.write(file, Path(top.name) / file.relative_to(top))
+    spark.sparkContext.addPyFile(str(path))
+    _SHIPPED.add(app)
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the input folder, read by Spark."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -185,63 +185,91 @@ def occurrences(doc_ids: np.ndarray, nulls: np.ndarray) -> np.ndarray:
     return at - np.maximum.accumulate(np.where(first, at, 0))
 
 
+class _Shard:
+    """A shard being written."""
+
+    def __init__(self, folder: str, shard: int, width: int):
+        self.fs, base = _filesystem(folder)
+        self.fs.create_dir(base, recursive=True)
+        self.name = f"{base}/shard-{shard:07d}-{uuid.uuid4().hex}"
+        self.out = self.fs.open_output_stream(f"{self.name}.ids")
+        self.shard, self.width, self.parts = shard, width, []
+
+    def add(self, keys, nulls, payload) -> None:
+        self.parts.append((keys, nulls, np.array([len(p) for p in payload], np.int64) // self.width))
+        self.out.write(b"".join(payload))
+
+    def close(self) -> dict:
+        self.out.close()
+        keys, nulls, lens = map(np.concatenate, zip(*self.parts))
+        with self.fs.open_output_stream(f"{self.name}.mph") as f:
+            f.write(index_bytes(keys, nulls, occurrences(keys, nulls), lens))
+        return dict(shard=self.shard, ids_path=f"{self.name}.ids", mph_path=f"{self.name}.mph",
+                    n_docs=len(keys), n_tokens=int(lens.sum()),
+                    first_key=None if nulls[0] else int(keys[0]), width=self.width)
+
+
+def _runs(shards: np.ndarray):
+    """(from, to) of runs of equal values."""
+    cuts = (np.flatnonzero(np.diff(shards)) + 1).tolist()
+    return [(a, b) for a, b in zip([0, *cuts], [*cuts, len(shards)]) if b > a]
+
+
 def _write_shards(folder: str, width: int):
+    """mapInArrow over rows sorted by (shard, doc_id): a manifest row for each shard."""
     def run(batches):
         import pyarrow as pa
-        from pyspark import TaskContext
 
-        shard, fs, out = TaskContext.get().partitionId(), None, None
-        doc_ids, nulls, lengths = [], [], []
+        schema = pa.schema([("shard", pa.int64()), ("ids_path", pa.string()), ("mph_path", pa.string()),
+                            ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("first_key", pa.int64()),
+                            ("width", pa.int32())])
+        shard = None
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            if out is None:
-                fs, base = _filesystem(folder)
-                fs.create_dir(base, recursive=True)
-                name = f"{base}/shard-{shard:07d}-{uuid.uuid4().hex}"
-                out = fs.open_output_stream(f"{name}.ids")
-            keys, null = _columns(batch)
-            payload = batch.column("ids").to_pylist()
-            doc_ids.append(keys)
-            nulls.append(null)
-            lengths.append(np.array([len(p) for p in payload], np.int64) // width)
-            out.write(b"".join(payload))
-        if out is None:
-            return
-        out.close()
-        keys, null, lens = map(np.concatenate, (doc_ids, nulls, lengths))
-        with fs.open_output_stream(f"{name}.mph") as f:
-            f.write(index_bytes(keys, null, occurrences(keys, null), lens))
-        first = None if null[0] else int(keys[0])
-        yield pa.RecordBatch.from_pylist(
-            [dict(shard=shard, ids_path=f"{name}.ids", mph_path=f"{name}.mph", n_docs=len(keys),
-                  n_tokens=int(lens.sum()), first_key=first, width=width)],
-            pa.schema([("shard", pa.int64()), ("ids_path", pa.string()), ("mph_path", pa.string()),
-                       ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("first_key", pa.int64()),
-                       ("width", pa.int32())]))
+            numbers = batch.column("shard").to_numpy()
+            for lo, hi in _runs(numbers):
+                part = batch.slice(lo, hi - lo)
+                if shard is None or shard.shard != numbers[lo]:
+                    if shard is not None:
+                        yield pa.RecordBatch.from_pylist([shard.close()], schema)
+                    shard = _Shard(folder, int(numbers[lo]), width)
+                shard.add(*_columns(part), part.column("ids").to_pylist())
+        if shard is not None:
+            yield pa.RecordBatch.from_pylist([shard.close()], schema)
     return run
 
 
-def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """(doc_id, ids): packed ids of every whole text and the end id."""
-    width = wordbpe.id_dtype(tokenizer).itemsize
-    assert width in (2, 4)
-    return docs.select("doc_id", common.text_bytes().alias("text")).mapInArrow(
-        wordbpe.encode_batches(tokenizer, ["doc_id"]), "doc_id long, ids binary")
+def _encode_and_route(tokenizer: str, bounds: np.ndarray):
+    """mapInArrow: (doc_id, text) -> (doc_id, ids, shard)."""
+    encode = wordbpe.encode_batches(tokenizer, ["doc_id"])
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in encode(batches):
+            keys, null = _columns(batch)
+            shard = np.where(null, 0, np.searchsorted(bounds, keys, side="right"))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shard.astype(np.int64))],
+                                             ["doc_id", "ids", "shard"])
+    return run
 
 
 def write(docs: DataFrame, tokenizer: str, shard_rows: int = SHARD_ROWS) -> str:
     """Encode ``docs`` and write shards below the shared folder; returns the folder.
 
-    Empty tables give an empty manifest.  Null texts count as empty and have the
-    end id alone.  Extra columns of ``docs`` are not read.
+    Shards hold ranges of doc_id, bounded by quantiles over all documents
+    (8 bytes a shard on the driver).  Texts are encoded where they are read; only
+    ids are shuffled.  Empty tables give an empty manifest.  Null texts count as
+    empty and have the end id alone.  Extra columns of ``docs`` are not read.
     """
-    spark = docs.sparkSession
-    folder = common.scratch(spark, "token-files")
-    tokens = common.written(encode(docs, tokenizer), "tokens")
-    shards = max(1, -(-tokens.count() // shard_rows))
-    (tokens.repartitionByRange(shards, F.col("doc_id").asc_nulls_first())
-        .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids")
+    folder = common.scratch(docs.sparkSession, "token-files")
+    keys = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
+    shards = max(1, -(-docs.count() // shard_rows))
+    cuts = [k / shards for k in range(1, shards)]
+    bounds = np.unique(keys.approxQuantile("doc_id", cuts, 1 / (8 * shards)) if cuts else []).astype(np.int64)
+    (docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_bytes().alias("text"))
+        .mapInArrow(_encode_and_route(tokenizer, bounds), "doc_id long, ids binary, shard long")
+        .repartition(shards, "shard")
+        .sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "ids")
         .mapInArrow(_write_shards(folder, wordbpe.id_dtype(tokenizer).itemsize), MANIFEST)
         .write.parquet(f"{folder}/manifest"))
     return folder
@@ -277,10 +305,7 @@ def _digest(bases: dict[int, int]):
         at, index, payload, width = None, None, None, 2
         for batch in batches:
             shards = batch.column("shard").to_numpy()
-            cuts = np.flatnonzero(np.diff(shards)) + 1
-            for lo, hi in zip([0, *cuts], [*cuts, len(shards)]):
-                if hi <= lo:
-                    continue
+            for lo, hi in _runs(shards):
                 part = batch.slice(lo, hi - lo)
                 shard = int(shards[lo])
                 if shard != at:
