@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from salespark.llm import common, piecebpe, tokenfiles
+from salespark.llm import common, piecebpe, simhash, tokenfiles
 
 
 def word_tokenizer() -> str:
@@ -21,6 +21,11 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.read_digest(docs.select("doc_id"), folder)
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of every document."""
+    return simhash.near_duplicates(common.table(spark, sf_dir, "documents"))
+
+
 def op8_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text encoded by merge rounds and decoded again."""
     import public_tokenizers
@@ -31,6 +36,7 @@ def op8_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_files": op1_token_files,
+    "op5_simhash": op5_simhash,
     "op8_piece_bpe": op8_piece_bpe,
 }
 
