@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from salespark.llm import common, piecebpe, simhash, tokenfiles
+from salespark.llm import common, langid, piecebpe, simhash, tokenfiles, toxicity
 
 
 def word_tokenizer() -> str:
@@ -34,10 +34,23 @@ def op8_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piecebpe.round_trip_digest(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document."""
+    return toxicity.toxicity(common.table(spark, sf_dir, "documents"),
+                             common.table(spark, sf_dir, "labels"))
+
+
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document."""
+    return langid.languages(common.table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op5_simhash": op5_simhash,
     "op8_piece_bpe": op8_piece_bpe,
+    "op9_toxicity": op9_toxicity,
+    "op10_language": op10_language,
 }
 
 #: DuckDB SQL per key, where SQL can express the query.
