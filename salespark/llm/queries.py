@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from salespark.llm import common, langid, piecebpe, simhash, tokenfiles, toxicity
+from salespark.llm import common, langid, neighbours, piecebpe, simhash, tokenfiles, toxicity
 
 
 def word_tokenizer() -> str:
@@ -26,6 +26,12 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(common.table(spark, sf_dir, "documents"))
 
 
+def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest of all vectors for each vec_id divisible by 50."""
+    vectors = common.table(spark, sf_dir, "embeddings")
+    return neighbours.search(vectors.filter("vec_id % 50 = 0"), vectors)
+
+
 def op8_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text encoded by merge rounds and decoded again."""
     import public_tokenizers
@@ -48,6 +54,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op5_simhash": op5_simhash,
+    "op7_neighbours": op7_neighbours,
     "op8_piece_bpe": op8_piece_bpe,
     "op9_toxicity": op9_toxicity,
     "op10_language": op10_language,
