@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from salespark.llm import common, langid, neighbours, piecebpe, simhash, tokenfiles, toxicity
+from salespark.llm import common, langid, neighbours, packing, piecebpe, simhash, tokenfiles, toxicity
 
 
 def word_tokenizer() -> str:
@@ -21,6 +21,11 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.read_digest(docs.select("doc_id"), folder)
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into windows of 4096 tokens with their lexical neighbours."""
+    return packing.pack(common.table(spark, sf_dir, "documents"), word_tokenizer(), payload=False)
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     return simhash.near_duplicates(common.table(spark, sf_dir, "documents"))
@@ -53,6 +58,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_files": op1_token_files,
+    "op2_packing": op2_packing,
     "op5_simhash": op5_simhash,
     "op7_neighbours": op7_neighbours,
     "op8_piece_bpe": op8_piece_bpe,

@@ -115,3 +115,13 @@ def ids_as_u32(ids: bytes, dtype: np.dtype) -> bytes:
 def id_dtype(path: str) -> np.dtype:
     """Width of the packed ids of a tokenizer file."""
     return encoder(path).dtype
+
+
+def encode(docs, path: str):
+    """(doc_id, ids): packed ids of every whole text (null: empty) and the end id."""
+    from pyspark.sql import functions as F
+
+    from salespark.llm import common
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_bytes().alias("text")).mapInArrow(
+        encode_batches(path, ["doc_id"]), "doc_id long, ids binary")
