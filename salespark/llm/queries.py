@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from salespark.llm import common, langid, neighbours, packing, piecebpe, simhash, tokenfiles, toxicity
+from salespark.llm import common, langid, neighbours, packing, piecebpe, private, secrets, simhash, tokenfiles, toxicity
 
 
 def word_tokenizer() -> str:
@@ -26,6 +26,16 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(common.table(spark, sf_dir, "documents"), word_tokenizer(), payload=False)
 
 
+def op3_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    return private.digest(private.find(common.table(spark, sf_dir, "documents")))
+
+
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document."""
+    return secrets.digest(secrets.find(common.table(spark, sf_dir, "documents")))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     return simhash.near_duplicates(common.table(spark, sf_dir, "documents"))
@@ -59,6 +69,8 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_packing": op2_packing,
+    "op3_private_data": op3_private_data,
+    "op4_secrets": op4_secrets,
     "op5_simhash": op5_simhash,
     "op7_neighbours": op7_neighbours,
     "op8_piece_bpe": op8_piece_bpe,
