@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from salespark.llm import common, langid, neighbours, packing, piecebpe, private, secrets, simhash, tokenfiles, toxicity
+from salespark.llm import common, langid, neighbours, packing, piecebpe, private, quality, secrets, simhash, tokenfiles, toxicity
 
 
 def word_tokenizer() -> str:
@@ -41,6 +41,12 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(common.table(spark, sf_dir, "documents"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text statistics and the learned quality verdict of every document."""
+    return quality.quality(common.table(spark, sf_dir, "documents"),
+                           common.table(spark, sf_dir, "labels"))
+
+
 def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five nearest of all vectors for each vec_id divisible by 50."""
     vectors = common.table(spark, sf_dir, "embeddings")
@@ -72,6 +78,7 @@ QUERIES = {
     "op3_private_data": op3_private_data,
     "op4_secrets": op4_secrets,
     "op5_simhash": op5_simhash,
+    "op6_quality": op6_quality,
     "op7_neighbours": op7_neighbours,
     "op8_piece_bpe": op8_piece_bpe,
     "op9_toxicity": op9_toxicity,

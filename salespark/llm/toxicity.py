@@ -18,6 +18,7 @@ is bounded by ``MOST_GRAMS``.
 
 from __future__ import annotations
 
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from salespark.llm import common
 
 #: Labelled rows that training takes at most (in expectation; a hash decides).
-SAMPLE_ROWS = 8_000
+SAMPLE_ROWS = 6_000
 DIM, EPOCHS, BATCH, RATE, DECAY = 8, 24, 128, 0.5, 1e-5
 SHORTEST, LONGEST = 3, 6
 SCREEN, MOST_GRAMS = 20.0, 40_000
@@ -114,12 +115,12 @@ def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 def _screened(words: list[bytes], bags, labels: np.ndarray):
     """n-grams with an embedding, and for each word their numbers and its count of n-grams."""
     index: dict[str, int] = {}
-    flat, sizes = [], []
+    flat, sizes = array("i"), array("q")
     for w in words:
         grams = [index.setdefault(g, len(index)) for g in grams_of(w)]
         flat.extend(grams)
         sizes.append(len(grams))
-    flat, sizes = np.array(flat, np.int32), np.array(sizes, np.int64)
+    flat, sizes = np.frombuffer(flat, np.int32), np.frombuffer(sizes, np.int64)
     starts = np.cumsum(sizes) - sizes
     held = np.zeros((2, len(index)))
     for (own, _), label in zip(bags, labels.tolist()):
