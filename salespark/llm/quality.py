@@ -32,7 +32,7 @@ LEAST_WORDS, MOST_REPEATED = 50, 50
 # White space, symbols.
 _SPACE = r"[\x20\x09-\x0D]+"
 _BLANKS = " \t\n\x0b\f\r"
-_SYMBOLS = "#*$%&|<>"
+_SYMBOLS = "[#*$%&|<>]"
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: What rules test: base counts as shares, so that they fit texts of any length.
@@ -40,8 +40,9 @@ FEATURES = ("n_words", "mean_word", "symbol_share", "dup_line_share", "repeat_sh
             "distinct_share", "upper_share", "mark_share", "digit_share", "words_per_line")
 
 
-def _without(text: Column, characters: str) -> Column:
-    return F.length(text) - F.length(F.translate(text, characters, ""))
+def _count(text: str, pattern: str) -> Column:
+    """Characters of a class in a text."""
+    return F.length(text) - F.length(F.regexp_replace(text, pattern, ""))
 
 
 def _repeated(triples: str, ordered: str) -> Column:
@@ -78,11 +79,11 @@ def features(docs: DataFrame) -> DataFrame:
             lambda i: F.xxhash64(F.get("w", i), F.get("w", i + 1), F.get("w", i + 2)))),
         "lines": F.filter(F.split("t", "\n", -1), lambda x: F.length(F.btrim(x, F.lit(_BLANKS))) > 0),
         "distinct": F.size(F.array_distinct("w")),
-        "word_chars": F.length(F.translate("t", _BLANKS, "")),
-        "n_symbols": _without(F.col("t"), _SYMBOLS),
-        "upper": F.length("t") - F.length(F.translate("t", "ABCDEFGHIJKLMNOPQRSTUVWXYZÀÉÈÊÇÄÖÜÑÓÍÁÚ", "")),
-        "marks": _without(F.col("t"), "!?=~^"),
-        "digits": _without(F.col("t"), "0123456789")})
+        "word_chars": F.length(F.array_join("w", "")),
+        "n_symbols": _count("t", _SYMBOLS),
+        "upper": _count("t", "[A-ZÀ-ÖØ-Þ]"),
+        "marks": _count("t", "[!?=~^]"),
+        "digits": _count("t", "[0-9]")})
     rows = rows.withColumns({
         "n_lines": F.size("lines"),
         "n_dup_lines": F.size("lines") - F.size(F.array_distinct("lines")),

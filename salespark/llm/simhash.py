@@ -34,6 +34,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from salespark.llm import common
 
@@ -99,18 +100,19 @@ def _long_fingerprint(hashes: list[int]) -> np.uint64:
     return np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0]
 
 
-def fingerprints(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(doc_id, fp): fingerprint as a signed 64-bit integer; null texts as empty."""
+def fingerprints(docs: DataFrame, width: int = WIDTH, keep: tuple[str, ...] = ("doc_id",),
+                 name: str = "fp") -> DataFrame:
+    """Columns ``keep`` and the fingerprint as a signed 64-bit integer; null texts as empty."""
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            found = fingerprints_of(batch.column("text").to_pylist(), width)
+            found = fingerprints_of(batch.column("__text").to_pylist(), width)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+                [*(batch.column(c) for c in keep), pa.array(found.view(np.int64))], [*keep, name])
 
-    return docs.select("doc_id", common.text_bytes().alias("text")).mapInArrow(
-        run, "doc_id long, fp long")
+    return docs.select(*keep, common.text_bytes().alias("__text")).mapInArrow(
+        run, docs.select(*keep).schema.add(name, "long"))
 
 
 # --- partitions and thresholds
@@ -443,6 +445,19 @@ def components(edges: DataFrame) -> DataFrame | None:
     return root
 
 
+def classes(marked: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """(fp, root, component_id) of every distinct fingerprint of (doc_id, fp): ``root``
+    names the component, component_id is its smallest doc_id."""
+    nodes = common.written(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
+    roots = components(links(nodes, distance))
+    if roots is None:
+        return nodes.select("fp", F.col("fp").alias("root"), F.col("least").alias("component_id"))
+    joined = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
+    joined = joined.select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    least = joined.groupBy("root").agg(F.min("least").alias("component_id"))
+    return common.written(joined.join(least, "root").select("fp", "root", "component_id"), "classes")
+
+
 def near_duplicates(docs: DataFrame, width: int = WIDTH, distance: int = DISTANCE) -> DataFrame:
     """One row per row of ``docs``: doc_id, fingerprint (16 hex digits), component_id
     (the smallest doc_id reachable by links, itself included).
@@ -452,15 +467,31 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, distance: int = DISTANC
     smallest; a component of null doc_ids alone has a null component_id.
     """
     marked = common.written(fingerprints(docs, width), "fingerprints")
-    nodes = common.written(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    roots = components(links(nodes, distance))
-    if roots is None:
-        classes = nodes.select("fp", F.col("least").alias("component_id"))
-    else:
-        joined = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
-        joined = joined.select("fp", "least", F.coalesce("root", "fp").alias("root"))
-        least = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-        classes = joined.join(least, "root").select("fp", "component_id")
-    classes = common.written(classes, "classes")
-    return marked.join(classes, "fp").select(
+    return marked.join(classes(marked, distance), "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def deduplicated(docs: DataFrame, width: int = WIDTH, distance: int = DISTANCE) -> DataFrame:
+    """One row of ``docs`` for each component: the one of the smallest doc_id.
+
+    Where several rows share that doc_id (or all are null), the least text hash
+    decides.  Columns stay as they are.
+    """
+    marked = common.written(fingerprints(docs, width), "fingerprints")
+    found = classes(marked, distance)
+    firsts = common.written(
+        marked.join(found, "fp").filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+        .groupBy("doc_id").agg(F.count("*").alias("n")), "firsts")
+    alone = F.col("doc_id").isNotNull() & (F.col("n") == 1)
+    kept = docs.join(firsts.filter(alone).select("doc_id"), "doc_id", "left_semi")
+    shared = firsts.filter(~alone).select(F.col("doc_id").alias("__id"))
+    if shared.isEmpty():
+        return kept.select(*docs.columns)
+    rest = docs.join(shared, docs["doc_id"].eqNullSafe(shared["__id"]), "left_semi")
+    rest = fingerprints(rest, width, tuple(docs.columns), "__fp").join(
+        found.select(F.col("fp").alias("__fp"), F.col("root").alias("__root"),
+                     F.col("component_id").alias("__id")), "__fp")
+    order = Window.partitionBy("__root").orderBy(F.xxhash64("text"), F.xxhash64(*docs.columns))
+    rest = (rest.filter(F.col("doc_id").eqNullSafe(F.col("__id")))
+            .withColumn("__n", F.row_number().over(order)).filter("__n = 1"))
+    return kept.select(*docs.columns).unionByName(rest.select(*docs.columns))

@@ -205,7 +205,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
 
 
 def scored(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """Columns ``keep`` of ``docs`` and ``score`` of the whole text (null: empty)."""
+    """Columns ``keep`` of ``docs`` and ``__score`` of the whole text (null: empty)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = docs.select(*keep).schema
 
@@ -220,10 +220,10 @@ def scored(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
         for batch in batches:
             p = m.score(batch.column("__text").to_pylist(), memory)
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in keep), pa.array(p)], [*keep, "score"])
+                [*(batch.column(c) for c in keep), pa.array(p)], [*keep, "__score"])
 
     return docs.select(*keep, common.text_bytes().alias("__text")).mapInArrow(
-        run, schema.add("score", "double"))
+        run, schema.add("__score", "double"))
 
 
 _MEMORY: dict[int, _Words] = {}
@@ -237,5 +237,11 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     classes every score is the base rate.
     """
     out = scored(docs.select("doc_id", "text"), fit(docs, labels), ["doc_id"])
-    return out.select("doc_id", (common.bucket_of(out, 4) == 2).alias("held_out"), "score",
-                      (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    return out.select("doc_id", (common.bucket_of(out, 4) == 2).alias("held_out"),
+                      F.col("__score").alias("score"),
+                      (F.col("__score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def kept(docs: DataFrame, model: Model) -> DataFrame:
+    """Rows of ``docs`` that score below the threshold, columns as they are."""
+    return scored(docs, model, docs.columns).filter(F.col("__score") < THRESHOLD).select(*docs.columns)
