@@ -46,11 +46,11 @@ def date_range_predicate(start=None, end=None, column: str = "order_date",
     if start is not None:
         conds.append(F.col(column) >= _as_date(start))
         if month_column:
-            conds.append(F.col(month_column) >= F.lit(str(start)[:7]))
+            conds.append(F.col(month_column) >= F.date_format(_as_date(start), "yyyy-MM"))
     if end is not None:
         conds.append(F.col(column) <= _as_date(end))
         if month_column:
-            conds.append(F.col(month_column) <= F.lit(str(end)[:7]))
+            conds.append(F.col(month_column) <= F.date_format(_as_date(end), "yyyy-MM"))
     return and_all(conds)
 
 

@@ -8,6 +8,9 @@ their earliest order line.  All functions are lazy.
 
 from __future__ import annotations
 
+import hashlib
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -102,45 +105,78 @@ def order_measures(lines: DataFrame, quantity: str = "quantity", unit_price: str
 
 
 def write_tables(customers: DataFrame, products: DataFrame, orders: DataFrame, base_path: str,
-                 mode: str = "append", skip_existing: bool = True) -> None:
-    """Append the three tables as parquet under ``base_path`` (parents first).
+                 load_id: str | None = None, unique_orders: bool = False) -> None:
+    """Write one load of the three tables as parquet under ``base_path`` (parents first).
+
+    Every load has a folder of its own (``load_id=...``) in each table, and
+    writing it again replaces that folder alone: a replayed load changes
+    nothing, and every order line given is stored, whichever other lines of
+    its order came before.  Without ``load_id`` the load gets a new name.
+    Customers and products that another load stored already stay as they are
+    there (``left_anti`` on the key).
 
-    ``orders`` is partitioned by order month so date filters prune files.
-    With ``skip_existing`` rows whose key is already stored are left out
-    (``left_anti`` on the key), which makes a re-load idempotent instead of
-    duplicating rows.
+    ``unique_orders`` declares one line per order: a load that repeats an
+    ``order_id``, or holds one that another load stored, raises ``ValueError``.
+
+    ``orders`` is partitioned by order month so date filters prune files; the
+    ``rebalance`` hint keeps that to a few files a month.
     """
     spark = orders.sparkSession
-    targets = [("customers", customers, "customer_id", None),
-               ("products", products, "product_id", None),
-               ("orders", orders.withColumn("order_month", F.substring("order_date", 1, 7)),
-                "order_id", "order_month")]
-    for name, frame, key, part in targets:
-        path = f"{base_path.rstrip('/')}/{name}"
-        if skip_existing and mode == "append" and _exists(spark, path):
-            stored = spark.read.parquet(path).select(key)
-            frame = frame.join(stored, key, "left_anti")
-        writer = frame.write.mode(mode)
-        if part:
-            writer = writer.partitionBy(part)
-        writer.parquet(path)
-
-
-def load_csv_to_tables(spark: SparkSession, csv_path: str, base_path: str) -> None:
-    """Read a flat export, split it into the three tables and append them."""
+    load = f"load_id={load_id or uuid.uuid4().hex}"
+    base = base_path.rstrip("/")
+
+    def elsewhere(name: str, key: str) -> DataFrame | None:
+        """Keys that other loads stored."""
+        path = f"{base}/{name}"
+        if not _exists(spark, path):
+            return None
+        stored = spark.read.parquet(path)
+        return stored.where(F.col("load_id").cast("string") != load.partition("=")[2]).select(key)
+
+    if unique_orders:
+        known = elsewhere("orders", "order_id")
+        given = orders.groupBy("order_id").count()
+        clash = given.where("count > 1")
+        if known is not None:
+            clash = clash.unionByName(given.join(known, "order_id", "left_semi"))
+        if not clash.isEmpty():
+            raise ValueError(f"order_id is not unique: {clash.first()['order_id']!r}")
+    for name, frame, key in (("customers", customers, "customer_id"),
+                             ("products", products, "product_id")):
+        known = elsewhere(name, key)
+        if known is not None:
+            frame = frame.join(known, key, "left_anti")
+        frame.write.mode("overwrite").parquet(f"{base}/{name}/{load}")
+    (orders.withColumn("order_month", F.substring("order_date", 1, 7))
+     .hint("rebalance", "order_month")
+     .write.mode("overwrite").partitionBy("order_month").parquet(f"{base}/orders/{load}"))
+
+
+def load_csv_to_tables(spark: SparkSession, csv_path: str, base_path: str,
+                       load_id: str | None = None, unique_orders: bool = False) -> None:
+    """Read a flat export, split it into the three tables and store them.
+
+    The load is named after the path unless ``load_id`` is given, so loading
+    the same path again replaces its rows instead of adding them twice.
+    """
+    name = load_id or hashlib.sha1(csv_path.encode("utf-8")).hexdigest()
     customers, products, orders = normalize(read_flat_csv(spark, csv_path))
-    write_tables(customers, products, orders, base_path)
+    write_tables(customers, products, orders, base_path, name, unique_orders)
 
 
 def read_tables(spark: SparkSession, base_path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Read the three stored tables back with their declared types."""
     base = base_path.rstrip("/")
-    customers = spark.read.parquet(f"{base}/customers")
-    products = spark.read.parquet(f"{base}/products")
-    orders = spark.read.parquet(f"{base}/orders").drop("order_month")
-    orders = orders.withColumns({
+    customers = spark.read.parquet(f"{base}/customers").drop("load_id")
+    products = spark.read.parquet(f"{base}/products").drop("load_id")
+    orders = spark.read.parquet(f"{base}/orders").drop("load_id", "order_month")
+    return customers, products, typed_orders(orders)
+
+
+def typed_orders(orders: DataFrame) -> DataFrame:
+    """Orders with their ISO text dates as dates."""
+    return orders.withColumns({
         "order_date": F.to_date("order_date"), "ship_date": F.to_date("ship_date")})
-    return customers, products, orders
 
 
 def _exists(spark: SparkSession, path: str) -> bool:

@@ -2,11 +2,11 @@
 
 New CSV files dropped into a folder are read by a file-source stream with
 the explicit flat schema; each micro-batch is split into customers,
-products and orders (``sources.flatfile.normalize``) and appended to the
-parquet tables.  Rows whose key is already stored are skipped (``left_anti``
-on the key), so a batch replayed after a failure appends nothing and the
-load is idempotent end to end; the stream's progress lives in a checkpoint
-under the session's shared checkpoint folder.
+products and orders (``sources.flatfile.normalize``) and stored as a load of
+its own, named after the stream and the batch.  A batch replayed after a
+failure replaces its own load, so the load is idempotent end to end and
+keeps every order line however files are grouped into batches; the stream's
+progress lives in a checkpoint under the session's shared checkpoint folder.
 """
 
 from __future__ import annotations
@@ -23,23 +23,21 @@ from ..sources import flatfile, schema
 def flat_file_stream(spark: SparkSession, source_dir: str,
                      max_files_per_trigger: int | None = None) -> DataFrame:
     reader = (spark.readStream.schema(schema.FLAT).option("header", True)
-              .option("dateFormat", "yyyy-MM-dd"))
+              .option("dateFormat", "yyyy-MM-dd").option("mode", "FAILFAST"))
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     return reader.csv(source_dir)
 
 
-def load_batch(batch: DataFrame, tables_dir: str) -> None:
-    """Normalise one micro-batch and append it, skipping stored keys.
+def load_batch(batch: DataFrame, tables_dir: str, load_id: str) -> None:
+    """Normalise one micro-batch and store it as the load ``load_id``.
 
     The batch feeds three writes, so it is persisted for their duration
     instead of being read from the source files three times.
     """
     batch = batch.persist()
     try:
-        customers, products, orders = flatfile.normalize(batch)
-        flatfile.write_tables(customers, products, orders, tables_dir, mode="append",
-                              skip_existing=True)
+        flatfile.write_tables(*flatfile.normalize(batch), tables_dir, load_id)
     finally:
         batch.unpersist()
 
@@ -55,15 +53,14 @@ def start_flat_file_load(spark: SparkSession, source_dir: str, tables_dir: str,
     ``processing_time`` triggers.  The checkpoint defaults to a folder under
     the session's checkpoint directory, named after the target tables.
     """
+    # a stable digest (Python's ``hash`` changes per process), so a restarted
+    # stream finds its own progress and names its batches alike
+    digest = hashlib.sha1(f"{source_dir}\n{tables_dir}".encode("utf-8")).hexdigest()[:16]
     if checkpoint_location is None:
-        base = ensure_checkpoint_dir(spark).rstrip("/")
-        # a stable digest (Python's ``hash`` changes per process), so a restarted
-        # stream finds its own progress
-        digest = hashlib.sha1(tables_dir.encode("utf-8")).hexdigest()[:16]
-        checkpoint_location = f"{base}/stream-{digest}"
+        checkpoint_location = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream-{digest}"
     stream = flat_file_stream(spark, source_dir, max_files_per_trigger)
     writer = (stream.writeStream.option("checkpointLocation", checkpoint_location)
-              .foreachBatch(lambda batch, _epoch: load_batch(batch, tables_dir)))
+              .foreachBatch(lambda batch, epoch: load_batch(batch, tables_dir, f"{digest}-{epoch}")))
     if available_now:
         writer = writer.trigger(availableNow=True)
     elif processing_time:

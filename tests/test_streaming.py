@@ -25,8 +25,8 @@ def test_incremental_flat_file_load(spark, sample_df):
     c, p, o = flatfile.read_tables(spark, tables)
     assert (o.count(), c.count(), p.count()) == (4, 3, 3)
 
-    # second drop: everything, January again included -> only new keys appended
-    flatfile.write_flat_csv(flat.coalesce(1), f"{base}/all")
+    # second drop: the other months; known customers and products stay once
+    flatfile.write_flat_csv(flat.where(F.month("Order_Date") > 1).coalesce(1), f"{base}/all")
     for name in os.listdir(f"{base}/all"):
         if name.endswith(".csv"):
             shutil.copyfile(f"{base}/all/{name}", f"{src}/all.csv")
@@ -54,3 +54,25 @@ def test_continuous_trigger_load(spark, sample_df):
         q.stop()
     c, p, o = flatfile.read_tables(spark, tables)
     assert (o.count(), c.count(), p.count()) == (12, 5, 3)
+
+
+def test_batch_size_does_not_change_the_rows(spark):
+    """6,000 lines in seven files, one file or all of them a batch; a replayed batch adds nothing."""
+    from salespark.sources.tables import sales_fact
+    from salespark.streaming.ingest import load_batch
+    base = tempfile.mkdtemp(prefix="salespark-stream-")
+    flat = flatfile.to_flat(sales_fact(spark, "/root/testdata/sf0.001"))
+    for c in [f.name for f in flat.schema if f.dataType.simpleString() == "bigint"]:
+        flat = flat.withColumn(c, F.col(c).cast("string"))
+    flatfile.write_flat_csv(flat.repartition(7), f"{base}/in")
+    for per_batch in (None, 1):
+        tables = f"{base}/tables-{per_batch}"
+        start_flat_file_load(spark, f"{base}/in", tables, checkpoint_location=f"{base}/ckpt-{per_batch}",
+                             max_files_per_trigger=per_batch).awaitTermination(200)
+        orders = spark.read.parquet(f"{tables}/orders")
+        assert orders.count() == 6000
+        name = orders.first().load_id
+        batch = flatfile.read_flat_csv(spark, f"{base}/in")
+        if per_batch is None:
+            load_batch(batch, tables, name)
+            assert spark.read.parquet(f"{tables}/orders").count() == 6000
