@@ -138,14 +138,23 @@ def _finish(raw: DataFrame, keys: list[str]) -> DataFrame:
 def forecast_series(fact: DataFrame, keys: list[str], horizon_days: int = 30,
                     min_history: int = MIN_HISTORY_DAYS) -> DataFrame:
     """Forecast every series named by ``keys`` ``horizon_days`` past its last
-    observed day.  Series with fewer than ``min_history`` observed days are
-    left out.  Values are clipped at 0 and ordered lower <= forecast <= upper.
+    observed day.  Values are clipped at 0 and ordered lower <= forecast <= upper.
+
+    Rows with a NULL key belong to no series and are left out.  With ``keys`` a
+    column ``status`` is added; a series with fewer than ``min_history`` observed
+    days has one row with status ``short history`` and no date or values.
     """
     if horizon_days < 1:
         raise ValueError("horizon_days must be positive")
     keys = list(keys)
-    hist = calendar_features(daily_revenue(fact, keys), keys)
-    return _finish(_fit_and_project(hist, keys, horizon_days, min_history), keys)
+    hist = calendar_features(daily_revenue(fact.dropna(subset=keys) if keys else fact, keys), keys)
+    out = _finish(_fit_and_project(hist, keys, horizon_days, min_history), keys)
+    if not keys:
+        return out
+    short = (hist.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+             .where(F.col("__n") < min_history).select(*keys))
+    return out.withColumn("status", F.lit("forecast")).unionByName(
+        short.withColumn("status", F.lit("short history")), allowMissingColumns=True)
 
 
 def forecast_revenue(fact: DataFrame, horizon_days: int = 30) -> ForecastResult:
@@ -170,7 +179,8 @@ def forecast_totals(forecast: DataFrame) -> DataFrame:
 
 
 FEATURES = ["day_index", "day_of_week", "month", "is_weekend", "is_holiday_season"]
-SERIES_BUCKETS = 1024
+# Mean, spread and trend of a series' own revenue: what tells the model series apart.
+SERIES_FEATURES = ["series_mean", "series_std", "series_slope"]
 
 
 def forecast_gbt(fact: DataFrame, horizon_days: int = 30, keys: list[str] | None = None,
@@ -179,48 +189,42 @@ def forecast_gbt(fact: DataFrame, horizon_days: int = 30, keys: list[str] | None
     """Forecast with an MLlib gradient-boosted tree for the median.
 
     One GBT (absolute-error loss: its optimum is the conditional median) is
-    fitted on the calendar features of all series together (plus a hashed
-    series bucket when ``keys`` are given: a bounded numeric feature, unlike
-    a label index, which would gather every series name on the driver); the
-    band adds that model's residual quantiles per weekday x holiday cell,
-    with the same fallbacks as the closed form.  Training is a distributed MLlib job; rows are never
-    collected.
+    fitted on the calendar features of all series together, plus each series'
+    own mean, spread and trend when ``keys`` are given (numbers of the series
+    itself, so no two series share a code); the band adds that model's residual
+    quantiles per weekday x holiday cell, with the same fallbacks as the closed
+    form.  Rows with a NULL key are left out.  Training is a distributed MLlib
+    job; rows are never collected.
     """
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GBTRegressor
 
     keys = keys or []
-    skeys = keys
-    hist = calendar_features(daily_revenue(fact, keys), keys)
+    hist = calendar_features(daily_revenue(fact.dropna(subset=keys) if keys else fact, keys), keys)
+    series = hist.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("__n"), F.max("date").alias("__last"),
+        F.avg("revenue").alias("series_mean"),
+        F.coalesce(F.stddev("revenue"), F.lit(0.0)).alias("series_std"),
+        F.coalesce(F.regr_slope("revenue", "day_index"), F.lit(0.0)).alias("series_slope"))
+    own = SERIES_FEATURES if keys else []
     if keys:
-        hist = hist.withColumn("series_bucket",
-                               F.pmod(F.xxhash64(*keys), F.lit(SERIES_BUCKETS)).cast("int"))
-    n_days = hist.groupBy(*skeys).agg(F.count(F.lit(1)).alias("__n"), F.max("date").alias("__last"))
+        hist = hist.join(series.select(*keys, *own), keys)
     steps = F.explode(F.sequence(F.lit(1), F.lit(horizon_days))).alias("step")
-    future = n_days.select(*skeys, "__n", "__last", steps).select(
-        *skeys, F.date_add("__last", F.col("step")).alias("date"),
+    future = series.select(*keys, *own, "__n", "__last", steps).select(
+        *keys, *own, F.date_add("__last", F.col("step")).alias("date"),
         (F.col("__n") - 1 + F.col("step")).cast("int").alias("day_index"))
     future = future.withColumns(_features(F.col("date")))
-    feats = list(FEATURES)
-    if keys:
-        future = future.withColumn("series_bucket",
-                                   F.pmod(F.xxhash64(*keys), F.lit(SERIES_BUCKETS)).cast("int"))
-        feats.append("series_bucket")
-
-    stages = [VectorAssembler(inputCols=feats, outputCol="features")]
-    stages.append(GBTRegressor(featuresCol="features", labelCol="revenue", lossType="absolute",
-                               maxIter=max_iter, maxDepth=max_depth, stepSize=step_size,
-                               seed=seed))
+
+    stages = [VectorAssembler(inputCols=FEATURES + own, outputCol="features"),
+              GBTRegressor(featuresCol="features", labelCol="revenue", lossType="absolute",
+                           maxIter=max_iter, maxDepth=max_depth, stepSize=step_size, seed=seed)]
     model = Pipeline(stages=stages).fit(hist)
-    fitted = model.transform(hist).select(*skeys, "date", "prediction")
     pred_future = model.transform(future.withColumn("revenue", F.lit(0.0))) \
-        .select(*skeys, "date", "day_index", "day_of_week", "is_holiday_season", "prediction")
-
-    resid = hist.join(fitted, skeys + ["date"], "inner") \
-        .withColumn("resid", F.col("revenue") - F.col("prediction"))
-    joined = _with_band(pred_future, resid, skeys)
-    raw = joined.select(*skeys, "date", *[
+        .select(*keys, "date", "day_index", "day_of_week", "is_holiday_season", "prediction")
+    resid = model.transform(hist).withColumn("resid", F.col("revenue") - F.col("prediction"))
+    joined = _with_band(pred_future, resid, keys)
+    raw = joined.select(*keys, "date", *[
         F.greatest(F.lit(0.0), F.col("prediction") + F.col(f"__q{i}")).alias(f"__v{i}")
         for i in range(3)])
-    return _finish(raw, skeys)
+    return _finish(raw, keys)

@@ -35,46 +35,34 @@ UNKNOWN_INTENT = "unknown"
 RETURN_RATE_ALERT_PCT = 8.0
 EROSION_POINTS = 5.0
 
-# The sentences of the insight rows, recommendations and
-# answers.  ``%s`` marks a value (already formatted as text), ``%%`` a
+# The sentences of the insight rows, recommendations and answers.  ``%s`` marks a value (already formatted as text), ``%%`` a
 # literal percent sign.
 TEMPLATES = {
-    "revenue_growth": "Revenue %s %s%% comparing the second half of the selected period to the "
-                      "first half.",
-    "top_region": "The %s region contributes %s%% of total revenue, the largest share of any "
-                  "region.",
-    "repricing_candidate": "%s has high revenue ($%s) but a below-median profit margin (%s%%) - "
-                           "a candidate for repricing.",
-    "discount_erosion": "Margin falls from %s%% on orders discounted %s to %s%% on orders "
-                        "discounted %s - discounting past that point costs more than it earns "
-                        "back in volume.",
-    "order_value": "Average order value is $%s across %s orders and %s customers, with a %s%% "
-                   "return rate.",
-    "restock": "Prioritize inventory for the %s products flagged Restock (high sales velocity, "
-               "healthy margin).",
-    "discontinue": "Reconsider the %s products flagged Discontinue (low velocity, thin margin).",
-    "return_rate_alert": "The %s%% overall return rate is worth investigating, particularly in "
-                         "categories with above-average returns.",
-    "fastest_region": "%s grew revenue %s%% from the first to the last month in the selected "
-                      "range, the fastest of any region.",
-    "thinnest_category": "%s has the thinnest margin of any category (%s%%).",
-    "last_band": "Orders discounted %s run a %s%% margin, the lowest of any discount band.",
-    "unprofitable": "%s product(s) are net-unprofitable overall in this selection.",
-    "top_products": "Top 5 products by revenue: %s.",
-    "top_product": "%s ($%s revenue, %s%% margin)",
-    "worst_products": "Lowest-profit products: %s.",
-    "worst_product": "%s ($%s profit)",
-    "targets": "%s customers are current Champions (high recency, frequency, and spend) - a "
-               "natural audience for a loyalty or early-access offer. %s customers are flagged "
-               "At risk (they used to order frequently but haven't recently) - worth a targeted "
-               "win-back campaign before they lapse further.",
-    "no_months": "Not enough monthly history to compare regional growth rates yet.",
-    "no_growth": "Not enough data to compute regional growth.",
-    "no_drivers": "No clear profit-erosion pattern found in the current selection.",
-    "no_recommendations": "No high-confidence recommendations for the current selection.",
-    "help": "I can answer questions about revenue and profit trends, regional performance, top "
-            "or underperforming products, customer segments, and recommendations. Try asking "
-            "one of those.",
+    "revenue_growth": "Later half against earlier half of the period: revenue %s by %s%%.",
+    "top_region": "Largest region: %s, with %s%% of all revenue.",
+    "repricing_candidate": "Check the price of %s: revenue is $%s, yet its margin of %s%% lies "
+                           "under the median.",
+    "discount_erosion": "Orders at %s%% margin in the %s discount band drop to %s%% in the %s band: "
+                        "the deepest discounts cost margin.",
+    "order_value": "An order is worth $%s on average (%s orders, %s customers); %s%% of lines come back.",
+    "restock": "Restock: %s products sell fast at a sound margin.",
+    "discontinue": "Review for removal: %s products sell slowly at a thin margin.",
+    "return_rate_alert": "Returns stand at %s%%; look at the categories above that.",
+    "fastest_region": "Fastest region from first to last month: %s, revenue %s%%.",
+    "thinnest_category": "Thinnest category margin: %s at %s%%.",
+    "last_band": "Margin in the highest discount band, %s: %s%%.",
+    "unprofitable": "Products with a loss in total: %s.",
+    "top_products": "Highest revenue: %s.",
+    "top_product": "%s (revenue $%s, margin %s%%)",
+    "worst_products": "Lowest profit: %s.",
+    "worst_product": "%s (profit $%s)",
+    "targets": "Champions now: %s customers, ready for a loyalty offer. At risk: %s customers, once "
+               "frequent buyers to win back.",
+    "no_months": "Growth by region needs at least two months of data.",
+    "no_growth": "No region has revenue in the first month, so growth is undefined.",
+    "no_drivers": "Nothing in this selection points to a loss of profit.",
+    "no_recommendations": "Nothing to recommend for this selection.",
+    "help": "Ask about revenue, regions, products, customer segments, margins or recommendations.",
 }
 
 
@@ -106,10 +94,11 @@ def _fact(df: DataFrame, insight_id: int, kind: str, subject=None, detail=None,
                      c(text, "string").alias("text"))
 
 
-def region_growth(fact: DataFrame) -> DataFrame:
+def region_growth(fact: DataFrame, exact: bool = False) -> DataFrame:
     """Per region: revenue in the first and the last month of the data and the
     growth % between them (1 dp).  Needs two months; regions with no first-
-    month revenue are left out; fastest first."""
+    month revenue are left out; fastest (unrounded) first.  ``exact=True`` adds
+    the unrounded ``growth``."""
     dated = fact.where(F.col("order_date").isNotNull() & F.col("region").isNotNull())
     month = F.trunc("order_date", "month")
     bounds = dated.agg(F.struct(F.min(month).alias("f"), F.max(month).alias("l"))).scalar()
@@ -118,25 +107,28 @@ def region_growth(fact: DataFrame) -> DataFrame:
         F.coalesce(F.sum(F.when(month == first_m, F.col("revenue"))), F.lit(0)).alias("first_rev"),
         F.coalesce(F.sum(F.when(month == last_m, F.col("revenue"))), F.lit(0)).alias("last_rev"))
     g = g.where((first_m != last_m) & (F.col("first_rev") != 0))
-    growth = dround((F.col("last_rev") - F.col("first_rev")).cast("double")
-                    / F.col("first_rev").cast("double") * 100, 1)
-    return g.select("region",
+    growth = (F.col("last_rev") - F.col("first_rev")).cast("double") / F.col("first_rev").cast("double") * 100
+    out = g.select("region",
                     F.date_format(first_m, "yyyy-MM").alias("first_month"),
                     F.date_format(last_m, "yyyy-MM").alias("last_month"),
                     F.round("first_rev", 2).cast("double").alias("first_month_revenue"),
                     F.round("last_rev", 2).cast("double").alias("last_month_revenue"),
-                    growth.alias("growth_pct")).orderBy(F.col("growth_pct").desc(), "region")
+                    dround(growth, 1).alias("growth_pct"), growth.alias("growth"))
+    out = out.orderBy(F.col("growth").desc(), "region")
+    return out if exact else out.drop("growth")
 
 
-def category_margin(fact: DataFrame) -> DataFrame:
-    """Margin % (1 dp) per category with revenue > 0, thinnest first."""
+def category_margin(fact: DataFrame, exact: bool = False) -> DataFrame:
+    """Margin % (1 dp) per category with revenue > 0, thinnest (unrounded) first.
+    ``exact=True`` adds the unrounded ratio ``margin``."""
     g = (fact.where(F.col("category").isNotNull()).groupBy("category")
          .agg(F.sum("revenue").alias("rev"), F.sum("profit").alias("prof"))
          .where(F.col("rev") > 0))
-    return g.select("category", F.round("rev", 2).cast("double").alias("revenue"),
-                    F.round("prof", 2).cast("double").alias("profit"),
-                    ratio_pct("prof", "rev").alias("margin_pct")) \
-        .orderBy("margin_pct", "category")
+    out = g.select("category", F.round("rev", 2).cast("double").alias("revenue"),
+                   F.round("prof", 2).cast("double").alias("profit"),
+                   ratio_pct("prof", "rev").alias("margin_pct"),
+                   products.margin_ratio().alias("margin")).orderBy("margin", "category")
+    return out if exact else out.drop("margin")
 
 
 def discount_erosion(fact: DataFrame, edges: list[float] | None = None) -> DataFrame:
@@ -160,15 +152,15 @@ def profit_drivers(fact: DataFrame, edges: list[float] | None = None) -> DataFra
     """Profit-erosion facts: the thinnest-margin category, the highest discount
     band's margin, the truly lowest-margin band, and the number of
     loss-making products (each row only when it exists)."""
-    cat = category_margin(fact)
+    cat = category_margin(fact, exact=True)
     thin = cat.agg(F.min_by(F.struct("category", "margin_pct"),
-                            F.struct("margin_pct", "category")).alias("t"),
+                            F.struct("margin", "category")).alias("t"),
                    F.count(F.lit(1)).alias("n")).where(F.col("n") > 0)
-    bands = products.discount_impact(fact, edges)
+    bands = products.discount_impact(fact, edges, exact=True)
     band_agg = bands.agg(
         F.max_by(F.struct("discount_band", "margin_pct"), F.col("band_idx")).alias("last"),
         F.min_by(F.struct("discount_band", "margin_pct"),
-                 F.struct(F.col("margin_pct"), F.col("band_idx"))).alias("low"),
+                 F.struct(F.col("margin"), F.col("band_idx"))).alias("low"),
         F.count(F.lit(1)).alias("n"), F.count("margin_pct").alias("nm"))
     unprof = products.unprofitable_products(fact).where(F.col("unprofitable_products") > 0)
     parts = [
@@ -262,11 +254,11 @@ def worst5_readout(fact: DataFrame) -> DataFrame:
     return products.worst_products(fact, 5, "profit").select("product_id", "product_name", "profit")
 
 
-def intent_expr(text: Column) -> Column:
-    """The intent of a question by the ordered keyword rules."""
+def intent_expr(text: Column, rules=INTENT_RULES) -> Column:
+    """The intent of a question by ordered keyword rules."""
     q = F.lower(text)
     expr = None
-    for intent, all_of, any_of in INTENT_RULES:
+    for intent, all_of, any_of in rules:
         cond = reduce(lambda a, b: a | b, [F.contains(q, F.lit(w)) for w in any_of])
         for w in all_of:
             cond = F.contains(q, F.lit(w)) & cond
@@ -275,14 +267,16 @@ def intent_expr(text: Column) -> Column:
     return expr.otherwise(UNKNOWN_INTENT)
 
 
-def tag_intents(questions: DataFrame, text_col: str = "text") -> DataFrame:
-    return questions.withColumn("intent", intent_expr(F.col(text_col)))
+def tag_intents(questions: DataFrame, text_col: str = "text", rules=INTENT_RULES) -> DataFrame:
+    return questions.withColumn("intent", intent_expr(F.col(text_col), rules))
 
 
-def intent_counts(questions: DataFrame, text_col: str = "text") -> DataFrame:
-    """Questions per intent (one grouped count with map-side partials)."""
-    return (tag_intents(questions, text_col).groupBy("intent")
-            .agg(F.count(F.lit(1)).alias("questions")).orderBy(F.col("questions").desc(), "intent"))
+def intent_counts(questions: DataFrame, text_col: str = "text", by: list[str] | None = None,
+                  rules=INTENT_RULES) -> DataFrame:
+    """Questions per intent (and columns ``by``): one grouped count with map-side partials."""
+    by = by or []
+    return (tag_intents(questions, text_col, rules).groupBy(*by, "intent")
+            .agg(F.count(F.lit(1)).alias("questions")).orderBy(*by, F.col("questions").desc(), "intent"))
 
 
 def context_block(insights: DataFrame) -> DataFrame:
@@ -298,15 +292,6 @@ def customers_to_target(fact: DataFrame) -> DataFrame:
     return customers.customers_to_target(customers.compute_rfm(fact))
 
 
-def intent_of(question: str) -> str:
-    """The intent of one question by the same ordered rules as ``intent_expr``."""
-    q = (question or "").lower()
-    for intent, all_of, any_of in INTENT_RULES:
-        if all(w in q for w in all_of) and any(w in q for w in any_of):
-            return intent
-    return UNKNOWN_INTENT
-
-
 def _joined(rows: DataFrame, order: Column, text: Column, sep: str = " ") -> Column:
     """Aggregate: the texts of a few rows (insights, read-outs) joined in order."""
     items = F.array_sort(F.collect_list(F.struct(order.alias("o"), text.alias("t"))))
@@ -321,9 +306,9 @@ def _answer_summary(fact, summary, edges):
 def _answer_region_growth(fact, summary, edges):
     dated = fact.where(F.col("order_date").isNotNull() & F.col("region").isNotNull())
     months = dated.agg(F.count_distinct(F.trunc("order_date", "month"))).scalar()
-    rg = region_growth(fact)
+    rg = region_growth(fact, exact=True)
     best = rg.agg(F.min_by(F.struct("region", "growth_pct"),
-                           F.struct(-F.col("growth_pct"), F.col("region"))).alias("b"))
+                           F.struct(-F.col("growth"), F.col("region"))).alias("b"))
     text = _say("fastest_region", F.col("b.region"), _whole(F.col("b.growth_pct")))
     return best.select(F.when(months < 2, _say("no_months"))
                        .when(F.col("b").isNull(), _say("no_growth"))
@@ -391,10 +376,11 @@ def answer_question(fact: DataFrame, question: str, summary: DataFrame | None =
                     edges: list[float] | None = None) -> DataFrame:
     """One row (question, intent, answer): the question is routed by the
     intent rules and only the matching read-out is computed."""
-    intent = intent_of(question)
+    spark = fact.sparkSession
+    intent = spark.range(1).select(intent_expr(F.lit(question))).first()[0]
     build = _ANSWERS.get(intent)
     if build is None:
-        answer = fact.sparkSession.range(1).select(_say("help").alias("answer"))
+        answer = spark.range(1).select(_say("help").alias("answer"))
     else:
         if summary is None and intent in ("summary", "recommendations"):
             summary = kpi.executive_summary(fact)

@@ -190,38 +190,34 @@ def ordered_offsets_n(df: DataFrame, keys: list[tuple[str, bool]],
 
 
 def exact_quantiles(df: DataFrame, value_col: str, probs: list[float],
-                    names: list[str] | None = None, tie_cols: list[str] | None = None,
-                    rows_per_bucket: int | None = None, buckets: int | None = None) -> DataFrame:
+                    names: list[str] | None = None, rows_per_bucket: int | None = None,
+                    buckets: int | None = None) -> DataFrame:
     """One row with the exact linear-interpolation quantiles of ``value_col``.
 
-    NULLs are skipped; an empty input gives NULLs.  Position ``(n-1)*p``
-    between the two neighbouring order statistics, which are found by
-    position (``ordered_offsets``), never by gathering all values in a task.
+    NULLs are skipped; an empty input gives NULLs.  Values are first counted
+    (a map-side aggregate), so equal values are one row however many there
+    are; the running count over the distinct values (``ordered_offsets``)
+    tells which values hold the positions around ``(n-1)*p``.  No task
+    gathers all values, and ties spread over no bucket unevenly.
     """
     names = names or [f"q{int(round(p * 100)):02d}" for p in probs]
-    tie_cols = tie_cols or []
-    vals = df.where(F.col(value_col).isNotNull()).select(
-        F.col(value_col).cast("double").alias("__v"), *tie_cols)
-    ranked, n = ordered_offsets_n(vals, [("__v", True)] + [(t, True) for t in tie_cols],
-                                  rank_col="__r", count_col=None,
-                                  rows_per_bucket=rows_per_bucket, buckets=buckets,
-                                  persist=not df.is_cached)
+    counted = cache(df.where(F.col(value_col).isNotNull())
+                    .groupBy(F.col(value_col).cast("double").alias("__v"))
+                    .agg(F.count(F.lit(1)).alias("__c")))
+    n = counted.agg(F.sum("__c")).first()[0] or 0
     if n == 0:
-        return ranked.sparkSession.range(1).select(
+        return df.sparkSession.range(1).select(
             *[F.lit(None).cast("double").alias(nm) for nm in names])
-    wanted: set[int] = set()
-    plan = []
-    for p in probs:
-        pos = (n - 1) * p
-        lo = math.floor(pos)
-        hi = math.ceil(pos)
-        wanted.update({lo + 1, hi + 1})
-        plan.append((lo + 1, hi + 1, pos - lo))
-    picks = ranked.where(F.col("__r").isin(sorted(wanted))).select("__r", "__v")
-    aggs = []
-    for (lo_r, hi_r, frac), nm in zip(plan, names):
-        v_lo = F.max(F.when(F.col("__r") == lo_r, F.col("__v")))
-        v_hi = F.max(F.when(F.col("__r") == hi_r, F.col("__v")))
-        aggs.append((v_lo + (v_hi - v_lo) * F.lit(float(frac))).alias(nm))
-    return picks.agg(*aggs)
+    ranked = ordered_offsets(counted, [("__v", True)], {"__upto": "__c"}, rank_col="__r",
+                             count_col=None, rows_per_bucket=rows_per_bucket, buckets=buckets)
+
+    def at(position: int) -> Column:
+        holds = (F.col("__upto") >= position) & (F.col("__upto") - F.col("__c") < position)
+        return F.max(F.when(holds, F.col("__v")))
 
+    aggs = []
+    for p, nm in zip(probs, names):
+        pos = (n - 1) * p
+        lo, hi = at(math.floor(pos) + 1), at(math.ceil(pos) + 1)
+        aggs.append((lo + (hi - lo) * F.lit(float(pos - math.floor(pos)))).alias(nm))
+    return ranked.agg(*aggs)

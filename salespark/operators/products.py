@@ -3,7 +3,7 @@ discount bands, quantile-based inventory flags and repricing candidates."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import band_index, band_label_expr, dround, is_returned, money, ratio_pct
@@ -16,10 +16,12 @@ RESTOCK, HOLD, DISCONTINUE = "Restock", "Hold", "Discontinue"
 PRODUCT_KEYS = ["product_id", "product_name", "category", "sub_category"]
 
 
-def product_performance(fact: DataFrame, approx: bool = False) -> DataFrame:
+def product_performance(fact: DataFrame, approx: bool = False, exact: bool = False) -> DataFrame:
     """Per product: revenue, profit, units, distinct orders, average rating
     (2 dp), return rate % and margin % (1 dp; margin NULL at zero revenue).
     ``approx=True`` counts orders with HyperLogLog (no distinct shuffle).
+    ``exact=True`` adds the unrounded sums ``rev`` and ``prof``, for rules that
+    compare or rank.
 
     Rows with a NULL in any of the four product keys are left out; the
     four keys are the grouping key.  Every aggregation buffer is fixed-width
@@ -46,6 +48,7 @@ def product_performance(fact: DataFrame, approx: bool = False) -> DataFrame:
         dround("avg_rating", 2).alias("avg_rating"),
         ratio_pct("__ret", "__rows").alias("return_rate_pct"),
         F.when(F.col("rev") != 0, ratio_pct("prof", "rev")).alias("margin_pct"),
+        *(["rev", "prof"] if exact else []),
     )
 
 
@@ -86,12 +89,14 @@ def category_rollup(fact: DataFrame) -> DataFrame:
         ratio_pct("prof", "rev").alias("margin_pct"))
 
 
-def discount_impact(fact: DataFrame, edges: list[float] | None = None) -> DataFrame:
+def discount_impact(fact: DataFrame, edges: list[float] | None = None,
+                    exact: bool = False) -> DataFrame:
     """Revenue, profit, distinct orders and margin % per discount band.
 
     Bands are right-closed ``(e[i], e[i+1]]`` with the lowest band closed on
     both ends; labels read ``"10-20%"``.  Discounts outside the edges (or
     NULL) and empty bands are left out.  ``band_idx`` gives band order.
+    ``exact=True`` adds the unrounded margin ratio ``margin``.
     """
     edges = edges or DEFAULT_DISCOUNT_EDGES
     banded = fact.withColumn("band_idx", band_index("discount", edges)) \
@@ -105,9 +110,15 @@ def discount_impact(fact: DataFrame, edges: list[float] | None = None) -> DataFr
         money("rev").alias("revenue"), money("prof").alias("profit"),
         F.col("orders").cast("long").alias("orders"),
         ratio_pct("prof", "rev").alias("margin_pct"),
+        *([margin_ratio().alias("margin")] if exact else []),
     ).orderBy("band_idx")
 
 
+def margin_ratio() -> Column:
+    """Unrounded profit / revenue of the sums ``prof`` and ``rev`` (NULL at zero revenue)."""
+    return F.when(F.col("rev") != 0, F.col("prof").cast("double") / F.col("rev").cast("double"))
+
+
 def product_quantiles(perf: DataFrame, buckets: int | None = None) -> DataFrame:
     """One row of the exact quantiles used by the inventory and repricing rules:
     units sold .33/.66, margin % .33/.66 (NULL margins skipped), and over
@@ -166,17 +177,17 @@ def inventory_counts(inventory: DataFrame) -> DataFrame:
 
 
 def repricing_candidates(fact: DataFrame, buckets: int | None = None) -> DataFrame:
-    """Products with revenue > 0, revenue >= the .75 quantile and margin below
-    the median margin (both over products with revenue > 0); thinnest margin
+    """Products with revenue > 0, unrounded revenue >= its .75 quantile and margin
+    below the median margin (both over products with revenue > 0); thinnest margin
     first."""
-    priced = cache(product_performance(fact).where(F.col("revenue") > 0))
-    rev75 = exact_quantiles(priced, "revenue", [0.75], ["q"], buckets=buckets).scalar()
+    priced = cache(product_performance(fact, exact=True).where(F.col("rev") > 0))
+    rev75 = exact_quantiles(priced, "rev", [0.75], ["q"], buckets=buckets).scalar()
     med = exact_quantiles(priced, "margin_pct", [0.5], ["q"], buckets=buckets).scalar()
-    return priced.where((F.col("revenue") >= rev75) & (F.col("margin_pct") < med)) \
-        .orderBy(F.col("margin_pct").asc(), F.col("revenue").desc(), "product_id")
+    return (priced.where((F.col("rev").cast("double") >= rev75) & (F.col("margin_pct") < med))
+            .orderBy(F.col("margin_pct").asc(), F.col("rev").desc(), "product_id").drop("rev", "prof"))
 
 
 def unprofitable_products(fact: DataFrame) -> DataFrame:
-    """One row: number of products with negative total profit."""
-    return product_performance(fact).agg(
-        F.count_if(F.col("profit") < 0).alias("unprofitable_products"))
+    """One row: number of products with negative (unrounded) total profit."""
+    return product_performance(fact, exact=True).agg(
+        F.count_if(F.col("prof") < 0).alias("unprofitable_products"))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..operators import (charts, customers, filters, forecast, insights, kpi, products,
                          rollups, trends)
 from ..sources import flatfile, integrity
-from ..sources.tables import output_frame, read_table, sales_fact
+from ..sources.tables import fact_from_tables, output_frame, read_table, sales_fact
 from ..functions.exprs import band_label
 
 # Parameters used by the registered queries on the test tables.  Their
@@ -185,6 +185,26 @@ def q_order_measures(spark, sf_dir):
     return out(m.select("order_id", "product_id", "revenue_calc", "profit_calc", "delivery_days"))
 
 
+@register("normalized_fact", with_fact("""c AS (
+  SELECT * FROM (SELECT customer_id, customer_name, age, gender, city, state, region, country,
+         row_number() OVER (PARTITION BY customer_id ORDER BY order_date, order_id, customer_name,
+                            age, gender, city, state, region, country) AS rn
+  FROM fact WHERE customer_id IS NOT NULL) WHERE rn = 1)""", """p AS (
+  SELECT * FROM (SELECT product_id, category, sub_category, product_name, unit_price, cost,
+         row_number() OVER (PARTITION BY product_id ORDER BY order_date, order_id, category,
+                            sub_category, product_name, unit_price, cost) AS rn
+  FROM fact WHERE product_id IS NOT NULL) WHERE rn = 1)""") + """SELECT f.order_id, f.order_date, f.ship_date,
+  f.quantity, CAST(f.discount AS DOUBLE) AS discount, CAST(f.revenue AS DOUBLE) AS revenue,
+  CAST(f.profit AS DOUBLE) AS profit, f.sales_channel, f.payment_method, f.returned, f.delivery_time, f.rating,
+  c.customer_id, c.customer_name, c.age, c.gender, c.city, c.state, c.region, c.country, p.product_id,
+  p.category, p.sub_category, p.product_name, CAST(p.unit_price AS DOUBLE) AS unit_price,
+  CAST(p.cost AS DOUBLE) AS cost
+FROM fact f JOIN c ON f.customer_id = c.customer_id JOIN p ON f.product_id = p.product_id""")
+def q_normalized_fact(spark, sf_dir):
+    c, p, o = flatfile.normalize(flatfile.to_flat(fact(spark, sf_dir)))
+    return out(fact_from_tables(flatfile.typed_orders(o), c, p))
+
+
 def _constraint_sql() -> str:
     cust_cols = ["customer_id", "customer_name", "age", "gender", "city", "state", "region",
                  "country"]
@@ -454,7 +474,8 @@ def q_category_rollup(spark, sf_dir):
 def _bands_cte(edges: list[float]) -> str:
     return f"""bands AS (SELECT b AS band_idx, {band_label_sql('b', edges)} AS discount_band,
   CAST(round(sum(revenue), 2) AS DOUBLE) AS revenue, CAST(round(sum(profit), 2) AS DOUBLE) AS profit,
-  count(DISTINCT order_id) AS orders, {pct_sql('sum(profit)', 'sum(revenue)')} AS margin_pct
+  count(DISTINCT order_id) AS orders, {pct_sql('sum(profit)', 'sum(revenue)')} AS margin_pct,
+  CAST(sum(profit) AS DOUBLE) / nullif(CAST(sum(revenue) AS DOUBLE), 0) AS margin
 FROM (SELECT *, {band_case_sql('discount', edges)} AS b FROM fact) WHERE b IS NOT NULL GROUP BY b)"""
 
 
@@ -476,6 +497,12 @@ QUANTILE_CTES = (
   quantile_cont(margin_pct, 0.5) AS priced_margin_median FROM perf WHERE revenue > 0)""",
 )
 
+# Unrounded sums per product, for the rules that compare or rank.
+RAW_CTE = """raw AS (SELECT product_id, product_name, category, sub_category, sum(revenue) AS rev,
+  sum(profit) AS prof FROM fact WHERE product_id IS NOT NULL AND product_name IS NOT NULL
+  AND category IS NOT NULL AND sub_category IS NOT NULL
+  GROUP BY product_id, product_name, category, sub_category)"""
+
 
 @register("product_quantiles", with_fact(*QUANTILE_CTES) + "SELECT * FROM qs, pq")
 def q_product_quantiles(spark, sf_dir):
@@ -507,8 +534,10 @@ def q_inventory_counts(spark, sf_dir):
     return products.inventory_counts(products.inventory_recommendation(fact(spark, sf_dir)))
 
 
-REPRICING_CTE = """rep AS (SELECT perf.* FROM perf, pq
-  WHERE perf.revenue > 0 AND perf.revenue >= pq.revenue_q75 AND perf.margin_pct < pq.priced_margin_median)"""
+REPRICING_CTE = RAW_CTE + """,
+rq AS (SELECT quantile_cont(CAST(rev AS DOUBLE), 0.75) AS q75 FROM raw WHERE rev > 0),
+rep AS (SELECT perf.* FROM perf JOIN raw USING (product_id, product_name, category, sub_category), pq, rq
+  WHERE raw.rev > 0 AND CAST(raw.rev AS DOUBLE) >= rq.q75 AND perf.margin_pct < pq.priced_margin_median)"""
 
 
 @register("repricing_candidates", with_fact(*QUANTILE_CTES, REPRICING_CTE) + "SELECT * FROM rep")
@@ -516,8 +545,8 @@ def q_repricing_candidates(spark, sf_dir):
     return products.repricing_candidates(fact(spark, sf_dir))
 
 
-@register("unprofitable_products", with_fact(PERF_CTE) +
-          "SELECT CAST(count_if(profit < 0) AS BIGINT) AS unprofitable_products FROM perf")
+@register("unprofitable_products", with_fact(RAW_CTE) +
+          "SELECT CAST(count_if(prof < 0) AS BIGINT) AS unprofitable_products FROM raw")
 def q_unprofitable_products(spark, sf_dir):
     return products.unprofitable_products(fact(spark, sf_dir))
 
@@ -793,11 +822,26 @@ def q_forecast_90d(spark, sf_dir):
     return forecast.forecast_revenue(fact(spark, sf_dir), 90).forecast
 
 
-@register("forecast_by_region", with_fact(*_forecast_ctes(30, ["region"])) + "SELECT * FROM fc")
+def _series_sql(keys: list[str]) -> str:
+    k = ", ".join(keys)
+    known = " AND ".join(f"{c} IS NOT NULL" for c in keys)
+    return (f"""SELECT {k}, date, forecast, lower, upper, 'forecast' AS status FROM fc WHERE {known}
+UNION ALL SELECT {k}, CAST(NULL AS DATE), NULL, NULL, NULL, 'short history' FROM trend
+WHERE n_days < 30 AND {known}""")
+
+
+@register("forecast_by_region", with_fact(*_forecast_ctes(30, ["region"])) + _series_sql(["region"]))
 def q_forecast_by_region(spark, sf_dir):
     return forecast.forecast_series(fact(spark, sf_dir), ["region"], 30)
 
 
+# Products sell on few days, so most of these series are too short, and none may vanish.
+@register("forecast_by_brand_and_state",
+          with_fact(*_forecast_ctes(30, ["sub_category", "state"])) + _series_sql(["sub_category", "state"]))
+def q_forecast_by_brand_and_state(spark, sf_dir):
+    return forecast.forecast_series(fact(spark, sf_dir), ["sub_category", "state"], 30)
+
+
 @register("forecast_totals", with_fact(*_forecast_ctes(30, [])) + """SELECT
   round(sum(forecast), 2) AS total_forecast, round(sum(lower), 2) AS total_lower,
   round(sum(upper), 2) AS total_upper FROM fc""")
@@ -849,11 +893,12 @@ def q_region_growth(spark, sf_dir):
 
 
 CAT_MARGIN_CTE = f"""cm AS (SELECT category, CAST(round(sum(revenue), 2) AS DOUBLE) AS revenue,
-  CAST(round(sum(profit), 2) AS DOUBLE) AS profit, {pct_sql('sum(profit)', 'sum(revenue)')} AS margin_pct
+  CAST(round(sum(profit), 2) AS DOUBLE) AS profit, {pct_sql('sum(profit)', 'sum(revenue)')} AS margin_pct,
+  CAST(sum(profit) AS DOUBLE) / CAST(sum(revenue) AS DOUBLE) AS margin
 FROM fact WHERE category IS NOT NULL GROUP BY category HAVING sum(revenue) > 0)"""
 
 
-@register("category_margin", with_fact(CAT_MARGIN_CTE) + "SELECT * FROM cm")
+@register("category_margin", with_fact(CAT_MARGIN_CTE) + "SELECT * EXCLUDE (margin) FROM cm")
 def q_category_margin(spark, sf_dir):
     return insights.category_margin(fact(spark, sf_dir))
 
@@ -871,17 +916,17 @@ def q_discount_erosion(spark, sf_dir):
     return insights.discount_erosion(fact(spark, sf_dir), TEST_DISCOUNT_EDGES)
 
 
-@register("profit_drivers", with_fact(CAT_MARGIN_CTE, _bands_cte(TEST_DISCOUNT_EDGES), PERF_CTE,
+@register("profit_drivers", with_fact(CAT_MARGIN_CTE, _bands_cte(TEST_DISCOUNT_EDGES), RAW_CTE,
                                       "nb AS (SELECT count(*) AS n, count(margin_pct) AS nm FROM bands)")
           + """SELECT * FROM (SELECT 'thinnest_category' AS driver, category AS subject, margin_pct AS value
-  FROM cm ORDER BY margin_pct, category LIMIT 1)
+  FROM cm ORDER BY margin, category LIMIT 1)
 UNION ALL SELECT * FROM (SELECT 'highest_discount_band' AS driver, discount_band AS subject,
   margin_pct AS value FROM bands, nb
   WHERE nb.n >= 2 ORDER BY band_idx DESC LIMIT 1) WHERE value IS NOT NULL
 UNION ALL SELECT * FROM (SELECT 'lowest_margin_band', discount_band, margin_pct FROM bands, nb
-  WHERE nb.n >= 2 AND nb.nm > 0 AND margin_pct IS NOT NULL ORDER BY margin_pct, band_idx LIMIT 1)
-UNION ALL SELECT 'unprofitable_products', NULL, CAST(count_if(profit < 0) AS DOUBLE) FROM perf
-  HAVING count_if(profit < 0) > 0""")
+  WHERE nb.n >= 2 AND nb.nm > 0 AND margin_pct IS NOT NULL ORDER BY margin, band_idx LIMIT 1)
+UNION ALL SELECT 'unprofitable_products', NULL, CAST(count_if(prof < 0) AS DOUBLE) FROM raw
+  HAVING count_if(prof < 0) > 0""")
 def q_profit_drivers(spark, sf_dir):
     return insights.profit_drivers(fact(spark, sf_dir), TEST_DISCOUNT_EDGES)
 
@@ -930,10 +975,10 @@ def q_worst5_readout(spark, sf_dir):
     return insights.worst5_readout(fact(spark, sf_dir))
 
 
-def _intent_sql(text: str) -> str:
+def _intent_sql(text: str, rules) -> str:
     q = f"lower({text})"
     whens = []
-    for intent, all_of, any_of in insights.INTENT_RULES:
+    for intent, all_of, any_of in rules:
         anys = " OR ".join(f"contains({q}, '{w}')" for w in any_of)
         cond = f"({anys})"
         for w in all_of:
@@ -942,11 +987,28 @@ def _intent_sql(text: str) -> str:
     return "CASE " + " ".join(whens) + f" ELSE '{insights.UNKNOWN_INTENT}' END"
 
 
-@register("question_intents", f"""SELECT intent, count(*) AS questions FROM (
-  SELECT {_intent_sql('text')} AS intent FROM conversations WHERE role = 'user') GROUP BY intent""")
+@register("question_intents", f"""SELECT role, intent, count(*) AS questions FROM (
+  SELECT role, {_intent_sql('text', insights.INTENT_RULES)} AS intent FROM conversations)
+  GROUP BY role, intent""")
 def q_question_intents(spark, sf_dir):
-    conv = read_table(spark, sf_dir, "conversations").where(F.col("role") == "user")
-    return insights.intent_counts(conv, "text")
+    return insights.intent_counts(read_table(spark, sf_dir, "conversations"), "text", ["role"])
+
+
+# The test conversations hold invented words, so the reference rules tag none of
+# them; these rules route by words that do occur there.
+TEST_INTENT_RULES = [
+    ("joined", ("the",), ("and", "with")),
+    ("named", (), ("tion", "ment")),
+    ("other", (), ("e", "a")),
+]
+
+
+@register("question_intents_by_words", f"""SELECT role, intent, count(*) AS questions FROM (
+  SELECT role, {_intent_sql('text', TEST_INTENT_RULES)} AS intent FROM conversations)
+  GROUP BY role, intent""")
+def q_question_intents_by_words(spark, sf_dir):
+    return insights.intent_counts(read_table(spark, sf_dir, "conversations"), "text", ["role"],
+                                  TEST_INTENT_RULES)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

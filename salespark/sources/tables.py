@@ -32,35 +32,10 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-_ROW_COUNTS: dict[tuple[int, str], int] = {}
-
-
 def table_rows(spark: SparkSession, sf_dir: str, name: str) -> int:
-    """Exact row count of a parquet table, answered from its file footers.
-
-    Memoised per session and path: the counts only steer join strategies
-    (never results), and one star join would otherwise run five count jobs.
-    """
-    key = (id(spark), f"{sf_dir.rstrip('/')}/{name}")
-    if key not in _ROW_COUNTS:
-        _ROW_COUNTS[key] = read_table(spark, sf_dir, name).count()
-    return _ROW_COUNTS[key]
-
-
-def spread_input(df: DataFrame, rows: int, min_rows: int = 200_000) -> DataFrame:
-    """Round-robin a scan that yields fewer splits than the session's
-    parallelism (e.g. one large row group), so the work after it uses every
-    core.  A large table has many more splits than cores and is returned
-    unchanged: no shuffle is added at scale.  Small scans are left alone too.
-    """
-    try:
-        cores = df.sparkSession.sparkContext.defaultParallelism
-        splits = df.rdd.getNumPartitions()
-    except Exception:  # no RDD access (e.g. a remote session): leave the scan as is
-        return df
-    if splits >= cores or rows < min_rows:
-        return df
-    return df.repartition(cores)
+    """Exact row count of a parquet table, answered from its file footers (read anew
+    each time, so a table that grows is never taken for its former size)."""
+    return read_table(spark, sf_dir, name).count()
 
 
 def broadcast_if_small(side: DataFrame, bound_rows: int, max_rows: int = BROADCAST_MAX_ROWS
@@ -148,8 +123,7 @@ def sales_fact(spark: SparkSession, sf_dir: str, trust_foreign_keys: bool = Fals
     orders_c = dim(orders, "o_orderkey").join(cust, orders.o_custkey == cust.customer_id, how)
     orders_c = broadcast_if_small(orders_c, table_rows(spark, sf_dir, "orders"))
 
-    li = spread_input(read_table(spark, sf_dir, "lineitem"),
-                      table_rows(spark, sf_dir, "lineitem")).select(
+    li = read_table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "l_discount",
         "l_returnflag", "l_shipdate")
     lines = li.join(orders_c, li.l_orderkey == orders_c.o_orderkey, how)

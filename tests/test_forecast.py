@@ -63,7 +63,10 @@ def test_many_series_at_once(daily_history):
         "region", F.lit("C"))
     out = forecast_series(two.unionByName(short), ["region"], 5)
     counts = {r.region: r["count"] for r in out.groupBy("region").count().collect()}
-    assert counts == {"A": 5, "B": 5}  # C has too little history
+    assert counts == {"A": 5, "B": 5, "C": 1}
+    c = out.where("region = 'C'").first()  # too little history is said, not left out
+    assert (c.status, c.date, c.forecast) == ("short history", None, None)
+    assert {r.status for r in out.where("region <> 'C'").collect()} == {"forecast"}
     a = {r.date: r.forecast for r in out.where("region = 'A'").collect()}
     b = {r.date: r.forecast for r in out.where("region = 'B'").collect()}
     assert all(abs(b[d] - 2 * a[d]) < 0.05 for d in a)
@@ -87,3 +90,12 @@ def test_gbt_forecast_many_series(daily_history):
     assert all(0 <= r.lower <= r.forecast <= r.upper for r in out)
     single = forecast_gbt(daily_history, horizon_days=3, max_iter=5).collect()
     assert len(single) == 3
+
+
+def test_null_series_keys_are_left_out(daily_history):
+    from salespark.operators.forecast import forecast_gbt
+    mixed = daily_history.withColumn("region", F.lit("A")).unionByName(
+        daily_history.withColumn("region", F.lit(None).cast("string")))
+    for out in (forecast_series(mixed, ["region"], 3), forecast_gbt(mixed, 3, ["region"], max_iter=3)):
+        rows = out.collect()
+        assert len(rows) == 3 and all(r.region == "A" and r.forecast > 0 for r in rows)

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from salespark.operators.products import (category_contribution, category_rollup,
@@ -70,12 +72,38 @@ def test_quantiles_and_inventory(sample_df):
 def test_exact_quantiles_bucketed(spark):
     df = spark.range(0, 4001).select((F.col("id") * 37 % 4001).alias("v"), F.col("id").alias("k"))
     a = exact_quantiles(df, "v", [0.0, 0.33, 0.5, 0.75, 1.0]).first()
-    b = exact_quantiles(df, "v", [0.0, 0.33, 0.5, 0.75, 1.0], tie_cols=["k"], buckets=5).first()
+    b = exact_quantiles(df, "v", [0.0, 0.33, 0.5, 0.75, 1.0], buckets=5).first()
     assert tuple(a) == tuple(b) == (0.0, 1320.0, 2000.0, 3000.0, 4000.0)
     empty = exact_quantiles(df.where(F.lit(False)), "v", [0.5]).first()
     assert empty[0] is None
 
 
+def test_quantiles_of_heavy_ties(spark):
+    """Two thirds equal values: one row after counting, so no bucket is hot."""
+    df = spark.range(0, 30_000).select(F.when(F.col("id") % 3 == 0, F.col("id") % 997).otherwise(500).alias("v"))
+    probs = [0.0, 0.1, 0.33, 0.5, 0.9, 1.0]
+    want = np.quantile([r.v for r in df.collect()], probs)
+    for buckets in (None, 7):
+        assert list(exact_quantiles(df, "v", probs, buckets=buckets).first()) == pytest.approx(list(want))
+
+
+def test_near_ties_use_unrounded_sums(spark):
+    """Margins of 30.04 and 30.01 % read 30.0 both; the thinner one is named.  A loss
+    below half a cent is a loss."""
+    rows = [("P1", "A", "10000.0000", "3004.0000"), ("P2", "Z", "10000.0000", "3001.0000"),
+            ("P3", "Z", "1.0000", "-0.0040")]
+    df = spark.createDataFrame(rows, "product_id string, category string, r string, p string").select(
+        "product_id", F.col("product_id").alias("product_name"), "category", F.lit("s").alias("sub_category"),
+        F.col("r").cast("decimal(18,4)").alias("revenue"), F.col("p").cast("decimal(18,4)").alias("profit"),
+        F.lit(1).alias("quantity"), F.col("product_id").alias("order_id"), F.lit(5).alias("rating"),
+        F.lit("No").alias("returned"), F.lit("0.00").cast("decimal(4,2)").alias("discount"))
+    from salespark.operators.insights import category_margin, profit_drivers
+    assert [r.category for r in category_margin(df).collect()] == ["Z", "A"]
+    drivers = {r.driver: r.subject for r in profit_drivers(df).collect()}
+    assert drivers["thinnest_category"] == "Z"
+    assert unprofitable_products(df).first().unprofitable_products == 1
+
+
 def test_repricing_and_unprofitable(sample_df):
     assert repricing_candidates(sample_df).count() == 0
     assert unprofitable_products(sample_df).first().unprofitable_products == 1
