@@ -143,27 +143,16 @@ def delivery_box_stats(fact: DataFrame, value: str = "delivery_time",
 def scatter_sample(fact: DataFrame, sample_size: int = 5000, seed: int = 42) -> DataFrame:
     """At most ``sample_size`` lines (discount, profit, category) for a scatter.
 
-    Rows are ranked by a seeded 64-bit hash of their identifying columns and
-    the smallest ``sample_size`` kept, so the sample is the same on every run
-    and under any partitioning (unlike ``rand``-based sampling).
-
-    A plain top-k sends ``sample_size`` rows from every input split to one
-    task.  Hash values are uniform, so a threshold keeping about three times
-    ``sample_size`` rows (from the exact row count) is applied first, inside
-    the scan; if fewer than ``sample_size`` rows pass it, the unfiltered
-    top-k is used, so the result is exactly the same either way.
+    Rows are ranked by the MD5 of the seed and their identifying columns as text
+    and the first ``sample_size`` kept, so the sample is the same on every run,
+    under any partitioning and in any engine (unlike ``rand``-based sampling).
+    One top-k in one pass over the fact: every input split keeps at most
+    ``sample_size`` rows.
     """
-    h = F.xxhash64(F.lit(seed), "order_id", "product_id", "order_date", "ship_date",
-                   "quantity", "revenue")
+    h = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in (
+        "order_id", "product_id", "order_date", "ship_date", "quantity", "discount", "revenue")]))
     hashed = fact.select("discount", "profit", "category", h.alias("__h"))
-    total = fact.count()
-    if total > 4 * sample_size:
-        keep = 3.0 * sample_size / total
-        threshold = int(-2 ** 63 + keep * 2 ** 64)
-        candidates = hashed.where(F.col("__h") < F.lit(threshold))
-        if candidates.count() >= sample_size:
-            hashed = candidates
-    return (hashed.orderBy("__h").limit(sample_size)
+    return (hashed.orderBy("__h", "profit", "category").limit(sample_size)
             .select(F.col("discount").cast("double").alias("discount"),
                     F.col("profit").cast("double").alias("profit"), "category"))
 

@@ -738,8 +738,12 @@ def q_delivery_box_stats(spark, sf_dir):
     return charts.delivery_box_stats(fact(spark, sf_dir))
 
 
+# Two-letter codes of the 25 nations that stand for states in the test tables.
+TEST_STATE_CODES = {f"NATION_{k}": "N" + chr(ord("A") + k) for k in range(25)}
+
+
 def _state_map_sql() -> str:
-    rows = ", ".join(f"('{k}', '{v}')" for k, v in charts.US_STATE_CODES.items())
+    rows = ", ".join(f"('{k}', '{v}')" for k, v in TEST_STATE_CODES.items())
     return (with_fact(*_by_dim_ctes("state"), f"codes AS (SELECT * FROM (VALUES {rows}) v(name, code))",
                       "bs AS (" + _by_dim_select("state") + ")")
             + "SELECT bs.*, codes.code AS state_abbr FROM bs JOIN codes ON bs.state = codes.name")
@@ -748,10 +752,14 @@ def _state_map_sql() -> str:
 @register("state_map_table", _state_map_sql())
 def q_state_map_table(spark, sf_dir):
     by_state = trends.revenue_by_dimension(fact(spark, sf_dir), "state")
-    return charts.state_map_table(by_state, "state")
+    return charts.state_map_table(by_state, "state", TEST_STATE_CODES)
 
 
-@register("scatter_sample")
+@register("scatter_sample", with_fact() + """SELECT CAST(discount AS DOUBLE) AS discount,
+  CAST(profit AS DOUBLE) AS profit, category FROM fact
+ORDER BY md5(concat_ws('|', '42', CAST(order_id AS VARCHAR), CAST(product_id AS VARCHAR),
+  CAST(order_date AS VARCHAR), CAST(ship_date AS VARCHAR), CAST(quantity AS VARCHAR),
+  CAST(fact.discount AS VARCHAR), CAST(revenue AS VARCHAR))), fact.profit, category LIMIT 5000""")
 def q_scatter_sample(spark, sf_dir):
     return charts.scatter_sample(fact(spark, sf_dir), 5000, 42)
 
@@ -835,11 +843,15 @@ def q_forecast_by_region(spark, sf_dir):
     return forecast.forecast_series(fact(spark, sf_dir), ["region"], 30)
 
 
-# Products sell on few days, so most of these series are too short, and none may vanish.
-@register("forecast_by_brand_and_state",
-          with_fact(*_forecast_ctes(30, ["sub_category", "state"])) + _series_sql(["sub_category", "state"]))
-def q_forecast_by_brand_and_state(spark, sf_dir):
-    return forecast.forecast_series(fact(spark, sf_dir), ["sub_category", "state"], 30)
+# Many of these series sell on fewer than 30 days at the small sizes, and none may vanish.
+@register("forecast_series_status",
+          with_fact(*_forecast_ctes(30, ["product_name", "state"])) + """SELECT product_name, state, status,
+  count(date) AS days, min(date) AS first_day FROM (""" + _series_sql(["product_name", "state"]) + """)
+GROUP BY product_name, state, status""")
+def q_forecast_series_status(spark, sf_dir):
+    keys = ["product_name", "state"]
+    return (forecast.forecast_series(fact(spark, sf_dir), keys, 30).groupBy(*keys, "status")
+            .agg(F.count("date").alias("days"), F.min("date").alias("first_day")))
 
 
 @register("forecast_totals", with_fact(*_forecast_ctes(30, [])) + """SELECT
@@ -872,6 +884,17 @@ def q_forecast_gbt(spark, sf_dir):
     return forecast.forecast_gbt(fact(spark, sf_dir), 30)
 
 
+# What any fitted model must give: 30 days after the last, an ordered band, no negative value.
+@register("forecast_gbt_checks", with_fact(*_forecast_ctes(30, [])[:1]) + """SELECT
+  CAST(last + CAST(step AS INTEGER) AS DATE) AS date, true AS ordered, true AS not_negative
+FROM (SELECT max(date) AS last FROM daily), range(1, 31) s(step)""")
+def q_forecast_gbt_checks(spark, sf_dir):
+    band = forecast.forecast_gbt(fact(spark, sf_dir), 30, max_iter=20)
+    return band.select("date", ((F.col("lower") <= F.col("forecast"))
+                                & (F.col("forecast") <= F.col("upper"))).alias("ordered"),
+                       (F.col("lower") >= 0).alias("not_negative"))
+
+
 # --------------------------------------------------------------------------
 # Insights
 

@@ -7,6 +7,7 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from salespark.plans import registry
 
 from .conftest import SF_SMALL
 from . import oracle_compare
@@ -26,9 +27,9 @@ def con():
     return duck(SF_SMALL)
 
 
-@pytest.mark.parametrize("key", sorted(set(entry.queries()) - SLOW))
+@pytest.mark.parametrize("key", sorted(set(registry.QUERIES) - SLOW))
 def test_query_matches_oracle(spark, con, key):
-    res = compare(spark, con, SF_SMALL, key, entry.queries()[key], entry.oracle_sql().get(key))
+    res = compare(spark, con, SF_SMALL, key, registry.QUERIES[key], registry.ORACLE.get(key))
     assert res["status"] in ("ok", "rows-only"), res
 
 
@@ -43,6 +44,6 @@ def test_entry_smoke(spark):
 def test_bucketed_path_matches_oracle(spark, con, key, monkeypatch):
     from salespark.operators import ordered
     monkeypatch.setattr(ordered, "ROWS_PER_BUCKET", 37)  # forces many buckets on real data
-    res = compare(spark, con, SF_SMALL, key, entry.queries()[key], entry.oracle_sql().get(key))
+    res = compare(spark, con, SF_SMALL, key, registry.QUERIES[key], registry.ORACLE.get(key))
     assert res["status"] == "ok", res
     ordered.release_cached()
