@@ -44,10 +44,11 @@ def customer_names(fact: DataFrame) -> DataFrame:
 def rfm_base(fact: DataFrame, reference_date=None) -> DataFrame:
     """Per customer: name, last order date, distinct orders, revenue, recency.
 
-    ``reference_date`` defaults to the latest order date in ``fact``.
+    ``reference_date`` defaults to the latest order date in ``fact``, rows
+    without a customer included.
     """
     dated = fact.where(F.col("customer_id").isNotNull() & F.col("order_date").isNotNull())
-    ref = _reference_date(dated, reference_date)
+    ref = _reference_date(fact, reference_date)
     measures = dated.groupBy("customer_id").agg(
         F.max("order_date").alias("last_order_date"),
         F.count_distinct("order_id").alias("frequency"),
@@ -131,7 +132,7 @@ def churn_risk(fact: DataFrame, reference_date=None) -> DataFrame:
     gets NULL.
     """
     dated = fact.where(F.col("customer_id").isNotNull() & F.col("order_date").isNotNull())
-    ref = _reference_date(dated, reference_date)
+    ref = _reference_date(fact, reference_date)
     last = dated.groupBy("customer_id").agg(F.max("order_date").alias("last_order_date"))
     recency = F.datediff(ref, F.col("last_order_date"))
     return last.select("customer_id", "last_order_date", recency.alias("recency_days"),
@@ -140,12 +141,14 @@ def churn_risk(fact: DataFrame, reference_date=None) -> DataFrame:
 
 def churn_counts(churn: DataFrame) -> DataFrame:
     return (churn.where(F.col("churn_risk").isNotNull()).groupBy("churn_risk")
-            .agg(F.count(F.lit(1)).alias("customers")).orderBy(F.col("customers").desc()))
+            .agg(F.count(F.lit(1)).alias("customers"))
+            .orderBy(F.col("customers").desc(), "churn_risk"))
 
 
 def customer_lifetime_value(fact: DataFrame) -> DataFrame:
-    """Revenue, profit, distinct orders and average order value per customer,
-    highest lifetime profit first (a look-back measure)."""
+    """Revenue, profit, distinct orders and average order value per customer (a
+    look-back measure), in no order: a sort of all customers is left to the caller
+    (``top_customers`` ranks with a top-k)."""
     known = fact.where(F.col("customer_id").isNotNull())
     clv = (known.groupBy("customer_id")
            .agg(F.sum("revenue").alias("lifetime_revenue"),
@@ -158,12 +161,13 @@ def customer_lifetime_value(fact: DataFrame) -> DataFrame:
         money("lifetime_profit").alias("lifetime_profit"),
         F.col("orders").cast("long").alias("orders"),
         safe_div("lifetime_revenue", "orders", 2).alias("avg_order_value"),
-    ).orderBy(F.col("lifetime_profit").desc(), "customer_id")
+    )
 
 
 def top_customers(fact: DataFrame, n: int = 20) -> DataFrame:
     """The ``n`` customers with the highest lifetime profit (distributed top-k)."""
-    return customer_lifetime_value(fact).limit(n)
+    return (customer_lifetime_value(fact)
+            .orderBy(F.col("lifetime_profit").desc(), "customer_id").limit(n))
 
 
 def repeat_customer_rate(fact: DataFrame) -> DataFrame:

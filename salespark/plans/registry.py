@@ -250,6 +250,24 @@ def q_constraint_report(spark, sf_dir):
     return integrity.constraint_report(c, p, o)
 
 
+# The keys that ``sales_fact`` joins on, in the raw tables.
+RAW_FOREIGN_KEYS = [("lineitem", "l_orderkey", "orders", "o_orderkey"),
+                    ("lineitem", "l_partkey", "part", "p_partkey"),
+                    ("orders", "o_custkey", "customer", "c_custkey"),
+                    ("customer", "c_nationkey", "nation", "n_nationkey"),
+                    ("nation", "n_regionkey", "region", "r_regionkey")]
+
+
+@register("raw_foreign_keys", "\nUNION ALL\n".join(
+    f"SELECT '{child}' AS table_name, '{fk}' AS column_name, '{parent}' AS parent, "
+    f"(SELECT count(*) FROM {child} WHERE {fk} IS NOT NULL AND {fk} NOT IN (SELECT {key} FROM {parent} "
+    f"WHERE {key} IS NOT NULL)) AS orphans, count({key}) - count(DISTINCT {key}) AS repeated_keys FROM {parent}"
+    for child, fk, parent, key in RAW_FOREIGN_KEYS))
+def q_raw_foreign_keys(spark, sf_dir):
+    names = {n for child, _, parent, _ in RAW_FOREIGN_KEYS for n in (child, parent)}
+    return integrity.foreign_key_report({n: read_table(spark, sf_dir, n) for n in names}, RAW_FOREIGN_KEYS)
+
+
 # --------------------------------------------------------------------------
 # Filters
 

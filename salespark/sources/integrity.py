@@ -57,12 +57,36 @@ def constraint_report(customers: DataFrame, products: DataFrame, orders: DataFra
         parts.append(_rows(name, agg, [("not_null", c, c) for c in cols]
                            + [("primary_key", key, "__dup")]))
     for child, fk, parent in FOREIGN_KEYS:
-        # Reduce the child to (key, rows) first (map-side partial aggregate), so
-        # the anti-join shuffles distinct keys, not every row of a hot key.
-        parent_keys = tables[parent].select(F.col(PRIMARY_KEYS[parent]).alias(fk)).distinct()
-        per_key = tables[child].where(F.col(fk).isNotNull()).groupBy(fk).agg(
-            F.count(F.lit(1)).alias("__rows"))
-        orphans = per_key.join(parent_keys, fk, "left_anti")
-        parts.append(_rows(child, orphans.agg(F.coalesce(F.sum("__rows"), F.lit(0)).alias("n")),
+        parts.append(_rows(child, _orphans(tables[child], fk, tables[parent], PRIMARY_KEYS[parent]),
                            [("foreign_key", fk, "n")]))
     return reduce(DataFrame.unionByName, parts)
+
+
+def _orphans(child: DataFrame, fk: str, parent: DataFrame, key: str) -> DataFrame:
+    """One row ``n``: rows of ``child`` whose reference has no parent.
+
+    The child is reduced to (key, rows) first (map-side partial aggregate), so
+    the anti-join shuffles distinct keys, not every row of a hot key.
+    """
+    parent_keys = parent.select(F.col(key).alias(fk)).distinct()
+    per_key = child.where(F.col(fk).isNotNull()).groupBy(fk).agg(F.count(F.lit(1)).alias("__rows"))
+    return per_key.join(parent_keys, fk, "left_anti").agg(
+        F.coalesce(F.sum("__rows"), F.lit(0)).alias("n"))
+
+
+def foreign_key_report(tables: dict[str, DataFrame],
+                       keys: list[tuple[str, str, str, str]]) -> DataFrame:
+    """One row per (child table, column, parent table, parent key): rows without a parent
+    and parent rows beyond the first of their key (``left_anti``, grouped counts).
+
+    Zeros throughout are what ``sales_fact(trust_foreign_keys=True)`` relies on.
+    """
+    parts = []
+    for child, fk, parent, key in keys:
+        orphans = _orphans(tables[child], fk, tables[parent], key).scalar()
+        repeated = tables[parent].agg(
+            (F.count(key) - F.count_distinct(key)).cast("long").alias("repeated_keys"))
+        parts.append(repeated.select(F.lit(child).alias("table_name"), F.lit(fk).alias("column_name"),
+                                     F.lit(parent).alias("parent"), orphans.cast("long").alias("orphans"),
+                                     "repeated_keys"))
+    return reduce(DataFrame.unionByName, parts)

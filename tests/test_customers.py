@@ -14,7 +14,7 @@ from salespark.operators.ordered import ordered_offsets
 
 from .conftest import rows_by
 
-REF = dt.date(2026, 3, 16)
+REF = dt.date(2025, 6, 26)
 
 
 def test_repeat_customer_rate(sample_df):
@@ -26,11 +26,11 @@ def test_repeat_customer_rate(sample_df):
 def test_rfm_golden(sample_df):
     rfm = rows_by(compute_rfm(sample_df, reference_date=REF), "customer_id")
     expect = {
-        "C1": (15, 4, 780, 2, 5, 5, "At risk"),
-        "C2": (11, 3, 195, 3, 3, 3, "Loyal customers"),
-        "C3": (6, 3, 590, 4, 4, 4, "Champions"),
-        "C4": (29, 1, 180, 1, 1, 2, "Lost"),
-        "C5": (1, 1, 100, 5, 2, 1, "New customers"),
+        "K1": (9, 4, 600, 4, 5, 5, "Champions"),
+        "K2": (1, 3, 224, 5, 3, 2, "Loyal customers"),
+        "K3": (22, 3, 516, 2, 4, 4, "At risk"),
+        "K4": (55, 1, 324, 1, 1, 3, "Needs attention"),
+        "K5": (16, 1, 24, 3, 2, 1, "Needs attention"),
     }
     for cid, (rec, freq, mon, r, f, m, seg) in expect.items():
         row = rfm[cid]
@@ -50,30 +50,31 @@ def test_segment_tables(sample_df):
     counts = {r.segment: r.customers for r in segment_counts(rfm).collect()}
     assert sum(counts.values()) == 5
     summary = rows_by(segment_summary(rfm), "segment")
-    assert float(summary["At risk"]["total_monetary"]) == 780.0
+    assert float(summary["At risk"]["total_monetary"]) == 516.0
     t = customers_to_target(rfm).first()
     assert (t.champions, t.at_risk) == (1, 1)
 
 
 def test_default_reference_date_is_last_order(sample_df):
     base = rows_by(rfm_base(sample_df), "customer_id")
-    assert base["C5"]["recency_days"] == 0  # C5 ordered on the last day
+    assert base["K2"]["recency_days"] == 0  # K2 ordered on the last day
 
 
 def test_churn_risk(sample_df):
     risk = rows_by(churn_risk(sample_df, reference_date=REF), "customer_id")
-    # every customer ordered within 30 days of 2026-03-16 (C4 last on 02-15: 29 days)
-    assert {r["churn_risk"] for r in risk.values()} == {"Low"}
-    assert risk["C4"]["recency_days"] == 29
-    later = rows_by(churn_risk(sample_df, reference_date="2026-05-01"), "customer_id")
-    assert later["C4"]["recency_days"] == 75 and later["C4"]["churn_risk"] == "Medium"
-    assert later["C5"]["churn_risk"] == "Medium"
-    far = rows_by(churn_risk(sample_df, reference_date="2026-08-01"), "customer_id")
-    assert far["C1"]["churn_risk"] == "High"
-    before = rows_by(churn_risk(sample_df, reference_date="2026-01-01"), "customer_id")
-    assert before["C1"]["churn_risk"] is None  # negative recency is outside the bands
+    # all but K4 (last on 05-02: 55 days) ordered within 30 days of 2025-06-26
+    assert {k: r["churn_risk"] for k, r in risk.items()} == {
+        "K1": "Low", "K2": "Low", "K3": "Low", "K4": "Medium", "K5": "Low"}
+    assert risk["K4"]["recency_days"] == 55
+    later = rows_by(churn_risk(sample_df, reference_date="2025-08-01"), "customer_id")
+    assert later["K4"]["recency_days"] == 91 and later["K4"]["churn_risk"] == "High"
+    assert later["K5"]["recency_days"] == 52 and later["K5"]["churn_risk"] == "Medium"
+    far = rows_by(churn_risk(sample_df, reference_date="2025-12-01"), "customer_id")
+    assert far["K1"]["churn_risk"] == "High"
+    before = rows_by(churn_risk(sample_df, reference_date="2025-04-01"), "customer_id")
+    assert before["K1"]["churn_risk"] is None  # negative recency is outside the bands
     assert {r.churn_risk: r.customers for r in churn_counts(churn_risk(sample_df, REF)).collect()} \
-        == {"Low": 5}
+        == {"Low": 4, "Medium": 1}
 
 
 def test_churn_band_edges(spark):
@@ -86,16 +87,16 @@ def test_churn_band_edges(spark):
 
 
 def test_clv(sample_df):
-    rows = customer_lifetime_value(sample_df).collect()
-    assert rows[0].customer_id == "C1"
+    rows = customer_lifetime_value(sample_df).orderBy(F.col("lifetime_profit").desc()).collect()
+    assert rows[0].customer_id == "K1"
     profits = [r.lifetime_profit for r in rows]
     assert profits == sorted(profits, reverse=True)
     by = {r.customer_id: r for r in rows}
-    assert (by["C1"].lifetime_revenue, by["C1"].lifetime_profit, by["C1"].orders,
-            by["C1"].avg_order_value) == (780.0, 310.0, 4, 195.0)
-    assert by["C3"].avg_order_value == 196.67
-    assert by["C2"].avg_order_value == 65.0
-    assert [r.customer_id for r in top_customers(sample_df, 2).collect()] == ["C1", "C3"]
+    assert (by["K1"].lifetime_revenue, by["K1"].lifetime_profit, by["K1"].orders,
+            by["K1"].avg_order_value) == (600.0, 246.0, 4, 150.0)
+    assert by["K3"].avg_order_value == 172.0
+    assert by["K2"].avg_order_value == 74.67
+    assert [r.customer_id for r in top_customers(sample_df, 2).collect()] == ["K1", "K3"]
 
 
 def test_quintile_score_is_the_fifth_of_the_place(spark):
@@ -111,7 +112,7 @@ def test_quintile_score_is_the_fifth_of_the_place(spark):
 
 
 def test_single_customer_scores(sample_df):
-    one = compute_rfm(sample_df.where(F.col("customer_id") == "C1"), reference_date=REF).first()
+    one = compute_rfm(sample_df.where(F.col("customer_id") == "K1"), reference_date=REF).first()
     assert (one.r_score, one.f_score, one.m_score) == (5, 1, 1)
 
 

@@ -77,7 +77,7 @@ def test_constraint_report(spark, sample_df):
     c, p, o = flatfile.normalize(flat)
     o = flatfile.to_snake_case(flat).select(*schema.ORDER_COLUMNS)
     orphan = o.limit(1).withColumn("order_id", F.lit("ORD999")).withColumn("product_id", F.lit("PX"))
-    dup = o.where("order_id = 'ORD001'")
+    dup = o.where("order_id = 'L01'")
     rep = {(r.table_name, r.rule, r.column_name): r.violations
            for r in constraint_report(c, p, o.unionByName(orphan).unionByName(dup)).collect()}
     assert rep[("orders", "foreign_key", "product_id")] == 1

@@ -22,23 +22,23 @@ def test_product_performance_golden(sample_df):
     assert len(rows) == 3
     cols = ("revenue", "profit", "units_sold", "orders", "avg_rating", "return_rate_pct",
             "margin_pct")
-    assert tuple(rows["P1"][c] for c in cols) == (900.0, 360.0, 9, 5, 5.0, 0.0, 40.0)
-    assert tuple(rows["P2"][c] for c in cols) == (750.0, 296.0, 8, 4, 4.0, 0.0, 39.5)
-    assert tuple(rows["P3"][c] for c in cols) == (195.0, -17.0, 3, 3, 2.33, 100.0, -8.7)
+    assert tuple(rows["A7"][c] for c in cols) == (784.0, 304.0, 10, 5, 4.6, 0.0, 38.8)
+    assert tuple(rows["B2"][c] for c in cols) == (798.0, 308.0, 7, 4, 4.0, 25.0, 38.6)
+    assert tuple(rows["C9"][c] for c in cols) == (106.0, -70.0, 4, 3, 2.33, 66.7, -66.0)
 
 
 def test_top_and_worst(sample_df):
-    assert [r.product_id for r in top_products(sample_df, 2).collect()] == ["P1", "P2"]
-    assert [r.product_id for r in worst_products(sample_df, 1).collect()] == ["P3"]
-    assert [r.product_id for r in top_products(sample_df, 1, "margin_pct").collect()] == ["P1"]
+    assert [r.product_id for r in top_products(sample_df, 2).collect()] == ["B2", "A7"]
+    assert [r.product_id for r in worst_products(sample_df, 1).collect()] == ["C9"]
+    assert [r.product_id for r in top_products(sample_df, 1, "margin_pct").collect()] == ["A7"]
 
 
 def test_discount_bands(sample_df):
     rows = discount_impact(sample_df).collect()
     assert [(r.discount_band, r.revenue, r.profit, r.orders, r.margin_pct) for r in rows] == [
-        ("0-10%", 1650.0, 656.0, 9, 39.8),
-        ("20-30%", 70.0, -2.0, 1, -2.9),
-        ("30-100%", 125.0, -15.0, 2, -12.0),
+        ("0-10%", 1582.0, 612.0, 9, 38.7),
+        ("20-30%", 30.0, -14.0, 1, -46.7),
+        ("30-100%", 76.0, -56.0, 2, -73.7),
     ]
     non_null = [r for r in rows if r.margin_pct is not None]
     assert non_null[-1].margin_pct < non_null[0].margin_pct
@@ -59,11 +59,11 @@ def test_discount_band_edges(spark):
 
 def test_quantiles_and_inventory(sample_df):
     q = product_quantiles(product_performance(sample_df)).first()
-    assert round(q.units_q33, 6) == 6.3 and round(q.units_q66, 6) == 8.32
-    assert round(q.margin_q33, 6) == 23.112 and round(q.margin_q66, 6) == 39.66
+    assert round(q.units_q33, 6) == 5.98 and round(q.units_q66, 6) == 7.96
+    assert round(q.margin_q33, 6) == 3.036 and round(q.margin_q66, 6) == 38.664
     inv = rows_by(inventory_recommendation(sample_df), "product_id")
     assert {k: v["recommendation"] for k, v in inv.items()} == {
-        "P1": "Restock", "P2": "Hold", "P3": "Discontinue"}
+        "A7": "Restock", "B2": "Hold", "C9": "Discontinue"}
     counts = {r.recommendation: r.products
               for r in inventory_counts(inventory_recommendation(sample_df)).collect()}
     assert counts == {"Restock": 1, "Hold": 1, "Discontinue": 1}
@@ -111,25 +111,25 @@ def test_repricing_and_unprofitable(sample_df):
 
 def test_category_tables(sample_df):
     cat = {(r.category, r.sub_category): r for r in category_contribution(sample_df).collect()}
-    assert cat[("Electronics", "Smartphones")].margin_pct == 31.3
+    assert cat[("Home", "General")].margin_pct == 26.3
     roll = category_rollup(sample_df).collect()
     levels = sorted((r.level, r.category, r.sub_category) for r in roll)
-    assert levels == [(0, "Clothing", "Smartphones"), (0, "Electronics", "Smartphones"),
-                      (1, "Clothing", None), (1, "Electronics", None)]
-    parent = [r for r in roll if r.level == 1 and r.category == "Electronics"][0]
-    assert (parent.revenue, parent.profit, parent.margin_pct) == (1095.0, 343.0, 31.3)
+    assert levels == [(0, "Home", "General"), (0, "Outdoor", "General"),
+                      (1, "Home", None), (1, "Outdoor", None)]
+    parent = [r for r in roll if r.level == 1 and r.category == "Home"][0]
+    assert (parent.revenue, parent.profit, parent.margin_pct) == (890.0, 234.0, 26.3)
 
 
 def test_sql_rollups(sample_df):
     reg = rows_by(region_rollup(sample_df), "region")
-    assert (reg["South"]["revenue"], reg["South"]["orders"]) == (1370.0, 7)
+    assert (reg["North"]["revenue"], reg["North"]["orders"]) == (1116.0, 7)
     top = top_products_rollup(sample_df, 2, "profit").collect()
-    assert [r.product_name for r in top] == ["Nova Phone", "Ridge Shirt"]
+    assert [r.product_name for r in top] == ["Trail Boots", "Desk Lamp"]
     months = monthly_rollup(sample_df).collect()
     assert [(m.month, m.revenue, m.orders) for m in months] == [
-        ("2026-01", 645.0, 4), ("2026-02", 540.0, 4), ("2026-03", 660.0, 4)]
+        ("2025-04", 406.0, 4), ("2025-05", 634.0, 4), ("2025-06", 648.0, 4)]
     rr = rows_by(return_rate_by_category(sample_df), "category")
-    assert rr["Electronics"]["return_rate_pct"] == 37.5 and rr["Clothing"]["return_rate_pct"] == 0.0
+    assert rr["Home"]["return_rate_pct"] == 25.0 and rr["Outdoor"]["return_rate_pct"] == 25.0
     try:
         top_products_rollup(sample_df, 2, "units")
         raise AssertionError("expected ValueError")

@@ -15,8 +15,8 @@ def test_incremental_flat_file_load(spark, sample_df):
     src, tables, ckpt = f"{base}/in", f"{base}/tables", f"{base}/ckpt"
     os.makedirs(src)
     flat = flatfile.to_flat(sample_df)
-    # first drop: January orders
-    flatfile.write_flat_csv(flat.where(F.month("Order_Date") == 1).coalesce(1), f"{base}/jan")
+    # first drop: April orders
+    flatfile.write_flat_csv(flat.where(F.month("Order_Date") == 4).coalesce(1), f"{base}/jan")
     for name in os.listdir(f"{base}/jan"):
         if name.endswith(".csv"):
             shutil.copyfile(f"{base}/jan/{name}", f"{src}/jan.csv")
@@ -26,7 +26,7 @@ def test_incremental_flat_file_load(spark, sample_df):
     assert (o.count(), c.count(), p.count()) == (4, 3, 3)
 
     # second drop: the other months; known customers and products stay once
-    flatfile.write_flat_csv(flat.where(F.month("Order_Date") > 1).coalesce(1), f"{base}/all")
+    flatfile.write_flat_csv(flat.where(F.month("Order_Date") > 4).coalesce(1), f"{base}/all")
     for name in os.listdir(f"{base}/all"):
         if name.endswith(".csv"):
             shutil.copyfile(f"{base}/all/{name}", f"{src}/all.csv")
