@@ -483,7 +483,8 @@ def deduplicated(docs: DataFrame, width: int = WIDTH, distance: int = DISTANCE)
         marked.join(found, "fp").filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
         .groupBy("doc_id").agg(F.count("*").alias("n")), "firsts")
     alone = F.col("doc_id").isNotNull() & (F.col("n") == 1)
-    kept = docs.join(firsts.filter(alone).select("doc_id"), "doc_id", "left_semi")
+    # the ids grow with the corpus: one plan at every size, never a broadcast of them
+    kept = docs.join(firsts.filter(alone).select("doc_id").hint("merge"), "doc_id", "left_semi")
     shared = firsts.filter(~alone).select(F.col("doc_id").alias("__id"))
     if shared.isEmpty():
         return kept.select(*docs.columns)
