@@ -1,10 +1,13 @@
 """Lexical retrieval packing.
 
-Documents are encoded (``wordbpe``) and dealt out by doc_id into shards.  A shard
-is packed in blocks of at most ``BLOCK_DOCS`` documents, each with its own BM25
-inverted index over token ids; document frequencies, document count and average
-length are those of the whole corpus (one row a token id, so their size is
-bounded by the vocabulary).
+Documents are encoded (``wordbpe``) and dealt out by content into shards: the
+leaves of a tree of median splits (``Tree``), learned from a bounded sample, over
+random projections of the documents' BM25 weights.  A shard is packed in blocks of
+at most ``BLOCK_DOCS`` documents, each with its own BM25 inverted index over token
+ids; document frequencies, document count and average length are those of the
+whole corpus (one row a token id, so their size is bounded by the vocabulary).
+Retrieval does not look outside a block: a neighbour that the tree sent to
+another shard is not found (the README has the measured share).
 
 A window begins with a seed, the first document that is not yet used.  The index
 returns the unused documents of the block by their BM25 score for the seed's
@@ -31,11 +34,20 @@ SHARD_DOCS, BLOCK_DOCS = 1024, 2048
 #: Tokens of a block, about; a block is closed when it holds more.
 BLOCK_TOKENS = 16_000_000
 K1, B = 1.2, 0.75
+#: Components of a projected document; documents that the tree is learned from.
+PROJECTED, SAMPLE_DOCS = 64, 65_536
 
 PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
           "sequence_id long, offset long, sequence_length long")
 
 
+def distinct(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A document's terms in order and how often each stands there (a radix sort for 16-bit ids)."""
+    ids = np.sort(ids, kind="stable")
+    new = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+    return ids[new], np.diff(np.append(new, len(ids)))
+
+
 def corpus_statistics(tokens: DataFrame, dtype: np.dtype) -> tuple[int, int, np.ndarray]:
     """(documents, tokens, document frequency by token id) over all documents."""
     def run(batches):
@@ -44,7 +56,7 @@ def corpus_statistics(tokens: DataFrame, dtype: np.dtype) -> tuple[int, int, np.
         held, docs, total = np.zeros(1 << 16, np.int64), 0, 0
         for batch in batches:
             for ids in batch.column("ids").to_pylist():
-                terms = np.unique(np.frombuffer(ids, dtype))
+                terms, _ = distinct(np.frombuffer(ids, dtype))
                 if terms[-1] >= len(held):
                     held = np.concatenate([held, np.zeros(2 * int(terms[-1]) - len(held) + 2, np.int64)])
                 held[terms] += 1
@@ -64,15 +76,112 @@ def corpus_statistics(tokens: DataFrame, dtype: np.dtype) -> tuple[int, int, np.
     return docs, total, held
 
 
+class Projection:
+    """Documents as unit vectors: random projections of their BM25 weights."""
+
+    def __init__(self, idf: np.ndarray, average: float):
+        self.idf, self.average = idf, average
+        self.axes = np.random.default_rng(7).standard_normal((len(idf), PROJECTED), np.float32)
+
+    def vectors(self, docs: list[np.ndarray]) -> np.ndarray:
+        out = np.zeros((len(docs), PROJECTED), np.float32)
+        for k, ids in enumerate(docs):
+            terms, tf = distinct(ids)
+            norm = K1 * (1 - B + B * len(ids) / self.average)
+            weights = (self.idf[terms] * tf * (K1 + 1) / (tf + norm)).astype(np.float32)
+            vector = weights @ self.axes.take(terms, axis=0)
+            out[k] = vector / (float(np.linalg.norm(vector)) or 1.0)
+        return out
+
+
+class Tree:
+    """Shards by content: a node splits its sample at the median along the direction
+    of the largest spread, until a leaf stands for about ``size`` documents.  A leaf
+    that no direction splits (copies) is dealt out by a hash into as many shards as
+    it needs."""
+
+    def __init__(self, sample: np.ndarray, documents: int, size: int = SHARD_DOCS):
+        each = documents / max(len(sample), 1)  # documents that a sampled one stands for
+        self.axes, self.cuts, self.next, self.parts = [], [], [], []
+        self._grow(sample.astype(np.float64), each, size)
+        self.axes, self.cuts = np.array(self.axes, np.float32), np.array(self.cuts, np.float32)
+        self.next, self.parts = np.array(self.next), np.array(self.parts)
+        self.first = np.cumsum(self.parts) - self.parts
+        self.shards = int(self.parts.sum())
+
+    def _grow(self, sample: np.ndarray, each: float, size: int) -> int:
+        at = len(self.cuts)
+        self.axes.append(np.zeros(PROJECTED))
+        self.cuts.append(0.0)
+        self.next.append((-1, -1))
+        self.parts.append(0)
+        if len(sample) > 1 and len(sample) * each > 1.5 * size:
+            apart = sample - sample.mean(axis=0)
+            axis = np.linalg.eigh(apart.T @ apart)[1][:, -1].astype(np.float32)
+            along = sample.astype(np.float32) @ axis
+            cut = np.median(along).astype(np.float32)
+            right = along > cut
+            if right.any() and np.ptp(along) > 1e-4:
+                self.axes[at], self.cuts[at] = axis, cut
+                self.next[at] = (self._grow(sample[~right], each, size), self._grow(sample[right], each, size))
+                return at
+        self.parts[at] = max(1, round(len(sample) * each / size))
+        return at
+
+    def shard_of(self, vectors: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        node = np.zeros(len(vectors), np.int64)
+        while len(at := np.flatnonzero(self.next[node, 0] >= 0)):
+            here = node[at]
+            right = np.einsum("ij,ij->i", vectors[at], self.axes[here]) > self.cuts[here]
+            node[at] = self.next[here, right.astype(np.int64)]
+        return self.first[node] + hashes % self.parts[node]
+
+
+def content_tree(tokens: DataFrame, stats, dtype: np.dtype, documents: int) -> Tree:
+    """The tree over a sample of the encoded documents, chosen by a hash of the row."""
+    def run(batches):
+        import pyarrow as pa
+
+        projection = Projection(*stats.value)
+        for batch in batches:
+            found = projection.vectors([np.frombuffer(i, dtype) for i in batch.column("ids").to_pylist()])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array([v.tobytes() for v in found], pa.binary())], ["doc_id", "vector"])
+
+    if documents <= 1.5 * SHARD_DOCS:
+        return Tree(np.zeros((0, PROJECTED)), 0)
+    if documents > SAMPLE_DOCS:
+        share = int(SAMPLE_DOCS / documents * (1 << 30))
+        tokens = tokens.filter(F.pmod(F.xxhash64("doc_id", "ids", F.lit(3)), F.lit(1 << 30)) < share)
+    rows = tokens.mapInArrow(run, "doc_id long, vector binary").orderBy("doc_id", "vector").toArrow()
+    flat = np.frombuffer(b"".join(rows.column("vector").to_pylist()), np.float32)
+    return Tree(flat.reshape(-1, PROJECTED), documents)
+
+
+def _deal(stats, tree, dtype: np.dtype):
+    """mapInArrow over (doc_id, ids, hash): (shard, doc_id, ids)."""
+    def run(batches):
+        import pyarrow as pa
+
+        projection = Projection(*stats.value)
+        for batch in batches:
+            docs = [np.frombuffer(i, dtype) for i in batch.column("ids").to_pylist()]
+            shards = tree.value.shard_of(projection.vectors(docs), batch.column("hash").to_numpy())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(shards, pa.int64()), batch.column("doc_id"), batch.column("ids")], ["shard", "doc_id", "ids"])
+    return run
+
+
 class Block:
     """Documents of a block and their inverted index."""
 
     def __init__(self, docs: list[np.ndarray], idf: np.ndarray, average: float):
         sizes = np.array([len(d) for d in docs])
-        owner = np.repeat(np.arange(len(docs)), sizes)
-        flat = np.concatenate(docs).astype(np.int64)
-        pairs, tf = np.unique(flat * len(docs) + owner, return_counts=True)
-        term, self.units = pairs // len(docs), (pairs % len(docs)).astype(np.int32)
+        found = [distinct(d) for d in docs]
+        term, tf = np.concatenate([t for t, _ in found]), np.concatenate([c for _, c in found])
+        owner = np.repeat(np.arange(len(docs), dtype=np.int32), [len(t) for t, _ in found])
+        by_term = np.argsort(term, kind="stable")
+        term, tf, self.units = term[by_term], tf[by_term], owner[by_term]
         norm = K1 * (1 - B + B * sizes / average)
         self.weights = (idf[term] * tf * (K1 + 1) / (tf + norm[self.units])).astype(np.float32)
         # postings lie by term; a document's terms point at their postings
@@ -181,14 +290,14 @@ def _powers(pieces: list[tuple[int, int, int]]):
 
 
 def _pack(stats, dtype: np.dtype, window: int, payload: bool):
-    """mapInArrow over a shard's rows sorted by doc_id: the pieces of its sequences."""
+    """mapInArrow over rows sorted by shard and doc_id: the pieces of their sequences."""
     def run(batches):
         import pyarrow as pa
         from pyspark import TaskContext
 
         idf, average = stats.value
         sequence = TaskContext.get().partitionId() << 32
-        names, docs, held = [], [], 0
+        names, docs, held, now = [], [], 0, None
 
         def close():
             nonlocal sequence
@@ -209,7 +318,11 @@ def _pack(stats, dtype: np.dtype, window: int, payload: bool):
             return pa.RecordBatch.from_arrays(arrays, columns)
 
         for batch in batches:
-            for name, ids in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist()):
+            for shard, name, ids in zip(*(batch.column(c).to_pylist() for c in ("shard", "doc_id", "ids"))):
+                if docs and shard != now:
+                    yield close()
+                    names, docs, held = [], [], 0
+                now = shard
                 names.append(name)
                 docs.append(np.frombuffer(ids, dtype))
                 held += len(docs[-1])
@@ -236,6 +349,11 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, payload: bool =
     idf = np.log(1 + (n - held + 0.5) / (held + 0.5))
     stats = docs.sparkSession.sparkContext.broadcast((idf, max(total / max(n, 1), 1.0)))
     schema = PIECES + (", ids binary" if payload else "")
-    return (tokens.repartition(max(1, -(-n // SHARD_DOCS)), "doc_id")
-            .sortWithinPartitions("doc_id", "ids")
+    tree = content_tree(tokens, stats, dtype, n)
+    shared = docs.sparkSession.sparkContext.broadcast(tree)
+    key = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)).alias("hash")
+    return (tokens.select("doc_id", "ids", key)
+            .mapInArrow(_deal(stats, shared, dtype), "shard long, doc_id long, ids binary")
+            .repartition(tree.shards, "shard")
+            .sortWithinPartitions("shard", "doc_id", "ids")
             .mapInArrow(_pack(stats, dtype, window, payload), schema))

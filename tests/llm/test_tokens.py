@@ -134,3 +134,43 @@ def test_bm25_scores_and_neighbours():
     score = block.scores(0)
     score[0] = -1
     assert first[0][0] == 0 and first[1][0] == int(np.argmax(score)) and sum(p[2] for p in first) == 64
+
+
+def test_neighbours_share_a_shard():
+    """Of a corpus of several shards, most corpus-wide best neighbours lie in the seed's
+    own shard, whatever the doc_ids; copies that no direction splits are dealt out."""
+    rng = np.random.default_rng(4)
+    topics = [rng.choice(2000, 60, replace=False) for _ in range(40)]
+    docs = [rng.choice(topics[k % 40], 50).astype(np.uint16) for k in range(4000)]
+    held = np.bincount(np.concatenate([np.unique(d) for d in docs]), minlength=2000)
+    idf = np.log(1 + (len(docs) - held + 0.5) / (held + 0.5))
+    vectors = packing.Projection(idf, 50.0).vectors(docs)
+    tree = packing.Tree(vectors, len(docs), 250)
+    shards = tree.shard_of(vectors, rng.integers(0, 1 << 31, len(docs)))
+    assert tree.shards >= 10 and np.bincount(shards).max() <= 500
+    block = packing.Block(docs, idf, 50.0)
+    same = []
+    for seed in range(0, 4000, 40):
+        score = block.scores(seed)
+        score[seed] = -1
+        same.append(shards[seed] == shards[int(np.argmax(score))])
+    assert np.mean(same) > 0.6  # by a hash of doc_id: one in tree.shards
+    copies = np.repeat(vectors[:1], 4000, axis=0)
+    tree = packing.Tree(copies, len(copies), 250)
+    assert np.bincount(tree.shard_of(copies, rng.integers(0, 1 << 31, 4000))).max() < 400
+
+
+def test_packing_brings_topics_together(spark):
+    """Windows of a corpus of many shards hold documents of one topic."""
+    rng = random.Random(6)
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(640)]
+    texts = [(k * 7919 % 100003, " ".join(rng.choices(words[k % 16 * 40:k % 16 * 40 + 40], k=40))) for k in range(6000)]
+    topic = {doc: k % 16 for k, (doc, _) in enumerate(texts)}
+    rows = packing.pack(spark.createDataFrame(texts, "doc_id long, text string"), word_tokenizer(), payload=False).collect()
+    assert len({r.doc_id for r in rows}) == len(texts)
+    check_pieces(rows)
+    shards = defaultdict(lambda: defaultdict(int))
+    for r in rows:
+        shards[r.sequence_id >> 32][topic[r.doc_id]] += 1
+    # dealt out by doc_id every shard holds all 16 topics alike
+    assert np.mean([max(s.values()) / sum(s.values()) for s in shards.values()]) > 0.15
