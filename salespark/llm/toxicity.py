@@ -33,9 +33,9 @@ DIM, EPOCHS, BATCH, RATE, DECAY = 8, 24, 128, 0.5, 1e-5
 SHORTEST, LONGEST = 3, 6
 SCREEN, MOST_GRAMS = 20.0, 40_000
 THRESHOLD = 0.3
-#: Words of a window: a longer text scores as its most toxic window or as a
-#: whole, whichever is more, so a passage isn't averaged away by its surroundings.
-#: A word that a window repeats counts there once.
+#: Words of a window: a longer text scores as its most toxic window (of those that
+#: begin at any word) or as a whole, whichever is more, so a passage isn't averaged
+#: away by its surroundings, wherever it stands.
 WINDOW = 128
 WORDS_KEPT = 400_000
 _EDGES = ".,;:!?\"'()[]{}<>|%&$#*-_"
@@ -65,11 +65,12 @@ class Model:
             found = text.split()
             if not found:
                 continue
-            means = [sum(map(words.__getitem__, found)) / len(found)]
-            for k in range(0, len(found) - WINDOW // 2 if len(found) > WINDOW else 0, WINDOW):
-                part = found[k:k + WINDOW]
-                means.append(sum(map(words.__getitem__, dict.fromkeys(part))) / len(part))
-            logit[i] += max(means)
+            values = np.fromiter(map(words.__getitem__, found), float, len(found))
+            mean = values.sum() / len(found)
+            if len(found) > WINDOW:
+                sums = np.concatenate([[0.0], np.cumsum(values)])
+                mean = max(mean, (sums[WINDOW:] - sums[:-WINDOW]).max() / WINDOW)
+            logit[i] += mean
         return 1 / (1 + np.exp(-np.clip(logit, -500, 500)))
 
 

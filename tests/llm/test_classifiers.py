@@ -108,3 +108,22 @@ def test_prototype_is_the_bundle_of_bound_letters(spark):
     want = sum(np.roll(tri.letter(a), 2).astype(int) * np.roll(tri.letter(b), 1) * tri.letter(c)
                for a, b, c in (" ab", "abc", "bca", "ca "))
     assert langid.prototypes(df)["x"] @ (want / np.linalg.norm(want)) == pytest.approx(1.0, abs=1e-6)
+
+
+def test_toxic_passages_anywhere_in_long_texts():
+    """At the end, across a multiple of the window and of one repeated word."""
+    plain = toxicity.Model({"<bad>": 60.0}, -3.0)  # the word "bad" weighs 10
+    for before, after in ((300, 0), (10_000, 0), (2560 - 32, 2000)):
+        assert plain.score([b"river " * before + b"bad " * 64 + b"river " * after])[0] > 0.8
+    model = toxicity.train(*made_texts(800, 1))
+    clean = [w for t in made_texts(400, 9)[0][1::4] for w in t.split()]
+    passage = [b"blorged", b"snarkling", b"blorgish", b"snarkled"]
+    for words in (192, 300, 1000):
+        assert model.score([b" ".join(clean[:words])])[0] < 0.3
+    scores = model.score([b" ".join(clean[:192 - 16] + passage * 4), b" ".join(clean[:300 - 16] + passage * 4),
+                          b" ".join(clean[:2560 - 8] + passage * 4 + clean[:2000]),
+                          b" ".join(clean[:2560] + [b"blorged"] * 60 + clean[:2000])])
+    assert (scores >= 0.3).all()
+    # every start counts: a passage scores alike wherever it stands
+    anywhere = model.score([b" ".join(clean[:1] * k + passage * 32 + clean[:1] * (999 - k)) for k in (0, 64, 100, 999)])
+    assert np.ptp(anywhere) < 1e-9
