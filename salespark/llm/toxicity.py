@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from salespark.llm import common
 
 #: Labelled rows that training takes at most (in expectation; a hash decides).
-SAMPLE_ROWS = 6_000
+SAMPLE_ROWS = 8_000
 DIM, EPOCHS, BATCH, RATE, DECAY = 8, 24, 128, 0.5, 1e-5
 SHORTEST, LONGEST = 3, 6
 SCREEN, MOST_GRAMS = 20.0, 40_000

@@ -127,3 +127,8 @@ def test_toxic_passages_anywhere_in_long_texts():
     # every start counts: a passage scores alike wherever it stands
     anywhere = model.score([b" ".join(clean[:1] * k + passage * 32 + clean[:1] * (999 - k)) for k in (0, 64, 100, 999)])
     assert np.ptp(anywhere) < 1e-9
+
+
+def test_training_takes_the_documented_rows():
+    """The held-out figures of the README are those of 8,000 training rows."""
+    assert toxicity.SAMPLE_ROWS >= 8_000
