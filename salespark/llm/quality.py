@@ -209,14 +209,15 @@ def base_failed(q: str = "__q") -> Column:
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> list[Rule]:
     """Rules learned from labelled documents that the base tests pass (``labels.quality``
     0 is bad).  Rows of null doc_id or label take no part; of a document labelled
-    twice the smaller label counts.  Without both classes there are no rules."""
+    twice the smaller label counts, of rows of one doc_id the first text in order.  Without both classes there are no rules."""
     known = (labels.select("doc_id", F.col("quality").cast("int").alias("quality"))
              .filter("doc_id is not null and quality is not null")
              .groupBy("doc_id").agg(F.min("quality").alias("quality")))
     n = known.count()
     if n > rows:
         known = known.filter(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 20)) < int(rows / n * (1 << 20)))
-    chosen = docs.select("doc_id", "text").join(known, "doc_id")
+    chosen = (docs.select("doc_id", "text").join(known, "doc_id")
+              .groupBy("doc_id", "quality").agg(F.min("text").alias("text")))
     got = (features(chosen).filter(~base_failed())
            .select("doc_id", "quality", *(F.col(f"__q.{f}").cast("double").alias(f) for f in FEATURES))
            .orderBy("doc_id", *FEATURES).collect())

@@ -188,7 +188,8 @@ def train(texts: list[bytes], labels, seed: int = 7) -> Model:
 def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
     """(text, toxic) of about ``rows`` labelled documents outside the held-out part,
     chosen by a hash of doc_id; all of them where there are fewer.  Rows of null
-    doc_id or label take no part; of a document labelled twice the greater label counts."""
+    doc_id or label take no part; of a document labelled twice the greater label counts,
+    of rows of one doc_id the first text in order is taken."""
     known = (labels.select("doc_id", F.col("toxic").cast("int").alias("toxic"))
              .filter("doc_id is not null and toxic is not null")
              .filter(common.bucket_of(labels, 4) != 2)
@@ -196,7 +197,9 @@ def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataF
     n = known.count()
     if n > rows:
         known = known.filter(F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1 << 20)) < int(rows / n * (1 << 20)))
-    return docs.select("doc_id", common.text_bytes().alias("text")).join(known, "doc_id").select("text", "toxic")
+    return (docs.select("doc_id", common.text_bytes().alias("text")).join(known, "doc_id")
+            .groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
+            .select("text", "toxic"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:

@@ -6,7 +6,7 @@ import zlib
 import numpy as np
 import pytest
 
-from salespark.llm import langid, toxicity
+from salespark.llm import langid, quality, toxicity
 
 TABLE = "/root/testdata/sf0.01"
 
@@ -132,3 +132,17 @@ def test_toxic_passages_anywhere_in_long_texts():
 def test_training_takes_the_documented_rows():
     """The held-out figures of the README are those of 8,000 training rows."""
     assert toxicity.SAMPLE_ROWS >= 8_000
+
+
+def test_repeated_doc_ids_do_not_grow_the_sample(spark, monkeypatch):
+    rows = [(1, f"copy {i} of a text") for i in range(300)] + [(i, f"text {i} here") for i in range(2, 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame([(i, i % 2, i % 2) for i in range(40)], "doc_id long, toxic int, quality int")
+    got = toxicity.sample(docs, marks).collect()
+    ids = {i for i in range(1, 40) if remainder(i, 4) != 2}
+    assert len(got) == len(ids)
+    seen = []
+    monkeypatch.setattr(quality, "learn", lambda x, bad: seen.append(len(x)) or [])
+    monkeypatch.setattr(quality, "LEAST_WORDS", 0)
+    quality.fit(docs, marks)
+    assert seen[0] <= 39
