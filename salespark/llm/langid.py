@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from salespark.llm import common
 
-DIM = 512
+DIM = 1024
 UNDETERMINED = "und"
 #: Remembered words and trigram vectors per Python worker; beyond them they start afresh.
 WORDS_KEPT, TRIGRAMS_KEPT = 300_000, 50_000

@@ -146,3 +146,12 @@ def test_repeated_doc_ids_do_not_grow_the_sample(spark, monkeypatch):
     monkeypatch.setattr(quality, "LEAST_WORDS", 0)
     quality.fit(docs, marks)
     assert seen[0] <= 39
+
+
+def test_components_keep_unrelated_trigrams_apart():
+    """The noise of a cosine between unrelated trigrams is that of 1,024 components."""
+    tri = langid.Trigrams()
+    numbers = [tri.number(a + b + c) for a in "abcdefgh" for b in "ijklmnop" for c in "qrst"]
+    v = tri.vectors[numbers].astype(float)
+    cosines = (v @ v.T / v.shape[1])[np.triu_indices(len(v), 1)]
+    assert np.sqrt(np.mean(cosines ** 2)) < 0.036
