@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from salespark.llm import common, langid, neighbours, packing, piecebpe, private, quality, secrets, simhash, tokenfiles, toxicity
+from salespark.llm import (chat, common, hardneg, langid, manifest, neighbours, packing, piecebpe, private, quality, secrets,
+                           simhash, tokenfiles, toxicity)
 
 
 def word_tokenizer() -> str:
@@ -72,6 +73,23 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.languages(common.table(spark, sf_dir, "documents"))
 
 
+def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merkle manifest of the documents, each folded to the root after tampering."""
+    return manifest.tamper_check(common.table(spark, sf_dir, "documents"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of each vec_id divisible by 50, for its five positives."""
+    return hardneg.mine(common.table(spark, sf_dir, "embeddings"), hardneg.op12_anchor(), hardneg.op12_label())
+
+
+def op13_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations formatted, written, read back and digested."""
+    rows = common.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    rows = rows.unionByName(spark.createDataFrame(chat.CONTROL_ROWS, rows.schema))
+    return chat.digest(common.written(chat.formatted(chat.text_parts(rows)), "chat"))
+
+
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_packing": op2_packing,
@@ -83,7 +101,14 @@ QUERIES = {
     "op8_piece_bpe": op8_piece_bpe,
     "op9_toxicity": op9_toxicity,
     "op10_language": op10_language,
+    "op11_manifest": op11_manifest,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_chat": op13_chat,
 }
 
 #: DuckDB SQL per key, where SQL can express the query.
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op11_manifest": manifest.oracle(),
+    "op12_hard_negatives": hardneg.oracle(),
+    "op13_chat": chat.oracle(),
+}
