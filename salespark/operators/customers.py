@@ -11,11 +11,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import money, quintile_score, ratio_pct, safe_div
-from .ordered import ordered_offsets_n
+from .ordered import cache, ordered_offsets_n
 
 # Segment names in rule order, and the churn bands
 # (right-closed day ranges) with their labels.
 SEGMENTS = ("Champions", "Loyal customers", "New customers", "At risk", "Lost", "Needs attention")
+RFM_METRICS = ("recency_days", "frequency", "monetary")
 CHURN_BANDS = ((-1, 30, "Low"), (30, 90, "Medium"), (90, 10_000, "High"))
 
 
@@ -75,25 +76,25 @@ def compute_rfm(fact: DataFrame, reference_date=None, rows_per_bucket: int | Non
     """RFM scores 1..5 by equal-count quintiles of each metric's position.
 
     Positions break ties by customer id (first-come order of the sorted
-    customers).  Recency scores are reversed (recent = 5).  Positions come
-    from ``ordered_offsets``: bounded tasks at any customer count.
+    customers); a NULL metric comes last.  Recency scores are reversed (recent =
+    5).  Positions come from one ``ordered_offsets`` pass over (metric, value,
+    customer): bounded tasks at any customer count.
     """
-    base = rfm_base(fact, reference_date)
-    ranked = base
-    n = 0
-    for metric, rank_col in (("recency_days", "__r_rank"), ("frequency", "__f_rank"),
-                             ("monetary", "__m_rank")):
-        ranked, n = ordered_offsets_n(ranked, [(metric, True), ("customer_id", True)],
-                                      rank_col=rank_col, count_col=None,
-                                      rows_per_bucket=rows_per_bucket, buckets=buckets)
-    total = F.lit(n)
-    scored = ranked.select(
-        "customer_id", "customer_name", "last_order_date", "frequency", "monetary",
-        "recency_days",
-        (F.lit(6) - quintile_score("__r_rank", total)).alias("r_score"),
-        quintile_score("__f_rank", total).alias("f_score"),
-        quintile_score("__m_rank", total).alias("m_score"),
-    )
+    base = cache(rfm_base(fact, reference_date))
+    n = base.count()
+    # the three metrics as rows, so that one ordered pass ranks them all
+    rows = base.select("customer_id", F.explode(F.array(*[
+        F.struct(F.lit(m).alias("metric"), F.col(m).cast("decimal(38,4)").alias("value"))
+        for m in RFM_METRICS])).alias("__m")).select("customer_id", "__m.*")
+    ranked, _ = ordered_offsets_n(rows, [("value", True), ("customer_id", True)], rank_col="__rank", count_col=None,
+                                  rows_per_bucket=rows_per_bucket, buckets=buckets, by=["metric"],
+                                  n=len(RFM_METRICS) * n)
+    score = quintile_score("__rank", F.lit(n))
+    scores = ranked.groupBy("customer_id").agg(*[
+        F.max(F.when(F.col("metric") == m, score)).alias(m[0] + "_score") for m in RFM_METRICS])
+    scored = base.join(scores, "customer_id").select(
+        "customer_id", "customer_name", "last_order_date", "frequency", "monetary", "recency_days",
+        (F.lit(6) - F.col("r_score")).alias("r_score"), "f_score", "m_score")
     return scored.withColumn("rfm_score", F.col("r_score") + F.col("f_score") + F.col("m_score")) \
         .withColumn("segment", segment_expr())
 

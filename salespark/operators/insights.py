@@ -11,9 +11,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import dround, ratio_pct
-from . import customers, kpi, products, trends
+from ..functions.exprs import band_label_expr, dround, ratio_pct
+from . import customers, kpi, products
 from .ordered import cache
+from .profile import MONTH, Profile, sales_profile
 
 INSIGHT_COLUMNS = ["insight_id", "kind", "subject", "detail", "value", "value2", "text"]
 
@@ -94,18 +95,22 @@ def _fact(df: DataFrame, insight_id: int, kind: str, subject=None, detail=None,
                      c(text, "string").alias("text"))
 
 
-def region_growth(fact: DataFrame, exact: bool = False) -> DataFrame:
+def region_growth(fact: DataFrame, exact: bool = False, profile: Profile | None = None) -> DataFrame:
     """Per region: revenue in the first and the last month of the data and the
     growth % between them (1 dp).  Needs two months; regions with no first-
     month revenue are left out; fastest (unrounded) first.  ``exact=True`` adds
-    the unrounded ``growth``."""
-    dated = fact.where(F.col("order_date").isNotNull() & F.col("region").isNotNull())
-    month = F.trunc("order_date", "month")
-    bounds = dated.agg(F.struct(F.min(month).alias("f"), F.max(month).alias("l"))).scalar()
+    the unrounded ``growth``.  The fact is read once, by region and month; a
+    ``profile`` has those sums already."""
+    months = profile.known("region_months") if profile else cache(
+        fact.where(F.col("order_date").isNotNull() & F.col("region").isNotNull())
+        .groupBy("region", F.trunc("order_date", "month").alias(MONTH)).agg(F.sum("revenue").alias("rev")))
+    bounds = months.agg(F.struct(F.min(MONTH).alias("f"), F.max(MONTH).alias("l"))).scalar()
     first_m, last_m = bounds.getField("f"), bounds.getField("l")
-    g = dated.groupBy("region").agg(
-        F.coalesce(F.sum(F.when(month == first_m, F.col("revenue"))), F.lit(0)).alias("first_rev"),
-        F.coalesce(F.sum(F.when(month == last_m, F.col("revenue"))), F.lit(0)).alias("last_rev"))
+
+    def revenue_of(month: Column) -> Column:
+        return F.coalesce(F.sum(F.when(F.col(MONTH) == month, F.col("rev"))), F.lit(0))
+
+    g = months.groupBy("region").agg(revenue_of(first_m).alias("first_rev"), revenue_of(last_m).alias("last_rev"))
     g = g.where((first_m != last_m) & (F.col("first_rev") != 0))
     growth = (F.col("last_rev") - F.col("first_rev")).cast("double") / F.col("first_rev").cast("double") * 100
     out = g.select("region",
@@ -118,12 +123,13 @@ def region_growth(fact: DataFrame, exact: bool = False) -> DataFrame:
     return out if exact else out.drop("growth")
 
 
-def category_margin(fact: DataFrame, exact: bool = False) -> DataFrame:
+def category_margin(fact: DataFrame, exact: bool = False, profile: Profile | None = None) -> DataFrame:
     """Margin % (1 dp) per category with revenue > 0, thinnest (unrounded) first.
     ``exact=True`` adds the unrounded ratio ``margin``."""
-    g = (fact.where(F.col("category").isNotNull()).groupBy("category")
-         .agg(F.sum("revenue").alias("rev"), F.sum("profit").alias("prof"))
-         .where(F.col("rev") > 0))
+    sums = profile.known("categories") if profile else (
+        fact.where(F.col("category").isNotNull()).groupBy("category")
+        .agg(F.sum("revenue").alias("rev"), F.sum("profit").alias("prof")))
+    g = sums.where(F.col("rev") > 0)
     out = g.select("category", F.round("rev", 2).cast("double").alias("revenue"),
                    F.round("prof", 2).cast("double").alias("profit"),
                    ratio_pct("prof", "rev").alias("margin_pct"),
@@ -131,10 +137,19 @@ def category_margin(fact: DataFrame, exact: bool = False) -> DataFrame:
     return out if exact else out.drop("margin")
 
 
-def discount_erosion(fact: DataFrame, edges: list[float] | None = None) -> DataFrame:
+def _bands(fact: DataFrame, edges: list[float] | None, profile: Profile | None) -> DataFrame:
+    """(band_idx, discount_band, margin_pct, unrounded margin) of every discount band."""
+    if profile is None:
+        return products.discount_impact(fact, edges, exact=True)
+    return profile.known("bands").select(
+        "band_idx", band_label_expr("band_idx", profile.edges).alias("discount_band"),
+        ratio_pct("prof", "rev").alias("margin_pct"), products.margin_ratio().alias("margin"))
+
+
+def discount_erosion(fact: DataFrame, edges: list[float] | None = None, profile: Profile | None = None) -> DataFrame:
     """One row when there are at least two discount bands: first and last
     band, their margins, and whether the last is more than 5 points lower."""
-    bands = products.discount_impact(fact, edges)
+    bands = _bands(fact, edges, profile)
     first = F.min_by(F.struct("discount_band", "margin_pct"), F.col("band_idx"))
     last = F.max_by(F.struct("discount_band", "margin_pct"), F.col("band_idx"))
     agg = bands.agg(first.alias("f"), last.alias("l"), F.count(F.lit(1)).alias("bands"))
@@ -148,21 +163,24 @@ def discount_erosion(fact: DataFrame, edges: list[float] | None = None) -> DataF
     return out.withColumn("erodes", erodes)
 
 
-def profit_drivers(fact: DataFrame, edges: list[float] | None = None) -> DataFrame:
+def profit_drivers(fact: DataFrame, edges: list[float] | None = None, profile: Profile | None = None) -> DataFrame:
     """Profit-erosion facts: the thinnest-margin category, the highest discount
     band's margin, the truly lowest-margin band, and the number of
-    loss-making products (each row only when it exists)."""
-    cat = category_margin(fact, exact=True)
+    loss-making products (each row only when it exists).  All come from one
+    profile of the fact."""
+    profile = profile or sales_profile(fact, edges, ("products", "categories", "bands"))
+    cat = category_margin(fact, exact=True, profile=profile)
     thin = cat.agg(F.min_by(F.struct("category", "margin_pct"),
                             F.struct("margin", "category")).alias("t"),
                    F.count(F.lit(1)).alias("n")).where(F.col("n") > 0)
-    bands = products.discount_impact(fact, edges, exact=True)
+    bands = _bands(fact, edges, profile)
     band_agg = bands.agg(
         F.max_by(F.struct("discount_band", "margin_pct"), F.col("band_idx")).alias("last"),
         F.min_by(F.struct("discount_band", "margin_pct"),
                  F.struct(F.col("margin"), F.col("band_idx"))).alias("low"),
         F.count(F.lit(1)).alias("n"), F.count("margin_pct").alias("nm"))
-    unprof = products.unprofitable_products(fact).where(F.col("unprofitable_products") > 0)
+    unprof = profile.known("products").agg(
+        F.count_if(F.col("prof") < 0).alias("unprofitable_products")).where(F.col("unprofitable_products") > 0)
     parts = [
         thin.select(F.lit("thinnest_category").alias("driver"),
                     F.col("t.category").alias("subject"), F.col("t.margin_pct").alias("value")),
@@ -182,30 +200,35 @@ def profit_drivers(fact: DataFrame, edges: list[float] | None = None) -> DataFra
 
 
 def summary_insights(fact: DataFrame, summary: DataFrame | None = None,
-                     edges: list[float] | None = None) -> DataFrame:
+                     edges: list[float] | None = None, profile: Profile | None = None) -> DataFrame:
     """Up to five headline insights, in order: growth, top region, a repricing
     candidate, discount erosion, and the average-order-value line.  Each is
-    left out when its condition fails (no growth figure, no region, ...)."""
+    left out when its condition fails (no growth figure, no region, ...).
+    All but the distinct counts of the summary come from one profile of the fact."""
+    profile = profile or sales_profile(fact, edges, ("products", "region_months", "bands", "days"))
     # one row, read by two of the insights: computed once
-    summary = cache(summary if summary is not None else kpi.executive_summary(fact))
+    summary = cache(summary if summary is not None else kpi.executive_summary(fact, profile=profile))
     g = F.col("revenue_growth_pct")
     growth = summary.where(g.isNotNull()).select(
         g, F.when(g >= 0, "increased").otherwise("decreased").alias("dir"))
     growth = _fact(growth, 1, "revenue_growth", subject=F.col("dir"), value=g,
                    text=_say("revenue_growth", F.col("dir"), _whole(F.abs(g))))
 
-    by_region = trends.revenue_by_dimension(fact, "region")
-    top = by_region.limit(1)
+    regions = profile.by("region_months").where(F.col("region").isNotNull())
+    total = regions.agg(F.sum("rev")).scalar()
+    top = (regions.groupBy("region").agg(F.sum("rev").alias("rev"))
+           .select("region", F.when(total != 0, ratio_pct("rev", total)).otherwise(F.lit(0.0)).alias("revenue_share_pct"), "rev")
+           .orderBy(F.col("rev").desc(), "region").limit(1))
     top = _fact(top, 2, "top_region", subject=F.col("region"), value=F.col("revenue_share_pct"),
                 text=_say("top_region", F.col("region"), _whole(F.col("revenue_share_pct"))))
 
-    cand = products.repricing_candidates(fact).limit(1)
+    cand = products.repriced(products.measured(profile.known("products").where(F.col("rev") > 0))).limit(1)
     cand = _fact(cand, 3, "repricing_candidate", subject=F.col("product_name"),
                  value=F.col("revenue"), value2=F.col("margin_pct"),
                  text=_say("repricing_candidate", F.col("product_name"),
                            _thousands(F.col("revenue")), _whole(F.col("margin_pct"))))
 
-    ero = discount_erosion(fact, edges).where(F.col("erodes"))
+    ero = discount_erosion(fact, edges, profile).where(F.col("erodes"))
     ero = _fact(ero, 4, "discount_erosion", subject=F.col("first_band"),
                 detail=F.col("last_band"), value=F.col("first_margin_pct"),
                 value2=F.col("last_margin_pct"),
@@ -222,11 +245,12 @@ def summary_insights(fact: DataFrame, summary: DataFrame | None = None,
     return reduce(DataFrame.unionByName, [growth, top, cand, ero, aov]).orderBy("insight_id")
 
 
-def recommendations(fact: DataFrame, summary: DataFrame | None = None) -> DataFrame:
+def recommendations(fact: DataFrame, summary: DataFrame | None = None, profile: Profile | None = None) -> DataFrame:
     """Restock and Discontinue counts (when non-zero) and a return-rate alert
     above 8 %, as (kind, value, text) rows."""
-    summary = cache(summary if summary is not None else kpi.executive_summary(fact))
-    counts = products.inventory_counts(products.inventory_recommendation(fact))
+    profile = profile or sales_profile(fact, groupings=("products", "days"))
+    summary = cache(summary if summary is not None else kpi.executive_summary(fact, profile=profile))
+    counts = cache(products.inventory_counts(products.flagged(products.measured(profile.known("products")))))
     restock = counts.where((F.col("recommendation") == products.RESTOCK)
                            & (F.col("products") > 0)).select(
         F.lit(1).alias("rec_id"), F.lit("restock").alias("kind"),

@@ -27,7 +27,11 @@ def period_growth(fact: DataFrame) -> DataFrame:
     from them as one struct-valued scalar subquery, and two conditional sums
     split them.
     """
-    daily = cache(daily_totals(fact))
+    return growth_of_days(cache(daily_totals(fact)))
+
+
+def growth_of_days(daily: DataFrame) -> DataFrame:
+    """``period_growth`` from the revenue of each day (order_date, revenue)."""
     bounds = daily.agg(F.struct(F.min("order_date").alias("lo"),
                                 F.max("order_date").alias("hi"))).scalar()
     lo, hi = bounds.getField("lo"), bounds.getField("hi")
@@ -56,23 +60,36 @@ def _distinct(c: str, approx: bool) -> Column:
     return F.approx_count_distinct(c) if approx else F.count_distinct(F.col(c))
 
 
-def executive_summary(fact: DataFrame, approx: bool = False) -> DataFrame:
+def executive_summary(fact: DataFrame, approx: bool = False, profile=None) -> DataFrame:
     """One row of headline KPIs over every row of ``fact``.
 
     Revenue and profit (2 dp), distinct orders and customers, average order
     value (2 dp, 0 without orders), margin % and row-based return rate %
     (1 dp, 0 for an empty input) and half-period growth % (NULL when
-    undefined).  ``approx=True`` uses HyperLogLog distinct counts.
+    undefined).  ``approx=True`` uses HyperLogLog distinct counts.  A ``profile``
+    of the fact (``profile.sales_profile``) has the sums already; the fact is then
+    read for the distinct counts alone.
     """
-    totals = fact.agg(
-        F.coalesce(F.sum("revenue"), F.lit(0)).alias("rev"),
-        F.coalesce(F.sum("profit"), F.lit(0)).alias("prof"),
-        _distinct("order_id", approx).alias("orders"),
-        _distinct("customer_id", approx).alias("customers"),
-        F.count_if(is_returned()).alias("returned_rows"),
-        F.count(F.lit(1)).alias("rows"),
-    )
-    growth = period_growth(fact).select("revenue_growth_pct").scalar()
+    distinct = [_distinct("order_id", approx).alias("orders"), _distinct("customer_id", approx).alias("customers")]
+    if profile is None:
+        totals = fact.agg(
+            F.coalesce(F.sum("revenue"), F.lit(0)).alias("rev"),
+            F.coalesce(F.sum("profit"), F.lit(0)).alias("prof"),
+            *distinct,
+            F.count_if(is_returned()).alias("returned_rows"),
+            F.count(F.lit(1)).alias("rows"),
+        )
+        growth = period_growth(fact)
+    else:
+        days = profile.by("days")
+        sums = days.agg(
+            F.coalesce(F.sum("rev"), F.lit(0)).alias("rev"), F.coalesce(F.sum("prof"), F.lit(0)).alias("prof"),
+            F.coalesce(F.sum("returned_lines"), F.lit(0)).alias("returned_rows"),
+            F.coalesce(F.sum("lines"), F.lit(0)).alias("rows")).select(F.struct("*")).scalar()
+        totals = fact.agg(*distinct).withColumns(
+            {c: sums.getField(c) for c in ("rev", "prof", "returned_rows", "rows")})
+        growth = growth_of_days(profile.known("days").select("order_date", F.col("rev").alias("revenue")))
+    growth = growth.select("revenue_growth_pct").scalar()
     rev_d = F.col("rev").cast("double")
     return totals.select(
         money("rev").alias("total_revenue"),

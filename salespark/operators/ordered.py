@@ -1,223 +1,218 @@
 """Global order without a single-partition window.
 
 A window with ``orderBy`` but no ``partitionBy`` moves every row to one task.
-That is fine for a few thousand aggregated rows and fatal for billions.
-``ordered_offsets`` gives the same answer (global 1-based position and
-running sums in a total order) with bounded tasks:
-
-1. count the rows; choose ``k = ceil(n / rows_per_bucket)`` buckets;
-2. sample the sort key (about 40 rows per bucket, a bounded collect) and
-   pick ``k - 1`` split keys on the driver;
-3. bucket = number of split keys at or before the row's key, as a binary
-   tree of CASE expressions (``O(log k)`` comparisons per row).  Buckets are
-   value ranges of the full key (which should end in a unique column), so a
-   heavily tied metric still spreads over several buckets and the result
-   does not depend on the sample or on physical partition ids;
-4. a window partitioned by bucket gives the local position and running sums;
-5. per-bucket counts and totals (k rows) give the offsets, joined back by a
-   broadcast of those k rows.
-
-When ``n <= rows_per_bucket`` one bucket is used and step 2 is skipped.
-The input is persisted because it is read by the count, the sample and the
-final query; ``release_cached`` drops those caches.  On the bucketed (large)
-path the input is also checkpointed to the session's checkpoint folder, so
-chained passes (RFM ranks three metrics in a row) do not carry a growing
-lineage and a lost executor does not send the work back to the fact.
+``ordered_offsets`` gives the same answer (1-based position and running sums
+in a total order, over all rows or within groups) with bounded tasks, by one
+plan at every size:
+
+1. count the rows; ``k = ceil(n / rows_per_bucket)``, without an upper bound;
+2. range-partition the rows by (group, sort key) into ``k`` value ranges and
+   sort each.  The key ends in a unique column, so a heavily tied metric is
+   split too, inside its ties;
+3. number the rows of each range as they lie and write them to the shared
+   folder: ranges and numbers are then fixed, whatever executors are lost
+   later, and chained passes carry no growing lineage;
+4. count and sum each range and group (at most ``k`` + groups rows).  The sums
+   over the ranges before come in two levels, within chunks of ``CHUNK`` ranges
+   and over the chunks, so no task sees all ranges;
+5. join these offsets to the rows of their range.
+
+``exact_quantiles`` puts the values of several columns through one such pass.
+
+Frames that several actions read are persisted.  ``keeping()`` names their owner:
+what was persisted or written inside it is dropped by its ``close``.
 """
 
 from __future__ import annotations
 
 import math
-from functools import cmp_to_key
+import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# At most 1023 split keys: a CASE tree of depth 10, small enough for code
-# generation; buckets then hold ~n/1024 rows (15 M at 15 G rows, sorted with
-# spill by the per-bucket window).
-MAX_BUCKETS = 1024
-# Target rows per bucket; at or below it one bucket (a plain ordered window) is used.
-ROWS_PER_BUCKET = 2_000_000
-SAMPLES_PER_BUCKET = 40
+# Target rows of a value range; ranges of a chunk.
+ROWS_PER_BUCKET = 500_000
+CHUNK = 1024
 
-_CACHED: list[DataFrame] = []
+
+class Kept:
+    """Frames and folders that some owner's queries keep until it closes."""
+
+    def __init__(self):
+        self.frames: list[DataFrame] = []
+        self.folders: list[tuple] = []
+
+    def close(self) -> None:
+        """Drop them; frames that read a dropped folder can't be used any more."""
+        while self.frames:
+            self.frames.pop().unpersist()
+        while self.folders:
+            spark, path = self.folders.pop()
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+_SESSION = Kept()
+_OWNER: ContextVar[Kept] = ContextVar("owner", default=_SESSION)
+
+
+@contextmanager
+def keeping(owner: Kept):
+    """What operators keep inside the block belongs to ``owner``."""
+    token = _OWNER.set(owner)
+    try:
+        yield owner
+    finally:
+        _OWNER.reset(token)
 
 
 def release_cached() -> None:
-    """Unpersist every input cached by ``ordered_offsets``."""
-    while _CACHED:
-        _CACHED.pop().unpersist()
+    """Drop what was kept outside any ``keeping`` block."""
+    _SESSION.close()
 
 
 def cache(df: DataFrame) -> DataFrame:
-    """Persist a frame that several actions will read; ``release_cached`` drops it."""
+    """Persist a frame that several actions will read, until its owner closes."""
     kept = df.persist(StorageLevel.MEMORY_AND_DISK)
-    _CACHED.append(kept)
+    _OWNER.get().frames.append(kept)
     return kept
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to the shared checkpoint folder and read back."""
+    from ..plans.session import ensure_checkpoint_dir
+
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _OWNER.get().folders.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def _sort_exprs(keys: list[tuple[str, bool]]) -> list[Column]:
     return [F.col(c).asc_nulls_last() if asc else F.col(c).desc_nulls_last() for c, asc in keys]
 
 
-def _precedes(keys: list[tuple[str, bool]], split: tuple) -> Column:
-    """Row key strictly before ``split`` in the lexicographic key order."""
-    clauses = []
-    prefix_equal: list[Column] = []
-    for (c, asc), value in zip(keys, split):
-        lit = F.lit(value)
-        before = (F.col(c) < lit) if asc else (F.col(c) > lit)
-        clause = before
-        for eq in prefix_equal:
-            clause = eq & clause
-        clauses.append(clause)
-        prefix_equal.append(F.col(c) == lit)
-    out = clauses[0]
-    for c in clauses[1:]:
-        out = out | c
-    return out
-
-
-def _bucket_expr(keys: list[tuple[str, bool]], splits: list[tuple]) -> Column:
-    def build(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(_precedes(keys, splits[mid]), build(lo, mid)).otherwise(build(mid + 1, hi))
-    return build(0, len(splits))
-
-
-def _compare(keys: list[tuple[str, bool]]):
-    def cmp(a: tuple, b: tuple) -> int:
-        for (_, asc), x, y in zip(keys, a, b):
-            if x == y:
-                continue
-            res = -1 if x < y else 1
-            return res if asc else -res
-        return 0
-    return cmp
-
-
-def choose_splits(df: DataFrame, keys: list[tuple[str, bool]], n: int, k: int,
-                  seed: int = 17) -> list[tuple]:
-    """Pick up to ``k - 1`` split keys from a bounded sample of the key columns."""
-    names = [c for c, _ in keys]
-    fraction = min(1.0, SAMPLES_PER_BUCKET * k / max(n, 1))
-    rows = df.select(*names).sample(False, fraction, seed).collect()
-    sample = [tuple(r) for r in rows if all(v is not None for v in r)]
-    if not sample:
-        return []
-    sample.sort(key=cmp_to_key(_compare(keys)))
-    splits: list[tuple] = []
-    for i in range(1, k):
-        s = sample[min(len(sample) - 1, (i * len(sample)) // k)]
-        if not splits or _compare(keys)(splits[-1], s) < 0:
-            splits.append(s)
-    return splits
+def value_ranges(df: DataFrame, keys: list[tuple[str, bool]], by: list[str], buckets: int) -> DataFrame:
+    """``df`` in ``buckets`` sorted value ranges of (by, keys), written; ``__part`` is a
+    row's range, ``__at`` its number there."""
+    order = [F.col(c).asc_nulls_first() for c in by] + _sort_exprs(keys)
+    # the id is made of the partition's number and the row's number in it
+    place = F.monotonically_increasing_id()
+    ranged = df.repartitionByRange(buckets, *order).sortWithinPartitions(*order).withColumn("__id", place)
+    return written(ranged.withColumns({
+        "__part": F.shiftright("__id", 33), "__at": F.col("__id").bitwiseAND((1 << 33) - 1)}).drop("__id"), "ranges")
+
+
+def before_ranges(totals: DataFrame, by: list[str], sums: list[str]) -> DataFrame:
+    """Per (by, __part): the sum of each of ``sums`` over the group's earlier ranges."""
+    chunked = totals.withColumn("__chunk", F.expr(f"__part div {CHUNK}"))
+    earlier = (Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*by, "__chunk").orderBy("__part").rowsBetween(*earlier)
+    over = Window.partitionBy(*by).orderBy("__chunk").rowsBetween(*earlier)
+    local = chunked.select(*by, "__part", "__chunk", *[F.sum(c).over(inside).alias("__in_" + c) for c in sums])
+    chunks = (chunked.groupBy(*by, "__chunk").agg(*[F.sum(c).alias(c) for c in sums])
+              .select(*by, "__chunk", *[F.sum(c).over(over).alias("__over_" + c) for c in sums]))
+    return local.join(chunks, [*by, "__chunk"]).select(
+        *by, "__part", *[(F.coalesce("__in_" + c, F.lit(0)) + F.coalesce("__over_" + c, F.lit(0))).alias("__off_" + c)
+                         for c in sums])
 
 
 def ordered_offsets(df: DataFrame, keys: list[tuple[str, bool]],
                     sums: dict[str, str] | None = None, rank_col: str = "rank",
                     count_col: str | None = "n", rows_per_bucket: int | None = None,
-                    buckets: int | None = None, seed: int = 17) -> DataFrame:
-    return ordered_offsets_n(df, keys, sums, rank_col, count_col, rows_per_bucket,
-                             buckets, seed)[0]
+                    buckets: int | None = None, by: list[str] | None = None) -> DataFrame:
+    return ordered_offsets_n(df, keys, sums, rank_col, count_col, rows_per_bucket, buckets, by)[0]
 
 
 def ordered_offsets_n(df: DataFrame, keys: list[tuple[str, bool]],
                       sums: dict[str, str] | None = None, rank_col: str = "rank",
                       count_col: str | None = "n", rows_per_bucket: int | None = None,
-                      buckets: int | None = None, seed: int = 17,
-                      persist: bool = True) -> tuple[DataFrame, int]:
-    """Add the global 1-based position ``rank_col`` in the order ``keys``.
+                      buckets: int | None = None, by: list[str] | None = None,
+                      n: int | None = None) -> tuple[DataFrame, int]:
+    """Add the 1-based position ``rank_col`` in the order ``keys``, within each group
+    of ``by`` if given, and return the row count too.
 
     ``keys`` is a list of ``(column, ascending)``; it should be a total order
-    (end in a unique column) for a deterministic position.  Key columns must
-    be non-NULL.  ``sums`` maps an output column to a source column whose
-    running sum (this row included) is added.  ``count_col`` receives the row
-    count.  ``buckets`` forces the bucket count (tests).  ``persist=False``
-    skips caching the input (when it is a cheap projection of cached data).
+    (end in a unique column) for a deterministic position.  Columns of ``by``
+    must be non-NULL.  ``sums`` maps an output column to a source column whose
+    running sum (this row included) is added.  ``count_col`` receives the count of
+    all rows.  ``buckets`` forces the number of ranges (tests).  A known row count
+    ``n`` saves a count.
     """
-    sums = sums or {}
-    base = cache(df) if persist else df
-    n = base.count()
-    per_bucket = rows_per_bucket or ROWS_PER_BUCKET
-    k = buckets if buckets is not None else math.ceil(n / max(per_bucket, 1))
-    k = max(1, min(MAX_BUCKETS, k))
-    if k > 1:
-        from ..plans.session import ensure_checkpoint_dir
-        ensure_checkpoint_dir(base.sparkSession)  # the session's shared folder when set
-        base = base.checkpoint(eager=True)
-    splits = choose_splits(base, keys, n, k, seed) if k > 1 else []
-
-    order = _sort_exprs(keys)
-    running = Window.unboundedPreceding, Window.currentRow
-    if not splits:
-        w = Window.orderBy(*order)
-        out = base.withColumn(rank_col, F.row_number().over(w).cast("long"))
-        for name, src in sums.items():
-            out = out.withColumn(name, F.sum(src).over(w.rowsBetween(*running)))
-    else:
-        bucket = "__bucket"
-        tagged = base.withColumn(bucket, _bucket_expr(keys, splits))
-        w = Window.partitionBy(bucket).orderBy(*order)
-        local = tagged.withColumn("__local_rank", F.row_number().over(w).cast("long"))
-        for name, src in sums.items():
-            local = local.withColumn("__local_" + name, F.sum(src).over(w.rowsBetween(*running)))
-        stats_aggs = [F.count(F.lit(1)).alias("__cnt")] + [
-            F.sum(src).alias("__tot_" + name) for name, src in sums.items()]
-        # k rows at most (MAX_BUCKETS): a plain ordered window over them is bounded.
-        stats = tagged.groupBy(bucket).agg(*stats_aggs)
-        before = Window.orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-        offsets = stats.select(
-            bucket,
-            F.coalesce(F.sum("__cnt").over(before), F.lit(0)).alias("__off_cnt"),
-            *[F.sum("__tot_" + name).over(before).alias("__off_" + name) for name in sums],
-        )
-        out = local.join(F.broadcast(offsets), bucket, "inner")
-        out = out.withColumn(rank_col, F.col("__off_cnt") + F.col("__local_rank"))
-        for name in sums:
-            off = F.col("__off_" + name)
-            out = out.withColumn(name, F.when(off.isNull(), F.col("__local_" + name))
-                                 .otherwise(off + F.col("__local_" + name)))
-        out = out.drop(bucket, "__local_rank", "__off_cnt",
-                       *["__local_" + s for s in sums], *["__off_" + s for s in sums])
-    if count_col:
-        out = out.withColumn(count_col, F.lit(n).cast("long"))
+    sums, by = sums or {}, by or []
+    if n is None:
+        df = cache(df)
+        n = df.count()
+    k = buckets or max(1, math.ceil(n / (rows_per_bucket or ROWS_PER_BUCKET)))
+    rows = value_ranges(df, keys, by, k)
+    totals = rows.groupBy(*by, "__part").agg(
+        F.min("__at").alias("__first"), F.count(F.lit(1)).alias("__n"),
+        *[F.sum(src).alias("__tot_" + name) for name, src in sums.items()])
+    offsets = before_ranges(totals, by, ["__n", *["__tot_" + s for s in sums]])
+    if sums:
+        running = Window.partitionBy(*by, "__part").orderBy("__at").rowsBetween(
+            Window.unboundedPreceding, Window.currentRow)
+        rows = rows.withColumns({"__run_" + name: F.sum(src).over(running) for name, src in sums.items()})
+    # one row a range and group: Spark broadcasts them as long as they are few
+    joined = rows.join(offsets.join(totals.select(*by, "__part", "__first"), [*by, "__part"]), [*by, "__part"])
+    out = joined.select(
+        *df.columns, (F.col("__off___n") + F.col("__at") - F.col("__first") + 1).cast("long").alias(rank_col),
+        *[(F.col("__off___tot_" + name) + F.col("__run_" + name)).alias(name) for name in sums],
+        *([F.lit(n).cast("long").alias(count_col)] if count_col else []))
     return out, n
 
 
-def exact_quantiles(df: DataFrame, value_col: str, probs: list[float],
-                    names: list[str] | None = None, rows_per_bucket: int | None = None,
-                    buckets: int | None = None) -> DataFrame:
-    """One row with the exact linear-interpolation quantiles of ``value_col``.
+def exact_quantiles_of(df: DataFrame, wanted: dict[str, tuple[Column, float]],
+                       rows_per_bucket: int | None = None, buckets: int | None = None) -> DataFrame:
+    """One row of exact linear-interpolation quantiles: each name of ``wanted`` has
+    a value (as an expression) and a probability.
 
-    NULLs are skipped; an empty input gives NULLs.  Values are first counted
-    (a map-side aggregate), so equal values are one row however many there
-    are; the running count over the distinct values (``ordered_offsets``)
-    tells which values hold the positions around ``(n-1)*p``.  No task
-    gathers all values, and ties spread over no bucket unevenly.
+    NULL values are skipped; without values a quantile is NULL.  Equal values of an
+    expression are counted first (map-side), then all expressions' values go through
+    one ordered pass; the running counts tell which values hold the positions around
+    ``(n - 1) * p``.  No task gathers all values, and ties weigh nothing.
     """
-    names = names or [f"q{int(round(p * 100)):02d}" for p in probs]
-    counted = cache(df.where(F.col(value_col).isNotNull())
-                    .groupBy(F.col(value_col).cast("double").alias("__v"))
+    exprs = {str(value): value for value, _ in wanted.values()}
+    number = {text: i for i, text in enumerate(exprs)}
+    stacked = df.select(F.explode(F.array(*[
+        F.struct(F.lit(number[text]).alias("__col"), value.cast("double").alias("__v"))
+        for text, value in exprs.items()])).alias("__s")).select("__s.*")
+    counted = cache(stacked.where(F.col("__v").isNotNull()).groupBy("__col", "__v")
                     .agg(F.count(F.lit(1)).alias("__c")))
-    n = counted.agg(F.sum("__c")).first()[0] or 0
-    if n == 0:
-        return df.sparkSession.range(1).select(
-            *[F.lit(None).cast("double").alias(nm) for nm in names])
-    ranked = ordered_offsets(counted, [("__v", True)], {"__upto": "__c"}, rank_col="__r",
-                             count_col=None, rows_per_bucket=rows_per_bucket, buckets=buckets)
-
-    def at(position: int) -> Column:
-        holds = (F.col("__upto") >= position) & (F.col("__upto") - F.col("__c") < position)
+    sizes = {r["__col"]: r for r in counted.groupBy("__col").agg(
+        F.count(F.lit(1)).alias("distinct"), F.sum("__c").alias("n")).collect()}  # one row an expression
+    if not sizes:
+        return df.sparkSession.range(1).select(*[F.lit(None).cast("double").alias(nm) for nm in wanted])
+    ranked, _ = ordered_offsets_n(counted, [("__v", True)], {"__upto": "__c"}, rank_col="__r", count_col=None,
+                                  rows_per_bucket=rows_per_bucket, buckets=buckets, by=["__col"],
+                                  n=sum(r["distinct"] for r in sizes.values()))
+
+    def at(col: int, position: int) -> Column:
+        holds = ((F.col("__col") == col) & (F.col("__upto") >= position)
+                 & (F.col("__upto") - F.col("__c") < position))
         return F.max(F.when(holds, F.col("__v")))
 
     aggs = []
-    for p, nm in zip(probs, names):
-        pos = (n - 1) * p
-        lo, hi = at(math.floor(pos) + 1), at(math.ceil(pos) + 1)
-        aggs.append((lo + (hi - lo) * F.lit(float(pos - math.floor(pos)))).alias(nm))
+    for name, (value, p) in wanted.items():
+        col = number[str(value)]
+        if col not in sizes:
+            aggs.append(F.max(F.lit(None).cast("double")).alias(name))
+            continue
+        pos = (sizes[col]["n"] - 1) * p
+        lo, hi = at(col, math.floor(pos) + 1), at(col, math.ceil(pos) + 1)
+        aggs.append((lo + (hi - lo) * F.lit(float(pos - math.floor(pos)))).alias(name))
     return ranked.agg(*aggs)
+
+
+def exact_quantiles(df: DataFrame, value_col: str, probs: list[float],
+                    names: list[str] | None = None, rows_per_bucket: int | None = None,
+                    buckets: int | None = None) -> DataFrame:
+    """One row with the exact quantiles of one column (see ``exact_quantiles_of``)."""
+    names = names or [f"q{int(round(p * 100)):02d}" for p in probs]
+    return exact_quantiles_of(df, {nm: (F.col(value_col), p) for nm, p in zip(names, probs)},
+                              rows_per_bucket, buckets)

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import band_index, band_label_expr, dround, is_returned, money, ratio_pct
-from .ordered import cache, exact_quantiles
+from .ordered import cache, exact_quantiles_of
 
 # Default discount band edges (fractions) and the inventory
 # flag labels.
@@ -52,6 +52,12 @@ def product_performance(fact: DataFrame, approx: bool = False, exact: bool = Fal
     )
 
 
+def measured(sums: DataFrame) -> DataFrame:
+    """Products' sums ``rev`` and ``prof`` with ``revenue`` and ``margin_pct`` as shown."""
+    return sums.withColumns({"revenue": money("rev"),
+                             "margin_pct": F.when(F.col("rev") != 0, ratio_pct("prof", "rev"))})
+
+
 def top_products(fact: DataFrame, n: int = 10, by: str = "revenue") -> DataFrame:
     """The ``n`` products with the largest ``by`` (ties: higher revenue, then id)."""
     perf = product_performance(fact)
@@ -123,22 +129,13 @@ def product_quantiles(perf: DataFrame, buckets: int | None = None) -> DataFrame:
     """One row of the exact quantiles used by the inventory and repricing rules:
     units sold .33/.66, margin % .33/.66 (NULL margins skipped), and over
     products with revenue > 0: revenue .75 and margin % median."""
-    perf = cache(perf)
-    units = exact_quantiles(perf, "units_sold", [0.33, 0.66], ["units_q33", "units_q66"],
-                            buckets=buckets)
-    margin = exact_quantiles(perf, "margin_pct", [0.33, 0.66], ["margin_q33", "margin_q66"],
-                             buckets=buckets)
-    priced = perf.where(F.col("revenue") > 0)
-    rev75 = exact_quantiles(priced, "revenue", [0.75], ["revenue_q75"], buckets=buckets)
-    med = exact_quantiles(priced, "margin_pct", [0.5], ["priced_margin_median"], buckets=buckets)
-    m_row = margin.select(F.struct("margin_q33", "margin_q66")).scalar()
-    return units.select(
-        "units_q33", "units_q66",
-        m_row.getField("margin_q33").alias("margin_q33"),
-        m_row.getField("margin_q66").alias("margin_q66"),
-        rev75.select("revenue_q75").scalar().alias("revenue_q75"),
-        med.select("priced_margin_median").scalar().alias("priced_margin_median"),
-    )
+    units, margin = F.col("units_sold"), F.col("margin_pct")
+    priced = F.col("revenue") > 0
+    return exact_quantiles_of(perf, {
+        "units_q33": (units, 0.33), "units_q66": (units, 0.66),
+        "margin_q33": (margin, 0.33), "margin_q66": (margin, 0.66),
+        "revenue_q75": (F.when(priced, F.col("revenue")), 0.75),
+        "priced_margin_median": (F.when(priced, margin), 0.5)}, buckets=buckets)
 
 
 def inventory_recommendation(fact: DataFrame, buckets: int | None = None) -> DataFrame:
@@ -150,11 +147,15 @@ def inventory_recommendation(fact: DataFrame, buckets: int | None = None) -> Dat
     "low".  The thresholds are one-row scalar subqueries.
     """
     perf = cache(product_performance(fact))
-    u = exact_quantiles(perf, "units_sold", [0.33, 0.66], ["a", "b"], buckets=buckets)
-    m = exact_quantiles(perf, "margin_pct", [0.33, 0.66], ["a", "b"], buckets=buckets)
-    u_row = u.select(F.struct("a", "b")).scalar()
-    u33, u66 = u_row.getField("a"), u_row.getField("b")
-    m33 = m.select("a").scalar()
+    return flagged(perf, buckets)
+
+
+def flagged(perf: DataFrame, buckets: int | None = None) -> DataFrame:
+    """Rows with ``units_sold`` and ``margin_pct`` and their ``recommendation``."""
+    units, margin = F.col("units_sold"), F.col("margin_pct")
+    cuts = exact_quantiles_of(perf, {"u33": (units, 0.33), "u66": (units, 0.66), "m33": (margin, 0.33)}, buckets=buckets)
+    row = cuts.select(F.struct("u33", "u66", "m33")).scalar()
+    u33, u66, m33 = (row.getField(c) for c in ("u33", "u66", "m33"))
     high_velocity = F.coalesce(F.col("units_sold") >= u66, F.lit(False))
     low_velocity = F.coalesce(F.col("units_sold") <= u33, F.lit(False))
     low_margin = F.coalesce(F.col("margin_pct") <= m33, F.lit(False))
@@ -180,11 +181,17 @@ def repricing_candidates(fact: DataFrame, buckets: int | None = None) -> DataFra
     """Products with revenue > 0, unrounded revenue >= its .75 quantile and margin
     below the median margin (both over products with revenue > 0); thinnest margin
     first."""
-    priced = cache(product_performance(fact, exact=True).where(F.col("rev") > 0))
-    rev75 = exact_quantiles(priced, "rev", [0.75], ["q"], buckets=buckets).scalar()
-    med = exact_quantiles(priced, "margin_pct", [0.5], ["q"], buckets=buckets).scalar()
-    return (priced.where((F.col("rev").cast("double") >= rev75) & (F.col("margin_pct") < med))
-            .orderBy(F.col("margin_pct").asc(), F.col("rev").desc(), "product_id").drop("rev", "prof"))
+    perf = product_performance(fact, exact=True)
+    return repriced(cache(perf.where(F.col("rev") > 0)), buckets).drop("rev", "prof")
+
+
+def repriced(priced: DataFrame, buckets: int | None = None) -> DataFrame:
+    """The candidates among products with revenue > 0 (product_id, rev, margin_pct)."""
+    cuts = exact_quantiles_of(priced, {"r75": (F.col("rev"), 0.75), "mid": (F.col("margin_pct"), 0.5)}, buckets=buckets)
+    row = cuts.select(F.struct("r75", "mid")).scalar()
+    return (priced.where((F.col("rev").cast("double") >= row.getField("r75"))
+                         & (F.col("margin_pct") < row.getField("mid")))
+            .orderBy(F.col("margin_pct").asc(), F.col("rev").desc(), "product_id"))
 
 
 def unprofitable_products(fact: DataFrame) -> DataFrame:

@@ -12,12 +12,14 @@ from __future__ import annotations
 
 import uuid
 from dataclasses import dataclass, field
+from functools import wraps
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import charts, customers, filters, forecast, insights, kpi, products, trends
-from ..operators.ordered import release_cached
+from ..operators.profile import sales_profile
+from ..operators.ordered import Kept, keeping
 from ..sources.tables import materialize_fact, sales_fact
 from .session import ensure_checkpoint_dir
 
@@ -39,6 +41,15 @@ def materialized_fact(spark: SparkSession, sf_dir: str, refresh: bool = False) -
     return _MATERIALIZED[key]
 
 
+def _kept(tab):
+    """A tab whose persisted and written intermediates belong to its dashboard."""
+    @wraps(tab)
+    def run(self, *args, **kwargs):
+        with keeping(self._kept):
+            return tab(self, *args, **kwargs)
+    return run
+
+
 @dataclass
 class Dashboard:
     """Tab outputs over one (filtered) fact.
@@ -56,22 +67,32 @@ class Dashboard:
     discount_edges: list[float] | None = None
 
     def __post_init__(self):
+        self._kept, self._profile = Kept(), None
         self.data = filters.apply_filters(self.fact, self.filters)
         if self.persist:
             self.data = self.data.persist(StorageLevel.MEMORY_AND_DISK)
 
     def close(self) -> None:
-        """Release the filtered fact and the small intermediates operators cached."""
+        """Release the filtered fact and what this dashboard's operators kept."""
         if self.persist:
             self.data.unpersist()
-        release_cached()
+        self._kept.close()
+        self._profile = None
+
+    def profile(self):
+        """The sums of the filtered fact that several tabs read, computed once."""
+        if self._profile is None:
+            self._profile = sales_profile(self.data, self.discount_edges)
+        return self._profile
 
+    @_kept
     def overview(self) -> dict[str, DataFrame]:
-        summary = kpi.executive_summary(self.data)
+        summary = kpi.executive_summary(self.data, profile=self.profile())
         return {"summary": summary,
                 "trend": trends.revenue_profit_trend(self.data, "ME"),
-                "insights": insights.summary_insights(self.data, summary, self.discount_edges)}
+                "insights": insights.summary_insights(self.data, summary, self.discount_edges, self.profile())}
 
+    @_kept
     def sales(self) -> dict[str, DataFrame]:
         by_state = trends.revenue_by_dimension(self.data, "state")
         return {"by_region": trends.revenue_by_dimension(self.data, "region"),
@@ -81,6 +102,7 @@ class Dashboard:
                 "histogram": charts.order_value_histogram(self.data),
                 "delivery": charts.delivery_box_stats(self.data)}
 
+    @_kept
     def products(self) -> dict[str, DataFrame]:
         return {"top": products.top_products(self.data, 10),
                 "worst": products.worst_products(self.data, 10),
@@ -90,6 +112,7 @@ class Dashboard:
                 "scatter": charts.scatter_sample(self.data),
                 "inventory": products.inventory_recommendation(self.data)}
 
+    @_kept
     def customers(self) -> dict[str, DataFrame]:
         rfm = customers.compute_rfm(self.data)
         churn = customers.churn_risk(self.data)
@@ -101,16 +124,19 @@ class Dashboard:
                 "top_customers": customers.top_customers(self.data, 20),
                 "repeat_rate": customers.repeat_customer_rate(self.data)}
 
+    @_kept
     def forecasting(self, horizon_days: int = 30) -> dict[str, DataFrame]:
         res = forecast.forecast_revenue(self.data, horizon_days)
         return {"history": res.history, "forecast": res.forecast,
                 "band": charts.forecast_band_polygon(res.forecast),
                 "totals": forecast.forecast_totals(res.forecast)}
 
+    @_kept
     def ai(self) -> dict[str, DataFrame]:
-        summary = kpi.executive_summary(self.data)
-        ins = insights.summary_insights(self.data, summary, self.discount_edges)
+        profile = self.profile()
+        summary = kpi.executive_summary(self.data, profile=profile)
+        ins = insights.summary_insights(self.data, summary, self.discount_edges, profile)
         return {"insights": ins, "context": insights.context_block(ins),
-                "recommendations": insights.recommendations(self.data, summary),
-                "profit_drivers": insights.profit_drivers(self.data, self.discount_edges),
-                "region_growth": insights.region_growth(self.data)}
+                "recommendations": insights.recommendations(self.data, summary, profile),
+                "profit_drivers": insights.profit_drivers(self.data, self.discount_edges, profile),
+                "region_growth": insights.region_growth(self.data, profile=profile)}

@@ -17,11 +17,19 @@ FORBIDDEN = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython",
 
 
 def final_plan(df: DataFrame) -> str:
-    """Formatted physical plan; after an action this is AQE's final plan
-    (the initial-plan section is dropped)."""
+    """Formatted physical plan; after an action this is AQE's final plan.
+
+    The initial plan's trees are left out, and so are the numbered details of
+    nodes that stand in no remaining tree (those of the initial plan alone).
+    """
     jvm = df.sparkSession.sparkContext._jvm
     text = jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
-    return re.sub(r"\+- == Initial Plan ==.*?(?=\n\n)", "", text, flags=re.S)
+    text = re.sub(r"\+- == Initial Plan ==.*?(?=\n\n)", "", text, flags=re.S)
+    blocks = re.split(r"\n\n+", text)
+    details = re.compile(r"\s*\((\d+)\) ")
+    in_trees = {n for block in blocks if not details.match(block)
+                for n in re.findall(r"\((\d+)\)\s*$", block, flags=re.M)}
+    return "\n\n".join(b for b in blocks if not (m := details.match(b)) or m[1] in in_trees)
 
 
 def forbidden_nodes(df: DataFrame) -> list[str]:
@@ -33,7 +41,7 @@ def scan_summaries(df: DataFrame) -> list[dict]:
     """Per parquet scan: location, pushed filters and read schema."""
     plan = final_plan(df)
     out = []
-    for block in re.findall(r"Scan parquet[^\n]*\n(.*?)(?:\n\n|\Z)", plan, flags=re.S):
+    for block in re.findall(r"\(\d+\) Scan parquet[^\n]*\n(.*?)(?:\n\n|\Z)", plan, flags=re.S):
         info = {}
         for key in ("Location", "PushedFilters", "ReadSchema", "PartitionFilters"):
             m = re.search(rf"{key}: ([^\n]*)", block)

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -10,7 +11,7 @@ from salespark.operators.customers import (churn_counts, churn_risk, compute_rfm
                                            customer_lifetime_value, customers_to_target,
                                            repeat_customer_rate, rfm_base, segment_counts,
                                            segment_summary, top_customers)
-from salespark.operators.ordered import ordered_offsets
+from salespark.operators.ordered import ordered_offsets, release_cached, value_ranges
 
 from .conftest import rows_by
 
@@ -127,15 +128,59 @@ def test_ordered_offsets_bucketed_equals_plain(spark):
     assert [r["rank"] for r in split] == list(range(1, 5001))
 
 
-def test_heavy_ties_still_split_into_balanced_buckets(spark):
-    from salespark.operators.ordered import _bucket_expr, choose_splits
-    # a third of all rows share one metric value (e.g. frequency = 1)
-    df = spark.range(0, 30000).select(
-        F.col("id").alias("customer_id"),
-        F.when(F.col("id") % 3 == 0, F.lit(1)).otherwise(F.col("id") % 997 + 2).alias("frequency"))
+def test_heavy_ties_split_into_balanced_ranges(spark):
+    """Five million rows of one value: no range holds more than twice the mean, and
+    positions and running sums are those of a plain count."""
+    n, k = 5_000_000, 10
+    df = spark.range(n).select(F.col("id").alias("customer_id"), F.lit(1).alias("frequency"),
+                               (F.col("id") % 10).alias("amount"))
     keys = [("frequency", True), ("customer_id", True)]
-    k = 8
-    splits = choose_splits(df, keys, 30000, k)
-    sizes = [r["count"] for r in df.groupBy(_bucket_expr(keys, splits).alias("b")).count().collect()]
-    assert len(sizes) == k
-    assert max(sizes) < 2 * 30000 / k  # the tied value spreads over several buckets
+    sizes = [r["count"] for r in value_ranges(df, keys, [], k).groupBy("__part").count().collect()]
+    assert len(sizes) == k and sum(sizes) == n
+    assert max(sizes) <= 2 * n / k
+    out = ordered_offsets(df, keys, sums={"run": "amount"})
+    i = F.col("customer_id")
+    wrong = out.where((F.col("rank") != i + 1)
+                      | (F.col("run") != F.floor(i / 10) * 45 + (i % 10) * (i % 10 + 1) / 2) | (F.col("n") != n))
+    assert wrong.count() == 0
+    release_cached()
+
+
+def test_positions_within_groups(spark):
+    """Groups of very different size in one pass; a group over many ranges and many in one."""
+    df = spark.range(0, 6000).select(
+        F.col("id").alias("k"), F.when(F.col("id") % 3 > 0, F.lit("a")).otherwise(
+            F.concat(F.lit("g"), (F.col("id") % 30).cast("string"))).alias("grp"),
+        (F.col("id") * 7919 % 13).alias("metric"))
+    got = ordered_offsets(df, [("metric", False), ("k", True)], sums={"run": "metric"}, buckets=9, by=["grp"]).collect()
+    want, place, run = {}, {}, {}
+    for r in sorted(df.collect(), key=lambda r: (r.grp, -r.metric, r.k)):
+        place[r.grp] = place.get(r.grp, 0) + 1
+        run[r.grp] = run.get(r.grp, 0) + r.metric
+        want[r.k] = (place[r.grp], run[r.grp])
+    assert {r.k: (r["rank"], r.run) for r in got} == want
+    release_cached()
+
+
+def test_offsets_over_many_chunks_of_ranges(spark, monkeypatch):
+    from salespark.operators import ordered
+    monkeypatch.setattr(ordered, "CHUNK", 3)
+    df = spark.range(0, 2000).select(F.col("id").alias("k"), (F.col("id") % 7).alias("m"))
+    got = ordered_offsets(df, [("k", True)], sums={"run": "m"}, buckets=20).orderBy("k").collect()
+    assert [r["rank"] for r in got] == list(range(1, 2001))
+    assert [r.run for r in got] == np.cumsum([i % 7 for i in range(2000)]).tolist()
+
+
+def test_what_an_owner_keeps_is_dropped_with_it(spark):
+    import os
+    from salespark.operators.ordered import Kept, keeping, written
+    other, own = Kept(), Kept()
+    with keeping(other):
+        kept = ordered_offsets(spark.range(100), [("id", True)])
+    with keeping(own):
+        written(spark.range(5), "gone")
+    (_, path), = own.folders
+    own.close()
+    assert not os.path.exists(path.removeprefix("file:"))
+    assert kept.count() == 100
+    other.close()
