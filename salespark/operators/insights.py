@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import band_label_expr, dround, ratio_pct
 from . import customers, kpi, products
-from .ordered import cache
+from .ordered import cache, local_rows
 from .profile import MONTH, Profile, sales_profile
 
 INSIGHT_COLUMNS = ["insight_id", "kind", "subject", "detail", "value", "value2", "text"]
@@ -199,6 +199,11 @@ def profit_drivers(fact: DataFrame, edges: list[float] | None = None, profile: P
     return reduce(DataFrame.unionByName, parts)
 
 
+def _one_row(df: DataFrame) -> DataFrame:
+    """A one-row frame computed now, as a local row."""
+    return local_rows(df.sparkSession, [list(r) for r in df.limit(1).collect()], df.schema)
+
+
 def summary_insights(fact: DataFrame, summary: DataFrame | None = None,
                      edges: list[float] | None = None, profile: Profile | None = None) -> DataFrame:
     """Up to five headline insights, in order: growth, top region, a repricing
@@ -207,7 +212,7 @@ def summary_insights(fact: DataFrame, summary: DataFrame | None = None,
     All but the distinct counts of the summary come from one profile of the fact."""
     profile = profile or sales_profile(fact, edges, ("products", "region_months", "bands", "days"))
     # one row, read by two of the insights: computed once
-    summary = cache(summary if summary is not None else kpi.executive_summary(fact, profile=profile))
+    summary = _one_row(summary if summary is not None else kpi.executive_summary(fact, profile=profile))
     g = F.col("revenue_growth_pct")
     growth = summary.where(g.isNotNull()).select(
         g, F.when(g >= 0, "increased").otherwise("decreased").alias("dir"))
@@ -242,15 +247,17 @@ def summary_insights(fact: DataFrame, summary: DataFrame | None = None,
                           F.format_number(F.col("total_orders"), 0),
                           F.format_number(F.col("total_customers"), 0),
                           F.format_string("%.1f", F.col("return_rate_pct"))))
-    return reduce(DataFrame.unionByName, [growth, top, cand, ero, aov]).orderBy("insight_id")
+    # a top-k of five: unlike a sort, it needs no second run of every part for its ranges
+    return reduce(DataFrame.unionByName, [growth, top, cand, ero, aov]).orderBy("insight_id").limit(5)
 
 
 def recommendations(fact: DataFrame, summary: DataFrame | None = None, profile: Profile | None = None) -> DataFrame:
     """Restock and Discontinue counts (when non-zero) and a return-rate alert
     above 8 %, as (kind, value, text) rows."""
     profile = profile or sales_profile(fact, groupings=("products", "days"))
-    summary = cache(summary if summary is not None else kpi.executive_summary(fact, profile=profile))
-    counts = cache(products.inventory_counts(products.flagged(products.measured(profile.known("products")))))
+    summary = _one_row(summary if summary is not None else kpi.executive_summary(fact, profile=profile))
+    counts = cache(products.flagged(products.measured(profile.known("products")))
+                   .groupBy("recommendation").agg(F.count(F.lit(1)).alias("products")))
     restock = counts.where((F.col("recommendation") == products.RESTOCK)
                            & (F.col("products") > 0)).select(
         F.lit(1).alias("rec_id"), F.lit("restock").alias("kind"),
@@ -266,7 +273,7 @@ def recommendations(fact: DataFrame, summary: DataFrame | None = None, profile:
         F.lit(3).alias("rec_id"), F.lit("return_rate_alert").alias("kind"),
         rate.cast("double").alias("value"),
         _say("return_rate_alert", F.format_string("%.1f", rate)).alias("text"))
-    return restock.unionByName(disc).unionByName(alert).orderBy("rec_id")
+    return restock.unionByName(disc).unionByName(alert).orderBy("rec_id").limit(3)
 
 
 def top5_readout(fact: DataFrame) -> DataFrame:

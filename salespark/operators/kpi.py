@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import dround, is_returned, money
-from .ordered import cache
 
 
 def daily_totals(fact: DataFrame) -> DataFrame:
@@ -22,26 +21,28 @@ def period_growth(fact: DataFrame) -> DataFrame:
     The midpoint is ``min + (max - min) / 2``; a date is in the first half
     when ``2 * (date - min) < (max - min)`` (exact in whole days, also for
     odd spans).  Growth is NULL for an empty input, a single date, or a zero
-    first half.  One pass over the fact: the per-day totals (one row per
-    calendar day, bounded by the date span) are kept, the range bounds come
-    from them as one struct-valued scalar subquery, and two conditional sums
-    split them.
+    first half.  One pass over the fact, to one row per calendar day.
     """
-    return growth_of_days(cache(daily_totals(fact)))
-
-
-def growth_of_days(daily: DataFrame) -> DataFrame:
-    """``period_growth`` from the revenue of each day (order_date, revenue)."""
-    bounds = daily.agg(F.struct(F.min("order_date").alias("lo"),
-                                F.max("order_date").alias("hi"))).scalar()
-    lo, hi = bounds.getField("lo"), bounds.getField("hi")
-    span = F.datediff(hi, lo)
-    offset2 = F.datediff(F.col("order_date"), lo) * 2
-    first = F.coalesce(F.sum(F.when(offset2 < span, F.col("revenue"))), F.lit(0))
-    second = F.coalesce(F.sum(F.when(offset2 >= span, F.col("revenue"))), F.lit(0))
-    halves = daily.agg(first.alias("first_half"), second.alias("second_half"),
-                       F.min("order_date").alias("start_date"),
-                       F.max("order_date").alias("end_date"))
+    return growth_of_days(daily_totals(fact))
+
+
+def growth_of_days(daily: DataFrame, *sums: Column) -> DataFrame:
+    """``period_growth`` from the revenue of each day (order_date, revenue), in one
+    aggregate: the days, as many as the calendar has at most, are gathered in one
+    row.  Days without a date count for ``sums`` alone."""
+    dated = F.col("order_date").isNotNull()
+    row = daily.agg(
+        F.collect_list(F.when(dated, F.struct(F.col("order_date").alias("day"), F.col("revenue").alias("rev")))).alias("days"),
+        F.min("order_date").alias("start_date"), F.max("order_date").alias("end_date"), *sums)
+    span = F.datediff("end_date", "start_date")
+
+    def half(later: bool) -> Column:
+        def add(acc, day):
+            in_first = F.datediff(day["day"], F.col("start_date")) * 2 < span
+            return F.when(~in_first if later else in_first, (acc + F.coalesce(day["rev"], F.lit(0))).cast("decimal(38,4)")).otherwise(acc)
+        return F.aggregate("days", F.lit(0).cast("decimal(38,4)"), add)
+
+    halves = row.withColumns({"first_half": half(False), "second_half": half(True)})
     growth = F.when(
         F.col("start_date").isNull() | (F.col("start_date") == F.col("end_date"))
         | (F.col("first_half") == 0), F.lit(None).cast("double")
@@ -53,6 +54,7 @@ def growth_of_days(daily: DataFrame) -> DataFrame:
         money("first_half").alias("first_half_revenue"),
         money("second_half").alias("second_half_revenue"),
         growth.alias("revenue_growth_pct"),
+        *[c for c in row.columns if c not in ("days", "start_date", "end_date")],
     )
 
 
@@ -81,15 +83,14 @@ def executive_summary(fact: DataFrame, approx: bool = False, profile=None) -> Da
         )
         growth = period_growth(fact)
     else:
-        days = profile.by("days")
-        sums = days.agg(
-            F.coalesce(F.sum("rev"), F.lit(0)).alias("rev"), F.coalesce(F.sum("prof"), F.lit(0)).alias("prof"),
+        days = growth_of_days(
+            profile.by("days").withColumnRenamed("rev", "revenue"),
+            F.coalesce(F.sum("revenue"), F.lit(0)).alias("rev"), F.coalesce(F.sum("prof"), F.lit(0)).alias("prof"),
             F.coalesce(F.sum("returned_lines"), F.lit(0)).alias("returned_rows"),
             F.coalesce(F.sum("lines"), F.lit(0)).alias("rows")).select(F.struct("*")).scalar()
-        totals = fact.agg(*distinct).withColumns(
-            {c: sums.getField(c) for c in ("rev", "prof", "returned_rows", "rows")})
-        growth = growth_of_days(profile.known("days").select("order_date", F.col("rev").alias("revenue")))
-    growth = growth.select("revenue_growth_pct").scalar()
+        totals = fact.agg(*distinct).withColumn("__days", days).select("orders", "customers", "__days.*")
+        growth = None
+    growth = F.col("revenue_growth_pct") if growth is None else growth.select("revenue_growth_pct").scalar()
     rev_d = F.col("rev").cast("double")
     return totals.select(
         money("rev").alias("total_revenue"),

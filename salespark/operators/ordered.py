@@ -12,9 +12,9 @@ plan at every size:
 3. number the rows of each range as they lie and write them to the shared
    folder: ranges and numbers are then fixed, whatever executors are lost
    later, and chained passes carry no growing lineage;
-4. count and sum each range and group (at most ``k`` + groups rows).  The sums
-   over the ranges before come in two levels, within chunks of ``CHUNK`` ranges
-   and over the chunks, so no task sees all ranges;
+4. count and sum each range and group.  These totals, ``k`` rows and one more for
+   each group at most (one for half a million rows; groups are few: the metrics or
+   columns of a query), are added up on the driver: no window runs over all ranges;
 5. join these offsets to the rows of their range.
 
 ``exact_quantiles`` puts the values of several columns through one such pass.
@@ -29,14 +29,15 @@ import math
 import uuid
 from contextlib import contextmanager
 from contextvars import ContextVar
+from decimal import Decimal
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-# Target rows of a value range; ranges of a chunk.
+# Target rows of a value range.
 ROWS_PER_BUCKET = 500_000
-CHUNK = 1024
 
 
 class Kept:
@@ -93,6 +94,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def local_rows(spark, rows: list[list], schema: T.StructType) -> DataFrame:
+    """A small frame of driver rows whose size Spark's planner knows (by way of Arrow)."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    fields = to_arrow_schema(schema)
+    columns = [pa.array([r[i] for r in rows], f.type) for i, f in enumerate(fields)]
+    return spark.createDataFrame(pa.Table.from_arrays(columns, schema=fields))
+
+
 def _sort_exprs(keys: list[tuple[str, bool]]) -> list[Column]:
     return [F.col(c).asc_nulls_last() if asc else F.col(c).desc_nulls_last() for c, asc in keys]
 
@@ -108,18 +119,19 @@ def value_ranges(df: DataFrame, keys: list[tuple[str, bool]], by: list[str], buc
         "__part": F.shiftright("__id", 33), "__at": F.col("__id").bitwiseAND((1 << 33) - 1)}).drop("__id"), "ranges")
 
 
-def before_ranges(totals: DataFrame, by: list[str], sums: list[str]) -> DataFrame:
-    """Per (by, __part): the sum of each of ``sums`` over the group's earlier ranges."""
-    chunked = totals.withColumn("__chunk", F.expr(f"__part div {CHUNK}"))
-    earlier = (Window.unboundedPreceding, -1)
-    inside = Window.partitionBy(*by, "__chunk").orderBy("__part").rowsBetween(*earlier)
-    over = Window.partitionBy(*by).orderBy("__chunk").rowsBetween(*earlier)
-    local = chunked.select(*by, "__part", "__chunk", *[F.sum(c).over(inside).alias("__in_" + c) for c in sums])
-    chunks = (chunked.groupBy(*by, "__chunk").agg(*[F.sum(c).alias(c) for c in sums])
-              .select(*by, "__chunk", *[F.sum(c).over(over).alias("__over_" + c) for c in sums]))
-    return local.join(chunks, [*by, "__chunk"]).select(
-        *by, "__part", *[(F.coalesce("__in_" + c, F.lit(0)) + F.coalesce("__over_" + c, F.lit(0))).alias("__off_" + c)
-                         for c in sums])
+def range_offsets(rows: DataFrame, by: list[str], sums: dict[str, str]) -> list[dict]:
+    """Per (by, __part), in order: its first number and row count, and the count and
+    the sums (each by its output name) over the group's earlier ranges."""
+    totals = rows.groupBy(*by, "__part").agg(
+        F.min("__at").alias("__first"), F.count(F.lit(1)).alias("__rows"),
+        *[F.coalesce(F.sum(src), F.lit(0)).alias("__tot_" + name) for name, src in sums.items()]).collect()
+    out, group, before = [], None, {}
+    for r in sorted(totals, key=lambda r: (*(r[c] for c in by), r["__part"])):
+        if group != tuple(r[c] for c in by):
+            group, before = tuple(r[c] for c in by), {"__before": 0} | {name: 0 for name in sums}
+        out.append(r.asDict() | {"__off_" + c: v for c, v in before.items()})
+        before = {c: v + (r["__rows"] if c == "__before" else r["__tot_" + c]) for c, v in before.items()}
+    return out
 
 
 def ordered_offsets(df: DataFrame, keys: list[tuple[str, bool]],
@@ -150,21 +162,34 @@ def ordered_offsets_n(df: DataFrame, keys: list[tuple[str, bool]],
         n = df.count()
     k = buckets or max(1, math.ceil(n / (rows_per_bucket or ROWS_PER_BUCKET)))
     rows = value_ranges(df, keys, by, k)
-    totals = rows.groupBy(*by, "__part").agg(
-        F.min("__at").alias("__first"), F.count(F.lit(1)).alias("__n"),
-        *[F.sum(src).alias("__tot_" + name) for name, src in sums.items()])
-    offsets = before_ranges(totals, by, ["__n", *["__tot_" + s for s in sums]])
+    out = _placed(rows, range_offsets(rows, by, sums), by, sums, df.columns, rank_col)
+    return (out.withColumn(count_col, F.lit(n).cast("long")) if count_col else out), n
+
+
+def _placed(rows: DataFrame, offsets: list[dict], by: list[str], sums: dict[str, str], columns: list[str],
+            rank_col: str) -> DataFrame:
+    """Rows of the ranges named by ``offsets`` with their position and running sums."""
     if sums:
         running = Window.partitionBy(*by, "__part").orderBy("__at").rowsBetween(
             Window.unboundedPreceding, Window.currentRow)
         rows = rows.withColumns({"__run_" + name: F.sum(src).over(running) for name, src in sums.items()})
+    names = [*by, "__part", "__first", "__off___before", *["__off_" + s for s in sums]]
+    kinds = [rows.schema[c].dataType for c in [*by, "__part"]] + [T.LongType(), T.LongType()] + [
+        rows.schema["__run_" + s].dataType for s in sums]
     # one row a range and group: Spark broadcasts them as long as they are few
-    joined = rows.join(offsets.join(totals.select(*by, "__part", "__first"), [*by, "__part"]), [*by, "__part"])
-    out = joined.select(
-        *df.columns, (F.col("__off___n") + F.col("__at") - F.col("__first") + 1).cast("long").alias(rank_col),
-        *[(F.col("__off___tot_" + name) + F.col("__run_" + name)).alias(name) for name in sums],
-        *([F.lit(n).cast("long").alias(count_col)] if count_col else []))
-    return out, n
+    known = local_rows(rows.sparkSession, [[_as(o[c], k) for c, k in zip(names, kinds)] for o in offsets],
+                       T.StructType([T.StructField(c, k) for c, k in zip(names, kinds)]))
+    joined = rows.join(known, [*by, "__part"])
+    return joined.select(
+        *columns, (F.col("__off___before") + F.col("__at") - F.col("__first") + 1).cast("long").alias(rank_col),
+        *[(F.col("__off_" + name) + F.col("__run_" + name)).alias(name) for name in sums])
+
+
+def _as(value, kind: T.DataType):
+    """A sum as a value of its column's type (a sum of nothing is an int 0)."""
+    if isinstance(kind, T.DecimalType):
+        return Decimal(value)
+    return float(value) if isinstance(kind, T.DoubleType) else value
 
 
 def exact_quantiles_of(df: DataFrame, wanted: dict[str, tuple[Column, float]],
@@ -188,9 +213,16 @@ def exact_quantiles_of(df: DataFrame, wanted: dict[str, tuple[Column, float]],
         F.count(F.lit(1)).alias("distinct"), F.sum("__c").alias("n")).collect()}  # one row an expression
     if not sizes:
         return df.sparkSession.range(1).select(*[F.lit(None).cast("double").alias(nm) for nm in wanted])
-    ranked, _ = ordered_offsets_n(counted, [("__v", True)], {"__upto": "__c"}, rank_col="__r", count_col=None,
-                                  rows_per_bucket=rows_per_bucket, buckets=buckets, by=["__col"],
-                                  n=sum(r["distinct"] for r in sizes.values()))
+    rows = value_ranges(counted, [("__v", True)], ["__col"], buckets or max(
+        1, math.ceil(sum(r["distinct"] for r in sizes.values()) / (rows_per_bucket or ROWS_PER_BUCKET))))
+    offsets = range_offsets(rows, ["__col"], {"__upto": "__c"})
+    # only ranges that hold a wanted position are read again
+    places = {(number[str(value)], place) for value, p in wanted.values() if number[str(value)] in sizes
+              for place in _positions(sizes[number[str(value)]]["n"], p)}
+    held = [o for o in offsets if any(
+        c == o["__col"] and o["__off___upto"] < at <= o["__off___upto"] + o["__tot___upto"] for c, at in places)]
+    rows = rows.where(F.col("__part").isin(sorted({o["__part"] for o in held})))
+    ranked = _placed(rows, held, ["__col"], {"__upto": "__c"}, counted.columns, "__r")
 
     def at(col: int, position: int) -> Column:
         holds = ((F.col("__col") == col) & (F.col("__upto") >= position)
@@ -204,11 +236,16 @@ def exact_quantiles_of(df: DataFrame, wanted: dict[str, tuple[Column, float]],
             aggs.append(F.max(F.lit(None).cast("double")).alias(name))
             continue
         pos = (sizes[col]["n"] - 1) * p
-        lo, hi = at(col, math.floor(pos) + 1), at(col, math.ceil(pos) + 1)
+        lo, hi = (at(col, place) for place in _positions(sizes[col]["n"], p))
         aggs.append((lo + (hi - lo) * F.lit(float(pos - math.floor(pos)))).alias(name))
     return ranked.agg(*aggs)
 
 
+def _positions(n: int, p: float) -> tuple[int, int]:
+    """1-based positions of n sorted values between which the quantile p lies."""
+    return math.floor((n - 1) * p) + 1, math.ceil((n - 1) * p) + 1
+
+
 def exact_quantiles(df: DataFrame, value_col: str, probs: list[float],
                     names: list[str] | None = None, rows_per_bucket: int | None = None,
                     buckets: int | None = None) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import band_index, is_returned
-from .ordered import cache
+from .ordered import written
 from .products import DEFAULT_DISCOUNT_EDGES, PRODUCT_KEYS
 
 MONTH, BAND = "order_month_start", "band_idx"
@@ -32,7 +32,8 @@ MEASURES = ["rev", "prof", "units_sold", "lines", "returned_lines"]
 
 @dataclass
 class Profile:
-    """Sums of the fact by each of ``GROUPINGS``; ``rows`` holds them all, persisted."""
+    """Sums of the fact by each of ``GROUPINGS``; ``rows`` holds them all, as a written
+    table (a persisted frame of grouping sets is computed anew for each use in a union)."""
 
     fact: DataFrame
     rows: DataFrame
@@ -62,4 +63,4 @@ def sales_profile(fact: DataFrame, edges: list[float] | None = None,
         F.sum("revenue").alias("rev"), F.sum("profit").alias("prof"),
         F.sum("quantity").cast("long").alias("units_sold"), F.count(F.lit(1)).alias("lines"),
         F.sum("__ret").alias("returned_lines"), F.grouping_id().cast("int").alias("__id"))
-    return Profile(fact, cache(rows.withColumn("grouping", names[F.col("__id")]).drop("__id")), edges)
+    return Profile(fact, written(rows.withColumn("grouping", names[F.col("__id")]).drop("__id"), "profile"), edges)

@@ -162,9 +162,7 @@ def test_positions_within_groups(spark):
     release_cached()
 
 
-def test_offsets_over_many_chunks_of_ranges(spark, monkeypatch):
-    from salespark.operators import ordered
-    monkeypatch.setattr(ordered, "CHUNK", 3)
+def test_offsets_over_many_ranges(spark):
     df = spark.range(0, 2000).select(F.col("id").alias("k"), (F.col("id") % 7).alias("m"))
     got = ordered_offsets(df, [("k", True)], sums={"run": "m"}, buckets=20).orderBy("k").collect()
     assert [r["rank"] for r in got] == list(range(1, 2001))
