@@ -59,3 +59,18 @@ def text_bytes(column: str = "text"):
 def bucket_of(df: DataFrame, modulus: int, key: str = "doc_id"):
     """crc32 of a key as decimal text, modulo ``modulus`` (null key: 0 bytes)."""
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % modulus
+
+
+_MEMO: dict = {}
+
+
+def memo(key: tuple, make):
+    """What a Python worker remembers for ``key`` (an operator and its parameters).
+
+    A worker remembers for one operator at a time: reused by a later stage, it
+    forgets what it knew for the stage before, so memory doesn't add up over stages.
+    """
+    if key not in _MEMO:
+        _MEMO.clear()
+        _MEMO[key] = make()
+    return _MEMO[key]

@@ -86,14 +86,9 @@ class Trigrams(dict):
         return n @ self.vectors[at].astype(np.float32) if len(at) else None
 
 
-_LOADED: list[Trigrams] = []
-
-
 def trigrams() -> Trigrams:
     """The remembered trigrams of this Python worker."""
-    if not _LOADED:
-        _LOADED.append(Trigrams())
-    return _LOADED[0]
+    return common.memo(("langid",), Trigrams)
 
 
 def prototypes(docs: DataFrame) -> dict[str, np.ndarray]:

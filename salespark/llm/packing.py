@@ -34,6 +34,8 @@ SHARD_DOCS, BLOCK_DOCS = 1024, 2048
 #: Tokens of a block, about; a block is closed when it holds more.
 BLOCK_TOKENS = 16_000_000
 K1, B = 1.2, 0.75
+#: Bytes of packed ids of a partition, about; it holds several shards.
+PARTITION_BYTES = 32 << 20
 #: Components of a projected document; documents that the tree is learned from.
 PROJECTED, SAMPLE_DOCS = 64, 65_536
 
@@ -293,11 +295,9 @@ def _pack(stats, dtype: np.dtype, window: int, payload: bool):
     """mapInArrow over rows sorted by shard and doc_id: the pieces of their sequences."""
     def run(batches):
         import pyarrow as pa
-        from pyspark import TaskContext
 
         idf, average = stats.value
-        sequence = TaskContext.get().partitionId() << 32
-        names, docs, held, now = [], [], 0, None
+        names, docs, held, now, sequence = [], [], 0, None, 0
 
         def close():
             nonlocal sequence
@@ -319,10 +319,11 @@ def _pack(stats, dtype: np.dtype, window: int, payload: bool):
 
         for batch in batches:
             for shard, name, ids in zip(*(batch.column(c).to_pylist() for c in ("shard", "doc_id", "ids"))):
-                if docs and shard != now:
-                    yield close()
-                    names, docs, held = [], [], 0
-                now = shard
+                if shard != now:
+                    if docs:
+                        yield close()
+                        names, docs, held = [], [], 0
+                    now, sequence = shard, shard << 32
                 names.append(name)
                 docs.append(np.frombuffer(ids, dtype))
                 held += len(docs[-1])
@@ -354,6 +355,6 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, payload: bool =
     key = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)).alias("hash")
     return (tokens.select("doc_id", "ids", key)
             .mapInArrow(_deal(stats, shared, dtype), "shard long, doc_id long, ids binary")
-            .repartition(tree.shards, "shard")
+            .repartition(max(1, min(tree.shards, -(-total * dtype.itemsize // PARTITION_BYTES))), "shard")
             .sortWithinPartitions("shard", "doc_id", "ids")
             .mapInArrow(_pack(stats, dtype, window, payload), schema))

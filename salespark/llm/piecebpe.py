@@ -25,6 +25,8 @@ import hashlib
 
 import numpy as np
 
+from salespark.llm import common
+
 SPACE = "▁"
 #: Remembered words per Python worker; beyond it the memory starts afresh.
 WORDS_KEPT = 400_000
@@ -32,7 +34,6 @@ _BIG = np.int64(1) << 60
 _SLOT_BITS = 20
 _SLOTS = 1 << _SLOT_BITS
 
-
 class PieceBPE:
     """Vocabulary and merge tables of a model file."""
 
@@ -159,25 +160,6 @@ class PieceBPE:
         order = np.argsort(word, kind="stable")
         return self._packed(sym[order], word[order], len(words))
 
-    def _after_better(self, sym, word, made, rank, hit, at) -> np.ndarray:
-        """Of the merges at ``at``: those of a word after its first merge that
-        makes a pair of a better rank.  In the reference order that pair is next."""
-        if len(at) < 2 or not (word[at[1:]] == word[at[:-1]]).any():
-            return np.zeros(len(at), bool)
-        n, merged, own = len(sym), made[at], rank[at]
-        better = np.zeros(len(at), bool)
-        after = np.minimum(at + 2, n - 1)
-        has = (at + 2 < n) & (word[after] == word[at])
-        better[has] = self._ranked(self._pairs(merged[has], sym[after[has]])) < own[has]
-        before = np.maximum(at - 1, 0)
-        left = np.where((at >= 2) & hit[np.maximum(at - 2, 0)], made[np.maximum(at - 2, 0)], sym[before])
-        has = (at >= 1) & (word[before] == word[at])
-        better[has] |= self._ranked(self._pairs(left[has], merged[has])) < own[has]
-        first = np.concatenate([[True], word[at[1:]] != word[at[:-1]]])
-        count = np.cumsum(better) - better  # earlier merges, of any word, with a better pair
-        base = np.repeat(count[first], np.diff(np.append(np.flatnonzero(first), len(at))))
-        return count > base
-
     def _packed(self, sym, word, n) -> list[bytes]:
         """Ids of each word as little-endian u32; unknown characters as byte pieces."""
         ends = np.searchsorted(word, np.arange(n), side="right")
@@ -210,18 +192,6 @@ class PieceBPE:
         base = np.repeat(count[first], np.diff(np.append(np.flatnonzero(first), len(at))))
         return count > base
 
-    def _bytes_for_unknown(self, sym, word, n) -> list[list[int]]:
-        ends = np.searchsorted(word, np.arange(n), side="right").tolist()
-        flat, out, at = sym.tolist(), [], 0
-        unknown = {i: [self.byte_ids[b] for b in c.encode()] for c, i in self.extra.items()}
-        for end in ends:
-            ids = flat[at:end]
-            at = end
-            if unknown and max(ids, default=0) >= self.n:
-                ids = [x for i in ids for x in (unknown[i] if i >= self.n else (i,))]
-            out.append(ids)
-        return out
-
     def split(self, text: str) -> list[str]:
         """Words of the normalised text: a run of U+2581 and what follows."""
         if not text:
@@ -264,7 +234,6 @@ class PieceBPE:
         out = b"".join([self.shown[i] for i in ids])
         return _as_text(out[1:] if out[:1] == b" " else out)
 
-
 def _as_text(data: bytes) -> str:
     """UTF-8 bytes as text; each byte of no valid character becomes U+FFFD."""
     try:
@@ -278,7 +247,6 @@ def _as_text(data: bytes) -> str:
         codecs.register_error("piece-each-byte", one)
         return data.decode("utf-8", "piece-each-byte")
 
-
 def _leftmost(hit: np.ndarray) -> np.ndarray:
     """Of adjacent hits (overlapping pairs) every second one, from the left."""
     run_start = hit & ~np.concatenate([[False], hit[:-1]])
@@ -286,21 +254,13 @@ def _leftmost(hit: np.ndarray) -> np.ndarray:
     start = np.maximum.accumulate(np.where(run_start, at, 0))
     return hit & ((at - start) % 2 == 0)
 
-
-_LOADED: dict[str, PieceBPE] = {}
-
-
 def model(path: str) -> PieceBPE:
     """The model of this Python worker for a file."""
-    if path not in _LOADED:
-        _LOADED[path] = PieceBPE(path)
-    return _LOADED[path]
-
+    return common.memo(("piecebpe", path), lambda: PieceBPE(path))
 
 #: Documents and characters that are split and encoded at a time.
 _DOCS, _CHARS = 512, 4_000_000
 
-
 def _groups(texts: list[str]):
     at = 0
     while at < len(texts):
@@ -311,7 +271,6 @@ def _groups(texts: list[str]):
         yield texts[at:end]
         at = end
 
-
 def encode_texts(m: PieceBPE, texts: list[str]):
     """Ids of each text."""
     for group in _groups(texts):
@@ -321,7 +280,6 @@ def encode_texts(m: PieceBPE, texts: list[str]):
         for words in lists:
             yield np.frombuffer(b"".join(map(word, words)), "<u4").tolist()
 
-
 def round_trip(path: str):
     """mapInArrow function: (doc_id, text) -> doc_id, n_tokens, ids_sha256, decoded_sha256."""
     def run(batches):
@@ -340,7 +298,6 @@ def round_trip(path: str):
                  pa.array(of_text, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
     return run
 
-
 def encode(docs, path: str):
     """(doc_id, ids array<int>) of every whole text; a null text has no ids."""
     from pyspark.sql import functions as F
@@ -357,7 +314,6 @@ def encode(docs, path: str):
     texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     return texts.mapInArrow(run, "doc_id long, ids array<int>")
 
-
 def decode(encoded, path: str):
     """(doc_id, text) of (doc_id, ids); null ids give an empty text."""
     def run(batches):
@@ -371,7 +327,6 @@ def decode(encoded, path: str):
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
-
 def round_trip_digest(docs, path: str):
     """One row per row of ``docs`` (nulls and repeats kept): doc_id, n_tokens,
     ids_sha256 (decimal ids joined by commas), decoded_sha256 (the decoded text)."""

@@ -18,6 +18,7 @@ is bounded by ``MOST_GRAMS``.
 
 from __future__ import annotations
 
+import uuid
 from array import array
 from dataclasses import dataclass
 
@@ -211,16 +212,15 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
 def scored(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """Columns ``keep`` of ``docs`` and ``__score`` of the whole text (null: empty)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    number = uuid.uuid4().hex
     schema = docs.select(*keep).schema
 
     def run(batches):
         import pyarrow as pa
 
         m = shared.value
-        memory = _MEMORY.get(id(m))
-        if memory is None:
-            _MEMORY.clear()
-            memory = _MEMORY[id(m)] = _Words(m.weights)
+        # named anew for every scoring, so no model finds another's words
+        memory = common.memo(("toxicity", number), lambda: _Words(m.weights))
         for batch in batches:
             p = m.score(batch.column("__text").to_pylist(), memory)
             yield pa.RecordBatch.from_arrays(
@@ -230,9 +230,6 @@ def scored(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
         run, schema.add("__score", "double"))
 
 
-_MEMORY: dict[int, _Words] = {}
-
-
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, score, predicted.
 

@@ -2,28 +2,37 @@
 
 The tokenizer of ``word_bpe_49k.json`` drops white space and never joins
 characters across it, so a text's ids are the ids of its white-space separated
-words, one after the other.  A word's ids are remembered per Python worker.
-Most new words go straight to the library's BPE model: those of printable ASCII
-and accented Latin letters, whose normal form and pre-tokens are plain (lower
-case; runs of letters, single digits, runs of the rest).  All other words
-(apostrophes, special-token strings, other scripts, combining marks) go through
-the library's whole pipeline.
+words, one after the other.  Most words are plain: Latin letters, maybe a full stop
+or comma behind; these are two pieces, lower-cased letters and the mark, which go
+straight to the library's BPE model.  So do the pieces of words of printable ASCII
+and accented letters (runs of letters, single digits, runs of the rest).  All
+other words (apostrophes, special-token strings, other scripts, combining marks) go
+through the library's whole pipeline.
+
+Texts are split, words numbered and plain ones told apart column by column (Arrow),
+so each distinct piece of a slice of ``SLICE`` bytes is looked up once; the ids of
+all words are then gathered by numpy.  What a Python worker remembers are columns
+too: the pieces met, and their ids, one after the other.
 """
 
 from __future__ import annotations
 
 import re
-from array import array
+from itertools import chain
 
 import numpy as np
 
 END_ID = 2
-#: Remembered words per Python worker; beyond it the memory starts afresh.
-WORDS_KEPT = 500_000
-#: Longer words (bytes) seldom recur and are not remembered, only their pieces.
-LONGEST_KEPT = 12
-
+#: Pieces that a Python worker remembers, about; before that it would be more, it starts afresh.
+PIECES_KEPT = 1_000_000
+#: Longer pieces (bytes) seldom recur and aren't remembered.
+LONGEST_KEPT = 24
+#: Bytes of text whose words are numbered at a time; a longer text is cut at white space.
+SLICE = 8_000_000
+
+_LETTERS = "^[A-Za-zÀ-ÖØ-öø-įı-ſ]+$"
 _PLAIN = re.compile(r"[!-&(-;=-~À-ÖØ-öø-įı-ſ]+")
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
 _PIECES = re.compile(r"[a-zß-öø-ſ]+|[0-9]|[^a-zß-öø-ſ0-9]+")
 
 
@@ -34,63 +43,164 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-class WordBPE(dict):
-    """word bytes -> packed little-endian ids; unknown words are encoded on demand."""
+class WordBPE:
+    """Encoder of a tokenizer file, and the pieces it remembers."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.code = "H" if self.dtype.itemsize == 2 else "I"
-        self.end = self._pack([END_ID])
-        self.pieces: dict[str, bytes] = {}
         self.letters = _byte_letters()
+        #: remembered pieces, where their ids begin in ``ids``, and how many they are
+        self._forget()
+        self.always = [[], [END_ID], self.piece("."), self.piece(",")]  # no mark, end, marks
+
+    def piece(self, piece: str) -> list[int]:
+        """Ids of a run of letters, a digit, or a run of the rest, in lower case."""
+        shown = piece if piece.isascii() else "".join([self.letters[b] for b in piece.encode()])
+        return [t.id for t in self.model.tokenize(shown)]
+
+    def word(self, word: bytes) -> list[int]:
+        """Ids of any word."""
+        if _PLAIN.fullmatch(text := word.decode("utf-8", "replace")):
+            return [i for p in _PIECES.findall(text.lower()) for i in self.piece(p)]
+        return self.tokenizer.encode(text, add_special_tokens=False).ids if text else []
+
+    def numbers(self, pieces) -> np.ndarray:
+        """Places of a column of distinct pieces in the memory; new ones are learned."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        at = pc.index_in(pieces, value_set=self.known)
+        if at.null_count and len(self.known) + at.null_count > PIECES_KEPT:
+            self._forget()
+            at = pc.index_in(pieces, value_set=self.known)
+        if at.null_count:
+            new = pieces.filter(at.is_null())
+            found = [self.piece(p) for p in _values(new)]
+            sizes = np.fromiter(map(len, found), np.int32, len(found))
+            self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes, dtype=np.int32) - sizes])
+            self.sizes = np.concatenate([self.sizes, sizes])
+            self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), self.dtype)])
+            self.known = pa.concat_arrays([self.known, new])
+            at = pc.index_in(pieces, value_set=self.known)
+        return at.to_numpy()
+
+    def _forget(self) -> None:
+        import pyarrow as pa
 
-    def __missing__(self, word: bytes) -> bytes:
-        known = self.pieces
-        if word.isalpha():  # ASCII letters only
-            low = word.lower().decode()
-            ids = known.get(low) or self._piece(low)
-        elif word[-1] in b".," and word[:-1].isalpha():
-            low, mark = word[:-1].lower().decode(), chr(word[-1])
-            ids = (known.get(low) or self._piece(low)) + (known.get(mark) or self._piece(mark))
-        elif _PLAIN.fullmatch(text := word.decode("utf-8", "replace")):
-            ids = b"".join([known.get(p) or self._piece(p) for p in _PIECES.findall(text.lower())])
-        else:
-            ids = self._pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        if len(word) <= LONGEST_KEPT:
-            if len(self) >= WORDS_KEPT:
-                self.clear()
-            self[word] = ids
-        return ids
-
-    def _piece(self, piece: str) -> bytes:
-        if len(self.pieces) >= WORDS_KEPT:
-            self.pieces.clear()
-        shown = piece if piece.isascii() else "".join(
-            [self.letters[b] for b in piece.encode()])
-        ids = self.pieces[piece] = self._pack([t.id for t in self.model.tokenize(shown)])
-        return ids
-
-    def _pack(self, ids: list[int]) -> bytes:
-        return array(self.code, ids).tobytes()
+        self.known = pa.array([], pa.string())
+        self.starts, self.sizes = np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.ids = np.zeros(0, self.dtype)
 
     def encode(self, text: bytes) -> bytes:
         """Packed ids of a whole text, the end id appended."""
-        return b"".join(map(self.__getitem__, text.split())) + self.end
-
+        import pyarrow as pa
 
-_LOADED: dict[str, WordBPE] = {}
+        return encoded_column(self, pa.array([text], pa.binary()))[0].as_py()
 
 
 def encoder(path: str) -> WordBPE:
     """The encoder of this Python worker for a tokenizer file."""
-    if path not in _LOADED:
-        _LOADED[path] = WordBPE(path)
-    return _LOADED[path]
+    from salespark.llm import common
+
+    return common.memo(("wordbpe", path), lambda: WordBPE(path))
+
+
+def encoded_column(enc: WordBPE, texts):
+    """A binary column of texts as a binary column of packed ids, end ids appended."""
+    import pyarrow as pa
+
+    texts = texts.cast(pa.binary())
+    ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset:texts.offset + len(texts) + 1].astype(np.int64)
+    parts, at = [], 0
+    while at < len(texts):
+        stop = max(int(np.searchsorted(ends, ends[at] + SLICE, side="right")) - 1, at + 1)
+        if ends[stop] - ends[at] > SLICE:  # one text
+            parts.append(pa.array([_long(enc, texts[at].as_py())], pa.binary()))
+        else:
+            parts.append(_encoded_slice(enc, texts.slice(at, stop - at)))
+        at = stop
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.binary())
+
+
+def _long(enc: WordBPE, text: bytes) -> bytes:
+    """A text longer than a slice, cut at white space."""
+    import pyarrow as pa
+
+    out, at = [], 0
+    while at < len(text):
+        space = _SPACE.search(text, at + SLICE)
+        stop = space.start() if space else len(text)
+        ids = _encoded_slice(enc, pa.array([text[at:stop]], pa.binary()))[0].as_py()
+        out.append(ids[:-enc.dtype.itemsize])
+        at = stop
+    return b"".join(out) + np.array([END_ID], enc.dtype).tobytes()
+
+
+def _values(column) -> list[str]:
+    """Values of a column of words, none of which holds white space."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    if not len(column):
+        return []
+    whole = pa.ListArray.from_arrays(pa.array([0, len(column)], pa.int32()), column)
+    return pc.binary_join(whole, " ")[0].as_py().split(" ")
+
+
+def _plain(words):
+    """Of a column of distinct words: which are plain, their letters in lower case, and
+    how many marks stand behind."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    core = pc.ascii_rtrim(words, characters=".,")
+    tail = pc.subtract(pc.binary_length(words), pc.binary_length(core)).to_numpy()
+    try:
+        words.validate(full=True)
+        letters, lower = pc.match_substring_regex(core, _LETTERS), pc.utf8_lower(core)
+    except pa.ArrowInvalid:  # not UTF-8
+        letters, lower = pc.ascii_is_alpha(core), pc.ascii_lower(core)
+    short = pc.less_equal(pc.binary_length(core), LONGEST_KEPT)
+    return pc.and_(letters, short).to_numpy(zero_copy_only=False) & (tail <= 1), lower, tail
+
+
+def _encoded_slice(enc: WordBPE, texts):
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    lists = pc.ascii_split_whitespace(texts.view(pa.string()))
+    numbered = lists.flatten().dictionary_encode()
+    words = numbered.dictionary
+    plain, lower, tail = _plain(words)
+    cores = lower.filter(pa.array(plain)).dictionary_encode()
+    others = [enc.word(w) for w in words.view(pa.binary()).filter(pa.array(~plain)).to_pylist()]
+    place = enc.numbers(cores.dictionary)
+    # units: the remembered pieces, then what every slice has, then the other words
+    extra = [*enc.always, *others]
+    sizes = np.concatenate([enc.sizes, np.fromiter(map(len, extra), np.int32, len(extra))])
+    starts = np.concatenate([enc.starts, len(enc.ids) + np.cumsum(sizes[len(enc.sizes):]) - sizes[len(enc.sizes):]])
+    ids = np.concatenate([enc.ids, np.fromiter(chain.from_iterable(extra), enc.dtype)])
+    none, end, stop, comma = range(len(enc.sizes), len(enc.sizes) + len(enc.always))
+    # a word is two units: its letters or itself, and its mark or none
+    units = np.full((len(words), 2), none, np.int32)
+    units[plain, 0] = place[cores.indices.to_numpy()] if len(place) else 0
+    units[~plain, 0] = none + len(enc.always) + np.arange(len(others))
+    marked = plain & (tail == 1)
+    if marked.any():
+        last = pc.ends_with(words, ",").to_numpy(zero_copy_only=False)
+        units[marked, 1] = np.where(last[marked], comma, stop)
+    # every text's words, then the end id
+    bounds = lists.value_lengths().to_numpy().cumsum()
+    unit = np.insert(units[numbered.indices.to_numpy()].ravel(), 2 * bounds, end)
+    many = sizes[unit]
+    after = np.cumsum(many, dtype=np.int64)
+    out = ids[np.repeat(starts[unit] - (after - many), many) + np.arange(after[-1])]
+    offsets = np.concatenate([[0], after[2 * bounds + np.arange(len(bounds))]]) * enc.dtype.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(out)])
 
 
 def encode_batches(path: str, keep: list[str]):
@@ -101,9 +211,9 @@ def encode_batches(path: str, keep: list[str]):
 
         enc = encoder(path)
         for batch in batches:
-            ids = [enc.encode(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(k) for k in keep] + [pa.array(ids, pa.binary())], [*keep, "ids"])
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(k) for k in keep] + [encoded_column(enc, batch.column("text"))], [*keep, "ids"])
     return run
 
 

@@ -174,3 +174,30 @@ def test_packing_brings_topics_together(spark):
         shards[r.sequence_id >> 32][topic[r.doc_id]] += 1
     # dealt out by doc_id every shard holds all 16 topics alike
     assert np.mean([max(s.values()) / sum(s.values()) for s in shards.values()]) > 0.15
+
+
+def test_columns_of_texts_encode_as_the_library_does(monkeypatch):
+    """Slices, texts longer than a slice, forgotten pieces, bytes that aren't UTF-8."""
+    import pyarrow as pa
+    import public_tokenizers
+    from salespark.llm import wordbpe
+
+    monkeypatch.setattr(wordbpe, "SLICE", 300)
+    monkeypatch.setattr(wordbpe, "PIECES_KEPT", 40)
+    enc = wordbpe.WordBPE(public_tokenizers.path("word_bpe_49k.json"))
+    texts = ["", "  a  b ", "é x. É, Ñandú.", "a.. ., . , .. U.S.A. it's don't. <s> </s> [CLS]", "Word, WORD. word; 12.5, x1",
+             "日本語 🙂 é", "x" * 900 + " y z", "word " * 400, *(f"plain words{i} Number, {i}." for i in range(60))]
+    raw = [t.encode() for t in texts] + [b"\xff\xfe x", b"a \x80b."]
+    got = wordbpe.encoded_column(enc, pa.array([b"before", *raw], pa.binary()).slice(1)).to_pylist()
+    for text, ids in zip(raw, got):
+        want = enc.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids + [2]
+        assert np.frombuffer(ids, enc.dtype).tolist() == want, text[:40]
+
+
+def test_a_worker_remembers_for_one_operator_at_a_time():
+    from salespark.llm import common
+
+    first = common.memo(("a", 1), dict)
+    assert common.memo(("a", 1), dict) is first
+    common.memo(("b",), dict)
+    assert common.memo(("a", 1), dict) is not first
