@@ -34,6 +34,7 @@ _BIG = np.int64(1) << 60
 _SLOT_BITS = 20
 _SLOTS = 1 << _SLOT_BITS
 
+
 class PieceBPE:
     """Vocabulary and merge tables of a model file."""
 
@@ -234,6 +235,7 @@ class PieceBPE:
         out = b"".join([self.shown[i] for i in ids])
         return _as_text(out[1:] if out[:1] == b" " else out)
 
+
 def _as_text(data: bytes) -> str:
     """UTF-8 bytes as text; each byte of no valid character becomes U+FFFD."""
     try:
@@ -247,6 +249,7 @@ def _as_text(data: bytes) -> str:
         codecs.register_error("piece-each-byte", one)
         return data.decode("utf-8", "piece-each-byte")
 
+
 def _leftmost(hit: np.ndarray) -> np.ndarray:
     """Of adjacent hits (overlapping pairs) every second one, from the left."""
     run_start = hit & ~np.concatenate([[False], hit[:-1]])
@@ -254,6 +257,7 @@ def _leftmost(hit: np.ndarray) -> np.ndarray:
     start = np.maximum.accumulate(np.where(run_start, at, 0))
     return hit & ((at - start) % 2 == 0)
 
+
 def model(path: str) -> PieceBPE:
     """The model of this Python worker for a file."""
     return common.memo(("piecebpe", path), lambda: PieceBPE(path))
@@ -261,6 +265,7 @@ def model(path: str) -> PieceBPE:
 #: Documents and characters that are split and encoded at a time.
 _DOCS, _CHARS = 512, 4_000_000
 
+
 def _groups(texts: list[str]):
     at = 0
     while at < len(texts):
@@ -271,6 +276,7 @@ def _groups(texts: list[str]):
         yield texts[at:end]
         at = end
 
+
 def encode_texts(m: PieceBPE, texts: list[str]):
     """Ids of each text."""
     for group in _groups(texts):
@@ -280,6 +286,7 @@ def encode_texts(m: PieceBPE, texts: list[str]):
         for words in lists:
             yield np.frombuffer(b"".join(map(word, words)), "<u4").tolist()
 
+
 def round_trip(path: str):
     """mapInArrow function: (doc_id, text) -> doc_id, n_tokens, ids_sha256, decoded_sha256."""
     def run(batches):
@@ -298,6 +305,7 @@ def round_trip(path: str):
                  pa.array(of_text, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
     return run
 
+
 def encode(docs, path: str):
     """(doc_id, ids array<int>) of every whole text; a null text has no ids."""
     from pyspark.sql import functions as F
@@ -314,6 +322,7 @@ def encode(docs, path: str):
     texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     return texts.mapInArrow(run, "doc_id long, ids array<int>")
 
+
 def decode(encoded, path: str):
     """(doc_id, text) of (doc_id, ids); null ids give an empty text."""
     def run(batches):
@@ -327,6 +336,7 @@ def decode(encoded, path: str):
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
+
 def round_trip_digest(docs, path: str):
     """One row per row of ``docs`` (nulls and repeats kept): doc_id, n_tokens,
     ids_sha256 (decimal ids joined by commas), decoded_sha256 (the decoded text)."""
