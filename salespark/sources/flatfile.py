@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.exprs import col
-from . import schema
+from . import loads, schema
 
 
 def read_flat_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -105,82 +105,65 @@ def order_measures(lines: DataFrame, quantity: str = "quantity", unit_price: str
 
 
 def write_tables(customers: DataFrame, products: DataFrame, orders: DataFrame, base_path: str,
-                 load_id: str | None = None, unique_orders: bool = False) -> None:
-    """Write one load of the three tables as parquet under ``base_path`` (parents first).
+                 load_id: str | None = None, unique_orders: bool = False, all_required: bool = False) -> None:
+    """Store one load of the three tables under ``base_path``, as one transaction
+    (``sources.loads``): readers see all of it or nothing.
 
-    Every load has a folder of its own (``load_id=...``) in each table, and
-    writing it again replaces that folder alone: a replayed load changes
-    nothing, and every order line given is stored, whichever other lines of
-    its order came before.  Without ``load_id`` the load gets a new name.
-    Customers and products that another load stored already stay as they are
-    there (``left_anti`` on the key).
+    Writing a load again replaces it: a replayed load changes nothing, a corrected one
+    what was wrong, and every order line given is stored, whichever other lines of its
+    order came before.  Without ``load_id`` the load gets a new name.
 
     ``unique_orders`` declares one line per order: a load that repeats an
     ``order_id``, or holds one that another load stored, raises ``ValueError``.
-
-    ``orders`` is partitioned by order month so date filters prune files; the
-    ``rebalance`` hint keeps that to a few files a month.
+    NULL keys and customer names fail the load; ``all_required`` fails it for a NULL
+    in any column declared NOT NULL.  A failed load is never seen.
     """
     spark = orders.sparkSession
-    load = f"load_id={load_id or uuid.uuid4().hex}"
-    base = base_path.rstrip("/")
-
-    def elsewhere(name: str, key: str) -> DataFrame | None:
-        """Keys that other loads stored."""
-        path = f"{base}/{name}"
-        if not _exists(spark, path):
-            return None
-        stored = spark.read.parquet(path)
-        return stored.where(F.col("load_id").cast("string") != load.partition("=")[2]).select(key)
-
+    load = loads.begin(spark, base_path, load_id or uuid.uuid4().hex)
     if unique_orders:
-        known = elsewhere("orders", "order_id")
+        known = loads.read(spark, base_path, "orders", without=load.load_id)
         given = orders.groupBy("order_id").count()
         clash = given.where("count > 1")
         if known is not None:
-            clash = clash.unionByName(given.join(known, "order_id", "left_semi"))
+            clash = clash.unionByName(given.join(known.select("order_id"), "order_id", "left_semi"))
         if not clash.isEmpty():
             raise ValueError(f"order_id is not unique: {clash.first()['order_id']!r}")
-    for name, frame, key in (("customers", customers, "customer_id"),
-                             ("products", products, "product_id")):
-        known = elsewhere(name, key)
-        if known is not None:
-            frame = frame.join(known, key, "left_anti")
-        frame.write.mode("overwrite").parquet(f"{base}/{name}/{load}")
-    (orders.withColumn("order_month", F.substring("order_date", 1, 7))
-     .hint("rebalance", "order_month")
-     .write.mode("overwrite").partitionBy("order_month").parquet(f"{base}/orders/{load}"))
+    columns = loads.DECLARED if all_required else loads.ALWAYS
+    for name, frame in (("customers", customers), ("products", products), ("orders", orders)):
+        loads.write(loads.required(frame, name, columns[name]), name, base_path, load)
+    loads.commit(spark, base_path, load)
 
 
 def load_csv_to_tables(spark: SparkSession, csv_path: str, base_path: str,
-                       load_id: str | None = None, unique_orders: bool = False) -> None:
+                       load_id: str | None = None, unique_orders: bool = False,
+                       all_required: bool = True) -> None:
     """Read a flat export, split it into the three tables and store them.
 
     The load is named after the path unless ``load_id`` is given, so loading
-    the same path again replaces its rows instead of adding them twice.
+    the same path again replaces its rows instead of adding them twice.  A NULL in a
+    column declared NOT NULL fails the load.
     """
     name = load_id or hashlib.sha1(csv_path.encode("utf-8")).hexdigest()
     customers, products, orders = normalize(read_flat_csv(spark, csv_path))
-    write_tables(customers, products, orders, base_path, name, unique_orders)
+    write_tables(customers, products, orders, base_path, name, unique_orders, all_required)
 
 
 def read_tables(spark: SparkSession, base_path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Read the three stored tables back with their declared types."""
-    base = base_path.rstrip("/")
-    customers = spark.read.parquet(f"{base}/customers").drop("load_id")
-    products = spark.read.parquet(f"{base}/products").drop("load_id")
-    orders = spark.read.parquet(f"{base}/orders").drop("load_id", "order_month")
-    return customers, products, typed_orders(orders)
+    """The three tables over all committed loads, one snapshot of them, with their
+    declared types.  Of a customer or product that several loads stored, the row of
+    the earliest load counts."""
+    committed = loads.commits(spark, base_path)
+    customers, products, orders = (loads.read(spark, base_path, t, committed) for t in ("customers", "products", "orders"))
+    customers = (loads.first_stored(customers, "customer_id", schema.CUSTOMER_COLUMNS) if customers is not None
+                 else spark.createDataFrame([], schema.CUSTOMERS))
+    products = (loads.first_stored(products, "product_id", schema.PRODUCT_COLUMNS) if products is not None
+                else spark.createDataFrame([], schema.PRODUCTS))
+    if orders is None:
+        return customers, products, spark.createDataFrame([], schema.ORDERS)
+    return customers, products, typed_orders(orders.select(*schema.ORDER_COLUMNS))
 
 
 def typed_orders(orders: DataFrame) -> DataFrame:
     """Orders with their ISO text dates as dates."""
     return orders.withColumns({
         "order_date": F.to_date("order_date"), "ship_date": F.to_date("ship_date")})
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return fs.exists(hpath)

@@ -7,7 +7,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from salespark.sources import flatfile, schema
+from salespark.sources import flatfile, loads, schema
 from salespark.sources.integrity import constraint_report
 from salespark.sources.tables import fact_from_tables
 
@@ -122,3 +122,138 @@ def test_declared_unique_orders_raise(spark, flat):
         flatfile.write_tables(c, p, o, f"{base}/db", load_id="b", unique_orders=True)
     with pytest.raises(ValueError, match="not unique"):
         flatfile.write_tables(c, p, o.unionByName(o), f"{base}/db", load_id="a", unique_orders=True)
+
+
+def _line(flat, customer, order, name="Alice"):
+    """The first flat line as another order of another customer."""
+    return flat.orderBy("Order_ID").limit(1).withColumns({
+        "Customer_ID": F.lit(customer), "Order_ID": F.lit(order), "Customer_Name": F.lit(name)})
+
+
+def _stored(spark, base):
+    c, p, o = flatfile.read_tables(spark, base)
+    fact = fact_from_tables(o, c, p)
+    return c, o, fact
+
+
+def test_reader_between_the_writes_sees_the_state_before(spark, flat, monkeypatch):
+    base = tempfile.mkdtemp(prefix="salespark-test-") + "/db"
+    assert [t.count() for t in flatfile.read_tables(spark, base)] == [0, 0, 0]
+    flatfile.write_tables(*flatfile.normalize(_line(flat, "K", "O1")), base, load_id="a")
+    seen = []
+    write = loads.write
+
+    def watched(frame, name, *rest):
+        write(frame, name, *rest)
+        seen.append((name, *(t.count() for t in flatfile.read_tables(spark, base))))
+
+    monkeypatch.setattr(loads, "write", watched)
+    flatfile.write_tables(*flatfile.normalize(_line(flat, "L", "O2")), base, load_id="b")
+    assert seen == [(t, 1, 1, 1) for t in ("customers", "products", "orders")]
+    assert [t.count() for t in flatfile.read_tables(spark, base)] == [2, 1, 2]
+
+
+def test_failed_attempt_is_never_seen(spark, flat, monkeypatch):
+    base = tempfile.mkdtemp(prefix="salespark-test-") + "/db"
+    flatfile.write_tables(*flatfile.normalize(flat), base, load_id="a")
+    write = loads.write
+
+    def fails(frame, name, *rest):
+        if name == "orders":
+            raise RuntimeError("executor lost")
+        write(frame, name, *rest)
+
+    monkeypatch.setattr(loads, "write", fails)
+    with pytest.raises(RuntimeError):
+        flatfile.write_tables(*flatfile.normalize(_line(flat, "Z", "O9")), base, load_id="b")
+    with pytest.raises(RuntimeError):
+        flatfile.write_tables(*flatfile.normalize(_line(flat, "Z", "O9")), base, load_id="a")
+    c, o, fact = _stored(spark, base)
+    assert (c.count(), o.count(), fact.count()) == (1, 2, 2)
+
+
+def test_two_loads_at_once(spark, flat):
+    """Both hold customer K; one row counts, and no order line is doubled or lost."""
+    from concurrent.futures import ThreadPoolExecutor
+    base = tempfile.mkdtemp(prefix="salespark-test-") + "/db"
+    jobs = [(_line(flat, "K", f"O{i}", f"name {i}"), f"load{i}") for i in range(4)]
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(lambda j: flatfile.write_tables(*flatfile.normalize(j[0]), base, load_id=j[1]), jobs))
+    c, o, fact = _stored(spark, base)
+    assert (c.count(), o.count(), fact.count()) == (1, 4, 4)
+    first = loads.commits(spark, base)[0].load_id
+    assert c.first().customer_name == "name " + first[-1]
+
+
+def test_two_attempts_of_one_load_at_once(spark, flat):
+    from concurrent.futures import ThreadPoolExecutor
+    base = tempfile.mkdtemp(prefix="salespark-test-") + "/db"
+    with ThreadPoolExecutor(2) as pool:
+        list(pool.map(lambda x: flatfile.write_tables(*flatfile.normalize(_line(flat, "K", x)), base, load_id="same"),
+                      ["O1", "O2"]))
+    c, o, fact = _stored(spark, base)
+    assert (c.count(), o.count(), fact.count()) == (1, 1, 1)
+
+
+def test_corrected_replay_orphans_nothing(spark, flat):
+    """Load a holds K and L, load b an order of K; a comes again without K."""
+    base = tempfile.mkdtemp(prefix="salespark-test-") + "/db"
+    a = _line(flat, "K", "O1", "from a").unionByName(_line(flat, "L", "O2"))
+    flatfile.write_tables(*flatfile.normalize(a), base, load_id="a")
+    flatfile.write_tables(*flatfile.normalize(_line(flat, "K", "O3", "from b")), base, load_id="b")
+    c, o, _ = _stored(spark, base)
+    assert {r.customer_id: r.customer_name for r in c.collect()} == {"K": "from a", "L": "Alice"}
+    flatfile.write_tables(*flatfile.normalize(_line(flat, "L", "O2")), base, load_id="a")
+    c, o, fact = _stored(spark, base)
+    assert {r.order_id for r in fact.collect()} == {"O2", "O3"} and o.count() == 2
+    assert {r.customer_id: r.customer_name for r in c.collect()} == {"K": "from b", "L": "Alice"}
+    report = constraint_report(c, flatfile.read_tables(spark, base)[1], o)
+    assert report.where("rule <> 'not_null'").agg(F.sum("violations")).first()[0] == 0
+    assert loads.remove_superseded(spark, base) == 1
+    assert _stored(spark, base)[2].count() == 2
+
+
+def test_null_in_a_declared_column_raises(spark, flat):
+    base = tempfile.mkdtemp(prefix="salespark-test-")
+    flatfile.write_flat_csv(flat.withColumn("City", F.lit(None).cast("string")), f"{base}/flat")
+    with pytest.raises(Exception, match="NULL in customers.city"):
+        flatfile.load_csv_to_tables(spark, f"{base}/flat", f"{base}/db")
+    assert flatfile.read_tables(spark, f"{base}/db")[2].count() == 0
+    c, p, o = flatfile.normalize(flat)
+    with pytest.raises(Exception, match="NULL in orders.order_id"):
+        flatfile.write_tables(c, p, o.withColumn("order_id", F.lit(None).cast("string")), f"{base}/db")
+    flatfile.write_tables(c.withColumn("age", F.lit(None).cast("int")), p, o, f"{base}/db")
+
+
+def test_point_filters_skip_row_groups(spark):
+    """Sorted by customer and with bloom filters, few row groups are read for one customer."""
+    from salespark.sources.tables import sales_fact
+    base = tempfile.mkdtemp(prefix="salespark-test-") + "/db"
+    flat = flatfile.to_flat(sales_fact(spark, "/root/testdata/sf0.01")).withColumn("Order_Date", F.to_date(F.lit("2026-01-05")))
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    conf.set("parquet.block.size", str(64 * 1024))
+    conf.set("parquet.block.size.row.check.min", "100")
+    conf.set("parquet.page.size.row.check.min", "100")
+    try:
+        flatfile.write_tables(*flatfile.normalize(flat), base, load_id="a")
+    finally:
+        for key in ("parquet.block.size", "parquet.block.size.row.check.min", "parquet.page.size.row.check.min"):
+            conf.unset(key)
+    orders = flatfile.read_tables(spark, base)[2]
+    total = orders.count()
+    for column, most in (("customer_id", 0.1), ("product_id", 0.9)):
+        value = orders.select(column).first()[0]
+        df = orders.where(F.col(column) == value).select("order_id", column)
+        df.write.format("noop").mode("overwrite").save()
+        want = df.count()
+        scan = _scanned(orders.where(F.col(column) == value).select("order_id", column))
+        assert want <= scan <= most * total, (column, want, scan, total)
+
+
+def _scanned(df) -> int:
+    """Rows that the scan of a plan gave, by its metric."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    while plan.children().size() or plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+        plan = plan.executedPlan() if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec" else plan.children().head()
+    return plan.metrics().apply("numOutputRows").value()

@@ -6,7 +6,7 @@ import tempfile
 
 from pyspark.sql import functions as F
 
-from salespark.sources import flatfile
+from salespark.sources import flatfile, loads
 from salespark.streaming.ingest import start_flat_file_load
 
 
@@ -69,10 +69,9 @@ def test_batch_size_does_not_change_the_rows(spark):
         tables = f"{base}/tables-{per_batch}"
         start_flat_file_load(spark, f"{base}/in", tables, checkpoint_location=f"{base}/ckpt-{per_batch}",
                              max_files_per_trigger=per_batch).awaitTermination(200)
-        orders = spark.read.parquet(f"{tables}/orders")
-        assert orders.count() == 6000
-        name = orders.first().load_id
+        assert flatfile.read_tables(spark, tables)[2].count() == 6000
+        name = loads.commits(spark, tables)[0].load_id
         batch = flatfile.read_flat_csv(spark, f"{base}/in")
         if per_batch is None:
             load_batch(batch, tables, name)
-            assert spark.read.parquet(f"{tables}/orders").count() == 6000
+            assert flatfile.read_tables(spark, tables)[2].count() == 6000
