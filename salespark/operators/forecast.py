@@ -1,13 +1,11 @@
 """Daily revenue forecasts with a 10 / 50 / 90 % band, for one or many series.
 
-The reference fits three gradient-boosted quantile regressions on one
-series.  Spark ML has no quantile (pinball) loss, so the default model here
-is a closed form that is exact, cheap and runs for any number of series at
+The default model is a closed form that is exact, cheap and runs for any number of series at
 once: a least-squares linear trend on the observed-day index
 (``regr_slope`` / ``regr_intercept``) plus the 10th / 50th / 90th
 percentiles of the trend residuals of the same weekday (and same holiday
 season when that cell has at least 5 days; weekday alone, then all days, as
-fallbacks).  ``forecast_gbt`` fits an MLlib GBT for the median instead.
+fallbacks).  ``forecast_gbt`` fits gradient-boosted trees on the quantile loss.
 
 Every step is a grouped aggregate or a join keyed by series, so many series
 (one per region, category, product...) forecast in one job; no driver loop.
@@ -19,6 +17,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.exprs import dround
 from .ordered import cache
@@ -179,52 +178,72 @@ def forecast_totals(forecast: DataFrame) -> DataFrame:
 
 
 FEATURES = ["day_index", "day_of_week", "month", "is_weekend", "is_holiday_season"]
-# Mean, spread and trend of a series' own revenue: what tells the model series apart.
-SERIES_FEATURES = ["series_mean", "series_std", "series_slope"]
 
 
-def forecast_gbt(fact: DataFrame, horizon_days: int = 30, keys: list[str] | None = None,
-                 max_iter: int = 200, max_depth: int = 3, step_size: float = 0.05,
-                 seed: int = 42) -> DataFrame:
-    """Forecast with an MLlib gradient-boosted tree for the median.
-
-    One GBT (absolute-error loss: its optimum is the conditional median) is
-    fitted on the calendar features of all series together, plus each series'
-    own mean, spread and trend when ``keys`` are given (numbers of the series
-    itself, so no two series share a code); the band adds that model's residual
-    quantiles per weekday x holiday cell, with the same fallbacks as the closed
-    form.  Rows with a NULL key are left out.  Training is a distributed MLlib
-    job; rows are never collected.
+def gbt_fit(fact: DataFrame, horizon_days: int = 30, keys: list[str] | None = None, rounds: int = 200,
+            depth: int = 3, rate: float = 0.05) -> DataFrame:
+    """Per series and day, history and ``horizon_days`` after it: the quantiles ``BAND``
+    by boosted trees on the pinball loss (``operators.boosting``).
+
+    Columns: keys, date, revenue (NULL in the future), ``__v0`` to ``__v2``.  Spark
+    sums the fact to days, deals the series out and fits each where it lies; a
+    series has a row a calendar day at most, so a task's memory is bounded by the
+    calendar.  Rows with a NULL key belong to no series and are left out, and so
+    are series with fewer than ``MIN_HISTORY_DAYS`` days.
     """
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor
+    from ..plans.session import ship_package
 
+    ship_package(fact.sparkSession)
     keys = keys or []
     hist = calendar_features(daily_revenue(fact.dropna(subset=keys) if keys else fact, keys), keys)
-    series = hist.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("__n"), F.max("date").alias("__last"),
-        F.avg("revenue").alias("series_mean"),
-        F.coalesce(F.stddev("revenue"), F.lit(0.0)).alias("series_std"),
-        F.coalesce(F.regr_slope("revenue", "day_index"), F.lit(0.0)).alias("series_slope"))
-    own = SERIES_FEATURES if keys else []
-    if keys:
-        hist = hist.join(series.select(*keys, *own), keys)
+    last = hist.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.max("date").alias("__last"))
+    last = last.where(F.col("__n") >= MIN_HISTORY_DAYS)
     steps = F.explode(F.sequence(F.lit(1), F.lit(horizon_days))).alias("step")
-    future = series.select(*keys, *own, "__n", "__last", steps).select(
-        *keys, *own, F.date_add("__last", F.col("step")).alias("date"),
+    future = last.select(*keys, "__n", "__last", steps).select(
+        *keys, F.date_add("__last", F.col("step")).alias("date"),
         (F.col("__n") - 1 + F.col("step")).cast("int").alias("day_index"))
     future = future.withColumns(_features(F.col("date")))
+    rows = hist.unionByName(future.withColumn("revenue", F.lit(None).cast("double")))
+    schema = T.StructType([*(rows.schema[k] for k in keys), rows.schema["date"], rows.schema["revenue"],
+                           *(T.StructField(f"__v{i}", T.DoubleType()) for i in range(len(BAND)))])
+
+    def fit(series):
+        from salespark.operators.boosting import boosted
+
+        series = series.sort_values("date")
+        known = series["revenue"].notna().to_numpy()
+        x, y = series[FEATURES].to_numpy(float), series["revenue"].to_numpy(float)
+        if known.sum() < MIN_HISTORY_DAYS:
+            return series.head(0).reindex(columns=schema.names)
+        for i, q in enumerate(BAND):
+            fitted, told = boosted(x[known], y[known], x[~known], q, rounds, depth, rate)
+            values = y.copy()
+            values[known], values[~known] = fitted, told
+            series[f"__v{i}"] = values
+        return series[schema.names]
+
+    if keys:
+        return rows.groupBy(*keys).applyInPandas(fit, schema)
+    return rows.withColumn("__all", F.lit(0)).groupBy("__all").applyInPandas(fit, schema)
 
-    stages = [VectorAssembler(inputCols=FEATURES + own, outputCol="features"),
-              GBTRegressor(featuresCol="features", labelCol="revenue", lossType="absolute",
-                           maxIter=max_iter, maxDepth=max_depth, stepSize=step_size, seed=seed)]
-    model = Pipeline(stages=stages).fit(hist)
-    pred_future = model.transform(future.withColumn("revenue", F.lit(0.0))) \
-        .select(*keys, "date", "day_index", "day_of_week", "is_holiday_season", "prediction")
-    resid = model.transform(hist).withColumn("resid", F.col("revenue") - F.col("prediction"))
-    joined = _with_band(pred_future, resid, keys)
-    raw = joined.select(*keys, "date", *[
-        F.greatest(F.lit(0.0), F.col("prediction") + F.col(f"__q{i}")).alias(f"__v{i}")
-        for i in range(3)])
-    return _finish(raw, keys)
+
+def forecast_gbt(fact: DataFrame, horizon_days: int = 30, keys: list[str] | None = None,
+                 max_iter: int = 200, max_depth: int = 3, step_size: float = 0.05) -> DataFrame:
+    """Forecast with gradient-boosted trees on the quantile loss, one model for each of
+    the band's quantiles (see ``gbt_fit``); clipped at 0 and lower <= forecast <= upper."""
+    fitted = gbt_fit(fact, horizon_days, keys, max_iter, max_depth, step_size).where(F.col("revenue").isNull())
+    raw = fitted.withColumns({f"__v{i}": F.greatest(F.lit(0.0), F.col(f"__v{i}")) for i in range(len(BAND))})
+    return _finish(raw, keys or [])
+
+
+def gbt_quality(fitted: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Per series of ``gbt_fit``: history days, mean absolute error of the fitted median
+    and of a constant (the history's median), and the share of days within the band."""
+    keys = keys or []
+    past = fitted.where(F.col("revenue").isNotNull())
+    median = past.groupBy(*keys).agg(F.median("revenue").alias("__median"))
+    both = _attach(past, median, keys, ["__median"], "inner")
+    return both.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("history_days"), F.avg(F.abs(F.col("revenue") - F.col("__v1"))).alias("error"),
+        F.avg(F.abs(F.col("revenue") - F.col("__median"))).alias("constant_error"),
+        F.avg(F.col("revenue").between(F.col("__v0"), F.col("__v2")).cast("int")).alias("covered"))

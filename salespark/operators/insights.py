@@ -10,6 +10,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.exprs import band_label_expr, dround, ratio_pct
 from . import customers, kpi, products
@@ -329,15 +330,14 @@ def _joined(rows: DataFrame, order: Column, text: Column, sep: str = " ") -> Col
     return F.array_join(F.transform(items, lambda s: s["t"]), sep)
 
 
-def _answer_summary(fact, summary, edges):
-    ins = summary_insights(fact, summary, edges)
+def _answer_summary(fact, summary, edges, profile):
+    ins = summary_insights(fact, summary, edges, profile)
     return ins.agg(_joined(ins, F.col("insight_id"), F.col("text")).alias("answer"))
 
 
-def _answer_region_growth(fact, summary, edges):
-    dated = fact.where(F.col("order_date").isNotNull() & F.col("region").isNotNull())
-    months = dated.agg(F.count_distinct(F.trunc("order_date", "month"))).scalar()
-    rg = region_growth(fact, exact=True)
+def _answer_region_growth(fact, summary, edges, profile):
+    months = profile.known("region_months").agg(F.count_distinct(MONTH)).scalar()
+    rg = region_growth(fact, exact=True, profile=profile)
     best = rg.agg(F.min_by(F.struct("region", "growth_pct"),
                            F.struct(-F.col("growth"), F.col("region"))).alias("b"))
     text = _say("fastest_region", F.col("b.region"), _whole(F.col("b.growth_pct")))
@@ -346,8 +346,8 @@ def _answer_region_growth(fact, summary, edges):
                        .otherwise(text).alias("answer"))
 
 
-def _answer_profit_drivers(fact, summary, edges):
-    d = profit_drivers(fact, edges)
+def _answer_profit_drivers(fact, summary, edges, profile):
+    d = profit_drivers(fact, edges, profile)
 
     def pick(name: str) -> Column:
         return F.max(F.when(F.col("driver") == name, F.struct("subject", "value")))
@@ -364,7 +364,7 @@ def _answer_profit_drivers(fact, summary, edges):
     return agg.select(F.when(parts == "", _say("no_drivers")).otherwise(parts).alias("answer"))
 
 
-def _answer_top(fact, summary, edges):
+def _answer_top(fact, summary, edges, profile):
     top = top5_readout(fact)
     line = _say("top_product", F.col("product_name"), _thousands(F.col("revenue")),
                 F.coalesce(_whole(F.col("margin_pct")), F.lit("n/a")))
@@ -372,21 +372,21 @@ def _answer_top(fact, summary, edges):
     return top.agg(_say("top_products", _joined(top, order, line, "; ")).alias("answer"))
 
 
-def _answer_worst(fact, summary, edges):
+def _answer_worst(fact, summary, edges, profile):
     worst = worst5_readout(fact)
     line = _say("worst_product", F.col("product_name"), _thousands(F.col("profit")))
     order = F.struct(F.col("profit"), F.col("product_id"))
     return worst.agg(_say("worst_products", _joined(worst, order, line, "; ")).alias("answer"))
 
 
-def _answer_targets(fact, summary, edges):
+def _answer_targets(fact, summary, edges, profile):
     t = customers_to_target(fact)
     return t.select(_say("targets", F.col("champions").cast("string"),
                          F.col("at_risk").cast("string")).alias("answer"))
 
 
-def _answer_recommendations(fact, summary, edges):
-    recs = recommendations(fact, summary)
+def _answer_recommendations(fact, summary, edges, profile):
+    recs = recommendations(fact, summary, profile)
     joined = _joined(recs, F.col("rec_id"), F.col("text"))
     return recs.agg(F.when(F.count(F.lit(1)) == 0, _say("no_recommendations")).otherwise(joined)
                     .alias("answer"))
@@ -403,18 +403,43 @@ _ANSWERS = {
 }
 
 
+# What of a profile the answers to an intent read.
+_READS = {"summary": ("products", "region_months", "bands", "days"), "region_growth": ("region_months",),
+          "profit_drivers": ("products", "categories", "bands"), "recommendations": ("products", "days")}
+
+
+def _answer(fact: DataFrame, intent: str, summary: DataFrame | None, edges: list[float] | None,
+            profile: Profile | None) -> DataFrame:
+    """One row ``answer`` to an intent; only what it reads is computed."""
+    build = _ANSWERS.get(intent)
+    if build is None:
+        return fact.sparkSession.range(1).select(_say("help").alias("answer"))
+    if profile is None and intent in _READS:
+        profile = sales_profile(fact, edges, _READS[intent])
+    return build(fact, summary, edges, profile)
+
+
 def answer_question(fact: DataFrame, question: str, summary: DataFrame | None = None,
-                    edges: list[float] | None = None) -> DataFrame:
+                    edges: list[float] | None = None, profile: Profile | None = None) -> DataFrame:
     """One row (question, intent, answer): the question is routed by the
     intent rules and only the matching read-out is computed."""
-    spark = fact.sparkSession
-    intent = spark.range(1).select(intent_expr(F.lit(question))).first()[0]
-    build = _ANSWERS.get(intent)
-    if build is None:
-        answer = spark.range(1).select(_say("help").alias("answer"))
-    else:
-        if summary is None and intent in ("summary", "recommendations"):
-            summary = kpi.executive_summary(fact)
-        answer = build(fact, summary, edges)
-    return answer.select(F.lit(question).alias("question"), F.lit(intent).alias("intent"),
-                         "answer")
+    intent = fact.sparkSession.range(1).select(intent_expr(F.lit(question))).first()[0]
+    return _answer(fact, intent, summary, edges, profile).select(
+        F.lit(question).alias("question"), F.lit(intent).alias("intent"), "answer")
+
+
+def answers(fact: DataFrame, questions: DataFrame, text_col: str = "question",
+            edges: list[float] | None = None) -> DataFrame:
+    """A table of questions with ``intent`` and ``answer``.
+
+    The intents that occur are answered once each, from one profile of the fact, and
+    joined to the questions (eight short rows at most, so Spark broadcasts them)."""
+    tagged = tag_intents(questions, text_col)
+    asked = [r.intent for r in tagged.select("intent").distinct().collect()]  # eight at most
+    profile = sales_profile(fact, edges) if set(asked) & set(_READS) else None
+    summary = None
+    if set(asked) & {"summary", "recommendations"}:
+        summary = _one_row(kpi.executive_summary(fact, profile=profile))
+    told = [[i, _answer(fact, i, summary, edges, profile).first()["answer"]] for i in asked]
+    kinds = T.StructType([T.StructField("intent", T.StringType()), T.StructField("answer", T.StringType())])
+    return tagged.join(local_rows(fact.sparkSession, told, kinds), "intent").select(*questions.columns, "intent", "answer")

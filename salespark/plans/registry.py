@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..operators import (charts, customers, filters, forecast, insights, kpi, products,
                          rollups, trends)
+from ..operators.ordered import cache
 from ..sources import flatfile, integrity
 from ..sources.tables import fact_from_tables, output_frame, read_table, sales_fact
 from ..functions.exprs import band_label
@@ -902,21 +903,29 @@ def q_forecast_gbt(spark, sf_dir):
     return forecast.forecast_gbt(fact(spark, sf_dir), 30)
 
 
-# What any fitted model must give: 30 days after the last, an ordered band, no negative value.
+# What a fitted model must give: the days after the last, an ordered band, no negative value,
+# and on the history a median that errs less than a constant and a band that holds 75 to 85 %.
 @register("forecast_gbt_checks", with_fact(*_forecast_ctes(30, [])[:1]) + """SELECT
-  CAST(last + CAST(step AS INTEGER) AS DATE) AS date, true AS ordered, true AS not_negative
-FROM (SELECT max(date) AS last FROM daily), range(1, 31) s(step)""")
+  CAST(last + CAST(step AS INTEGER) AS DATE) AS date, true AS ordered, true AS not_negative,
+  history_days, true AS median_beats_constant, true AS band_covers
+FROM (SELECT max(date) AS last, count(*) AS history_days FROM daily), range(1, 31) s(step)""")
 def q_forecast_gbt_checks(spark, sf_dir):
-    band = forecast.forecast_gbt(fact(spark, sf_dir), 30, max_iter=20)
-    return band.select("date", ((F.col("lower") <= F.col("forecast"))
-                                & (F.col("forecast") <= F.col("upper"))).alias("ordered"),
-                       (F.col("lower") >= 0).alias("not_negative"))
+    fitted = cache(forecast.gbt_fit(fact(spark, sf_dir), 30))
+    quality = forecast.gbt_quality(fitted).select(F.struct("*")).scalar()
+    future = fitted.where(F.col("revenue").isNull())
+    values = [F.greatest(F.lit(0.0), F.col(f"__v{i}")) for i in range(3)]
+    band = forecast._finish(future.withColumns({f"__v{i}": v for i, v in enumerate(values)}), [])
+    return band.withColumn("__quality", quality).select(
+        "date", ((F.col("lower") <= F.col("forecast")) & (F.col("forecast") <= F.col("upper"))).alias("ordered"),
+        (F.col("lower") >= 0).alias("not_negative"), F.col("__quality.history_days").alias("history_days"),
+        (F.col("__quality.error") < F.col("__quality.constant_error")).alias("median_beats_constant"),
+        F.col("__quality.covered").between(0.75, 0.85).alias("band_covers"))
 
 
 # --------------------------------------------------------------------------
 # Insights
 
-@register("region_growth", with_fact(
+REGION_GROWTH_SQL = with_fact(
     "dated AS (SELECT * FROM fact WHERE order_date IS NOT NULL AND region IS NOT NULL)",
     "m AS (SELECT min(date_trunc('month', order_date)) AS fm, max(date_trunc('month', order_date)) AS lm "
     "FROM dated)",
@@ -928,7 +937,10 @@ def q_forecast_gbt_checks(spark, sf_dir):
   CAST(round(first_rev, 2) AS DOUBLE) AS first_month_revenue,
   CAST(round(last_rev, 2) AS DOUBLE) AS last_month_revenue,
   round(CAST(last_rev - first_rev AS DOUBLE) / CAST(first_rev AS DOUBLE) * 100, 1) AS growth_pct
-FROM g WHERE fm <> lm AND first_rev <> 0""")
+FROM g WHERE fm <> lm AND first_rev <> 0"""
+
+
+@register("region_growth", REGION_GROWTH_SQL)
 def q_region_growth(spark, sf_dir):
     return insights.region_growth(fact(spark, sf_dir))
 
@@ -957,7 +969,7 @@ def q_discount_erosion(spark, sf_dir):
     return insights.discount_erosion(fact(spark, sf_dir), TEST_DISCOUNT_EDGES)
 
 
-@register("profit_drivers", with_fact(CAT_MARGIN_CTE, _bands_cte(TEST_DISCOUNT_EDGES), RAW_CTE,
+PROFIT_DRIVERS_SQL = (with_fact(CAT_MARGIN_CTE, _bands_cte(TEST_DISCOUNT_EDGES), RAW_CTE,
                                       "nb AS (SELECT count(*) AS n, count(margin_pct) AS nm FROM bands)")
           + """SELECT * FROM (SELECT 'thinnest_category' AS driver, category AS subject, margin_pct AS value
   FROM cm ORDER BY margin, category LIMIT 1)
@@ -968,40 +980,77 @@ UNION ALL SELECT * FROM (SELECT 'lowest_margin_band', discount_band, margin_pct
   WHERE nb.n >= 2 AND nb.nm > 0 AND margin_pct IS NOT NULL ORDER BY margin, band_idx LIMIT 1)
 UNION ALL SELECT 'unprofitable_products', NULL, CAST(count_if(prof < 0) AS DOUBLE) FROM raw
   HAVING count_if(prof < 0) > 0""")
+
+
+@register("profit_drivers", PROFIT_DRIVERS_SQL)
 def q_profit_drivers(spark, sf_dir):
     return insights.profit_drivers(fact(spark, sf_dir), TEST_DISCOUNT_EDGES)
 
 
-@register("summary_insights", EXEC_SUMMARY_SQL.rstrip("\n") + ",\n" + ",\n".join((
+def say_sql(key: str, *values: str) -> str:
+    """A sentence of ``insights.TEMPLATES`` with SQL texts in the place of its values."""
+    parts = [p.replace("%%", "%").replace("'", "''") for p in insights.TEMPLATES[key].split("%s")]
+    assert len(parts) == len(values) + 1, key
+    return " || ".join([f"'{parts[0]}'"] + [f"({v}) || '{p}'" for v, p in zip(values, parts[1:])])
+
+
+def whole_sql(x: str) -> str:
+    return f"printf('%.0f', round_even({x}, 0))"
+
+
+def thousands_sql(x: str, digits: int = 0) -> str:
+    return f"format('{{:,.{digits}f}}', round_even({x}, {digits}))"
+
+
+INSIGHTS_SQL = EXEC_SUMMARY_SQL.rstrip("\n") + ",\n" + ",\n".join((
     *_by_dim_ctes("region", "rg", "rt"),
     f"""rshare AS (SELECT region, revenue, CASE WHEN total <> 0 THEN {pct_sql('revenue', 'total')}
   ELSE 0.0 END AS share FROM rg, rt)""",
-    *QUANTILE_CTES, REPRICING_CTE, _bands_cte(TEST_DISCOUNT_EDGES), EROSION_CTE)) + """
-SELECT 1 AS insight_id, 'revenue_growth' AS kind,
-  CASE WHEN revenue_growth_pct >= 0 THEN 'increased' ELSE 'decreased' END AS subject,
-  CAST(NULL AS VARCHAR) AS detail, revenue_growth_pct AS value, CAST(NULL AS DOUBLE) AS value2
-  FROM s WHERE revenue_growth_pct IS NOT NULL
-UNION ALL SELECT * FROM (SELECT 2, 'top_region', region, NULL, share, NULL FROM rshare
-  ORDER BY revenue DESC, region LIMIT 1)
-UNION ALL SELECT * FROM (SELECT 3, 'repricing_candidate', product_name, NULL, revenue, margin_pct FROM rep
+    *QUANTILE_CTES, REPRICING_CTE, _bands_cte(TEST_DISCOUNT_EDGES), EROSION_CTE, f"""ins AS (
+SELECT 1 AS insight_id, 'revenue_growth' AS kind, dir AS subject, CAST(NULL AS VARCHAR) AS detail,
+  revenue_growth_pct AS value, CAST(NULL AS DOUBLE) AS value2,
+  {say_sql('revenue_growth', 'dir', whole_sql('abs(revenue_growth_pct)'))} AS text
+  FROM (SELECT *, CASE WHEN revenue_growth_pct >= 0 THEN 'increased' ELSE 'decreased' END AS dir FROM s)
+  WHERE revenue_growth_pct IS NOT NULL
+UNION ALL SELECT * FROM (SELECT 2, 'top_region', region, NULL, share, NULL,
+  {say_sql('top_region', 'region', whole_sql('share'))} FROM rshare ORDER BY revenue DESC, region LIMIT 1)
+UNION ALL SELECT * FROM (SELECT 3, 'repricing_candidate', product_name, NULL, revenue, margin_pct,
+  {say_sql('repricing_candidate', 'product_name', thousands_sql('revenue'), whole_sql('margin_pct'))} FROM rep
   ORDER BY margin_pct, revenue DESC, product_id LIMIT 1)
-UNION ALL SELECT 4, 'discount_erosion', first_band, last_band, first_margin_pct, last_margin_pct FROM ero
-  WHERE erodes
-UNION ALL SELECT 5, 'order_value', NULL, NULL, average_order_value, return_rate_pct FROM s""")
+UNION ALL SELECT 4, 'discount_erosion', first_band, last_band, first_margin_pct, last_margin_pct,
+  {say_sql('discount_erosion', whole_sql('first_margin_pct'), 'first_band', whole_sql('last_margin_pct'), 'last_band')}
+  FROM ero WHERE erodes
+UNION ALL SELECT 5, 'order_value', NULL, NULL, average_order_value, return_rate_pct,
+  {say_sql('order_value', thousands_sql('average_order_value', 2), "format('{:,}', total_orders)",
+           "format('{:,}', total_customers)", "printf('%.1f', return_rate_pct)")} FROM s)""")) + "\n"
+
+
+@register("summary_insights", INSIGHTS_SQL + "SELECT * FROM ins")
 def q_summary_insights(spark, sf_dir):
-    ins = insights.summary_insights(fact(spark, sf_dir), edges=TEST_DISCOUNT_EDGES)
-    return ins.drop("text")
+    return insights.summary_insights(fact(spark, sf_dir), edges=TEST_DISCOUNT_EDGES)
+
 
+@register("context_block", INSIGHTS_SQL +
+          "SELECT '- ' || string_agg(text, chr(10) || '- ' ORDER BY insight_id) AS context FROM ins")
+def q_context_block(spark, sf_dir):
+    return insights.context_block(insights.summary_insights(fact(spark, sf_dir), edges=TEST_DISCOUNT_EDGES))
 
-@register("recommendations", EXEC_SUMMARY_SQL.rstrip("\n") + ",\n" + ",\n".join(
-    (*QUANTILE_CTES, INVENTORY_CTE)) + """
-SELECT * FROM (SELECT 1 AS rec_id, 'restock' AS kind, CAST(count(*) AS DOUBLE) AS value FROM inv
+
+RECOMMENDATIONS_SQL = EXEC_SUMMARY_SQL.rstrip("\n") + ",\n" + ",\n".join(
+    (*QUANTILE_CTES, INVENTORY_CTE, f"""recs AS (
+SELECT * FROM (SELECT 1 AS rec_id, 'restock' AS kind, CAST(count(*) AS DOUBLE) AS value,
+  {say_sql('restock', 'CAST(count(*) AS VARCHAR)')} AS text FROM inv
   WHERE recommendation = 'Restock' HAVING count(*) > 0)
-UNION ALL SELECT * FROM (SELECT 2, 'discontinue', CAST(count(*) AS DOUBLE) FROM inv
+UNION ALL SELECT * FROM (SELECT 2, 'discontinue', CAST(count(*) AS DOUBLE),
+  {say_sql('discontinue', 'CAST(count(*) AS VARCHAR)')} FROM inv
   WHERE recommendation = 'Discontinue' HAVING count(*) > 0)
-UNION ALL SELECT 3, 'return_rate_alert', return_rate_pct FROM s WHERE return_rate_pct > 8""")
+UNION ALL SELECT 3, 'return_rate_alert', return_rate_pct,
+  {say_sql('return_rate_alert', "printf('%.1f', return_rate_pct)")} FROM s WHERE return_rate_pct > 8)""")) + "\n"
+
+
+@register("recommendations", RECOMMENDATIONS_SQL + "SELECT * FROM recs")
 def q_recommendations(spark, sf_dir):
-    return insights.recommendations(fact(spark, sf_dir)).drop("text")
+    return insights.recommendations(fact(spark, sf_dir))
 
 
 @register("top5_readout", with_fact(PERF_CTE) + """SELECT product_id, product_name, revenue, margin_pct
@@ -1052,6 +1101,61 @@ def q_question_intents_by_words(spark, sf_dir):
                                   TEST_INTENT_RULES)
 
 
+# One question of our own for each intent, and one that no rule knows.
+TEST_QUESTIONS = {
+    "summary": "Give me an overview of the period.",
+    "region_growth": "Which region has grown most, the fastest one?",
+    "profit_drivers": "Where does our margin go?",
+    "top_products": "What is the best product?",
+    "worst_products": "Show low performing goods.",
+    "target_customers": "Which customers do we write to?",
+    "recommendations": "Any suggestion for next month?",
+    insights.UNKNOWN_INTENT: "What colour is the sky?",
+}
+ANSWER_SQL = {
+    "summary": INSIGHTS_SQL + "SELECT string_agg(text, ' ' ORDER BY insight_id) AS answer FROM ins",
+    "region_growth": f"""SELECT coalesce((SELECT {say_sql('fastest_region', 'region', whole_sql('growth_pct'))}
+  FROM ({REGION_GROWTH_SQL}) ORDER BY (last_month_revenue - first_month_revenue) / first_month_revenue DESC, region
+  LIMIT 1), {say_sql('no_growth')}) AS answer""",
+    "profit_drivers": f"""SELECT coalesce(nullif(concat_ws(' ',
+  max(CASE WHEN driver = 'thinnest_category' THEN {say_sql('thinnest_category', 'subject', whole_sql('value'))} END),
+  max(CASE WHEN driver = 'highest_discount_band' THEN {say_sql('last_band', 'subject', whole_sql('value'))} END),
+  max(CASE WHEN driver = 'unprofitable_products' THEN
+      {say_sql('unprofitable', 'CAST(CAST(value AS BIGINT) AS VARCHAR)')} END)), ''),
+  {say_sql('no_drivers')}) AS answer FROM ({PROFIT_DRIVERS_SQL})""",
+    "top_products": with_fact(PERF_CTE) + f"""SELECT {say_sql('top_products', "string_agg(t, '; ' ORDER BY revenue DESC, product_id)")}
+  AS answer FROM (SELECT *, {say_sql('top_product', 'product_name', thousands_sql('revenue'),
+                                     f"coalesce({whole_sql('margin_pct')}, 'n/a')")} AS t
+  FROM perf ORDER BY revenue DESC NULLS LAST, product_id LIMIT 5)""",
+    "worst_products": with_fact(PERF_CTE) + f"""SELECT {say_sql('worst_products', "string_agg(t, '; ' ORDER BY profit, product_id)")}
+  AS answer FROM (SELECT *, {say_sql('worst_product', 'product_name', thousands_sql('profit'))} AS t
+  FROM perf ORDER BY profit ASC NULLS LAST, revenue DESC, product_id LIMIT 5)""",
+    "target_customers": with_fact(*RFM_CTES) + f"""SELECT {say_sql(
+        'targets', "CAST(count_if(segment = 'Champions') AS VARCHAR)", "CAST(count_if(segment = 'At risk') AS VARCHAR)")}
+  AS answer FROM rfm""",
+    "recommendations": RECOMMENDATIONS_SQL + f"""SELECT CASE WHEN count(*) = 0 THEN {say_sql('no_recommendations')}
+  ELSE string_agg(text, ' ' ORDER BY rec_id) END AS answer FROM recs""",
+    insights.UNKNOWN_INTENT: f"SELECT {say_sql('help')} AS answer",
+}
+
+
+@register("answers", "\nUNION ALL ".join(
+    f"SELECT '{q}' AS question, '{intent}' AS intent, (SELECT answer FROM ({ANSWER_SQL[intent]})) AS answer"
+    for intent, q in TEST_QUESTIONS.items()))
+def q_answers(spark, sf_dir):
+    questions = spark.createDataFrame([(q,) for q in TEST_QUESTIONS.values()], "question string")
+    return insights.answers(fact(spark, sf_dir), questions, edges=TEST_DISCOUNT_EDGES)
+
+
+# The joined fact as a flat export: written as CSV and read back, dates, money and text alike.
+@register("flat_round_trip", with_fact() + f"SELECT {FACT_OUT_COLUMNS} FROM fact")
+def q_flat_round_trip(spark, sf_dir):
+    flat = flatfile.to_flat(fact(spark, sf_dir))
+    back = flatfile.to_snake_case(flatfile.round_trip(flat))
+    kinds = {f.name: f.dataType for f in fact(spark, sf_dir).schema.fields}
+    return out(back.select(*[F.col(c).cast(kinds[c]).alias(c) for c in back.columns]))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The dashboard's headline row."""
     return q_executive_summary(spark, sf_dir)

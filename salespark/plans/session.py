@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -105,3 +107,23 @@ def cluster_conf(input_bytes: int, executors: int, cores_per_executor: int,
         "spark.sql.autoBroadcastJoinThreshold": "32m",
         "spark.sql.adaptive.autoBroadcastJoinThreshold": "32m",
     }
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable by the Python workers of every executor, once per application."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    import salespark
+
+    top = Path(next(iter(salespark.__path__)))
+    path = Path(tempfile.mkdtemp(prefix="salespark-")) / "salespark-operators.zip"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for name in ("__init__.py", "operators/*.py", "functions/*.py", "plans/*.py", "sources/*.py"):
+            for file in sorted(top.glob(name)):
+                z.write(file, Path(top.name) / file.relative_to(top))
+    spark.sparkContext.addPyFile(str(path))  # the file goes to the executors from the driver
+    _SHIPPED.add(app)

@@ -15,19 +15,37 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.exprs import col
+from ..plans.session import ensure_checkpoint_dir
 from . import loads, schema
 
 
-def read_flat_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Read the flat export with its explicit schema (no inference)."""
-    return (spark.read.schema(schema.FLAT).option("header", True)
-            .option("dateFormat", "yyyy-MM-dd").option("mode", "FAILFAST").csv(path))
+def read_flat_csv(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
+    """Read the flat export with its explicit schema (no inference).
+
+    Quotes inside quoted fields are doubled.  A malformed line raises.  Fields with
+    line breaks need ``multiline``: a file is then read whole by one task, so large
+    exports should come in many files; without it such a field raises.
+    """
+    return (spark.read.schema(schema.FLAT).option("header", True).option("escape", '"')
+            .option("multiLine", multiline).option("dateFormat", "yyyy-MM-dd").option("mode", "FAILFAST").csv(path))
 
 
 def write_flat_csv(flat: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Write the flat export as CSV with a header line (one file per partition)."""
-    flat.select(*schema.FLAT.fieldNames()).write.mode(mode).option("header", True) \
-        .option("dateFormat", "yyyy-MM-dd").csv(path)
+    """Write the flat export as CSV with a header line (one file per partition).
+
+    White space around a text stays.  NULL and the empty text are both an empty field,
+    which reads as NULL."""
+    (flat.select(*schema.FLAT.fieldNames()).write.mode(mode).option("header", True).option("escape", '"')
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+     .option("emptyValue", "").option("dateFormat", "yyyy-MM-dd").csv(path))
+
+
+def round_trip(flat: DataFrame) -> DataFrame:
+    """``flat`` written as a CSV export to the shared checkpoint folder and read back."""
+    spark = flat.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/flat-{uuid.uuid4().hex}"
+    write_flat_csv(flat, path)
+    return read_flat_csv(spark, path)
 
 
 def to_flat(fact: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ from ..sources import flatfile, schema
 
 def flat_file_stream(spark: SparkSession, source_dir: str,
                      max_files_per_trigger: int | None = None) -> DataFrame:
-    reader = (spark.readStream.schema(schema.FLAT).option("header", True)
+    reader = (spark.readStream.schema(schema.FLAT).option("header", True).option("escape", '"')
               .option("dateFormat", "yyyy-MM-dd").option("mode", "FAILFAST"))
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)

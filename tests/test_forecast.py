@@ -99,3 +99,60 @@ def test_null_series_keys_are_left_out(daily_history):
     for out in (forecast_series(mixed, ["region"], 3), forecast_gbt(mixed, 3, ["region"], max_iter=3)):
         rows = out.collect()
         assert len(rows) == 3 and all(r.region == "A" and r.forecast > 0 for r in rows)
+
+
+def test_boosted_quantiles_follow_the_calendar():
+    """Weekdays of different level and spread: medians near theirs, bands that hold 80 %."""
+    import numpy as np
+    from salespark.operators.boosting import boosted
+    rng = np.random.default_rng(3)
+    n = 1400
+    day = np.arange(n)
+    x = np.stack([day, day % 7, day // 30 % 12], axis=1).astype(float)
+    level, spread = 100.0 + 40 * (day % 7 == 5), 5.0 + 10 * (day % 7 == 5)
+    y = level + spread * rng.normal(size=n)
+    ahead = np.stack([np.arange(n, n + 14), np.arange(n, n + 14) % 7, np.full(14, 3)], axis=1).astype(float)
+    fits = {q: boosted(x, y, ahead, q, 200, 3, 0.05) for q in (0.1, 0.5, 0.9)}
+    assert 0.78 <= np.mean((y >= fits[0.1][0]) & (y <= fits[0.9][0])) <= 0.84
+    saturday = ahead[:, 1] == 5
+    assert abs(fits[0.5][1][saturday].mean() - 140) < 6 and abs(fits[0.5][1][~saturday].mean() - 100) < 3
+    wide = fits[0.9][1] - fits[0.1][1]
+    assert wide[saturday].mean() > 1.5 * wide[~saturday].mean()
+
+
+def test_pinball_loss_falls_with_every_round():
+    import numpy as np
+    from salespark.operators.boosting import boosted
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 7, (300, 2)).astype(float)
+    y = 3 * x[:, 0] + rng.normal(size=300)
+    losses = []
+    for rounds in (0, 1, 5, 20, 80):
+        fitted, _ = boosted(x, y, x[:1], 0.9, rounds, 3, 0.1)
+        r = y - fitted
+        losses.append(np.where(r > 0, 0.9 * r, -0.1 * r).mean())
+    assert losses == sorted(losses, reverse=True) and losses[-1] < 0.4 * losses[0]
+
+
+def test_best_split_is_the_best_of_all():
+    import numpy as np
+    from salespark.operators import boosting
+    rng = np.random.default_rng(5)
+    for _ in range(20):
+        x, g = rng.integers(0, 6, (40, 3)), rng.normal(size=40)
+        best = {}
+        for c in range(3):
+            for cut in range(5):
+                low = x[:, c] <= cut
+                if min(low.sum(), (~low).sum()) >= boosting.LEAF_DAYS:
+                    best[c, cut] = g[low].sum() ** 2 / low.sum() + g[~low].sum() ** 2 / (~low).sum()
+        found = boosting._best_split(x, g, [6, 6, 6])
+        assert found is not None and abs(best[found] - max(best.values())) < 1e-9
+
+
+def test_short_series_are_left_out_of_the_trees(daily_history):
+    from salespark.operators.forecast import forecast_gbt
+    short = daily_history.where(F.col("order_date") < dt.date(2026, 1, 10)).withColumn("region", F.lit("C"))
+    both = daily_history.withColumn("region", F.lit("A")).unionByName(short)
+    assert {r.region for r in forecast_gbt(both, 3, ["region"], max_iter=3).collect()} == {"A"}
+    assert forecast_gbt(short, 3, max_iter=3).count() == 0

@@ -94,3 +94,44 @@ def test_answer_question_routes_and_renders(sample_df):
     april = sample_df.where("month(order_date) = 4")
     assert answer_question(april, "which region is growing?").first().answer == (
         "Growth by region needs at least two months of data.")
+
+
+def test_answers_for_a_table_of_questions(spark, sample_df):
+    """Each question has the answer it gets alone; a NULL question is an unknown one."""
+    from salespark.operators.insights import answer_question, answers
+    asked = ["Give me a summary", "Which region grows fastest?", "why is profit down, margin?", "best product?",
+             "worst product", "who to target", "what do you recommend", "hello", "another summary please"]
+    table = spark.createDataFrame([(i, q) for i, q in enumerate([*asked, None])], "id int, question string")
+    got = {r.id: r for r in answers(sample_df, table).collect()}
+    assert len(got) == 10 and got[9].intent == "unknown"
+    for i, q in enumerate(asked):
+        alone = answer_question(sample_df, q).first()
+        assert (got[i].intent, got[i].answer) == (alone.intent, alone.answer)
+    assert answers(sample_df, table.limit(0)).count() == 0
+
+
+def test_profile_equals_separate_aggregates(sample_df):
+    from salespark.operators import insights, kpi
+    from salespark.operators.profile import sales_profile
+    profile = sales_profile(sample_df)
+    for build in (insights.region_growth, insights.category_margin, insights.discount_erosion):
+        assert build(sample_df, profile=profile).collect() == build(sample_df).collect()
+    assert kpi.executive_summary(sample_df, profile=profile).collect() == kpi.executive_summary(sample_df).collect()
+    assert profile.by("days").count() == sample_df.select("order_date").distinct().count()
+
+
+def test_summary_reads_the_fact_twice_at_most(spark):
+    """One scan for the profile and one for the distinct counts."""
+    from salespark.operators import insights, kpi
+    from salespark.operators.profile import sales_profile
+    from salespark.plans.inspect import scan_summaries
+    from salespark.sources.tables import sales_fact
+    fact = sales_fact(spark, "/root/testdata/sf0.001")
+    profile = sales_profile(fact)
+    summary = kpi.executive_summary(fact, profile=profile)
+    summary.collect()
+    reads = [s["Location"] for s in scan_summaries(summary)]
+    assert sum("lineitem" in r for r in reads) == 1
+    out = insights.summary_insights(fact, summary, profile=profile)
+    out.collect()
+    assert not any("lineitem" in s["Location"] for s in scan_summaries(out))

@@ -257,3 +257,44 @@ def _scanned(df) -> int:
     while plan.children().size() or plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
         plan = plan.executedPlan() if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec" else plan.children().head()
     return plan.metrics().apply("numOutputRows").value()
+
+
+def test_csv_quotes_separators_and_line_breaks(spark, flat):
+    base = tempfile.mkdtemp(prefix="salespark-test-")
+    odd = flat.withColumns({"Product_Name": F.lit('a "b", c; \\ d'), "Customer_Name": F.lit("  lead, trail  "),
+                            "City": F.lit(""), "State": F.lit(None).cast("string"), "Region": F.lit("É 日本")})
+    flatfile.write_flat_csv(odd, f"{base}/odd")
+    kept = odd.withColumn("City", F.lit(None).cast("string"))  # an empty field is NULL
+    assert sorted(map(tuple, flatfile.read_flat_csv(spark, f"{base}/odd").collect())) == sorted(map(tuple, kept.collect()))
+    broken = odd.withColumn("Gender", F.lit("one\ntwo"))
+    flatfile.write_flat_csv(broken, f"{base}/broken")
+    back = flatfile.read_flat_csv(spark, f"{base}/broken", multiline=True)
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, kept.withColumn("Gender", F.lit("one\ntwo")).collect()))
+    with pytest.raises(Exception, match="MALFORMED"):
+        flatfile.read_flat_csv(spark, f"{base}/broken").collect()
+
+
+def test_pandas_reads_what_is_written_and_the_reverse(spark, flat):
+    import glob
+    import pandas as pd
+    base = tempfile.mkdtemp(prefix="salespark-test-")
+    odd = flat.withColumn("Product_Name", F.lit('a "b", c')).coalesce(1)
+    flatfile.write_flat_csv(odd, f"{base}/odd")
+    frame = pd.read_csv(glob.glob(f"{base}/odd/*.csv")[0])
+    assert frame["Product_Name"].tolist() == ['a "b", c'] * 2 and list(frame.columns) == schema.FLAT.fieldNames()
+    frame.to_csv(f"{base}/again.csv", index=False)
+    assert sorted(map(tuple, flatfile.read_flat_csv(spark, f"{base}/again.csv").collect())) == sorted(map(tuple, odd.collect()))
+
+
+@pytest.mark.parametrize("line", ["ORD9,not a date" + ",x" * 24, "ORD9,2026-01-01,2026-01-02,C1"])
+def test_malformed_line_raises(spark, flat, line):
+    import glob
+    base = tempfile.mkdtemp(prefix="salespark-test-")
+    flatfile.write_flat_csv(flat.coalesce(1), f"{base}/flat")
+    with open(glob.glob(f"{base}/flat/*.csv")[0], "a") as f:
+        f.write(line + "\n")
+    for crc in glob.glob(f"{base}/flat/.*.crc"):
+        import os
+        os.remove(crc)
+    with pytest.raises(Exception, match="MALFORMED"):
+        flatfile.read_flat_csv(spark, f"{base}/flat").collect()

@@ -17,8 +17,6 @@ from .oracle_compare import compare, duck
 oracle_compare.EXACT_TYPES = True
 oracle_compare.STRICT = True
 
-SLOW = {"forecast_gbt"}
-
 pytestmark = pytest.mark.skipif(not os.path.exists(SF_SMALL), reason="test tables missing")
 
 
@@ -27,7 +25,7 @@ def con():
     return duck(SF_SMALL)
 
 
-@pytest.mark.parametrize("key", sorted(set(registry.QUERIES) - SLOW))
+@pytest.mark.parametrize("key", sorted(registry.QUERIES))
 def test_query_matches_oracle(spark, con, key):
     res = compare(spark, con, SF_SMALL, key, registry.QUERIES[key], registry.ORACLE.get(key))
     assert res["status"] in ("ok", "rows-only"), res

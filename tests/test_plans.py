@@ -12,17 +12,17 @@ from salespark.operators.filters import filter_date_range
 
 from .conftest import SF_SMALL
 
-# the full model's 200 rounds: ``forecast_gbt_checks`` runs the same plan with 20
-SLOW = {"forecast_gbt"}
+# boosted trees are fitted by numpy, a series a group: as many rows as the calendar has days
+GROUPED = {"forecast_gbt", "forecast_gbt_checks"}
 
 
-@pytest.mark.parametrize("key", sorted(set(registry.QUERIES) - SLOW))
+@pytest.mark.parametrize("key", sorted(registry.QUERIES))
 def test_no_unscalable_operators(spark, key):
     df = registry.QUERIES[key](spark, SF_SMALL)
     df.collect()  # an action on this frame itself, so its plan is the final one
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert not plan.startswith("AdaptiveSparkPlan isFinalPlan=false")
-    assert forbidden_nodes(df) == []
+    assert set(forbidden_nodes(df)) <= ({"FlatMapGroupsInPandas"} if key in GROUPED else set())
     release_cached()
 
 
