@@ -57,31 +57,35 @@ def window_entropy(text: Column, window: int = WINDOW) -> Column:
     """Largest Shannon entropy (bits a character) of a string's windows.
 
     The state is the count of every character of the alphabet, the sum of
-    c * log2(c) over the counts and the best entropy so far; an event is a
-    character (its place) that enters or, negative, one that leaves.
+    c * log2(c) over the counts (in units of 2^-32, so that it never drifts) and its
+    least value over whole windows.  A step moves the window by one character: one
+    enters, one leaves, and the sum changes by their counts' parts alone.  The
+    characters' places in the alphabet are looked up once, so time is linear in the
+    string's length.
     """
-    def part(c):
-        return F.when(c <= 1, F.lit(0.0)).otherwise(c * F.log2(c.cast("double")))
-
-    events = F.flatten(F.transform(
-        F.sequence(F.lit(1), F.length(text)),
-        lambda i: F.when(i > window, F.array(window - i, i)).otherwise(F.array(i))))
-
-    def step(acc, e):
-        place = F.instr(F.lit(ALPHABET), F.substring(text, F.abs(e), F.lit(1))) - 1
-        change = F.signum(e.cast("double")).cast("int")
-        count = F.get(acc["counts"], place)
-        total = acc["total"] - part(count) + part(count + change)
-        held = acc["held"] + change
-        entropy = F.lit(math.log2(window)) - total / F.lit(float(window))
+    part = F.array(*[F.lit(round(c * math.log2(c) * 2 ** 32) if c > 1 else 0).cast("long") for c in range(window + 2)])
+    places = F.transform(F.split(text, "", -1), lambda c: F.instr(F.lit(ALPHABET), c) - 1)
+    enter = F.slice(places, F.lit(1), F.length(text))  # split may leave an empty text behind
+    leave = F.concat(F.array_repeat(F.lit(-1), F.least(F.length(text), F.lit(window))),
+                     F.slice(places, F.lit(1), F.greatest(F.length(text) - window, F.lit(0))))
+    moves = F.zip_with(enter, leave, lambda e, gone: F.struct(e.alias("enter"), gone.alias("leave")))
+
+    def step(acc, move):
+        more, less = F.get(acc["counts"], move["enter"]), F.get(acc["counts"], F.greatest(move["leave"], F.lit(0)))
+        entered = F.get(part, more + 1) - F.get(part, more)
+        left = F.when(move["leave"] >= 0, F.get(part, less) - F.get(part, less - 1)).otherwise(F.lit(0).cast("long"))
+        total = F.when(move["enter"] == move["leave"], acc["total"]).otherwise(acc["total"] + entered - left)
+        held = F.least(acc["held"] + 1, F.lit(window))
         return F.struct(
-            F.transform(acc["counts"], lambda c, k: F.when(k == place, c + change).otherwise(c)).alias("counts"),
+            F.transform(acc["counts"], lambda c, k: c + F.when(k == move["enter"], 1).otherwise(0)
+                        - F.when(k == move["leave"], 1).otherwise(0)).alias("counts"),
             total.alias("total"), held.alias("held"),
-            F.when(held == window, F.greatest(acc["best"], entropy)).otherwise(acc["best"]).alias("best"))
+            F.when(held == window, F.least(acc["least"], total)).otherwise(acc["least"]).alias("least"))
 
-    start = F.struct(F.array_repeat(F.lit(0), len(ALPHABET)).alias("counts"), F.lit(0.0).alias("total"),
-                     F.lit(0).alias("held"), F.lit(0.0).alias("best"))
-    return F.aggregate(events, start, step, lambda acc: acc["best"])
+    start = F.struct(F.array_repeat(F.lit(0), len(ALPHABET)).alias("counts"), F.lit(0).cast("long").alias("total"),
+                     F.lit(0).alias("held"), F.lit(2 ** 62).cast("long").alias("least"))
+    return F.aggregate(moves, start, step, lambda acc: F.when(acc["held"] < window, F.lit(0.0)).otherwise(
+        F.lit(math.log2(window)) - acc["least"].cast("double") / F.lit(float(window * 2 ** 32))))
 
 
 def _valid(kind: str, match: Column) -> Column:
