@@ -34,23 +34,20 @@ BLOCK = 4096
 WIDTH = 4.0
 #: Codes that are estimated at a time.
 _CHUNK = 2048
-RESULT = "query_id long, vec_id long, score double"
+RESULT = "query long, query_id long, vec_id long, score double"
 
 
 def usable(vectors: DataFrame) -> DataFrame:
     """(vec_id, x array<double>): vectors that take part.
 
     Null vectors, vectors with null or non-finite components, zero and empty
-    vectors, rows of null vec_id, and vectors not of the table's commonest
-    length (ties: the shorter) take no part.
+    vectors, and rows of null vec_id take no part.
     """
     x = F.transform("embedding", lambda v: v.cast("double"))
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("x")).filter(
+    return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("x")).filter(
         F.col("vec_id").isNotNull() & F.col("x").isNotNull() & (F.size("x") > 0)
         & F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
         & F.exists("x", lambda v: v != 0))
-    sizes = rows.groupBy(F.size("x").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return rows.filter(F.size("x") == (sizes.n if sizes else 0))
 
 
 def rotation(dim: int, seed: int = 5) -> np.ndarray:
@@ -126,7 +123,7 @@ def _search(shared, k: int):
     def run(batches):
         import pyarrow as pa
 
-        ids, queries, mid = shared.value
+        numbers, ids, queries, mid = shared.value
         dim = len(mid)
         turn = rotation(dim)
         rest = _units(queries) - mid
@@ -168,43 +165,55 @@ def _search(shared, k: int):
         keep = np.isfinite(best)
         rows = np.nonzero(keep)[0]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(ids[rows]), pa.array(who[keep]), pa.array(best[keep])],
-            ["query_id", "vec_id", "score"])
+            [pa.array(numbers[rows]), pa.array(ids[rows]), pa.array(who[keep]), pa.array(best[keep])],
+            ["query", "query_id", "vec_id", "score"])
     return run
 
 
 def search(queries: DataFrame, vectors: DataFrame, k: int = K) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest of ``vectors`` for each query.
 
-    Both have (vec_id, embedding); a vector of the query's own id is no
-    candidate.  Nearest first, ties to the smaller vec_id; fewer rows where there
-    are fewer candidates.  Unusable vectors (see ``usable``) take no part on
-    either side; repeated ids are separate candidates.
+    Both have (vec_id, embedding).  Every query row has a result of its own, so two
+    query rows of one id give two lists.  Rows of the query's own id are no
+    candidates; any other row is one of its own, repeated ids too.  Vectors of
+    different lengths have no cosine: a query's candidates are those of its length.
+    Nearest first, ties to the smaller vec_id; fewer rows where there are fewer
+    candidates.  Unusable vectors (see ``usable``) take no part on either side.
     """
     spark = vectors.sparkSession
     rows = common.written(usable(vectors), "vectors")
-    schema = "query_id long, rank int, vec_id long, score double"
+    asked = common.written(usable(queries).withColumn("query", F.monotonically_increasing_id()), "asked")
+    parts = []
+    for r in asked.select(F.size("x").alias("n")).distinct().orderBy("n").collect():
+        same = F.size("x") == r.n
+        parts += _found(asked.filter(same), rows.filter(same), k)
+    found = parts[0] if parts else spark.createDataFrame([], RESULT)
+    for p in parts[1:]:
+        found = found.unionByName(p)
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))
+    return (found.withColumn("rank", rank.cast("int")).filter(F.col("rank") <= k)
+            .select("query_id", "rank", "vec_id", "score"))
+
+
+def _found(asked: DataFrame, rows: DataFrame, k: int) -> list[DataFrame]:
+    """Results of the tasks, a frame for each block of queries; all vectors are of one length."""
     if rows.isEmpty():
-        return spark.createDataFrame([], schema)
+        return []
+    spark = rows.sparkSession
     mid = centre(rows)
     codes = common.written(encoded(rows, mid), "codes")
-    asked = usable(queries).filter(F.size("x") == len(mid))
-    number = F.row_number().over(Window.partitionBy("bin").orderBy("vec_id")) - 1
+    number = F.row_number().over(Window.partitionBy("bin").orderBy("vec_id", "query")) - 1
     # blocks of at most BLOCK queries: a hash deals them out to enough bins
     total = asked.count()
     bins = max(1, -(-2 * total // BLOCK)) if total > BLOCK else 1
     dealt = common.written(
-        asked.withColumn("bin", F.pmod(F.xxhash64("vec_id"), F.lit(bins)))
+        asked.withColumn("bin", F.pmod(F.xxhash64("vec_id", "query"), F.lit(bins)))
         .withColumn("block", F.floor(number / BLOCK)), "queries")
     parts = []
     for b in dealt.select("bin", "block").distinct().orderBy("bin", "block").collect():
-        block = dealt.filter((F.col("bin") == b.bin) & (F.col("block") == b.block)).orderBy("vec_id").collect()
+        block = dealt.filter((F.col("bin") == b.bin) & (F.col("block") == b.block)).orderBy("vec_id", "query").collect()
         shared = spark.sparkContext.broadcast(
-            (np.array([r.vec_id for r in block], np.int64), np.array([r.x for r in block]), mid))
+            (np.array([r["query"] for r in block], np.int64), np.array([r.vec_id for r in block], np.int64),
+             np.array([r.x for r in block]), mid))
         parts.append(common.written(codes.mapInArrow(_search(shared, k), RESULT), "found"))
-    found = parts[0] if parts else spark.createDataFrame([], RESULT)
-    for p in parts[1:]:
-        found = found.unionByName(p)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return (found.withColumn("rank", rank.cast("int")).filter(F.col("rank") <= k)
-            .select("query_id", "rank", "vec_id", "score"))
+    return parts
