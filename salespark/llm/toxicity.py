@@ -32,7 +32,8 @@ from salespark.llm import common
 SAMPLE_ROWS = 8_000
 DIM, EPOCHS, BATCH, RATE, DECAY = 8, 24, 128, 0.5, 1e-5
 SHORTEST, LONGEST = 3, 6
-SCREEN, MOST_GRAMS = 20.0, 40_000
+SCREEN, MOST_GRAMS, LEAST_DOCS = 20.0, 40_000, 3
+SKETCH_BITS = 24
 THRESHOLD = 0.3
 #: Words of a window: a longer text scores as its most toxic window (of those that
 #: begin at any word) or as a whole, whichever is more, so a passage isn't averaged
@@ -114,12 +115,29 @@ def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
 
 
+def _frequent(words: list[bytes], bags) -> bytearray:
+    """A table of 2 ** SKETCH_BITS saturated counts: under the place of an n-gram's hash at
+    least the documents that hold it, up to ``LEAST_DOCS``.  It saves numbering the many
+    n-grams of fewer documents, which have no embedding."""
+    docs = np.zeros(len(words), np.int64)
+    for own, _ in bags:
+        docs[own] += 1
+    table, mask = bytearray(1 << SKETCH_BITS), (1 << SKETCH_BITS) - 1
+    for w, n in zip(words, np.minimum(docs, LEAST_DOCS).tolist()):
+        for g in grams_of(w):
+            at = hash(g) & mask
+            if (now := table[at]) < LEAST_DOCS:
+                table[at] = min(now + n, LEAST_DOCS)
+    return table
+
+
 def _screened(words: list[bytes], bags, labels: np.ndarray):
     """n-grams with an embedding, and for each word their numbers and its count of n-grams."""
-    index: dict[str, int] = {}
+    table, mask = _frequent(words, bags), (1 << SKETCH_BITS) - 1
+    index: dict[str, int] = {"": 0}  # all that can't have an embedding
     flat, sizes = array("i"), array("q")
     for w in words:
-        grams = [index.setdefault(g, len(index)) for g in grams_of(w)]
+        grams = [index.setdefault(g, len(index)) if table[hash(g) & mask] >= LEAST_DOCS else 0 for g in grams_of(w)]
         flat.extend(grams)
         sizes.append(len(grams))
     flat, sizes = np.frombuffer(flat, np.int32), np.frombuffer(sizes, np.int64)
@@ -127,11 +145,12 @@ def _screened(words: list[bytes], bags, labels: np.ndarray):
     held = np.zeros((2, len(index)))
     for (own, _), label in zip(bags, labels.tolist()):
         held[label, np.unique(flat[_ranges(starts[own], sizes[own])])] += 1
+    held[:, 0] = 0
     totals = np.bincount(labels, minlength=2).astype(float)
     n, both = totals.sum(), held.sum(axis=0)
     cross = held[1] * (totals[0] - held[0]) - held[0] * (totals[1] - held[1])
     chi = n * cross ** 2 / np.maximum(both * (n - both) * totals[0] * totals[1], 1)
-    keep = np.flatnonzero((chi > SCREEN) & (both >= 3))
+    keep = np.flatnonzero((chi > SCREEN) & (both >= LEAST_DOCS))
     keep = np.sort(keep[np.argsort(-chi[keep], kind="stable")][:MOST_GRAMS])
     number = np.full(len(index), -1, np.int64)
     number[keep] = np.arange(len(keep))
@@ -147,6 +166,7 @@ def train(texts: list[bytes], labels, seed: int = 7) -> Model:
     if len(set(labels.tolist())) < 2:
         return Model({}, prior)
     words, bags = _bags(texts)
+    del texts
     names, flat, starts, sizes = _screened(words, bags, labels)
     if not names:
         return Model({}, prior)
@@ -164,8 +184,8 @@ def train(texts: list[bytes], labels, seed: int = 7) -> Model:
     emb_sq, out_sq, bias_sq = np.zeros_like(emb), np.zeros_like(out), np.zeros_like(bias)
     bag = np.zeros((BATCH, len(names)), np.float32)
     for epoch in range(EPOCHS):
-        order, step = rng.permutation(len(texts)), RATE * (1 - epoch / EPOCHS)
-        for k in range(0, len(texts), BATCH):
+        order, step = rng.permutation(len(rows)), RATE * (1 - epoch / EPOCHS)
+        for k in range(0, len(rows), BATCH):
             docs = order[k:k + BATCH].tolist()
             for r, d in enumerate(docs):
                 bag[r, rows[d][0]] = rows[d][1]
@@ -205,8 +225,8 @@ def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataF
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     """Train on a bounded sample of the labelled documents."""
-    got = sample(docs, labels, rows).orderBy(F.xxhash64("text"), "toxic").collect()
-    return train([bytes(r.text) for r in got], np.array([min(max(r.toxic, 0), 1) for r in got]))
+    got = sample(docs, labels, rows).orderBy(F.xxhash64("text"), "toxic").toArrow()
+    return train(got.column("text").to_pylist(), np.clip(got.column("toxic").to_numpy(), 0, 1))
 
 
 def scored(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
