@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import dround
-from .ordered import cache
+from .ordered import cache, grouped_quantiles
 
 
 # Full US state names and their two-letter postal codes
@@ -109,22 +109,17 @@ def delivery_box_stats(fact: DataFrame, value: str = "delivery_time",
     at the most extreme values within 1.5 IQR of the box, outlier count.
 
     The rows are first reduced to a histogram ``(group, value) -> count`` by
-    a map-side partial aggregate (delivery days are a small integer domain),
-    so only distinct pairs are shuffled: a group holding a third of all rows
-    costs no more than any other.  Quartiles are ``percentile`` with the
-    counts as frequencies; whiskers and outliers come from the histogram
-    joined with the per-group fences.
+    a map-side partial aggregate, so only distinct pairs are shuffled: a group
+    holding a third of all rows costs no more than any other.  Quartiles come
+    from running counts within value ranges, so a group may have any number of
+    distinct values; whiskers and outliers come from the histogram joined with
+    the per-group fences.
     """
     base = fact.where(F.col(group).isNotNull() & F.col(value).isNotNull())
-    hist = base.groupBy(group, value).agg(F.count(F.lit(1)).alias("__c"))
-    q = hist.groupBy(group).agg(
-        F.percentile(F.col(value), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)),
-                     F.col("__c")).alias("qs"),
-        F.sum("__c").alias("n"), F.min(value).alias("min_value"),
-        F.max(value).alias("max_value"))
-    q = q.select(group, "n", "min_value", "max_value",
-                 F.col("qs")[0].alias("q1"), F.col("qs")[1].alias("median"),
-                 F.col("qs")[2].alias("q3"))
+    hist = cache(base.groupBy(group, value).agg(F.count(F.lit(1)).alias("__c")))
+    quartiles = grouped_quantiles(hist, group, value, "__c", {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    q = hist.groupBy(group).agg(F.sum("__c").alias("n"), F.min(value).alias("min_value"),
+                                F.max(value).alias("max_value")).join(quartiles, group)
     fences = q.select(group, (F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))).alias("lo_f"),
                       (F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))).alias("hi_f"))
     joined = hist.join(fences, group, "inner")

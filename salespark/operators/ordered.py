@@ -253,3 +253,39 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: list[float],
     names = names or [f"q{int(round(p * 100)):02d}" for p in probs]
     return exact_quantiles_of(df, {nm: (F.col(value_col), p) for nm, p in zip(names, probs)},
                               rows_per_bucket, buckets)
+
+
+def grouped_quantiles(counted: DataFrame, group: str, value: str, count: str, wanted: dict[str, float],
+                      rows_per_bucket: int | None = None, buckets: int | None = None) -> DataFrame:
+    """Exact quantiles of each group's values, from (group, value, count) rows.
+
+    One ordered pass over (group, value): a group's values lie in as many ranges as
+    they need, so no task holds a group, and only the ranges with a wanted position
+    are read again.  Groups are few (the boxes of a chart); their sizes are known on
+    the driver.  Columns: group, the names of ``wanted`` (probability by name).
+    """
+    pairs = cache(counted.select(F.col(group), F.col(value).cast("double").alias("__v"), F.col(count).alias("__c")))
+    k = buckets or max(1, math.ceil(pairs.count() / (rows_per_bucket or ROWS_PER_BUCKET)))
+    rows = value_ranges(pairs, [("__v", True)], [group], k)
+    offsets = range_offsets(rows, [group], {"__upto": "__c"})
+    sizes = {o[group]: o["__off___upto"] + o["__tot___upto"] for o in offsets}  # the last range's counts
+    held = [o for o in offsets if any(
+        o["__off___upto"] < at <= o["__off___upto"] + o["__tot___upto"]
+        for p in wanted.values() for at in _positions(sizes[o[group]], p))]
+    rows = rows.where(F.col("__part").isin(sorted({o["__part"] for o in held})))
+    ranked = _placed(rows, held, [group], {"__upto": "__c"}, pairs.columns, "__r")
+    known = local_rows(pairs.sparkSession, [list(x) for x in sizes.items()], T.StructType(
+        [pairs.schema[group], T.StructField("__n", T.LongType())]))
+    held_rows = ranked.join(known, group)
+
+    def at(position: Column) -> Column:
+        holds = (F.col("__upto") >= position) & (F.col("__upto") - F.col("__c") < position)
+        return F.max(F.when(holds, F.col("__v")))
+
+    place = {name: (F.col("__n") - 1) * F.lit(float(p)) for name, p in wanted.items()}
+    found = held_rows.groupBy(group, "__n").agg(*[
+        at(end(place[name]) + 1).alias(f"__{side}_{name}") for name in wanted
+        for side, end in (("lo", F.floor), ("hi", F.ceil))])
+    return found.select(group, *[
+        (F.col(f"__lo_{name}") + (F.col(f"__hi_{name}") - F.col(f"__lo_{name}")) * (place[name] - F.floor(place[name])))
+        .alias(name) for name in wanted])

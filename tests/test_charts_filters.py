@@ -86,3 +86,19 @@ def test_bounds_need_no_padding(sample_df):
     with_month = sample_df.withColumn("order_month", F.date_format("order_date", "yyyy-MM"))
     for frame in (sample_df, with_month):
         assert filters.filter_date_range(frame, "2025-4-8", "2025-5-2").count() == 4
+
+
+def test_box_stats_of_many_distinct_values(spark):
+    """A group of two million distinct values lies in many ranges; small groups and ties beside it."""
+    from salespark.operators.ordered import ROWS_PER_BUCKET, release_cached
+    n = 2_000_000
+    assert n > 2 * ROWS_PER_BUCKET
+    big = spark.range(n).select(F.lit("big").alias("category"), (F.col("id") * 7919 % n).alias("v"))
+    small = spark.range(10).select(F.lit("small").alias("category"), (F.col("id") * F.col("id")).alias("v"))
+    tied = spark.range(1000).select(F.lit("tied").alias("category"), F.lit(5).cast("long").alias("v"))
+    got = {r.category: r for r in charts.delivery_box_stats(big.unionByName(small).unionByName(tied), "v").collect()}
+    assert (got["big"].q1, got["big"].median, got["big"].q3) == ((n - 1) / 4, (n - 1) / 2, (n - 1) * 0.75)
+    assert (got["big"].n, got["big"].min_value, got["big"].max_value, got["big"].outliers) == (n, 0, n - 1, 0)
+    assert (got["small"].q1, got["small"].median, got["small"].q3) == (5.25, 20.5, 45.75)
+    assert (got["tied"].q1, got["tied"].q3, got["tied"].n, got["tied"].outliers) == (5.0, 5.0, 1000, 0)
+    release_cached()

@@ -298,3 +298,32 @@ def test_malformed_line_raises(spark, flat, line):
         os.remove(crc)
     with pytest.raises(Exception, match="MALFORMED"):
         flatfile.read_flat_csv(spark, f"{base}/flat").collect()
+
+
+def test_constraint_report_reads_each_table_once(spark, sample_df):
+    from salespark.plans.inspect import scan_summaries
+    base = tempfile.mkdtemp(prefix="salespark-test-") + "/db"
+    flat = flatfile.to_flat(sample_df)
+    flatfile.write_tables(*flatfile.normalize(flat), base, load_id="a")
+    tables = [spark.read.parquet(f"{base}/{t}") for t in ("customers", "products", "orders")]
+    report = constraint_report(*tables)
+    report.collect()
+    read = sorted(s["Location"].split("/db/")[1].split("]")[0] for s in scan_summaries(report))
+    assert read == ["customers", "orders", "products"]
+
+
+def test_constraint_report_counts_every_kind(spark, sample_df):
+    """NULL keys and references, repeated keys, orphans of a hot key."""
+    c, p, o = flatfile.normalize(flatfile.to_flat(sample_df))
+    one = o.limit(1)
+    o = (o.unionByName(one.withColumn("customer_id", F.lit("nobody")).crossJoin(spark.range(500)).drop("id"))
+         .unionByName(one.withColumns({"order_id": F.lit(None).cast("string"), "product_id": F.lit(None).cast("string"),
+                                       "rating": F.lit(None).cast("int")})))
+    c = c.unionByName(c.limit(1)).unionByName(c.limit(1))
+    rep = {(r.table_name, r.rule, r.column_name): r.violations for r in constraint_report(c, p, o).collect()}
+    assert rep["customers", "primary_key", "customer_id"] == 2
+    assert rep["orders", "primary_key", "order_id"] == 501
+    assert rep["orders", "foreign_key", "customer_id"] == 500
+    assert rep["orders", "foreign_key", "product_id"] == 0
+    assert rep["orders", "not_null", "order_id"] == rep["orders", "not_null", "rating"] == 1
+    assert len(rep) == 28 + 3 + 2
