@@ -20,9 +20,12 @@ from pyspark.sql import functions as F
 
 from . import schema
 
-# A join side is broadcast only when its exact row count is at most this;
-# beyond it the join is a sort-merge join (AQE splits skewed partitions).
-BROADCAST_MAX_ROWS = 500_000
+# A join side is broadcast only when its bytes (exact row count by the width of its
+# columns) are at most this; beyond it the join is a sort-merge join (AQE splits
+# skewed partitions).
+BROADCAST_MAX_BYTES = 64 << 20
+# Bytes a text is counted with: names, dates and codes of the dimensions are shorter.
+TEXT_BYTES = 32
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
           "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -38,18 +41,25 @@ def table_rows(spark: SparkSession, sf_dir: str, name: str) -> int:
     return read_table(spark, sf_dir, name).count()
 
 
-def broadcast_if_small(side: DataFrame, bound_rows: int, max_rows: int = BROADCAST_MAX_ROWS
-                       ) -> DataFrame:
-    """Hint ``side`` for broadcast when ``bound_rows`` (the exact row count of
-    a table with at least as many rows, e.g. the parquet table ``side`` is
-    derived from; see ``table_rows``) is at most ``max_rows``.
+def row_bytes(side: DataFrame) -> int:
+    """Bytes of a row: fixed widths as they are, texts as ``TEXT_BYTES``, and a row's own cost."""
+    fixed = {"byte": 1, "boolean": 1, "short": 2, "integer": 4, "float": 4, "date": 4}
+    texts = {"string", "binary", "varchar", "char"}
+    return 16 + sum(TEXT_BYTES if f.dataType.typeName() in texts else fixed.get(f.dataType.typeName(), 16)
+                    for f in side.schema.fields)
+
+
+def broadcast_if_small(side: DataFrame, bound_rows: int, max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
+    """Hint ``side`` for broadcast when ``bound_rows`` rows of its width (the exact row
+    count of a table with at least as many rows, e.g. the parquet table ``side`` is
+    derived from; see ``table_rows``) are at most ``max_bytes``.
 
     The count of an unfiltered parquet scan is answered from file footers,
     so the check costs no data scan at any size.  Without the hint the
     planner's static estimate for a join output is the product of its
     inputs, which would make the fact look like the small side.
     """
-    return F.broadcast(side) if bound_rows <= max_rows else side
+    return F.broadcast(side) if bound_rows * row_bytes(side) <= max_bytes else side
 
 
 def customer_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,7 +107,7 @@ def sales_fact(spark: SparkSession, sf_dir: str, trust_foreign_keys: bool = Fals
     then lineitem ⋈ that on the order key, then ⋈ part.  Each join is an
     inner equi-join; rows without a match drop, as in the reference.
     Lineitem is always the streamed side; the others are broadcast only
-    below ``BROADCAST_MAX_ROWS`` rows (exact footer counts), else joined by
+    below ``BROADCAST_MAX_BYTES`` (exact footer counts by column widths), else joined by
     sort-merge on the key.
 
     ``trust_foreign_keys=True`` (for data whose integrity report shows unique

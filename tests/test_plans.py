@@ -62,3 +62,15 @@ def test_trusted_foreign_keys_prune_unused_joins(spark):
     assert files == ["lineitem.parquet", "part.parquet"]  # orders and customers never read
     plain = sorted(map(tuple, product_performance(sales_fact(spark, SF_SMALL)).collect()))
     assert sorted(map(tuple, df.collect())) == plain
+
+
+def test_broadcasts_are_bounded_by_bytes(spark):
+    """The same number of rows is sent when narrow and joined by sort-merge when wide."""
+    from pyspark.sql import functions as F
+    from salespark.sources.tables import BROADCAST_MAX_BYTES, broadcast_if_small, row_bytes
+    narrow = spark.range(10).select(F.col("id").alias("k"))
+    wide = narrow.select("k", *[F.lit("x").alias(f"c{i}") for i in range(40)])
+    rows = BROADCAST_MAX_BYTES // row_bytes(narrow)
+    hinted = [("ResolvedHint" in side._jdf.queryExecution().analyzed().toString())
+              for side in (broadcast_if_small(narrow, rows), broadcast_if_small(narrow, rows + 1), broadcast_if_small(wide, rows))]
+    assert hinted == [True, False, False]
