@@ -241,5 +241,7 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def kept(docs: DataFrame, rules: list[Rule]) -> DataFrame:
-    """Rows of ``docs`` that the base tests and the rules keep, columns as they are."""
-    return judged(docs, rules).filter(~F.col("__failed") & (F.col("__rule") == 0)).select(*docs.columns)
+    """Rows of ``docs`` that the base tests and the rules keep, columns as they are (in a
+    struct meanwhile, so that they may have any names)."""
+    rows = docs.select(F.struct("*").alias("row"), "text")
+    return judged(rows, rules).filter(~F.col("__failed") & (F.col("__rule") == 0)).select("row.*")

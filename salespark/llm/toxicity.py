@@ -25,6 +25,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from salespark.llm import common
 
@@ -230,10 +231,10 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
 
 
 def scored(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """Columns ``keep`` of ``docs`` and ``__score`` of the whole text (null: empty)."""
+    """``row``, a struct of the columns ``keep`` of ``docs`` (of any names), and ``score``
+    of the whole text (null: empty)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     number = uuid.uuid4().hex
-    schema = docs.select(*keep).schema
 
     def run(batches):
         import pyarrow as pa
@@ -242,12 +243,11 @@ def scored(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
         # named anew for every scoring, so no model finds another's words
         memory = common.memo(("toxicity", number), lambda: _Words(m.weights))
         for batch in batches:
-            p = m.score(batch.column("__text").to_pylist(), memory)
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in keep), pa.array(p)], [*keep, "__score"])
+            p = m.score(batch.column("text").to_pylist(), memory)
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(p)], ["row", "score"])
 
-    return docs.select(*keep, common.text_bytes().alias("__text")).mapInArrow(
-        run, schema.add("__score", "double"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), common.text_bytes().alias("text"))
+    return rows.mapInArrow(run, T.StructType([rows.schema["row"], T.StructField("score", T.DoubleType())]))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -257,12 +257,11 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     A text without words scores the bias alone.  Without labelled rows of both
     classes every score is the base rate.
     """
-    out = scored(docs.select("doc_id", "text"), fit(docs, labels), ["doc_id"])
-    return out.select("doc_id", (common.bucket_of(out, 4) == 2).alias("held_out"),
-                      F.col("__score").alias("score"),
-                      (F.col("__score") >= THRESHOLD).cast("int").alias("predicted"))
+    out = scored(docs.select("doc_id", "text"), fit(docs, labels), ["doc_id"]).select("row.doc_id", "score")
+    return out.select("doc_id", (common.bucket_of(out, 4) == 2).alias("held_out"), "score",
+                      (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def kept(docs: DataFrame, model: Model) -> DataFrame:
     """Rows of ``docs`` that score below the threshold, columns as they are."""
-    return scored(docs, model, docs.columns).filter(F.col("__score") < THRESHOLD).select(*docs.columns)
+    return scored(docs, model, docs.columns).filter(F.col("score") < THRESHOLD).select("row.*")

@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from salespark.llm import langid, quality, toxicity
 
@@ -155,3 +156,17 @@ def test_components_keep_unrelated_trigrams_apart():
     v = tri.vectors[numbers].astype(float)
     cosines = (v @ v.T / v.shape[1])[np.triu_indices(len(v), 1)]
     assert np.sqrt(np.mean(cosines ** 2)) < 0.036
+
+
+@pytest.mark.parametrize("names", [["__q", "__score", "__text"], ["row", "score", "__rule"], ["__failed", "a.b", "words"]])
+def test_kept_rows_may_have_any_column_names(spark, labels, docs, names):
+    """Columns of the operators' own names neither clash nor change."""
+    some = docs.limit(120)
+    odd = some.select("*", *[F.lit(i).alias(n) for i, n in enumerate(names)])
+    rules, model = quality.fit(some, labels), toxicity.fit(some, labels)
+    for kept in (quality.kept(odd, rules), toxicity.kept(odd, model)):
+        assert kept.columns == odd.columns
+        rows = kept.collect()
+        assert rows and all(tuple(r)[-3:] == (0, 1, 2) for r in rows)
+    assert {r.doc_id for r in toxicity.kept(odd, model).collect()} == {r.doc_id for r in toxicity.kept(some, model).collect()}
+    assert {r.doc_id for r in quality.kept(odd, rules).collect()} == {r.doc_id for r in quality.kept(some, rules).collect()}
