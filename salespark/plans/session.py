@@ -113,17 +113,17 @@ _SHIPPED: set[str] = set()
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Make this package importable by the Python workers of every executor, once per application."""
+    """Make this package importable by the Python workers of every executor, once per
+    application.  The whole package goes along: workers find one package of its name only."""
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
     import salespark
 
     top = Path(next(iter(salespark.__path__)))
-    path = Path(tempfile.mkdtemp(prefix="salespark-")) / "salespark-operators.zip"
+    path = Path(tempfile.mkdtemp(prefix="salespark-")) / "salespark-whole.zip"
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
-        for name in ("__init__.py", "operators/*.py", "functions/*.py", "plans/*.py", "sources/*.py"):
-            for file in sorted(top.glob(name)):
-                z.write(file, Path(top.name) / file.relative_to(top))
+        for file in sorted(top.rglob("*.py")):
+            z.write(file, Path(top.name) / file.relative_to(top))
     spark.sparkContext.addPyFile(str(path))  # the file goes to the executors from the driver
     _SHIPPED.add(app)

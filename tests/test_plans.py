@@ -74,3 +74,17 @@ def test_broadcasts_are_bounded_by_bytes(spark):
     hinted = [("ResolvedHint" in side._jdf.queryExecution().analyzed().toString())
               for side in (broadcast_if_small(narrow, rows), broadcast_if_small(narrow, rows + 1), broadcast_if_small(wide, rows))]
     assert hinted == [True, False, False]
+
+
+def test_workers_get_the_whole_package(spark):
+    """Workers find one package of its name only, so what is shipped leaves no module out."""
+    import zipfile
+    from pathlib import Path
+
+    import salespark
+    from pyspark import SparkFiles
+    from salespark.plans.session import ship_package
+    ship_package(spark)
+    top = Path(salespark.__path__[0])
+    with zipfile.ZipFile(SparkFiles.get("salespark-whole.zip")) as z:
+        assert set(z.namelist()) == {str(f.relative_to(top.parent)) for f in top.rglob("*.py")}
