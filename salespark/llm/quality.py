@@ -215,7 +215,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> list[Rul
              .groupBy("doc_id").agg(F.min("quality").alias("quality")))
     n = known.count()
     if n > rows:
-        known = known.filter(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 20)) < int(rows / n * (1 << 20)))
+        known = known.filter(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 20)) < max(1, int(rows / n * (1 << 20))))
     chosen = (docs.select("doc_id", "text").join(known, "doc_id")
               .groupBy("doc_id", "quality").agg(F.min("text").alias("text")))
     got = (features(chosen).filter(~base_failed())

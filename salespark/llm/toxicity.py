@@ -218,7 +218,7 @@ def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataF
              .groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
     n = known.count()
     if n > rows:
-        known = known.filter(F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1 << 20)) < int(rows / n * (1 << 20)))
+        known = known.filter(F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1 << 20)) < max(1, int(rows / n * (1 << 20))))
     return (docs.select("doc_id", common.text_bytes().alias("text")).join(known, "doc_id")
             .groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
             .select("text", "toxic"))
