@@ -26,6 +26,9 @@ from . import schema
 BROADCAST_MAX_BYTES = 64 << 20
 # Bytes a text is counted with: names, dates and codes of the dimensions are shorter.
 TEXT_BYTES = 32
+# Lines a task of a sort-merge join of the fact takes, about, however many there are: the
+# session's number of shuffle partitions and AQE's merging of them let a task grow with the table.
+LINES_PER_TASK = 250_000
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
           "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -62,6 +65,14 @@ def broadcast_if_small(side: DataFrame, bound_rows: int, max_bytes: int = BROADC
     return F.broadcast(side) if bound_rows * row_bytes(side) <= max_bytes else side
 
 
+def join_side(side: DataFrame, key: str, bound_rows: int, lines: int) -> DataFrame:
+    """``side`` of a join of ``lines`` rows: broadcast if small, else dealt out by ``key`` over
+    so many partitions that a task has about ``LINES_PER_TASK`` lines.  Spark shuffles the
+    lines alike, if it shuffles them; they aren't touched where it broadcasts the side after all."""
+    hinted = broadcast_if_small(side, bound_rows)
+    return hinted if hinted is not side else side.repartition(max(1, -(-lines // LINES_PER_TASK)), key)
+
+
 def customer_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
     """customer ⋈ nation ⋈ region as the customer dimension.
 
@@ -131,14 +142,15 @@ def sales_fact(spark: SparkSession, sf_dir: str, trust_foreign_keys: bool = Fals
     cust = broadcast_if_small(dim(customer_dim(spark, sf_dir), "customer_id"),
                               table_rows(spark, sf_dir, "customer"))
     orders_c = dim(orders, "o_orderkey").join(cust, orders.o_custkey == cust.customer_id, how)
-    orders_c = broadcast_if_small(orders_c, table_rows(spark, sf_dir, "orders"))
+    n_lines = table_rows(spark, sf_dir, "lineitem")
+    orders_c = join_side(orders_c, "o_orderkey", table_rows(spark, sf_dir, "orders"), n_lines)
 
     li = read_table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "l_discount",
         "l_returnflag", "l_shipdate")
     lines = li.join(orders_c, li.l_orderkey == orders_c.o_orderkey, how)
-    prod = broadcast_if_small(dim(product_dim(spark, sf_dir), "product_id"),
-                              table_rows(spark, sf_dir, "part"))
+    prod = join_side(dim(product_dim(spark, sf_dir), "product_id"), "product_id",
+                     table_rows(spark, sf_dir, "part"), n_lines)
     joined = lines.join(prod, lines.l_partkey == prod.product_id, how)
 
     discount = F.col("l_discount").cast(schema.RATE)

@@ -88,3 +88,30 @@ def test_workers_get_the_whole_package(spark):
     top = Path(salespark.__path__[0])
     with zipfile.ZipFile(SparkFiles.get("salespark-whole.zip")) as z:
         assert set(z.namelist()) == {str(f.relative_to(top.parent)) for f in top.rglob("*.py")}
+
+
+def _joined_by_sort_merge(spark, monkeypatch):
+    """No join side is small enough to be broadcast; the session's settings to restore."""
+    from salespark.sources import tables
+    monkeypatch.setattr(tables, "broadcast_if_small", lambda side, rows: side)
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    before = {name: spark.conf.get(name) for name in names}
+    for name in names:
+        spark.conf.set(name, "-1")
+    return before
+
+
+def test_tasks_of_the_fact_have_as_many_lines_at_every_size(spark, monkeypatch):
+    """More lines make more tasks, whatever the session's number of shuffle partitions (4)."""
+    from pyspark.sql import functions as F
+    from salespark.sources import tables
+    whole = sorted(map(str, sales_fact(spark, SF_SMALL).collect()))
+    before = _joined_by_sort_merge(spark, monkeypatch)
+    monkeypatch.setattr(tables, "LINES_PER_TASK", 250)
+    try:
+        rows = sales_fact(spark, SF_SMALL).withColumn("__task", F.spark_partition_id()).collect()
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert len({r["__task"] for r in rows}) > 12  # about 6,000 lines
+    assert sorted(str(r).split(", __task=")[0] + ")" for r in rows) == whole
