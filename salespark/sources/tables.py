@@ -187,11 +187,14 @@ def unit_price_expr(extended_price: str, quantity: str):
 
 
 def fact_from_tables(orders: DataFrame, customers: DataFrame, products: DataFrame) -> DataFrame:
-    """The reference's single join: orders ⋈ customers ⋈ products (inner)."""
+    """The reference's single join: orders ⋈ products ⋈ customers (inner).
+
+    Products come first: lines that already lie by product aren't shuffled again, and the
+    shuffle by customer carries the few product columns, not the customers'."""
     cust = customers.select(*schema.CUSTOMER_COLUMNS)
     prod = products.select(*schema.PRODUCT_COLUMNS)
-    fact = (orders.join(cust, "customer_id", "inner")
-            .join(prod, "product_id", "inner"))
+    fact = (orders.join(prod, "product_id", "inner")
+            .join(cust, "customer_id", "inner"))
     return fact.select(*schema.FACT_COLUMNS)
 
 

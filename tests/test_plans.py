@@ -115,3 +115,21 @@ def test_tasks_of_the_fact_have_as_many_lines_at_every_size(spark, monkeypatch):
             spark.conf.set(name, value)
     assert len({r["__task"] for r in rows}) > 12  # about 6,000 lines
     assert sorted(str(r).split(", __task=")[0] + ")" for r in rows) == whole
+
+
+def test_lines_that_lie_by_product_are_not_shuffled_by_product_again(spark, monkeypatch):
+    from salespark.sources import flatfile, tables
+    c, p, o = flatfile.normalize(flatfile.to_flat(sales_fact(spark, SF_SMALL)))
+    whole = sorted(map(str, tables.fact_from_tables(o, c, p).collect()))
+    before = _joined_by_sort_merge(spark, monkeypatch)
+    try:
+        fact = tables.fact_from_tables(o.repartition(7, "product_id"), c, p.repartition(7, "product_id"))
+        rows = fact.collect()
+        plan = fact._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert sorted(map(str, rows)) == whole
+    above = plan[:plan.index("REPARTITION_BY_NUM")]
+    assert above.count("Exchange hashpartitioning(customer_id") == 1 and "Exchange hashpartitioning(product_id" not in \
+        above.rsplit("\n", 1)[0]
