@@ -28,7 +28,7 @@ PIECES_KEPT = 1_000_000
 #: Longer pieces (bytes) seldom recur and aren't remembered.
 LONGEST_KEPT = 24
 #: Bytes of text whose words are numbered at a time; a longer text is cut at white space.
-SLICE = 8_000_000
+SLICE = 2_000_000
 
 _LETTERS = "^[A-Za-zÀ-ÖØ-öø-įı-ſ]+$"
 _PLAIN = re.compile(r"[!-&(-;=-~À-ÖØ-öø-įı-ſ]+")

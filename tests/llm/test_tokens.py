@@ -201,3 +201,22 @@ def test_a_worker_remembers_for_one_operator_at_a_time():
     assert common.memo(("a", 1), dict) is first
     common.memo(("b",), dict)
     assert common.memo(("a", 1), dict) is not first
+
+
+def test_encoding_a_batch_takes_little_memory_at_a_time():
+    """Ids are gathered a slice at a time: the arrays for a batch don't add up."""
+    import tracemalloc
+
+    import pyarrow as pa
+    import public_tokenizers
+    from salespark.llm import wordbpe
+
+    enc = wordbpe.WordBPE(public_tokenizers.path("word_bpe_49k.json"))
+    texts = pa.array([b"some plain words, in a text. " * 100] * 3000, pa.binary())  # 8.7 MB
+    tracemalloc.start()
+    try:
+        wordbpe.encoded_column(enc, texts)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 80e6, peak
