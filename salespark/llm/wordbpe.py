@@ -10,9 +10,9 @@ other words (apostrophes, special-token strings, other scripts, combining marks)
 through the library's whole pipeline.
 
 Texts are split, words numbered and plain ones told apart column by column (Arrow),
-so each distinct piece of a slice of ``SLICE`` bytes is looked up once; the ids of
-all words are then gathered by numpy.  What a Python worker remembers are columns
-too: the pieces met, and their ids, one after the other.
+so each distinct piece of ``NUMBERED`` bytes of texts is looked up once; the ids of
+all words are then gathered by numpy, ``SLICE`` bytes at a time.  What a Python worker remembers is a dict from
+pieces met to their packed ids, so a look-up costs as much whatever is remembered.
 """
 
 from __future__ import annotations
@@ -23,11 +23,13 @@ from itertools import chain
 import numpy as np
 
 END_ID = 2
-#: Pieces that a Python worker remembers, about; before that it would be more, it starts afresh.
-PIECES_KEPT = 1_000_000
+#: Pieces that a Python worker remembers (about 140 bytes each); before that it would be more, it starts afresh.
+PIECES_KEPT = 500_000
 #: Longer pieces (bytes) seldom recur and aren't remembered.
 LONGEST_KEPT = 24
-#: Bytes of text whose words are numbered at a time; a longer text is cut at white space.
+#: Bytes of texts whose words are numbered at a time.
+NUMBERED = 8_000_000
+#: Bytes of texts whose ids are gathered at a time; a longer text is cut at white space.
 SLICE = 2_000_000
 
 _LETTERS = "^[A-Za-zÀ-ÖØ-öø-įı-ſ]+$"
@@ -53,8 +55,7 @@ class WordBPE:
         self.model = self.tokenizer.model
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.letters = _byte_letters()
-        #: remembered pieces, where their ids begin in ``ids``, and how many they are
-        self._forget()
+        self.known: dict[bytes, bytes] = {}  # packed ids of remembered pieces
         self.always = [[], [END_ID], self.piece("."), self.piece(",")]  # no mark, end, marks
 
     def piece(self, piece: str) -> list[int]:
@@ -68,32 +69,18 @@ class WordBPE:
             return [i for p in _PIECES.findall(text.lower()) for i in self.piece(p)]
         return self.tokenizer.encode(text, add_special_tokens=False).ids if text else []
 
-    def numbers(self, pieces) -> np.ndarray:
-        """Places of a column of distinct pieces in the memory; new ones are learned."""
-        import pyarrow as pa
-        import pyarrow.compute as pc
-
-        at = pc.index_in(pieces, value_set=self.known)
-        if at.null_count and len(self.known) + at.null_count > PIECES_KEPT:
-            self._forget()
-            at = pc.index_in(pieces, value_set=self.known)
-        if at.null_count:
-            new = pieces.filter(at.is_null())
-            found = [self.piece(p) for p in _values(new)]
-            sizes = np.fromiter(map(len, found), np.int32, len(found))
-            self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes, dtype=np.int32) - sizes])
-            self.sizes = np.concatenate([self.sizes, sizes])
-            self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), self.dtype)])
-            self.known = pa.concat_arrays([self.known, new])
-            at = pc.index_in(pieces, value_set=self.known)
-        return at.to_numpy()
-
-    def _forget(self) -> None:
-        import pyarrow as pa
-
-        self.known = pa.array([], pa.string())
-        self.starts, self.sizes = np.zeros(0, np.int32), np.zeros(0, np.int32)
-        self.ids = np.zeros(0, self.dtype)
+    def packed(self, pieces: list[bytes]) -> list[bytes]:
+        """Packed ids of distinct pieces; new ones are learned."""
+        found = list(map(self.known.get, pieces))
+        new = [i for i, ids in enumerate(found) if ids is None]
+        if len(self.known) + len(new) > PIECES_KEPT:
+            self.known.clear()
+        learned = [self.piece(pieces[i].decode()) for i in new]
+        ids = np.fromiter(chain.from_iterable(learned), self.dtype).tobytes()
+        ends = np.cumsum([0, *map(len, learned)]) * self.dtype.itemsize
+        for i, start, end in zip(new, ends.tolist(), ends[1:].tolist()):
+            found[i] = self.known[pieces[i]] = ids[start:end]
+        return found
 
     def encode(self, text: bytes) -> bytes:
         """Packed ids of a whole text, the end id appended."""
@@ -114,18 +101,30 @@ def encoded_column(enc: WordBPE, texts):
     import pyarrow as pa
 
     texts = texts.cast(pa.binary())
-    ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset:texts.offset + len(texts) + 1].astype(np.int64)
-    parts, at = [], 0
-    while at < len(texts):
-        stop = max(int(np.searchsorted(ends, ends[at] + SLICE, side="right")) - 1, at + 1)
-        if ends[stop] - ends[at] > SLICE:  # one text
+    sizes, parts = _sizes(texts), []
+    for at, stop in _runs(np.where(sizes > SLICE, NUMBERED + 1, sizes), NUMBERED):
+        if sizes[at] > SLICE:  # one text
             parts.append(pa.array([_long(enc, texts[at].as_py())], pa.binary()))
         else:
-            parts.append(_encoded_slice(enc, texts.slice(at, stop - at)))
-        at = stop
+            parts += _encoded_run(enc, texts.slice(at, stop - at))
     return pa.concat_arrays(parts) if parts else pa.array([], pa.binary())
 
 
+def _sizes(texts) -> np.ndarray:
+    """Bytes of each value of a binary column."""
+    ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset:texts.offset + len(texts) + 1]
+    return np.diff(ends.astype(np.int64))
+
+
+def _runs(sizes: np.ndarray, most: int):
+    """Values one after the other, in runs of at most ``most`` bytes (a larger value alone)."""
+    ends, at = np.concatenate([[0], np.cumsum(sizes)]), 0
+    while at < len(sizes):
+        stop = max(int(np.searchsorted(ends, ends[at] + most, side="right")) - 1, at + 1)
+        yield at, stop
+        at = stop
+
+
 def _long(enc: WordBPE, text: bytes) -> bytes:
     """A text longer than a slice, cut at white space."""
     import pyarrow as pa
@@ -134,21 +133,21 @@ def _long(enc: WordBPE, text: bytes) -> bytes:
     while at < len(text):
         space = _SPACE.search(text, at + SLICE)
         stop = space.start() if space else len(text)
-        ids = _encoded_slice(enc, pa.array([text[at:stop]], pa.binary()))[0].as_py()
+        ids = _encoded_run(enc, pa.array([text[at:stop]], pa.binary()))[0][0].as_py()
         out.append(ids[:-enc.dtype.itemsize])
         at = stop
     return b"".join(out) + np.array([END_ID], enc.dtype).tobytes()
 
 
-def _values(column) -> list[str]:
+def _values(column) -> list[bytes]:
     """Values of a column of words, none of which holds white space."""
     import pyarrow as pa
     import pyarrow.compute as pc
 
     if not len(column):
         return []
-    whole = pa.ListArray.from_arrays(pa.array([0, len(column)], pa.int32()), column)
-    return pc.binary_join(whole, " ")[0].as_py().split(" ")
+    whole = pa.ListArray.from_arrays(pa.array([0, len(column)], pa.int32()), column.view(pa.binary()))
+    return pc.binary_join(whole, b" ")[0].as_py().split(b" ")
 
 
 def _plain(words):
@@ -168,7 +167,8 @@ def _plain(words):
     return pc.and_(letters, short).to_numpy(zero_copy_only=False) & (tail <= 1), lower, tail
 
 
-def _encoded_slice(enc: WordBPE, texts):
+def _encoded_run(enc: WordBPE, texts) -> list:
+    """Packed ids of texts whose words are numbered together, in columns of ``SLICE`` bytes of texts."""
     import pyarrow as pa
     import pyarrow.compute as pc
 
@@ -178,29 +178,36 @@ def _encoded_slice(enc: WordBPE, texts):
     plain, lower, tail = _plain(words)
     cores = lower.filter(pa.array(plain)).dictionary_encode()
     others = [enc.word(w) for w in words.view(pa.binary()).filter(pa.array(~plain)).to_pylist()]
-    place = enc.numbers(cores.dictionary)
-    # units: the remembered pieces, then what every slice has, then the other words
+    pieces = enc.packed(_values(cores.dictionary))
+    # units: the run's pieces, then what every run has, then the other words
     extra = [*enc.always, *others]
-    sizes = np.concatenate([enc.sizes, np.fromiter(map(len, extra), np.int32, len(extra))])
-    starts = np.concatenate([enc.starts, len(enc.ids) + np.cumsum(sizes[len(enc.sizes):]) - sizes[len(enc.sizes):]])
-    ids = np.concatenate([enc.ids, np.fromiter(chain.from_iterable(extra), enc.dtype)])
-    none, end, stop, comma = range(len(enc.sizes), len(enc.sizes) + len(enc.always))
+    sizes = np.concatenate([np.fromiter(map(len, pieces), np.int32, len(pieces)) // enc.dtype.itemsize,
+                            np.fromiter(map(len, extra), np.int32, len(extra))])
+    starts = np.cumsum(sizes) - sizes
+    ids = np.concatenate([np.frombuffer(b"".join(pieces), enc.dtype),
+                          np.fromiter(chain.from_iterable(extra), enc.dtype)])
+    none, end, stop, comma = range(len(pieces), len(pieces) + len(enc.always))
     # a word is two units: its letters or itself, and its mark or none
     units = np.full((len(words), 2), none, np.int32)
-    units[plain, 0] = place[cores.indices.to_numpy()] if len(place) else 0
+    units[plain, 0] = cores.indices.to_numpy()
     units[~plain, 0] = none + len(enc.always) + np.arange(len(others))
     marked = plain & (tail == 1)
     if marked.any():
         last = pc.ends_with(words, ",").to_numpy(zero_copy_only=False)
         units[marked, 1] = np.where(last[marked], comma, stop)
     # every text's words, then the end id
-    bounds = lists.value_lengths().to_numpy().cumsum()
-    unit = np.insert(units[numbered.indices.to_numpy()].ravel(), 2 * bounds, end)
-    many = sizes[unit]
-    after = np.cumsum(many, dtype=np.int64)
-    out = ids[np.repeat(starts[unit] - (after - many), many) + np.arange(after[-1])]
-    offsets = np.concatenate([[0], after[2 * bounds + np.arange(len(bounds))]]) * enc.dtype.itemsize
-    return pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(out)])
+    number, parts = numbered.indices.to_numpy(), []
+    bounds = np.concatenate([[0], lists.value_lengths().to_numpy().cumsum()])
+    for first, last in _runs(_sizes(texts), SLICE):
+        marks = 2 * (bounds[first + 1:last + 1] - bounds[first])
+        unit = np.insert(units[number[bounds[first]:bounds[last]]].ravel(), marks, end)
+        many = sizes[unit]
+        after = np.cumsum(many, dtype=np.int64)
+        out = ids[np.repeat(starts[unit] - (after - many), many) + np.arange(after[-1])]
+        offsets = np.concatenate([[0], after[marks + np.arange(len(marks))]]) * enc.dtype.itemsize
+        parts.append(pa.Array.from_buffers(
+            pa.binary(), last - first, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(out)]))
+    return parts
 
 
 def encode_batches(path: str, keep: list[str]):

@@ -220,3 +220,38 @@ def test_encoding_a_batch_takes_little_memory_at_a_time():
     finally:
         tracemalloc.stop()
     assert peak < 80e6, peak
+
+
+def test_a_lookup_costs_as_much_whatever_is_remembered():
+    """Short texts take little time after many distinct words, and have the library's ids."""
+    import time
+
+    import pyarrow as pa
+    import public_tokenizers
+    from salespark.llm import wordbpe
+
+    enc = wordbpe.WordBPE(public_tokenizers.path("word_bpe_49k.json"))
+    letters = "abcdefghijklmnopqrst"
+    many = [a + b + c + d + e for a in letters for b in letters for c in letters for d in letters for e in "xy"]
+    wordbpe.encoded_column(enc, pa.array([" ".join(many).encode()], pa.binary()))  # 320,000 words
+    before = time.process_time()
+    for k in range(60):
+        got = wordbpe.encoded_column(enc, pa.array([f"Some {many[k]}, words.".encode()], pa.binary()))[0].as_py()
+        assert np.frombuffer(got, enc.dtype).tolist() == enc.tokenizer.encode(f"Some {many[k]}, words.").ids + [2]
+    assert time.process_time() - before < 0.6
+
+
+def test_texts_of_a_run_are_gathered_in_slices(monkeypatch):
+    """Texts numbered together and gathered apart; long, empty and first texts among them."""
+    import pyarrow as pa
+    import public_tokenizers
+    from salespark.llm import wordbpe
+
+    monkeypatch.setattr(wordbpe, "SLICE", 50)
+    monkeypatch.setattr(wordbpe, "NUMBERED", 400)
+    enc = wordbpe.WordBPE(public_tokenizers.path("word_bpe_49k.json"))
+    texts = ["", *("words go, on. " * (k % 6) for k in range(90)), "", "x" * 500, "don't; 1.5 " * 4]
+    got = wordbpe.encoded_column(enc, pa.array([t.encode() for t in texts], pa.binary())).to_pylist()
+    for text, ids in zip(texts, got, strict=True):
+        want = enc.tokenizer.encode(text, add_special_tokens=False).ids + [2]
+        assert np.frombuffer(ids, enc.dtype).tolist() == want, text[:40]
