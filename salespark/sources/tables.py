@@ -26,7 +26,7 @@ from . import schema
 BROADCAST_MAX_BYTES = 64 << 20
 # Bytes a text is counted with: names, dates and codes of the dimensions are shorter.
 TEXT_BYTES = 32
-# Lines a task of a sort-merge join of the fact takes, about, however many there are: the
+# Lines (or orders) a task of a sort-merge join of the fact takes, about, however many there are: the
 # session's number of shuffle partitions and AQE's merging of them let a task grow with the table.
 LINES_PER_TASK = 250_000
 
@@ -139,11 +139,11 @@ def sales_fact(spark: SparkSession, sf_dir: str, trust_foreign_keys: bool = Fals
         F.col("o_orderpriority").alias("sales_channel"),
         F.col("o_orderstatus").alias("payment_method"),
     )
-    cust = broadcast_if_small(dim(customer_dim(spark, sf_dir), "customer_id"),
-                              table_rows(spark, sf_dir, "customer"))
+    n_orders, n_lines = table_rows(spark, sf_dir, "orders"), table_rows(spark, sf_dir, "lineitem")
+    cust = join_side(dim(customer_dim(spark, sf_dir), "customer_id"), "customer_id",
+                     table_rows(spark, sf_dir, "customer"), n_orders)
     orders_c = dim(orders, "o_orderkey").join(cust, orders.o_custkey == cust.customer_id, how)
-    n_lines = table_rows(spark, sf_dir, "lineitem")
-    orders_c = join_side(orders_c, "o_orderkey", table_rows(spark, sf_dir, "orders"), n_lines)
+    orders_c = join_side(orders_c, "o_orderkey", n_orders, n_lines)
 
     li = read_table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "l_discount",

@@ -133,3 +133,23 @@ def test_lines_that_lie_by_product_are_not_shuffled_by_product_again(spark, monk
     above = plan[:plan.index("REPARTITION_BY_NUM")]
     assert above.count("Exchange hashpartitioning(customer_id") == 1 and "Exchange hashpartitioning(product_id" not in \
         above.rsplit("\n", 1)[0]
+
+
+def test_orders_and_customers_are_joined_in_as_many_tasks_as_orders_need(spark, monkeypatch):
+    """The join below the lines grows with the orders, whatever the session's number (4)."""
+    import re
+    from salespark.sources import tables
+    n_orders = tables.table_rows(spark, SF_SMALL, "orders")
+    whole = sorted(map(str, sales_fact(spark, SF_SMALL).collect()))
+    before = _joined_by_sort_merge(spark, monkeypatch)
+    monkeypatch.setattr(tables, "LINES_PER_TASK", 50)
+    try:
+        fact = sales_fact(spark, SF_SMALL)
+        assert sorted(map(str, fact.collect())) == whole
+        plan = fact._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    for key in ("o_custkey", "customer_id"):
+        dealt = {int(n) for n in re.findall(rf"Exchange hashpartitioning\({key}#\d+L?, (\d+)\)", plan)}
+        assert dealt == {-(-n_orders // 50)}, (key, dealt)
