@@ -28,7 +28,7 @@ PIECES_KEPT = 500_000
 #: Longer pieces (bytes) seldom recur and aren't remembered.
 LONGEST_KEPT = 24
 #: Bytes of texts whose words are numbered at a time.
-NUMBERED = 8_000_000
+NUMBERED = 6_000_000
 #: Bytes of texts whose ids are gathered at a time; a longer text is cut at white space.
 SLICE = 2_000_000
 
@@ -100,14 +100,22 @@ def encoded_column(enc: WordBPE, texts):
     """A binary column of texts as a binary column of packed ids, end ids appended."""
     import pyarrow as pa
 
+    return pa.concat_arrays([pa.array([], pa.binary()), *encoded_parts(enc, texts)])
+
+
+def encoded_parts(enc: WordBPE, texts):
+    """The column of packed ids in parts, one after the other."""
+    import pyarrow as pa
+
+    if not len(texts):
+        return
     texts = texts.cast(pa.binary())
-    sizes, parts = _sizes(texts), []
+    sizes = _sizes(texts)
     for at, stop in _runs(np.where(sizes > SLICE, NUMBERED + 1, sizes), NUMBERED):
         if sizes[at] > SLICE:  # one text
-            parts.append(pa.array([_long(enc, texts[at].as_py())], pa.binary()))
+            yield pa.array([_long(enc, texts[at].as_py())], pa.binary())
         else:
-            parts += _encoded_run(enc, texts.slice(at, stop - at))
-    return pa.concat_arrays(parts) if parts else pa.array([], pa.binary())
+            yield from _encoded_run(enc, texts.slice(at, stop - at))
 
 
 def _sizes(texts) -> np.ndarray:
@@ -133,7 +141,7 @@ def _long(enc: WordBPE, text: bytes) -> bytes:
     while at < len(text):
         space = _SPACE.search(text, at + SLICE)
         stop = space.start() if space else len(text)
-        ids = _encoded_run(enc, pa.array([text[at:stop]], pa.binary()))[0][0].as_py()
+        ids = next(_encoded_run(enc, pa.array([text[at:stop]], pa.binary())))[0].as_py()
         out.append(ids[:-enc.dtype.itemsize])
         at = stop
     return b"".join(out) + np.array([END_ID], enc.dtype).tobytes()
@@ -167,7 +175,7 @@ def _plain(words):
     return pc.and_(letters, short).to_numpy(zero_copy_only=False) & (tail <= 1), lower, tail
 
 
-def _encoded_run(enc: WordBPE, texts) -> list:
+def _encoded_run(enc: WordBPE, texts):
     """Packed ids of texts whose words are numbered together, in columns of ``SLICE`` bytes of texts."""
     import pyarrow as pa
     import pyarrow.compute as pc
@@ -183,7 +191,7 @@ def _encoded_run(enc: WordBPE, texts) -> list:
     extra = [*enc.always, *others]
     sizes = np.concatenate([np.fromiter(map(len, pieces), np.int32, len(pieces)) // enc.dtype.itemsize,
                             np.fromiter(map(len, extra), np.int32, len(extra))])
-    starts = np.cumsum(sizes) - sizes
+    starts = np.cumsum(sizes, dtype=np.int32) - sizes
     ids = np.concatenate([np.frombuffer(b"".join(pieces), enc.dtype),
                           np.fromiter(chain.from_iterable(extra), enc.dtype)])
     none, end, stop, comma = range(len(pieces), len(pieces) + len(enc.always))
@@ -196,18 +204,17 @@ def _encoded_run(enc: WordBPE, texts) -> list:
         last = pc.ends_with(words, ",").to_numpy(zero_copy_only=False)
         units[marked, 1] = np.where(last[marked], comma, stop)
     # every text's words, then the end id
-    number, parts = numbered.indices.to_numpy(), []
+    number = numbered.indices.to_numpy()
     bounds = np.concatenate([[0], lists.value_lengths().to_numpy().cumsum()])
     for first, last in _runs(_sizes(texts), SLICE):
         marks = 2 * (bounds[first + 1:last + 1] - bounds[first])
         unit = np.insert(units[number[bounds[first]:bounds[last]]].ravel(), marks, end)
         many = sizes[unit]
-        after = np.cumsum(many, dtype=np.int64)
-        out = ids[np.repeat(starts[unit] - (after - many), many) + np.arange(after[-1])]
+        after = np.cumsum(many, dtype=np.int32)
+        out = ids[np.repeat(starts[unit] - (after - many), many) + np.arange(after[-1], dtype=np.int32)]
         offsets = np.concatenate([[0], after[marks + np.arange(len(marks))]]) * enc.dtype.itemsize
-        parts.append(pa.Array.from_buffers(
-            pa.binary(), last - first, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(out)]))
-    return parts
+        yield pa.Array.from_buffers(
+            pa.binary(), last - first, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(out)])
 
 
 def encode_batches(path: str, keep: list[str]):
@@ -218,9 +225,11 @@ def encode_batches(path: str, keep: list[str]):
 
         enc = encoder(path)
         for batch in batches:
-            if batch.num_rows:
+            at = 0
+            for ids in encoded_parts(enc, batch.column("text")):
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(k) for k in keep] + [encoded_column(enc, batch.column("text"))], [*keep, "ids"])
+                    [batch.column(k).slice(at, len(ids)) for k in keep] + [ids], [*keep, "ids"])
+                at += len(ids)
     return run
 
 
