@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 import zipfile
@@ -74,3 +75,14 @@ def memo(key: tuple, make):
         _MEMO.clear()
         _MEMO[key] = make()
     return _MEMO[key]
+
+
+def forget() -> None:
+    """Drop what this Python worker remembers, for a stage that needs none of it (workers
+    are reused, and whatever they hold adds to the stage's own memory)."""
+    import pyarrow as pa
+
+    if _MEMO:
+        _MEMO.clear()
+        gc.collect()
+    pa.default_memory_pool().release_unused()

@@ -35,19 +35,28 @@ SHARD_DOCS, BLOCK_DOCS = 1024, 2048
 BLOCK_TOKENS = 16_000_000
 K1, B = 1.2, 0.75
 #: Bytes of packed ids of a partition, about; it holds several shards.
-PARTITION_BYTES = 32 << 20
+PARTITION_BYTES = 8 << 20
 #: Components of a projected document; documents that the tree is learned from.
 PROJECTED, SAMPLE_DOCS = 64, 65_536
+#: Rows of a batch taken out of Arrow at a time; bytes of packed ids that leave a task at a time, about.
+ROWS_AT_ONCE, BYTES_AT_ONCE = 512, 1 << 20
 
 PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
           "sequence_id long, offset long, sequence_length long")
 
 
+def rows_of(batches, *columns: str):
+    """Rows of Arrow batches as Python values, ``ROWS_AT_ONCE`` at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+            yield [batch.column(c).slice(at, ROWS_AT_ONCE).to_pylist() for c in columns]
+
+
 def distinct(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A document's terms in order and how often each stands there (a radix sort for 16-bit ids)."""
     ids = np.sort(ids, kind="stable")
     new = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
-    return ids[new], np.diff(np.append(new, len(ids)))
+    return ids[new], np.diff(np.append(new, len(ids)).astype(np.int32))
 
 
 def corpus_statistics(tokens: DataFrame, dtype: np.dtype) -> tuple[int, int, np.ndarray]:
@@ -56,6 +65,7 @@ def corpus_statistics(tokens: DataFrame, dtype: np.dtype) -> tuple[int, int, np.
         import pyarrow as pa
 
         held, docs, total = np.zeros(1 << 16, np.int64), 0, 0
+        common.forget()  # the encoder: its work is done
         for batch in batches:
             for ids in batch.column("ids").to_pylist():
                 terms, _ = distinct(np.frombuffer(ids, dtype))
@@ -144,6 +154,7 @@ def content_tree(tokens: DataFrame, stats, dtype: np.dtype, documents: int) -> T
     def run(batches):
         import pyarrow as pa
 
+        common.forget()
         projection = Projection(*stats.value)
         for batch in batches:
             found = projection.vectors([np.frombuffer(i, dtype) for i in batch.column("ids").to_pylist()])
@@ -165,6 +176,7 @@ def _deal(stats, tree, dtype: np.dtype):
     def run(batches):
         import pyarrow as pa
 
+        common.forget()
         projection = Projection(*stats.value)
         for batch in batches:
             docs = [np.frombuffer(i, dtype) for i in batch.column("ids").to_pylist()]
@@ -182,17 +194,23 @@ class Block:
         found = [distinct(d) for d in docs]
         term, tf = np.concatenate([t for t, _ in found]), np.concatenate([c for _, c in found])
         owner = np.repeat(np.arange(len(docs), dtype=np.int32), [len(t) for t, _ in found])
+        del found
         by_term = np.argsort(term, kind="stable")
         term, tf, self.units = term[by_term], tf[by_term], owner[by_term]
+        del by_term, owner
         norm = K1 * (1 - B + B * sizes / average)
-        self.weights = (idf[term] * tf * (K1 + 1) / (tf + norm[self.units])).astype(np.float32)
+        weights = idf[term]
+        weights *= tf
+        weights *= K1 + 1
+        weights /= tf + norm[self.units]
+        self.weights = weights.astype(np.float32)
+        del weights, tf
         # postings lie by term; a document's terms point at their postings
         new = np.concatenate([[True], term[1:] != term[:-1]])
         self.starts = np.flatnonzero(new)
         self.lengths = np.diff(np.append(self.starts, len(term)))
-        number = np.cumsum(new) - 1
-        order = np.argsort(self.units, kind="stable")
-        self.doc_terms = number[order]
+        number = np.cumsum(new, dtype=np.int32) - 1
+        self.doc_terms = number[np.argsort(self.units, kind="stable")]
         self.doc_ends = np.cumsum(np.bincount(self.units, minlength=len(docs)))
         self.n = len(docs)
         # terms that many documents hold are kept as rows of weights for all documents
@@ -296,12 +314,20 @@ def _pack(stats, dtype: np.dtype, window: int, payload: bool):
     def run(batches):
         import pyarrow as pa
 
+        common.forget()
         idf, average = stats.value
         names, docs, held, now, sequence = [], [], 0, None, 0
+        columns = [c.split()[0] for c in PIECES.split(", ")]
+
+        def part(rows):
+            arrays = [pa.array(r, pa.int64()) for r in rows[:8]]
+            if payload:
+                return pa.RecordBatch.from_arrays([*arrays, pa.array(rows[8], pa.binary())], [*columns, "ids"])
+            return pa.RecordBatch.from_arrays(arrays, columns)
 
         def close():
             nonlocal sequence
-            rows = [[] for _ in range(9)]
+            rows, size_held = [[] for _ in range(9)], 0
             for pieces in pack_block(docs, idf, average, window):
                 offset, length = 0, sum(p[2] for p in pieces)
                 for doc, start, size in pieces:
@@ -311,27 +337,28 @@ def _pack(stats, dtype: np.dtype, window: int, payload: bool):
                         row.append(value)
                     offset += size
                 sequence += 1
-            arrays = [pa.array(r, pa.int64()) for r in rows[:8]]
-            columns = [c.split()[0] for c in PIECES.split(", ")]
-            if payload:
-                arrays, columns = [*arrays, pa.array(rows[8], pa.binary())], [*columns, "ids"]
-            return pa.RecordBatch.from_arrays(arrays, columns)
-
-        for batch in batches:
-            for shard, name, ids in zip(*(batch.column(c).to_pylist() for c in ("shard", "doc_id", "ids"))):
+                size_held += 4 * length
+                if size_held >= BYTES_AT_ONCE:
+                    yield part(rows)
+                    rows, size_held = [[] for _ in range(9)], 0
+            if rows[0]:
+                yield part(rows)
+
+        for some in rows_of(batches, "shard", "doc_id", "ids"):
+            for shard, name, ids in zip(*some):
                 if shard != now:
                     if docs:
-                        yield close()
+                        yield from close()
                         names, docs, held = [], [], 0
                     now, sequence = shard, shard << 32
                 names.append(name)
                 docs.append(np.frombuffer(ids, dtype))
                 held += len(docs[-1])
                 if len(docs) >= BLOCK_DOCS or held >= BLOCK_TOKENS:
-                    yield close()
+                    yield from close()
                     names, docs, held = [], [], 0
         if docs:
-            yield close()
+            yield from close()
     return run
 
 

@@ -255,3 +255,27 @@ def test_texts_of_a_run_are_gathered_in_slices(monkeypatch):
     for text, ids in zip(texts, got, strict=True):
         want = enc.tokenizer.encode(text, add_special_tokens=False).ids + [2]
         assert np.frombuffer(ids, enc.dtype).tolist() == want, text[:40]
+
+
+def test_packing_takes_and_gives_few_rows_at_a_time(monkeypatch):
+    """A worker that packs forgets the encoder, and a block's pieces leave it in parts that hold all ids."""
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+    from salespark.llm import common
+
+    rng = np.random.default_rng(3)
+    docs = [rng.integers(3, 5000, 900).astype("<u2") for _ in range(2500)]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([5] * 2500, pa.int64()), pa.array(range(2500), pa.int64()), pa.array([d.tobytes() for d in docs])],
+        ["shard", "doc_id", "ids"])
+    monkeypatch.setattr(common, "_MEMO", {("wordbpe", "x"): "an encoder"})
+    stats = SimpleNamespace(value=(np.ones(5000), 900.0))
+    parts = list(packing._pack(stats, np.dtype("<u2"), packing.WINDOW, True)(iter([batch])))
+    assert common._MEMO == {}
+    assert max(p.nbytes for p in parts) < 3 << 20  # the block of 2,048 documents has 7 MB of ids
+    rows = [r for p in parts for r in p.to_pylist()]
+    for k in range(2500):
+        mine = sorted((r["start"], r["ids"]) for r in rows if r["doc_id"] == k)
+        assert b"".join(i for _, i in mine) == docs[k].astype("<u4").tobytes()
+    assert len({(r["sequence_id"], r["offset"]) for r in rows}) == len(rows)
