@@ -8,13 +8,15 @@ text's vector is the sum (bundle) of its trigrams' vectors; a language's
 prototype is the bundle of all its training texts, each text weighing the same.
 A text has the language whose prototype has the largest cosine with its vector.
 
-Words are remembered as lists of trigram numbers, trigrams as vectors, so a text
-costs one count of its trigrams and one product with their vectors.
+A text's trigrams are read off its code points by numpy, whatever words it is made
+of; its distinct trigrams are remembered as vectors, so a text costs one count of its
+trigrams and one product with their vectors.
 """
 
 from __future__ import annotations
 
 import re
+from functools import cache
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -24,13 +26,25 @@ from salespark.llm import common
 
 DIM = 1024
 UNDETERMINED = "und"
-#: Remembered words and trigram vectors per Python worker; beyond them they start afresh.
-WORDS_KEPT, TRIGRAMS_KEPT = 300_000, 50_000
+#: Remembered trigrams and their vectors per Python worker; beyond them they start afresh.
+TRIGRAMS_KEPT = 50_000
+#: Code points of a text whose trigrams are counted at a time.
+STRETCH = 1 << 20
 _LETTERS = re.compile(r"[^\W\d_]+")
+_BLANK = ord(" ")
+
+
+@cache
+def letter_table() -> np.ndarray:
+    """By code point: is it a letter?"""
+    table = np.zeros(0x110000, bool)
+    for run in _LETTERS.finditer("".join(map(chr, range(len(table))))):
+        table[run.start():run.end()] = True
+    return table
 
 
 class Trigrams(dict):
-    """word -> its trigrams' numbers (packed 32-bit); vectors by number."""
+    """trigram (three code points of 21 bits) -> its number; vectors by number."""
 
     def __init__(self, seed: int = 11):
         super().__init__()
@@ -40,7 +54,6 @@ class Trigrams(dict):
 
     def forget(self) -> None:
         self.clear()
-        self.numbers: dict[str, int] = {}
         self.vectors = np.zeros((1024, DIM), np.int8)
 
     def letter(self, ch: str) -> np.ndarray:
@@ -52,33 +65,43 @@ class Trigrams(dict):
         return self.letters[ch]
 
     def number(self, gram: str) -> int:
-        k = self.numbers.get(gram)
-        if k is None:
-            k = self.numbers[gram] = len(self.numbers)
-            if k >= len(self.vectors):
-                self.vectors = np.concatenate([self.vectors, np.zeros_like(self.vectors)])
-            a, b, c = (self.letter(ch) for ch in gram)
-            self.vectors[k] = np.roll(a, 2) * np.roll(b, 1) * c
+        a, b, c = map(ord, gram)
+        return self[a << 42 | b << 21 | c]
+
+    def __missing__(self, packed: int) -> int:
+        k = self[packed] = len(self)
+        if k >= len(self.vectors):
+            self.vectors = np.concatenate([self.vectors, np.zeros_like(self.vectors)])
+        a, b, c = (self.letter(chr(packed >> shift & 0x1FFFFF)) for shift in (42, 21, 0))
+        self.vectors[k] = np.roll(a, 2) * np.roll(b, 1) * c
         return k
 
-    def __missing__(self, word: bytes) -> bytes:
-        found = []
-        for run in _LETTERS.findall(word.decode("utf-8", "replace").lower()):
-            full = f" {run} "
-            found += [self.number(full[i:i + 3]) for i in range(len(full) - 2)]
-        packed = np.array(found, np.uint32).tobytes()
-        if len(word) <= 32:
-            self[word] = packed
-        return packed
-
     def counts(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of a whole text's distinct trigrams and how often each stands there."""
-        if len(self) > WORDS_KEPT or len(self.numbers) > TRIGRAMS_KEPT:
+        if len(self) > TRIGRAMS_KEPT:
             self.forget()
-        packed = b"".join(map(self.__getitem__, text.split()))
-        n = np.bincount(np.frombuffer(packed, np.uint32))
-        at = np.flatnonzero(n)
-        return at, n[at].astype(np.float32)
+        chars = np.frombuffer(text.decode("utf-8", "replace").lower().encode("utf-32-le"), np.uint32)
+        found = [self._stretch(chars, lo) for lo in range(0, max(len(chars), 1), STRETCH)]
+        if len(found) == 1:
+            at, n = found[0]
+        else:
+            total = np.bincount(np.concatenate([at for at, _ in found]), np.concatenate([n for _, n in found]))
+            at = np.flatnonzero(total)
+            n = total[at]
+        return at, n.astype(np.float32)
+
+    def _stretch(self, chars: np.ndarray, lo: int) -> tuple[np.ndarray, np.ndarray]:
+        """``counts`` of the trigrams around the letters of ``STRETCH`` code points from ``lo`` on."""
+        first, last = max(lo - 1, 0), min(lo + STRETCH, len(chars))
+        some = chars[first:last + 1]
+        is_letter = letter_table()[some]
+        padded = np.full(len(some) + 2, _BLANK, np.int64)
+        np.copyto(padded[1:-1], some, where=is_letter)
+        # the letters of the stretch; its neighbours on either side only complete trigrams
+        middle = np.flatnonzero(is_letter[lo - first:last - first]) + (lo - first)
+        packed = padded[middle] << 42 | padded[middle + 1] << 21 | padded[middle + 2]
+        distinct, n = np.unique(packed, return_counts=True)
+        return np.array([self[k] for k in distinct.tolist()], np.int64), n
 
     def bundle(self, text: bytes) -> np.ndarray | None:
         """A text's vector, None for a text without letters."""
@@ -112,14 +135,14 @@ def prototypes(docs: DataFrame) -> dict[str, np.ndarray]:
 
         for batch in batches:
             for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist()):
-                if len(tri) > WORDS_KEPT or len(tri.numbers) > TRIGRAMS_KEPT:
+                if len(tri) > TRIGRAMS_KEPT:
                     close()  # numbers change their meaning when they are forgotten
                 at, n = tri.counts(text)
                 if not len(at):
                     continue
                 w = weights.get(lang)
-                if w is None or len(w) <= at[-1]:
-                    w, old = np.zeros(2 * int(at[-1]) + 1024), w
+                if w is None or len(w) <= at.max():
+                    w, old = np.zeros(2 * int(at.max()) + 1024), w
                     if old is not None:
                         w[:len(old)] = old
                     weights[lang] = w

@@ -1,7 +1,10 @@
 """Toxicity and language: held-out accuracy, contract columns, edges."""
 
 import random
+import re
+import sys
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -158,6 +161,35 @@ def test_components_keep_unrelated_trigrams_apart():
     assert np.sqrt(np.mean(cosines ** 2)) < 0.036
 
 
+def test_new_words_cost_no_calls_of_their_own():
+    """Trigrams are counted by the text: a word never seen before, of known trigrams, adds no Python call."""
+    rng = random.Random(3)
+    words = sorted({"".join(rng.choices("abcd", k=9)) for _ in range(8000)})
+    tri, calls = langid.Trigrams(), []
+    tri.counts(" ".join(words[:4000]).encode())
+    sys.setprofile(lambda frame, event, arg: calls.append(event))
+    try:
+        at, n = tri.counts(" ".join(words[4000:]).encode())
+    finally:
+        sys.setprofile(None)
+    assert n.sum() == 9 * len(words[4000:]) and len(at) <= 4 ** 3 + 2 * 4 ** 2
+    assert len(calls) < 1000
+
+
+@pytest.mark.parametrize("stretch", [1, 7, 1 << 20])
+def test_trigrams_are_those_of_the_words(monkeypatch, stretch):
+    """Equal to trigrams taken word by word, however a text is cut into stretches."""
+    monkeypatch.setattr(langid, "STRETCH", stretch, raising=False)
+    tri = langid.Trigrams()
+    for text in ["", " \n", "a", "abca abc,ABC", "ΣΑΣ ΟΔΟΣ. ΑΣ\tΣ", "İstanbul İ_x9²y ½", "日本語の文章", "𝔘𝔫𝔦 𐐀", "123 _ ١٢٣"]:
+        want = Counter(tri.number(f" {run} "[i:i + 3]) for word in text.split()
+                       for run in re.findall(r"[^\W\d_]+", word.lower()) for i in range(len(run)))
+        at, n = tri.counts(text.encode())
+        assert dict(zip(at.tolist(), n.tolist())) == want
+    broken = b"ab \xc3\xff cd\xe2\x82"
+    assert sorted(tri.counts(broken)[0]) == sorted(tri.counts(b"ab cd")[0])
+
+
 @pytest.mark.parametrize("names", [["__q", "__score", "__text"], ["row", "score", "__rule"], ["__failed", "a.b", "words"]])
 def test_kept_rows_may_have_any_column_names(spark, labels, docs, names):
     """Columns of the operators' own names neither clash nor change."""
