@@ -127,11 +127,11 @@ def quintile_sql(rank: str, n: str) -> str:
 FACT_SOURCE = {"mode": "tables"}
 
 
-def fact(spark: SparkSession, sf_dir: str) -> DataFrame:
+def fact(spark: SparkSession, sf_dir: str, read_again: bool = False) -> DataFrame:
     if FACT_SOURCE["mode"] == "materialized":
         from .dashboard import materialized_fact
         return materialized_fact(spark, sf_dir)
-    return sales_fact(spark, sf_dir, trust_foreign_keys=FACT_SOURCE["mode"] == "trusted")
+    return sales_fact(spark, sf_dir, FACT_SOURCE["mode"] == "trusted", read_again)
 
 
 def out(df: DataFrame) -> DataFrame:
@@ -202,7 +202,7 @@ def q_order_measures(spark, sf_dir):
   CAST(p.cost AS DOUBLE) AS cost
 FROM fact f JOIN c ON f.customer_id = c.customer_id JOIN p ON f.product_id = p.product_id""")
 def q_normalized_fact(spark, sf_dir):
-    c, p, o = flatfile.normalize(flatfile.to_flat(fact(spark, sf_dir)))
+    c, p, o = flatfile.normalize(flatfile.to_flat(fact(spark, sf_dir, read_again=True)))
     return out(fact_from_tables(flatfile.typed_orders(o), c, p))
 
 

@@ -15,7 +15,7 @@ once (partitioned by order month) for repeated use at scale.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import schema
@@ -65,12 +65,17 @@ def broadcast_if_small(side: DataFrame, bound_rows: int, max_bytes: int = BROADC
     return F.broadcast(side) if bound_rows * row_bytes(side) <= max_bytes else side
 
 
-def join_side(side: DataFrame, key: str, bound_rows: int, lines: int) -> DataFrame:
+def join_side(side: DataFrame, key: str | list[str], bound_rows: int, lines: int, merge: bool = False) -> DataFrame:
     """``side`` of a join of ``lines`` rows: broadcast if small, else dealt out by ``key`` over
     so many partitions that a task has about ``LINES_PER_TASK`` lines.  Spark shuffles the
-    lines alike, if it shuffles them; they aren't touched where it broadcasts the side after all."""
+    lines alike, if it shuffles them; they aren't touched where it broadcasts the side after all,
+    which ``merge`` forbids: the lines then lie by ``key``."""
     hinted = broadcast_if_small(side, bound_rows)
-    return hinted if hinted is not side else side.repartition(max(1, -(-lines // LINES_PER_TASK)), key)
+    if hinted is not side:
+        return hinted
+    keys = [key] if isinstance(key, str) else key
+    dealt = side.repartition(max(1, -(-lines // LINES_PER_TASK)), *keys)
+    return dealt.hint("merge") if merge else dealt
 
 
 def customer_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,7 +116,16 @@ def product_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def sales_fact(spark: SparkSession, sf_dir: str, trust_foreign_keys: bool = False) -> DataFrame:
+def numbered_rows(dim: DataFrame, key: str, number: str) -> DataFrame:
+    """``dim`` with each row's number among those of its key: 1 throughout where the key is unique.
+    Rows that differ get the same numbers each time they are read."""
+    others = [c for c in dim.columns if c != key]
+    return dim.where(F.col(key).isNotNull()) \
+        .withColumn(number, F.row_number().over(Window.partitionBy(key).orderBy(*others)))
+
+
+def sales_fact(spark: SparkSession, sf_dir: str, trust_foreign_keys: bool = False,
+               read_again: bool = False) -> DataFrame:
     """The 26-column joined fact built from the driver's parquet tables.
 
     Join order: orders ⋈ customer first (orders is the smaller fact side),
@@ -127,8 +141,16 @@ def sales_fact(spark: SparkSession, sf_dir: str, trust_foreign_keys: bool = Fals
     Catalyst then removes every join whose columns a query does not use, so
     e.g. product measures never touch orders or customers.  With no orphans
     the rows are the same as with inner joins.
+
+    ``read_again=True`` (for queries that read the fact several times, each time with other
+    columns) gives the same rows.  The lines joined with orders and products keep all their
+    columns, whichever are used, so Spark shuffles them once and reads that again.  Up to there
+    a customer is its key and the number of its row; the texts follow in a last join, left
+    outer and unique, which Catalyst removes for those who don't use them.  (Trusted keys have
+    columns and joins pruned in each reading instead.)
     """
     how = "left" if trust_foreign_keys else "inner"
+    read_again = read_again and not trust_foreign_keys
 
     def dim(df: DataFrame, key: str) -> DataFrame:
         return df.dropDuplicates([key]) if trust_foreign_keys else df
@@ -140,8 +162,12 @@ def sales_fact(spark: SparkSession, sf_dir: str, trust_foreign_keys: bool = Fals
         F.col("o_orderstatus").alias("payment_method"),
     )
     n_orders, n_lines = table_rows(spark, sf_dir, "orders"), table_rows(spark, sf_dir, "lineitem")
-    cust = join_side(dim(customer_dim(spark, sf_dir), "customer_id"), "customer_id",
-                     table_rows(spark, sf_dir, "customer"), n_orders)
+    n_customers = table_rows(spark, sf_dir, "customer")
+    customers = dim(customer_dim(spark, sf_dir), "customer_id")
+    if read_again:
+        customers = numbered_rows(customers, "customer_id", "__row")
+    cust = customers.select("customer_id", "__row") if read_again else customers
+    cust = join_side(cust, "customer_id", n_customers, n_orders)
     orders_c = dim(orders, "o_orderkey").join(cust, orders.o_custkey == cust.customer_id, how)
     orders_c = join_side(orders_c, "o_orderkey", n_orders, n_lines)
 
@@ -150,8 +176,16 @@ def sales_fact(spark: SparkSession, sf_dir: str, trust_foreign_keys: bool = Fals
         "l_returnflag", "l_shipdate")
     lines = li.join(orders_c, li.l_orderkey == orders_c.o_orderkey, how)
     prod = join_side(dim(product_dim(spark, sf_dir), "product_id"), "product_id",
-                     table_rows(spark, sf_dir, "part"), n_lines)
+                     table_rows(spark, sf_dir, "part"), n_lines, merge=read_again)
     joined = lines.join(prod, lines.l_partkey == prod.product_id, how)
+    if read_again:
+        # a generator of one row takes all columns, so none is pruned below it; the key stays
+        # outside, so Spark knows that the lines lie by product
+        whole = [c for c in joined.columns if c not in ("l_partkey", "o_orderkey", "o_custkey", "product_id")]
+        joined = joined.select("product_id", F.inline(F.array(F.struct(*whole))))
+        unique = customers.dropDuplicates(["customer_id", "__row"])
+        unique = join_side(unique, ["customer_id", "__row"], n_customers, n_lines, merge=True)
+        joined = joined.join(unique, ["customer_id", "__row"], "left")
 
     discount = F.col("l_discount").cast(schema.RATE)
     quantity = F.col("l_quantity").cast("int")

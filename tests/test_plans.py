@@ -153,3 +153,58 @@ def test_orders_and_customers_are_joined_in_as_many_tasks_as_orders_need(spark,
     for key in ("o_custkey", "customer_id"):
         dealt = {int(n) for n in re.findall(rf"Exchange hashpartitioning\({key}#\d+L?, (\d+)\)", plan)}
         assert dealt == {-(-n_orders // 50)}, (key, dealt)
+
+
+def test_lines_of_a_fact_read_again_are_shuffled_once(spark, monkeypatch):
+    """The normalised tables and their join read the lines three times, from one shuffle by order and one by product."""
+    import re
+    from collections import Counter
+    from salespark.sources import flatfile, tables
+    c, p, o = flatfile.normalize(flatfile.to_flat(sales_fact(spark, SF_SMALL)))
+    plain = registry.out(tables.fact_from_tables(flatfile.typed_orders(o), c, p))
+    before = _joined_by_sort_merge(spark, monkeypatch)
+    try:
+        df = registry.QUERIES["normalized_fact"](spark, SF_SMALL)
+        rows = df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert df.schema == plain.schema and sorted(map(str, rows)) == sorted(map(str, plain.collect()))
+    shuffled = Counter(re.findall(r"[+:]- Exchange hashpartitioning\((\w+)#", plan))
+    assert (shuffled["l_orderkey"], shuffled["l_partkey"]) == (1, 1)
+    assert plan.count("LeftOuter") == 1  # only the customers' table takes customers' texts
+
+
+def test_a_fact_read_again_has_the_same_rows_whatever_repeats_or_lacks(spark, tmp_path, monkeypatch):
+    """Keys that repeat (with the same and with other texts), lack their match or are NULL."""
+    from pyspark.sql import functions as F
+    from salespark.sources.tables import TABLES, read_table
+    for name in TABLES[:7]:
+        t = read_table(spark, SF_SMALL, name)
+        key = t.columns[0]
+        if name in ("customer", "part", "orders"):
+            text = {"customer": "c_mktsegment", "part": "p_brand", "orders": "o_orderpriority"}[name]
+            t = t.where(f"{key} % 11 != 4").unionByName(t.where(f"{key} % 5 = 0")) \
+                .unionByName(t.where(f"{key} % 7 = 0").withColumn(text, F.lit("other"))) \
+                .unionByName(t.where(f"{key} % 3 = 0").withColumn(text, F.lit(None).cast("string"))) \
+                .unionByName(t.where(f"{key} % 9 = 1").withColumn(key, F.lit(None).cast(t.schema[key].dataType)))
+        if name == "lineitem":
+            t = t.withColumn("l_partkey", F.expr("if(l_linenumber = 2, NULL, l_partkey)"))
+        if name == "orders":
+            t = t.withColumn("o_custkey", F.expr("if(o_orderkey % 13 = 2, NULL, o_custkey)"))
+        t.write.parquet(str(tmp_path / f"{name}.parquet"))
+    plain = sales_fact(spark, str(tmp_path))
+    whole = sorted(map(str, plain.collect()))
+    assert len(whole) > 6000
+    again = sales_fact(spark, str(tmp_path), read_again=True)
+    assert again.schema == plain.schema and sorted(map(str, again.collect())) == whole
+    before = _joined_by_sort_merge(spark, monkeypatch)
+    try:
+        again = sales_fact(spark, str(tmp_path), read_again=True)
+        assert sorted(map(str, again.collect())) == whole
+        few = ["order_id", "customer_id", "product_id", "profit"]  # without customers' texts
+        assert sorted(map(str, again.select(*few).collect())) == sorted(map(str, plain.select(*few).collect()))
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
